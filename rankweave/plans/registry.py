@@ -2,10 +2,678 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import routing, statistics, text
+from ..functions import vectors as vec
+from ..operators import corpus_stats, evaluate, fuse, metrics, prep, retrieve, significance
+from ..session import durable
+from ..sources import tables
+from ..sources.tables import read_table
+from .inputs import GENRE_TAGS, REWRITES, STRIPES, TOP, Retrieved, corpus, hits, stored_sizes, vector_queries, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _add(name: str, f: Query) -> None:
+    _QUERIES[name] = f
+
+
+def _six(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison."""
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def _fused(df: DataFrame) -> DataFrame:
+    return _six(df.select("query_id", "mode", "doc_id", "stripe", "fused_score", "fused_rank"))
+
+
+# --- routing and fields -------------------------------------------------------------------------------------------
+
+
+@query
+def route_category(spark, d):
+    return corpus(spark, d).select("doc_id", "stripe")
+
+
+@query
+def route_temporal(spark, d):
+    return prep.catalog(read_table(spark, d, "books")).select("book_id", routing.by_year("publication_year", 1980, "book_id").alias("stripe"))
+
+
+@query
+def route_hash(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", routing.by_hash("doc_id").alias("stripe"))
+
+
+@query
+def oracle_fanout(spark, d):
+    return routing.with_oracle(corpus(spark, d).select("doc_id", "stripe")).groupBy("arm", "index_name", "stripe").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tokenize(spark, d):
+    toks = text.tokenize("text")
+    return read_table(spark, d, "documents").select("doc_id", F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
+
+
+@query
+def query_terms(spark, d):
+    q = read_table(spark, d, "eval_queries").select("query_id", "text").filter("query_id is not null").distinct()
+    return q.select("query_id", F.array_join(text.query_terms("text"), " ").alias("terms")).distinct()
+
+
+@query
+def idf(spark, d):
+    r = Retrieved(spark, d)
+    g = corpus_stats.df_global(corpus_stats.df_local(r.tokens))
+    return g.select("term", "df", F.round(text.idf(F.col("df"), r.size.select("n_docs").scalar()), 6).alias("idf"))
+
+
+@query
+def normalize_language(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", text.normalize_language("lang").alias("language"))
+
+
+@query
+def parse_numeric(spark, d):
+    b = read_table(spark, d, "books").select("book_id", text.parse_year("original_publication_year").alias("year"), text.parse_rating("average_rating").alias("rating"))
+    return b.groupBy("book_id", "year", "rating").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def split_authors(spark, d):
+    b = read_table(spark, d, "books").select("book_id", F.array_join(text.split_authors("authors"), "|").alias("authors"))
+    return b.distinct()
+
+
+@query
+def catalog_rows(spark, d):
+    c = prep.catalog(read_table(spark, d, "books"))
+    return c.select("book_id", "publication_year", "language", "genre", F.size("authors").alias("n_authors"))
+
+
+@query
+def parse_grade(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", text.parse_grade("text").alias("grade"))
+
+
+@query
+def split_custom_id(spark, d):
+    c = read_table(spark, d, "candidates").select(F.concat_ws("~", "query_id", F.col("doc_id").cast("string")).alias("custom_id")).distinct()
+    q, doc = text.split_custom_id("custom_id")
+    return c.select(q.alias("query_id"), doc.alias("doc"))
+
+
+@query
+def embedding_input(spark, d):
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", F.sha2(text.embedding_input(F.col("title"), F.array("source"), F.col("text")), 256).alias("digest"))
+
+
+@query
+def json_fields(spark, d):
+    e = read_table(spark, d, "events")
+    return e.groupBy("event_type", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.device").alias("device")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def vector_quantize(spark, d):
+    p = vec.quantize(F.col("embedding"))
+    return _six(vectors(spark, d).select("doc_id", p["scale"].alias("scale"), F.array_join(F.transform(p["q"], lambda x: x.cast("string")), ",").alias("q")))
+
+
+@query
+def vector_dequantize(spark, d):
+    back = vec.dequantize(vec.quantize(F.col("embedding")))
+    gap = F.array_max(F.zip_with(back, "embedding", lambda x, y: F.abs(x - y.cast("double"))))
+    return _six(vectors(spark, d).select("doc_id", gap.alias("largest_error"), vec.cosine(back, F.col("embedding")).alias("cosine")))
+
+
+# --- corpus statistics --------------------------------------------------------------------------------------------
+
+
+def _tokens(spark, d):
+    return Retrieved(spark, d).tokens
+
+
+@query
+def df_local(spark, d):
+    return corpus_stats.df_local(_tokens(spark, d))
+
+
+@query
+def df_global(spark, d):
+    return corpus_stats.df_global(corpus_stats.df_local(_tokens(spark, d)))
+
+
+@query
+def df_rollup(spark, d):
+    return corpus_stats.df_rollup(_tokens(spark, d))
+
+
+@query
+def stripe_stats(spark, d):
+    return _six(corpus_stats.sizes(_tokens(spark, d)))
+
+
+@query
+def idf_divergence(spark, d):
+    return _six(corpus_stats.idf_divergence(_tokens(spark, d), "a", "b"))
+
+
+@query
+def size_imbalance(spark, d):
+    return _six(corpus_stats.imbalance(_tokens(spark, d)))
+
+
+@query
+def idf_band_decay(spark, d):
+    return _six(corpus_stats.band_decay(_tokens(spark, d), "a", "b"))
+
+
+# --- retrieval ----------------------------------------------------------------------------------------------------
+
+
+def _hit(df: DataFrame, *more: str) -> DataFrame:
+    return _six(df.select("query_id", "stripe", "doc_id", "hit_rank", "score", *more))
+
+
+@query
+def keyword_topk(spark, d):
+    return _hit(Retrieved(spark, d).per_index)
+
+
+@query
+def oracle_topk(spark, d):
+    return _hit(Retrieved(spark, d).oracle)
+
+
+@query
+def filtered_retrieval(spark, d):
+    r = Retrieved(spark, d)
+    toks = corpus_stats.tokenized(corpus(spark, d).filter(F.col("language") == "en"))
+    tf = retrieve.frequencies(toks, r.qterms)
+    return _hit(retrieve.keyword(tf, r.df_local, r.sizes, TOP, STRIPES))
+
+
+@query
+def vector_topk(spark, d):
+    return _hit(retrieve.vector(vectors(spark, d), vector_queries(spark, d), 50, STRIPES))
+
+
+def _hybrid_parts(spark, d):
+    """Text leg: the documents' titles of the vector queries; vector leg: their vectors, in the stripe of the document."""
+    toks = _tokens(spark, d)
+    home = toks.select("doc_id", "stripe")
+    own = vectors(spark, d).drop("stripe").join(home, "doc_id")
+    names = read_table(spark, d, "documents").filter("doc_id % 50 = 0").join(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    qterms = retrieve.terms_of(names.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")))
+    tf = retrieve.frequencies(toks, qterms)
+    t = retrieve.keyword(tf, retrieve.probe(toks, qterms), corpus_stats.sizes(toks), 50, STRIPES)
+    v = retrieve.vector(own, vector_queries(spark, d), 50, STRIPES)
+    return t, v
+
+
+@query
+def hybrid_topk(spark, d):
+    t, v = _hybrid_parts(spark, d)
+    return _hit(retrieve.hybrid(t, v, 50, STRIPES), "text_score", "vector_similarity")
+
+
+@query
+def semantic_scores(spark, d):
+    return _hit(Retrieved(spark, d).candidates, "reranker_score")
+
+
+@query
+def fan_out(spark, d):
+    return Retrieved(spark, d).candidates.groupBy("query_id", "stripe").agg(F.count(F.lit(1)).alias("returned"))
+
+
+@query
+def candidate_budget(spark, d):
+    r = Retrieved(spark, d)
+    sides = [(r.candidates, "equalized"), (r.per_index, "per-index")]
+    parts = [x.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned")).withColumn("budget", F.lit(n)) for x, n in sides]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def df_probe(spark, d):
+    return Retrieved(spark, d).df_local
+
+
+@query
+def doc_counts(spark, d):
+    return retrieve.counts(corpus(spark, d))
+
+
+# --- fusion -------------------------------------------------------------------------------------------------------
+
+for _name, _plan in {"naive_score": fuse.naive, "interleave": fuse.interleave, "global_rrf": fuse.rrf, "rrf_sum": fuse.rrf_sum, "minmax_norm": fuse.minmax, "vector_similarity": fuse.by_vector, "semantic_score": fuse.by_reranker}.items():
+    _add(_name, lambda spark, d, plan=_plan: _fused(plan(hits(spark, d), TOP)))
+
+
+@query
+def zscore_norm(spark, d):
+    return _six(fuse.zscore(hits(spark, d), TOP), 8)
+
+
+@query
+def hybrid_legs(spark, d):
+    return _fused(fuse.legs(hits(spark, d).filter(F.col("mode") == "Hybrid"), TOP))
+
+
+@query
+def quota_merge(spark, d):
+    return _fused(fuse.quota(hits(spark, d), stored_sizes(spark, d), TOP))
+
+
+@query
+def select_pool(spark, d):
+    return fuse.pool(hits(spark, d), 50).select("query_id", "mode", "doc_id", "stripe", "pool_rank")
+
+
+@query
+def explain_fusion(spark, d):
+    h = hits(spark, d).filter("hit_rank <= 10")
+    return h.select("query_id", "mode", "stripe", "doc_id", fuse.explained(h).alias("explanation"))
+
+
+def _factors(r: Retrieved) -> DataFrame:
+    return fuse.correction(r.qterms, r.df_global, r.size, r.df_local, r.sizes)
+
+
+@query
+def idf_factors(spark, d):
+    return _six(_factors(Retrieved(spark, d)))
+
+
+@query
+def idf_correct_sidecar(spark, d):
+    r = Retrieved(spark, d)
+    local = corpus_stats.df_local(r.tokens)
+    return _fused(fuse.idf_corrected(r.candidates, fuse.correction(r.qterms, corpus_stats.df_global(local), r.size, local, r.sizes), TOP))
+
+
+@query
+def idf_correct_probe(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.idf_corrected(r.candidates, _factors(r), TOP))
+
+
+@query
+def global_bm25(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.rescored(r.candidates, r.tf, r.qterms, r.df_global, r.size, TOP))
+
+
+@query
+def local_bm25(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.rescored(r.candidates, r.tf, r.qterms, r.df_local, r.sizes, TOP, local=True))
+
+
+@query
+def merge_naive(spark, d):
+    return _fused(fuse.naive(Retrieved(spark, d).candidates, TOP))
+
+
+@query
+def merge_bm25(spark, d):
+    """Corpus-wide BM25 with the plain tokenizer, which keeps stop words."""
+    r = Retrieved(spark, d)
+    toks = corpus_stats.tokenized(corpus(spark, d), stop=False)
+    qterms = r.queries.select("query_id", F.explode(F.array_distinct(text.tokenize("text", stop=False))).alias("term"))
+    tf, df, size = retrieve.frequencies(toks, qterms), retrieve.probe(toks, qterms), corpus_stats.sizes(toks)
+    c = retrieve.keyword(tf, df, size, 25, STRIPES)
+    return _fused(fuse.rescored(c, tf, qterms, corpus_stats.df_global(df), corpus_stats.global_size(toks), TOP))
+
+
+@query
+def merge_idf(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.idf_corrected(r.per_index, _factors(r), TOP))
+
+
+@query
+def merge_vector(spark, d):
+    return _fused(fuse.by_vector(retrieve.vector(vectors(spark, d), vector_queries(spark, d), 25, STRIPES), TOP))
+
+
+def _selective(threshold: float) -> Query:
+    def run(spark, d):
+        r = Retrieved(spark, d)
+        return _fused(fuse.selective(r.per_index, r.chosen(threshold), r.tf, r.qterms, r.df_global, r.size, TOP))
+
+    return run
+
+
+_add("selective_one", _selective(1.0))
+_add("selective_adaptive", _selective(0.35))
+
+
+def _rescores(r: Retrieved) -> DataFrame:
+    """A second opinion on each candidate, from its stripe-independent score."""
+    return r.candidates.select("query_id", "doc_id", (F.col("reranker_score") + F.lit(0.01) * F.log(F.lit(1.0) + F.col("doc_len"))).alias("rescore"))
+
+
+@query
+def semantic_merge(spark, d):
+    return _fused(fuse.by_reranker(Retrieved(spark, d).candidates, TOP))
+
+
+@query
+def semantic_rerank(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.reranked_again(r.candidates, _rescores(r), TOP))
+
+
+@query
+def external_rerank(spark, d):
+    r = Retrieved(spark, d)
+    grades = r.candidates.select("query_id", "doc_id", F.floor(F.col("reranker_score") * 0.75).cast("int").alias("grade"))
+    return _fused(fuse.external(r.candidates, grades, TOP))
+
+
+@query
+def agentic_rerank(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.by_reranker(retrieve.semantic(r.per_index, r.tokens, r.qterms), 50))
+
+
+@query
+def agentic_cheap(spark, d):
+    return _fused(fuse.interleave(Retrieved(spark, d).per_index, 50))
+
+
+@query
+def agentic_planned(spark, d):
+    r = Retrieved(spark, d)
+    plan = spark.createDataFrame(REWRITES, "query_id string, sub_id string, text string")
+    qterms = retrieve.terms_of(plan.select(F.col("sub_id").alias("query_id"), "text"))
+    tf = retrieve.frequencies(r.tokens, qterms)
+    c = retrieve.keyword(tf, retrieve.probe(r.tokens, qterms), r.sizes, 50, STRIPES)
+    return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(c, r.tokens, qterms), 50))
+
+
+@query
+def single_index(spark, d):
+    return _fused(fuse.single_index(Retrieved(spark, d).oracle, TOP))
+
+
+@query
+def single_index_rescored(spark, d):
+    r = Retrieved(spark, d)
+    return _fused(fuse.rescored(r.oracle, r.tf, r.qterms, r.df_global, r.size, TOP))
+
+
+# --- metrics over every hybrid query: the naive list against the list of both legs ----------------------------------
+
+
+def _lists(spark, d):
+    h = hits(spark, d).filter(F.col("mode") == "Hybrid")
+    lists = fuse.naive(h, TOP).select("query_id", "doc_id", "stripe", F.col("fused_rank").alias("rank"))
+    truth = fuse.legs(h, 50).select("query_id", "doc_id", F.col("fused_rank").alias("rank"))
+    queries = read_table(spark, d, "candidates").select("query_id").distinct()
+    return queries, lists, truth
+
+
+def _judgments(spark, d):
+    """Grades 0 to 3 from the similarity of a hit."""
+    h = hits(spark, d).filter("mode = 'Hybrid' and vector_similarity is not null and vector_similarity <= 1")
+    return h.groupBy("query_id", "doc_id").agg(F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.max("vector_similarity") * 4))).cast("int").alias("grade"))
+
+
+_add("ndcg", lambda s, d: _six(metrics.ndcg(*_lists(s, d), TOP)))
+_add("overlap_at_k", lambda s, d: _six(metrics.overlap(*_lists(s, d), TOP)))
+_add("kendall_tau", lambda s, d: _six(metrics.kendall(*_lists(s, d))))
+_add("rbo", lambda s, d: _six(metrics.rbo(*_lists(s, d), TOP)))
+_add("identical_topk", lambda s, d: metrics.identical(*_lists(s, d), TOP))
+_add("judged_ndcg", lambda s, d: _six(metrics.judged_ndcg(*_lists(s, d)[:2], _judgments(s, d), TOP)))
+_add("judged_coverage", lambda s, d: _six(metrics.coverage(*_lists(s, d)[:2], _judgments(s, d), TOP)))
+_add("stripe_contribution", lambda s, d: metrics.stripe_mix(_lists(s, d)[1]).select("query_id", "stripe_mix"))
+
+
+@query
+def judgment_pool(spark, d):
+    _, lists, truth = _lists(spark, d)
+    return evaluate.judgment_pool(lists, truth)
+
+
+@query
+def evaluate_matrix(spark, d):
+    """Every strategy that needs no service, per query of the query set, against the un-split index."""
+    r = Retrieved(spark, d)
+    c = durable(r.candidates)
+    r.tf = durable(r.tf)
+    r.df_local = durable(r.df_local)
+    r.size = durable(r.size)
+    r.sizes = durable(r.sizes)
+    truth = fuse.single_index(r.oracle, 50).select("query_id", "doc_id", F.col("fused_rank").alias("rank"))
+    plans = {
+        "naive-score": fuse.naive(c, TOP),
+        "global-rrf": fuse.rrf(c, TOP),
+        "minmax-norm": fuse.minmax(c, TOP),
+        "zscore-norm": fuse.zscore(c, TOP),
+        "global-bm25": fuse.rescored(c, r.tf, r.qterms, r.df_global, r.size, TOP),
+        "idf-correct-probe": fuse.idf_corrected(c, _factors(r), TOP),
+    }
+    named = lambda df, name: df.withColumn("query_id", F.concat(F.lit(f"{name}|"), "query_id"))
+    every = F.explode(F.array(*[F.lit(f"{n}|") for n in plans]))
+    lists = None
+    for name, p in plans.items():
+        one = named(p.select("query_id", "doc_id", F.col("fused_rank").alias("rank")), name)
+        lists = one if lists is None else lists.unionByName(one)
+    spread = lambda df: df.withColumn("_s", every).withColumn("query_id", F.concat("_s", "query_id")).drop("_s")
+    m = metrics.overlap(spread(r.queries), lists, spread(truth), TOP)
+    return _six(m.select(F.split_part("query_id", F.lit("|"), F.lit(2)).alias("query_id"), F.split_part("query_id", F.lit("|"), F.lit(1)).alias("strategy"), "recall", "jaccard"))
+
+
+# --- evaluation records -------------------------------------------------------------------------------------------
+
+BASELINE = "single-index"
+
+
+def _records(spark, d):
+    return evaluate.once(read_table(spark, d, "eval_records"))
+
+
+def _spans(spark, d):
+    """The span of each query, where it is written plainly."""
+    q = read_table(spark, d, "eval_queries").select("query_id", F.lower(F.regexp_replace("span", r"[^A-Za-z]", "")).alias("s"))
+    named = q.select("query_id", F.when(F.col("s") == "stripelocal", "StripeLocal").when(F.col("s") == "crossstripe", "CrossStripe").alias("span")).dropna()
+    return named.groupBy("query_id").agg(F.min("span").alias("span"))
+
+
+def _summary(spark, d):
+    return evaluate.strategy_summary(_records(spark, d))
+
+
+def _differences(spark, d):
+    return significance.differences(significance.first_per_query(_records(spark, d), "judged_ndcg", "record_id"), BASELINE)
+
+
+_add("strategy_summary", lambda s, d: _six(_summary(s, d)))
+_add("span_breakdown", lambda s, d: _six(evaluate.span_breakdown(_records(s, d), _spans(s, d))))
+_add("paired_differences", lambda s, d: _six(significance.summary(_differences(s, d))))
+_add("paired_t", lambda s, d: _six(significance.paired_t(_differences(s, d))))
+_add("wilcoxon", lambda s, d: _six(significance.wilcoxon(_differences(s, d))))
+_add("effect_size", lambda s, d: _six(significance.effect(_differences(s, d))))
+_add("bootstrap_ci", lambda s, d: _six(significance.bootstrap_ci(_differences(s, d), 1000)))
+_add("holm", lambda s, d: _six(significance.holm(significance.paired_t(_differences(s, d)), "t_p", ["mode"]).select("mode", "strategy", "p_holm")))
+_add("significance_table", lambda s, d: _six(significance.table(_records(s, d), "judged_ndcg", "record_id", BASELINE).select("mode", "strategy", "n", "mean", "wins", "losses", "ties", "t", "t_p", "w_p", "cohens_d", "p_holm")))
+
+
+@query
+def compare(spark, d):
+    """Two arms by query id: fidelity of global-rrf less naive-score, uncorrected."""
+    v = significance.first_per_query(_records(spark, d).filter(F.col("strategy").isin("naive-score", "global-rrf")), "ndcg", "record_id")
+    x = significance.differences(v, "naive-score")
+    return _six(significance.summary(x).join(significance.paired_t(x), significance.GROUP))
+
+
+@query
+def cost_tradeoff(spark, d):
+    calls = spark.createDataFrame([("agentic-rerank", 2.0)], "strategy string, ranker_calls double")
+    return _six(evaluate.cost_tradeoff(_summary(spark, d), BASELINE, calls), 8)
+
+
+@query
+def compute_model(spark, d):
+    h = hits(spark, d).groupBy("query_id", "mode").agg(F.countDistinct("stripe").alias("indexes"), F.count(F.lit(1)).alias("results"))
+    return h.select("query_id", "mode", F.round(evaluate.compute_model(F.col("indexes"), F.col("results")), 9).alias("compute_units"))
+
+
+@query
+def query_accounting(spark, d):
+    c = read_table(spark, d, "candidates")
+    fan = c.groupBy("query_id", "stripe").agg(F.countDistinct("mode").alias("requests"), F.count(F.lit(1)).alias("n"))
+    shared = fan.select("query_id", F.lit(None).cast("string").alias("strategy"), "requests", (F.col("n") * F.lit(evaluate.CU_PER_RESULT)).alias("compute_units"), F.col("n").cast("double").alias("elapsed_ms"))
+    own = fan.filter("stripe = 'a'").select("query_id", F.lit("agentic-rerank").alias("strategy"), F.lit(2).cast("long").alias("requests"), F.lit(0.001).alias("compute_units"), F.lit(50.0).alias("elapsed_ms"))
+    names = spark.createDataFrame([("naive-score", False), ("agentic-rerank", True)], "strategy string, own_retrieval boolean")
+    return _six(evaluate.accounting(shared.unionByName(own), names))
+
+
+@query
+def probe_cache(spark, d):
+    r = Retrieved(spark, d)
+    asked = r.qterms.select("term", F.substring("query_id", 2, 2).cast("int").alias("query_no"), F.explode(F.array(*[F.lit(s) for s in STRIPES])).alias("stripe"))
+    return evaluate.first_probes(asked).groupBy("query_no").agg(F.count(F.lit(1)).alias("probes"))
+
+
+@query
+def apply_judgments(spark, d):
+    queries, lists, _ = _lists(spark, d)
+    scores = metrics.coverage(queries, lists, _judgments(spark, d), TOP)
+    r = _records(spark, d).select("record_id", "query_id", "mode", "strategy")
+    return _six(evaluate.apply_judgments(r, scores).select("record_id", "judged_coverage"))
+
+
+@query
+def explain_query(spark, d):
+    r = Retrieved(spark, d)
+    return _six(r.candidates.filter("hit_rank <= 10").select("query_id", "stripe", "hit_rank", "doc_id", "score", "text_score", "reranker_score"))
+
+
+@query
+def verify_counts(spark, d):
+    return tables.stripe_catalog(read_table(spark, d, "documents"))
+
+
+@query
+def doctor(spark, d):
+    """Checks of what the engine needs, one row each."""
+    e = read_table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.size("embedding")).alias("sizes"))
+    c = read_table(spark, d, "candidates").agg(*[F.count(x).alias(x) for x in ("text_score", "vector_similarity", "reranker_score")])
+    s = read_table(spark, d, "documents").filter("stripe is not null").agg(F.countDistinct("stripe").alias("stripes"))
+
+    def row(df: DataFrame, name: str, ok: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("check"), ok.alias("ok"))
+
+    out = row(e, "vectors", F.col("n") > 0).unionByName(row(e, "one vector size", F.col("sizes") == 1)).unionByName(row(s, "stripes", F.col("stripes") >= 2))
+    for x in ("text_score", "vector_similarity", "reranker_score"):
+        out = out.unionByName(row(c, f"{x} present", F.col(x) > 0))
+    return out
+
+
+@query
+def result_rows(spark, d):
+    r = _records(spark, d).withColumnRenamed("stripe_mix", "mix")
+    return tables.result_rows(r.withColumn("stripe_mix", F.col("mix"))).select("queryId", "mode", "strategy", "judgedNdcg", "agenticTokens", "stripeMix").distinct()
+
+
+# --- two judges: the first two raters of a document -----------------------------------------------------------------
+
+
+def _pairs(spark, d):
+    r = read_table(spark, d, "reading_labels").filter("reading_level between 1 and 5").groupBy("doc_id", "rater").agg(F.max("reading_level").alias("level"))
+    both = r.groupBy("doc_id").agg(F.min(F.struct("rater", "level")).alias("a"), F.max(F.struct("rater", "level")).alias("b")).filter("a.rater <> b.rater")
+    grade = lambda c: F.least(F.lit(3), F.col(f"{c}.level") - 1)
+    return both.select("doc_id", grade("a").alias("g1"), grade("b").alias("g2"))
+
+
+_add("weighted_kappa", lambda s, d: _six(significance.kappa(_pairs(s, d))))
+_add("judge_agreement", lambda s, d: _six(significance.agreement(_pairs(s, d))))
+_add("confusion_matrix", lambda s, d: significance.confusion(_pairs(s, d)))
+_add("grade_histogram", lambda s, d: _six(significance.histogram(read_table(s, d, "reading_labels"), "reading_level")))
+
+
+@query
+def normal_functions(spark, d):
+    v = read_table(spark, d, "candidates").filter("vector_similarity > 0 and vector_similarity < 1").select(F.col("vector_similarity").alias("p")).distinct()
+    return _six(v.select("p", statistics.normal_quantile(F.col("p")).alias("z"), statistics.normal_cdf(F.col("p")).alias("cdf")))
+
+
+# --- preparing a corpus -------------------------------------------------------------------------------------------
+
+
+def _tags(spark):
+    return prep.genre_map(spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(GENRE_TAGS)], "tag string, genre string, place int"))
+
+
+def _tag_counts(spark, d):
+    return read_table(spark, d, "books").filter("genre is not null and book_id is not null").select("book_id", F.col("genre").alias("tag"), F.coalesce("ratings_count", F.lit(0)).alias("count"))
+
+
+@query
+def tag_genre_map(spark, d):
+    return _tag_counts(spark, d).withColumn("tag_lower", F.lower("tag")).join(_tags(spark), "tag_lower").groupBy("tag", "genre").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def genre_totals(spark, d):
+    return prep.genre_totals(_tag_counts(spark, d), _tags(spark))
+
+
+@query
+def primary_genre(spark, d):
+    books = read_table(spark, d, "books").filter("book_id is not null").select("book_id").distinct()
+    p = prep.primary_genre(books, prep.genre_lists(prep.genre_totals(_tag_counts(spark, d), _tags(spark))))
+    return p.select("book_id", "primary_genre", F.array_join("genres", ",").alias("genres"))
+
+
+_add("category_counts", lambda s, d: prep.category_counts(prep.catalog(read_table(s, d, "books")), "genre"))
+_add("blurb_join", lambda s, d: prep.with_text(read_table(s, d, "books").select("book_id").distinct(), read_table(s, d, "documents"), "book_id", "text").groupBy("book_id").agg(F.count(F.lit(1)).alias("n")))
+_add("pending_rows", lambda s, d: prep.pending(read_table(s, d, "documents").select("doc_id"), read_table(s, d, "reading_labels"), ["doc_id"]))
+
+
+@query
+def upsert(spark, d):
+    r = read_table(spark, d, "eval_records").select("record_id", "latency_ms", "ingested_at").filter("record_id is not null")
+    cut = F.lit("2026-03-15").cast("timestamp")
+    u = prep.upsert(r.filter(F.col("ingested_at") < cut), r.filter(F.col("ingested_at") >= cut), ["record_id"], "ingested_at")
+    return u.select("record_id", F.when(~F.isnan("latency_ms"), F.col("latency_ms")).alias("latency_ms"))
+
+
+_add("stride_sample", lambda s, d: prep.stride_sample(read_table(s, d, "documents").select("doc_id"), ["doc_id"], 300))
+_add("stride_sample_int", lambda s, d: prep.stride_sample_int(read_table(s, d, "documents").select("doc_id"), ["doc_id"], 300))
+
+
+@query
+def latency_windows(spark, d):
+    """The streaming aggregate over the finite events table: tumbling hours."""
+    from ..streaming.increment import windowed_latency
+
+    w = windowed_latency(read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["event_type"])
+    return _six(w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "mean", "largest"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import oracle_sql as sql
+
+    return sql()
