@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable  # noqa: F401
+
 #: A term: a maximal run of letters and decimal digits, two code points or longer, of the lower-cased text.
 TERM_PATTERN = r"[\p{L}\p{Nd}]{2,}"
 
@@ -37,20 +39,6 @@ def measured(value: Column | str) -> Column:
     return F.when(~F.isnan(c), c + F.lit(0.0))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def scratch_parent() -> str:
     """Where a task may spill: the worker's own Spark scratch disk. Only the task that writes there reads it."""
     named = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or ""

@@ -51,10 +51,10 @@ def temper_to_entropy(shares: np.ndarray, target: float) -> float:
 
 
 def temper_to_repeats(shares: np.ndarray, caps: np.ndarray) -> float:
-    """The least exponent at which no tempered share exceeds its cap (the share that its repetitions can fill)."""
+    """The least exponent from 0 (equal shares) to 1 (natural shares) at which no share exceeds its cap, the share that its repetitions can fill."""
     q, c = np.asarray(shares, dtype=float), np.asarray(caps, dtype=float)
     over = lambda a: float(np.max(np.where(q > 0, temper(q, a) / np.maximum(c, 1e-300), 0.0), initial=0.0))
-    return bisect(over, 1.0)
+    return bisect(over, 1.0, high=1.0)
 
 
 def source_exponent(natural: float, target: float, cap: float) -> tuple[float, float]:
