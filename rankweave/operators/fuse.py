@@ -22,13 +22,14 @@ def clean(raw: DataFrame) -> DataFrame:
     return one.agg(F.min("hit_rank").alias("hit_rank"), *[F.max(c).alias(c) for c in ("score", "text_score", "vector_similarity", "reranker_score")]).filter("score is not null")
 
 
-def rank_and_truncate(scored: DataFrame, k: int) -> DataFrame:
+def rank_and_truncate(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """Common tail: a document counts once with its best score, the earlier stripe first; best ``k`` by score, then id.
 
+    Scores are compared at ``digits`` decimals, so that sums in another order cannot change a list.
     The first window is spread over (query, document), and the second cuts each map output to ``k`` rows a list
     before the shuffle, so a query with a large part of all hits is no bottleneck.
     """
-    fused = scored.filter("fused_score is not null").withColumn("fused_score", F.round("fused_score", 9))
+    fused = scored.filter("fused_score is not null").withColumn("fused_score", F.round("fused_score", digits))
     one = Window.partitionBy(*LIST, "doc_id").orderBy(F.col("fused_score").desc(), "stripe_pos", "hit_rank")
     order = Window.partitionBy(*LIST).orderBy(F.col("fused_score").desc(), "doc_id")
     best = fused.withColumn("_o", F.row_number().over(one)).filter("_o = 1")
@@ -37,7 +38,7 @@ def rank_and_truncate(scored: DataFrame, k: int) -> DataFrame:
 
 def naive(c: DataFrame, k: int = 10) -> DataFrame:
     """Raw scores."""
-    return rank_and_truncate(c.withColumn("fused_score", F.col("score")), k)
+    return rank_and_truncate(c.withColumn("fused_score", F.col("score")), k, 12)
 
 
 def interleave(c: DataFrame, k: int = 10) -> DataFrame:

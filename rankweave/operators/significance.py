@@ -115,7 +115,7 @@ def bootstrap_ci(d: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, l
     """
     rows = d.select(*GROUP, F.xxhash64("query_id").alias("q"), "d")
     parts = rows.mapInPandas(_poisson_sums(iterations, seed), "mode string, strategy string, i int, s double, c double")
-    means = parts.groupBy(*GROUP, "i").agg((F.sum("s") / F.sum("c")).alias("m")).filter("m is not null")
+    means = parts.groupBy(*GROUP, "i").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m")).filter("m is not null")
     tail = (1 - level) / 2
     return means.groupBy(*GROUP).agg(F.percentile("m", tail).alias("ci_low"), F.percentile("m", 1 - tail).alias("ci_high"))
 
@@ -152,7 +152,7 @@ def agreement(pairs: DataFrame) -> DataFrame:
         F.avg("g1").alias("mean_1"),
         F.avg("g2").alias("mean_2"),
         (F.avg("g2") - F.avg("g1")).alias("shift"),
-        F.coalesce(F.nanvl(F.corr(F.col("g1").cast("double"), F.col("g2").cast("double")), F.lit(0.0)), F.lit(0.0)).alias("pearson"),
+        F.coalesce(F.try_divide(F.covar_pop("g1", "g2"), F.stddev_pop("g1") * F.stddev_pop("g2")), F.lit(0.0)).alias("pearson"),
     )
 
 

@@ -71,15 +71,15 @@ _NUM = ", ".join(f"max(CASE WHEN NOT isnan({c}) THEN {c} END) AS {c}" for c in (
 HITS = f"hits AS (SELECT * FROM (SELECT query_id, mode, stripe, stripe_pos, doc_id, min(hit_rank) AS hit_rank, {_NUM} FROM candidates GROUP BY ALL) WHERE score IS NOT NULL)"
 
 
-def tail(source: str, k: int = 10, digits: int = 6) -> str:
-    return f"""t1 AS (SELECT query_id, mode, doc_id, stripe, stripe_pos, hit_rank, round(fused, 9) AS fused_score FROM ({source}) WHERE fused IS NOT NULL),
+def tail(source: str, k: int = 10, digits: int = 9) -> str:
+    return f"""t1 AS (SELECT query_id, mode, doc_id, stripe, stripe_pos, hit_rank, round(fused, {digits}) AS fused_score FROM ({source}) WHERE fused IS NOT NULL),
     t2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode, doc_id ORDER BY fused_score DESC, stripe_pos, hit_rank) AS o FROM t1),
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY fused_score DESC, doc_id) AS fused_rank FROM t2 WHERE o = 1)
     SELECT query_id, mode, doc_id, stripe, round(fused_score, {digits}) AS fused_score, fused_rank FROM fused WHERE fused_rank <= {k}"""
 
 
-def over_hits(fused: str, where: str = "TRUE", joins: str = "", more: str = "", k: int = 10, digits: int = 6) -> str:
-    return f"WITH {HITS}{', ' + more if more else ''}, {tail(f'SELECT h.*, {fused} AS fused FROM hits h {joins} WHERE {where}', k, digits)}"
+def over_hits(fused: str, where: str = "TRUE", joins: str = "", more: str = "", k: int = 10) -> str:
+    return f"WITH {HITS}{', ' + more if more else ''}, {tail(f'SELECT h.*, {fused} AS fused FROM hits h {joins} WHERE {where}', k)}"
 
 
 def over(source: str, fused: str, joins: str = "", more: str = "", k: int = 10, stop: bool = True, where: str = "TRUE", rows: list[tuple] = QUERIES) -> str:
@@ -106,7 +106,7 @@ def chosen(threshold: float) -> str:
 def selective(threshold: float) -> str:
     several = tail(f"SELECT c.*, {RESCORED} AS fused FROM kept c LEFT JOIN gb USING (query_id, doc_id) WHERE chosen > 1")
     head, _, last = several.rpartition("SELECT query_id, mode")
-    return f"WITH {retrieval()}, {GLOBAL}, {chosen(threshold)}, {head} SELECT query_id, mode{last} UNION ALL SELECT query_id, mode, doc_id, stripe, round(fused_score, 6), fused_rank FROM one WHERE fused_rank <= 10"
+    return f"WITH {retrieval()}, {GLOBAL}, {chosen(threshold)}, {head} SELECT query_id, mode{last} UNION ALL SELECT query_id, mode, doc_id, stripe, round(fused_score, 9), fused_rank FROM one WHERE fused_rank <= 10"
 
 
 _LEG = lambda c: f"CASE WHEN {c} IS NOT NULL THEN 1 / (60::DOUBLE + row_number() OVER (PARTITION BY query_id, mode ORDER BY {c} DESC NULLS LAST, doc_id, stripe_pos)) END"
@@ -114,7 +114,7 @@ _LEGS = f"SELECT *, CASE WHEN t IS NOT NULL OR v IS NOT NULL THEN coalesce(t, 0)
 LEGS = f"WITH {HITS}, {tail(_LEGS)}"
 
 _LISTS = f"""{HITS},
-    n1 AS (SELECT query_id, doc_id, stripe, round(score, 9) AS s, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, stripe_pos, hit_rank) AS o FROM hits WHERE mode = 'Hybrid'),
+    n1 AS (SELECT query_id, doc_id, stripe, round(score, 12) AS s, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 12) DESC, stripe_pos, hit_rank) AS o FROM hits WHERE mode = 'Hybrid'),
     li AS (SELECT * FROM (SELECT query_id, doc_id, stripe, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n1 WHERE o = 1) WHERE rank <= 10),
     g1 AS (SELECT query_id, doc_id, max(round(fused, 9)) AS s FROM ({_LEGS}) WHERE fused IS NOT NULL GROUP BY ALL),
     tr AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM g1) WHERE rank <= 50),
@@ -256,13 +256,13 @@ def oracle_sql() -> dict[str, str]:
     out["idf_band_decay"] = f"WITH {t}, {side} SELECT band, count(*) AS terms, round(avg(gap), 6) AS mean_gap FROM (SELECT *, CASE {bands} END AS band FROM sg) WHERE band IS NOT NULL GROUP BY ALL"
     # retrieval
     r = retrieval()
-    hit = "query_id, stripe, doc_id, hit_rank, round(score, 6) AS score"
+    hit = "query_id, stripe, doc_id, hit_rank, round(score, 9) AS score"
     out["keyword_topk"] = f"WITH {r} SELECT {hit} FROM wide"
     out["oracle_topk"] = f"WITH {r} SELECT {hit} FROM orc"
     out["filtered_retrieval"] = f"""WITH {r}, f AS (SELECT kws.* FROM kws JOIN corpus USING (doc_id) WHERE language = 'en')
         SELECT {hit} FROM (SELECT query_id, stripe, doc_id, score, row_number() OVER (PARTITION BY query_id, stripe ORDER BY score DESC, doc_id) AS hit_rank FROM f) WHERE hit_rank <= 10"""
     out["vector_topk"] = f"WITH {_VECTORS}, {nearest()} SELECT {hit} FROM vh"
-    out["semantic_scores"] = f"WITH {r} SELECT {hit}, round(reranker_score, 6) AS reranker_score FROM cand"
+    out["semantic_scores"] = f"WITH {r} SELECT {hit}, round(reranker_score, 9) AS reranker_score FROM cand"
     out["fan_out"] = f"WITH {r} SELECT query_id, stripe, count(*) AS returned FROM cand GROUP BY ALL"
     out["candidate_budget"] = f"WITH {r} SELECT query_id, count(*) AS returned, 'equalized' AS budget FROM cand GROUP BY ALL UNION ALL SELECT query_id, count(*), 'per-index' FROM wide GROUP BY ALL"
     out["df_probe"] = f"WITH {r} SELECT stripe, term, df FROM dfl WHERE term IN (SELECT term FROM qt)"
@@ -273,15 +273,15 @@ def oracle_sql() -> dict[str, str]:
         th AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stripe ORDER BY score DESC, doc_id) AS hit_rank FROM ks) WHERE hit_rank <= 50),
         hm AS (SELECT vs.doc_id, corpus.stripe, e FROM vs JOIN corpus USING (doc_id)), {nearest('hm')},
         hy AS (SELECT query_id, stripe, doc_id, th.score AS text_score, vh.score AS vector_similarity, round(coalesce(1 / (60::DOUBLE + th.hit_rank), 0) + coalesce(1 / (60::DOUBLE + vh.hit_rank), 0), 9) AS score FROM th FULL JOIN vh USING (query_id, stripe, doc_id))"""
-    out["hybrid_topk"] = f"WITH {t}, {_VECTORS}, {names} SELECT {hit}, round(text_score, 6) AS text_score, round(vector_similarity, 6) AS vector_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stripe ORDER BY score DESC, doc_id) AS hit_rank FROM hy) WHERE hit_rank <= 50"
+    out["hybrid_topk"] = f"WITH {t}, {_VECTORS}, {names} SELECT {hit}, round(text_score, 9) AS text_score, round(vector_similarity, 9) AS vector_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stripe ORDER BY score DESC, doc_id) AS hit_rank FROM hy) WHERE hit_rank <= 50"
     # fusion of the delivered hits
-    out["naive_score"] = over_hits("score")
+    out["naive_score"] = f"WITH {HITS}, {tail('SELECT *, score AS fused FROM hits', digits=12)}"
     out["interleave"] = over_hits("-(hit_rank - 1 + stripe_pos / greatest(n, 1)::DOUBLE)", joins="JOIN st USING (query_id, mode)", more="st AS (SELECT query_id, mode, count(DISTINCT stripe_pos) AS n FROM hits GROUP BY ALL)")
     out["global_rrf"] = over_hits("1 / (60::DOUBLE + hit_rank)")
     out["rrf_sum"] = f"WITH {HITS}, {tail('SELECT query_id, mode, doc_id, arg_min(stripe, struct_pack(p := stripe_pos, r := hit_rank)) AS stripe, min(stripe_pos) AS stripe_pos, min(hit_rank) AS hit_rank, sum(1 / (60::DOUBLE + hit_rank)) AS fused FROM hits GROUP BY query_id, mode, doc_id')}"
     spread = "sp AS (SELECT query_id, mode, stripe, min(score) AS lo, max(score) AS hi, avg(score) AS m, stddev_pop(score) AS sd FROM hits GROUP BY ALL)"
     out["minmax_norm"] = over_hits("CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END", joins="JOIN sp USING (query_id, mode, stripe)", more=spread)
-    out["zscore_norm"] = over_hits("CASE WHEN hi > lo THEN (score - m) / sd ELSE 0 END", joins="JOIN sp USING (query_id, mode, stripe)", more=spread, digits=8)
+    out["zscore_norm"] = over_hits("CASE WHEN hi > lo THEN (score - m) / sd ELSE 0 END", joins="JOIN sp USING (query_id, mode, stripe)", more=spread)
     out["vector_similarity"] = over_hits("coalesce(vector_similarity, CASE WHEN mode = 'Vector' THEN score END)")
     out["semantic_score"] = over_hits("reranker_score")
     out["hybrid_legs"] = LEGS
@@ -297,7 +297,7 @@ def oracle_sql() -> dict[str, str]:
     out["merge_idf"] = over("wide", CORRECTED, "LEFT JOIN fac USING (query_id, stripe)", FACTORS)
     out["global_bm25"] = over("cand", RESCORED, "LEFT JOIN gb USING (query_id, doc_id)", GLOBAL)
     out["local_bm25"] = over("cand", RESCORED, "LEFT JOIN lb USING (query_id, doc_id)", LOCAL)
-    out["merge_naive"] = over("cand", "score")
+    out["merge_naive"] = f"WITH {r}, {tail('SELECT *, score AS fused FROM cand', digits=12)}"
     out["merge_bm25"] = over("cand", RESCORED, "LEFT JOIN gb USING (query_id, doc_id)", GLOBAL, stop=False)
     out["merge_vector"] = f"WITH {_VECTORS}, {nearest(k=25)}, {tail('''SELECT query_id, 'Vector' AS mode, doc_id, stripe, CASE stripe WHEN 'a' THEN 0 ELSE 1 END AS stripe_pos, hit_rank, score AS fused FROM vh''')}"
     out["selective_one"], out["selective_adaptive"] = selective(1.0), selective(0.35)
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
     subs = [(s, x) for _, s, x in REWRITES]
     whole = values([(q, s) for q, s, _ in REWRITES], "rw", "whole_id, sub_id") + ", sw AS (SELECT rw.whole_id AS query_id, w.* EXCLUDE (query_id) FROM wide w JOIN rw ON w.query_id = rw.sub_id)"
     out["agentic_planned"] = over("sw", "reranker_score", more=whole, k=50, rows=subs)
-    out["single_index"] = f"WITH {r} SELECT query_id, mode, doc_id, stripe, round(coalesce(reranker_score, score), 6) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(reranker_score, score) DESC, hit_rank) AS fused_rank FROM orc) WHERE fused_rank <= 10"
+    out["single_index"] = f"WITH {r} SELECT query_id, mode, doc_id, stripe, round(coalesce(reranker_score, score), 9) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(reranker_score, score) DESC, hit_rank) AS fused_rank FROM orc) WHERE fused_rank <= 10"
     out["single_index_rescored"] = over("orc", RESCORED, "LEFT JOIN gb USING (query_id, doc_id)", GLOBAL)
     plans = [
         ("naive-score", "score", ""),
@@ -356,7 +356,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT query_id, 'naive-score' AS strategy, r AS queries, round(c, 6) AS compute_units, round(l, 6) AS latency_ms FROM s
         UNION ALL SELECT s.query_id, 'agentic-rerank', CASE WHEN f.n IS NULL THEN 0 ELSE 2 END, CASE WHEN f.n IS NULL THEN 0 ELSE 0.001::DOUBLE END, CASE WHEN f.n IS NULL THEN 0 ELSE 50::DOUBLE END FROM s LEFT JOIN f ON f.query_id = s.query_id AND f.stripe = 'a'"""
     out["probe_cache"] = f"WITH {r} SELECT n AS query_no, 2 * count(*) AS probes FROM (SELECT term, min(substr(query_id, 2, 2)::INT) AS n FROM qt GROUP BY ALL) GROUP BY ALL"
-    out["explain_query"] = f"WITH {r} SELECT {hit}, round(text_score, 6) AS text_score, round(reranker_score, 6) AS reranker_score FROM cand WHERE hit_rank <= 10"
+    out["explain_query"] = f"WITH {r} SELECT {hit}, round(text_score, 9) AS text_score, round(reranker_score, 9) AS reranker_score FROM cand WHERE hit_rank <= 10"
     out["verify_counts"] = "SELECT stripe AS source, count(*) AS n_docs FROM documents GROUP BY ALL"
     checks = [("vectors", "(SELECT count(*) FROM embeddings) > 0"), ("one vector size", "(SELECT count(DISTINCT len(embedding)) FROM embeddings) = 1"), ("stripes", "(SELECT count(DISTINCT stripe) FROM documents) >= 2")]
     checks += [(f"{c} present", f"(SELECT count({c}) FROM candidates) > 0") for c in ("text_score", "vector_similarity", "reranker_score")]

@@ -33,8 +33,8 @@ def _six(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def _fused(df: DataFrame) -> DataFrame:
-    return _six(df.select("query_id", "mode", "doc_id", "stripe", "fused_score", "fused_rank"))
+def _fused(df: DataFrame, digits: int = 9) -> DataFrame:
+    return _six(df.select("query_id", "mode", "doc_id", "stripe", "fused_score", "fused_rank"), digits)
 
 
 # --- routing and fields -------------------------------------------------------------------------------------------
@@ -185,7 +185,7 @@ def idf_band_decay(spark, d):
 
 
 def _hit(df: DataFrame, *more: str) -> DataFrame:
-    return _six(df.select("query_id", "stripe", "doc_id", "hit_rank", "score", *more))
+    return _six(df.select("query_id", "stripe", "doc_id", "hit_rank", "score", *more), 9)
 
 
 @query
@@ -260,13 +260,18 @@ def doc_counts(spark, d):
 
 # --- fusion -------------------------------------------------------------------------------------------------------
 
-for _name, _plan in {"naive_score": fuse.naive, "interleave": fuse.interleave, "global_rrf": fuse.rrf, "rrf_sum": fuse.rrf_sum, "minmax_norm": fuse.minmax, "vector_similarity": fuse.by_vector, "semantic_score": fuse.by_reranker}.items():
+for _name, _plan in {"interleave": fuse.interleave, "global_rrf": fuse.rrf, "rrf_sum": fuse.rrf_sum, "minmax_norm": fuse.minmax, "vector_similarity": fuse.by_vector, "semantic_score": fuse.by_reranker}.items():
     _add(_name, lambda spark, d, plan=_plan: _fused(plan(hits(spark, d), TOP)))
 
 
+@query
+def naive_score(spark, d):
+    return _fused(fuse.naive(hits(spark, d), TOP), 12)
+
+
 @query
 def zscore_norm(spark, d):
-    return _six(fuse.zscore(hits(spark, d), TOP), 8)
+    return _fused(fuse.zscore(hits(spark, d), TOP))
 
 
 @query
@@ -326,7 +331,7 @@ def local_bm25(spark, d):
 
 @query
 def merge_naive(spark, d):
-    return _fused(fuse.naive(Retrieved(spark, d).candidates, TOP))
+    return _fused(fuse.naive(Retrieved(spark, d).candidates, TOP), 12)
 
 
 @query
@@ -563,7 +568,7 @@ def apply_judgments(spark, d):
 @query
 def explain_query(spark, d):
     r = Retrieved(spark, d)
-    return _six(r.candidates.filter("hit_rank <= 10").select("query_id", "stripe", "hit_rank", "doc_id", "score", "text_score", "reranker_score"))
+    return _six(r.candidates.filter("hit_rank <= 10").select("query_id", "stripe", "hit_rank", "doc_id", "score", "text_score", "reranker_score"), 9)
 
 
 @query
