@@ -11,6 +11,8 @@ from . import common, tokens
 
 #: Documents of a source that are ordered together when a mix is drawn.
 BLOCK_DOCS = 20_000
+#: Rows of a plan that are broadcast; a longer plan is joined by shuffle.
+SMALL_PLAN = 50_000
 
 
 def source_name(label: Column | str) -> Column:
@@ -137,7 +139,7 @@ def draw(docs: DataFrame, targets: DataFrame, seed: int = 42, source: str = "sou
     counted = tokens.encode(docs.select("doc_id", source_name(source).alias("source"), F.col(text).alias("text")), ["doc_id", "source"], "text", ranks, counts_only=True)
     sized = common.durable(counted)
     sizes = common.durable(sized.rollup("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("docs"), F.grouping("source").alias("whole")))
-    plan = mix_plan(sizes, targets)
+    plan = common.durable(mix_plan(sizes, targets))
     n = sizes.filter("whole = 1").agg(F.max("docs").alias("n")).first()["n"] or 0
     blocks = max(16, n // block_docs)
     keyed = sized.filter("tokens > 0 and source is not null").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(blocks)))
@@ -148,8 +150,8 @@ def draw(docs: DataFrame, targets: DataFrame, seed: int = 42, source: str = "sou
     passes = plan.filter("source_tokens > 0").select("mix_id", "source", F.floor(F.round(F.col("budget") / F.col("source_tokens"), 9)).alias("_full"), "budget", "source_tokens")
     passes = passes.withColumn("_rest", F.greatest(F.col("budget") - F.col("_full") * F.col("source_tokens"), F.lit(0.0)))
     copies = (F.col("_full") + (F.col("_at") + F.col("tokens") / 2 <= F.col("_rest")).cast("long")).alias("copies")
-    # the targets' size does not depend on the corpus; a table that outgrew a broadcast would be joined by shuffle
-    used = placed.join(passes, "source").select("mix_id", "source", "doc_id", "tokens", copies).filter("copies > 0")
+    small = plan.count() <= SMALL_PLAN
+    used = placed.join(F.broadcast(passes) if small else passes, "source").select("mix_id", "source", "doc_id", "tokens", copies).filter("copies > 0")
     return plan, used
 
 

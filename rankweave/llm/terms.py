@@ -203,7 +203,7 @@ def term_weights(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text: s
     cut = max(n // hot_share, 1)
     hot = stats.filter(F.col("document_frequency") > cut)
     cold = stats.filter(F.col("document_frequency") <= cut)
-    both = postings.join(F.broadcast(hot), "term").unionByName(postings.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold.hint("shuffle_hash"), "term"))
+    both = postings.join(F.broadcast(hot), "term").unionByName(postings.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term"))
     total = F.lit(float(max(n, 1)))
     return both.select(id_col, "term", "tf", "document_frequency", "occurrences", weight(F.col("tf"), F.col("document_frequency"), F.col("occurrences"), total).alias("weight"))
 
