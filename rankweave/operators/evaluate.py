@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles, same
+
 # Published prices in dollars, and the published fit of compute units to indexes and results.
 PER_CU_HOUR, PER_1K_SEMANTIC, PER_1M_AGENTIC, PER_1M_MODEL = 0.27, 1.00, 0.022, 0.40
 CU_PER_INDEX, CU_PER_RESULT = 0.00017, 0.0000054
@@ -17,22 +19,17 @@ def once(records: DataFrame) -> DataFrame:
     return last.withColumn("latency_ms", F.when((F.col("latency_ms") > 0) & ~F.isnan("latency_ms"), F.col("latency_ms")))
 
 
-def nearest_rank(value: str, share: float) -> Column:
-    """The value at place ceil(share x n) of the sorted measured values."""
-    return F.expr(f"percentile_disc({share}D) WITHIN GROUP (ORDER BY {value})")
-
-
 def strategy_summary(records: DataFrame, keys: list[str] = ["mode", "strategy"]) -> DataFrame:
-    """Means, with null where nothing was measured, and nearest-rank percentiles of the latency."""
-    return records.groupBy(*keys).agg(
+    """Means, with null where nothing was measured, and exact nearest-rank percentiles of the latency."""
+    means = records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("queries"),
         F.avg("ndcg").alias("ndcg"),
         F.avg("judged_ndcg").alias("judged_ndcg"),
         F.avg("compute_units").alias("compute_units"),
         F.avg("agentic_tokens").alias("agentic_tokens"),
-        nearest_rank("latency_ms", 0.5).alias("latency_p50_ms"),
-        nearest_rank("latency_ms", 0.95).alias("latency_p95_ms"),
     )
+    p = percentiles(records, keys, "latency_ms", {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    return means.alias("m").join(p.alias("p"), same("m", "p", keys), "left").select("m.*", "p.latency_p50_ms", "p.latency_p95_ms")
 
 
 def span_breakdown(records: DataFrame, spans: DataFrame) -> DataFrame:

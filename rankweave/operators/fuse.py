@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25, idf
+from .ranks import hot_keys, ranked_by_range
 
 LIST = ["query_id", "mode"]
+#: Hits of one query from which on its ranks are made by ranges of the score.
+HOT_ROWS = 200_000
 
 
 def clean(raw: DataFrame) -> DataFrame:
@@ -86,10 +89,23 @@ def by_vector(c: DataFrame, k: int = 10) -> DataFrame:
     return rank_and_truncate(c.withColumn("fused_score", F.coalesce("vector_similarity", F.when(F.col("mode") == "Vector", F.col("score")))), k)
 
 
-def legs(c: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
-    """Both legs ranked anew over all stripes, reciprocal ranks summed; hits of no leg are dropped."""
-    share = lambda name: F.when(F.col(name).isNotNull(), F.lit(1.0) / (F.lit(float(constant)) + F.row_number().over(Window.partitionBy(*LIST).orderBy(F.col(name).desc_nulls_last(), "doc_id", "stripe_pos"))))
-    parts = c.withColumn("_t", share("text_score")).withColumn("_v", share("vector_similarity"))
+def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Both legs ranked anew over all stripes, reciprocal ranks summed; hits of no leg are dropped.
+
+    Queries over ``hot_rows`` hits (and a thousandth of all, so fewer than a thousand queries) are ranked by ranges
+    of the score instead of in one task; the ranks are the same.
+    """
+    hot = hot_keys(c.select("query_id"), "query_id", hot_rows)
+    share = lambda rank: F.lit(1.0) / (F.lit(float(constant)) + rank)
+    usual = c.filter(~F.col("query_id").isin(hot)) if hot else c
+    placed = lambda name: F.when(F.col(name).isNotNull(), share(F.row_number().over(Window.partitionBy(*LIST).orderBy(F.col(name).desc_nulls_last(), "doc_id", "stripe_pos"))))
+    parts = usual.withColumn("_t", placed("text_score")).withColumn("_v", placed("vector_similarity"))
+    if hot:
+        big = c.filter(F.col("query_id").isin(hot))
+        for name, out in (("text_score", "_t"), ("vector_similarity", "_v")):
+            ranked = ranked_by_range(big.filter(F.col(name).isNotNull()), LIST, name, "_r", [F.col("doc_id"), F.col("stripe_pos")])
+            big = ranked.withColumn(out, share(F.col("_r"))).drop("_r").unionByName(big.filter(F.col(name).isNull()).withColumn(out, F.lit(None).cast("double")))
+        parts = parts.unionByName(big)
     both = F.when(F.col("_t").isNotNull() | F.col("_v").isNotNull(), F.coalesce("_t", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0)))
     return rank_and_truncate(parts.withColumn("fused_score", both), k)
 
