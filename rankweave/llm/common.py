@@ -44,10 +44,3 @@ def scratch_parent() -> str:
     named = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or ""
     first = named.split(",")[0]
     return first if first and os.path.isdir(first) else tempfile.gettempdir()
-
-
-def hot_keys(df: DataFrame, key: str, floor: int, at_most: int = 1000) -> list:
-    """Keys that hold more than ``max(floor, rows / at_most)`` rows: fewer than ``at_most`` of them, whatever the size."""
-    limit = max(floor, df.count() // at_most)
-    counts = df.groupBy(key).count()
-    return [r[0] for r in counts.filter((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]

@@ -8,8 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import hot_keys, ranked_by_range
 from . import common
-from .topn import ranked_by_range
 
 K = 60
 #: Queries with more hits than this, and than a thousandth of all, are ranked by value ranges.
@@ -38,7 +38,7 @@ def fuse_scores(hits: DataFrame, query: str, item: str, scores: list[str], k: in
     a thousand at any size, are spread by (query, score, value range) instead.
     """
     rows = hits.filter(F.col(query).isNotNull() & F.col(item).isNotNull()).select(query, item, *scores)
-    hot = common.hot_keys(rows.select(query), query, hot_rows)
+    hot = hot_keys(rows.select(query), query, hot_rows)
     usual = rows.filter(~F.col(query).isin(hot)) if hot else rows
     merged = _merged(usual.repartition(query), query, item, scores)
 

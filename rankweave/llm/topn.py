@@ -1,10 +1,11 @@
-"""Top N items within every group (problem 6), and exact ranks inside very large groups."""
+"""Top N items within every group (problem 6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked_by_range
 from . import common
 
 SALTS = 16
@@ -12,28 +13,6 @@ SALTS = 16
 LONG_LIST = 20_000
 
 
-def value_range(value: Column) -> Column:
-    """A coarse code that never decreases as the value grows; about 0.4 % of the value wide, at any scale and sign."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * F.lit(1e6)) * F.lit(256.0)).cast("long")
-
-
-def ranked_by_range(df: DataFrame, group: list[str], value: str, rank: str, ties: list[Column] | None = None) -> DataFrame:
-    """Add the 1-based rank of each row in its group, highest value first, without bringing a group into one task.
-
-    Rows are spread by (group, range of the value); the rows in higher ranges of the group are counted per range
-    and added to the rank within the range. Without ``ties`` equal values share a rank (1, 1, 3), with ``ties``
-    the order is total. Only the counts per range, a few thousand a group, are summed in order.
-    """
-    ranged = df.withColumn("_range", value_range(F.col(value)))
-    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*group).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    within = Window.partitionBy(*group, "_range").orderBy(F.col(value).desc(), *(ties or []))
-    local = F.row_number() if ties else F.rank()
-    joined = ranged.join(offsets, [*group, "_range"])
-    return joined.withColumn(rank, local.over(within) + F.col("_above")).drop("_range", "_above")
-
-
 def top_n(hits: DataFrame, limits: DataFrame, group: str, item: str, score: str, n: str, salts: int = SALTS, long_list: int = LONG_LIST) -> DataFrame:
     """The first ``n`` items of each group: (group, item, score, n, rank), highest score first, then the smaller item.
 
