@@ -43,3 +43,10 @@ def test_hot_keys_are_few(spark):
 def test_hot_queries_get_the_same_legs(spark, small, floor):
     h = hits(spark, small).filter("mode = 'Hybrid'")
     assert rows(fuse.legs(h, 20, hot_rows=floor)) == rows(fuse.legs(h, 20))
+
+
+def test_value_range_never_falls(spark):
+    inf = float("inf")
+    xs = sorted([-inf, -1e12, -3.0, -1e-9, 0.0, 1e-9, 0.5, 0.50001, 3.0, 1e300, inf])
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(ranks.value_range(F.col("x"))).collect()]
+    assert got == sorted(got)
