@@ -23,6 +23,19 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_terms("text")).alias("term"))
 
 
+def pruned(tokens: DataFrame, qterms: DataFrame, at_most: int = 5000) -> DataFrame:
+    """The tokenized corpus with only the queries' terms left in ``tokens``; lengths stay those of the whole texts.
+
+    Everything retrieval needs (frequencies, document frequencies, sizes) can then be had from these short rows, so
+    the texts are read once. A vocabulary over ``at_most`` terms is left to the joins, and the tokens stay whole.
+    """
+    words = [r[0] for r in qterms.select("term").distinct().limit(at_most + 1).collect()]
+    if len(words) > at_most:
+        return tokens
+    keep = (lambda t: t.isin(words)) if words else (lambda t: F.lit(False))
+    return tokens.withColumn("tokens", F.filter("tokens", keep))
+
+
 def frequencies(tokens: DataFrame, qterms: DataFrame) -> DataFrame:
     """(query_id, stripe, doc_id, doc_len, term, tf) of the documents that hold a query term.
 

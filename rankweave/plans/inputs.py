@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text
 from ..operators import corpus_stats, fuse, retrieve
+from ..session import durable
 from ..sources.tables import read_table
 
 STRIPES = ["a", "b"]
@@ -45,7 +46,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @dataclass
 class Retrieved:
-    """Everything one retrieval of the query set yields; each part is a plan, nothing runs before it is used."""
+    """Everything one retrieval of the query set yields; each part is made when it is first used."""
 
     spark: SparkSession
     d: str
@@ -62,13 +63,18 @@ class Retrieved:
     def tokens(self) -> DataFrame:
         return corpus_stats.tokenized(corpus(self.spark, self.d))
 
+    @cached_property
+    def matched(self) -> DataFrame:
+        """One pass over the texts: the queries' terms of every document and its length, in the shared folder."""
+        return durable(retrieve.pruned(self.tokens, self.qterms))
+
     @cached_property
     def tf(self) -> DataFrame:
-        return retrieve.frequencies(self.tokens, self.qterms)
+        return retrieve.frequencies(self.matched, self.qterms)
 
     @cached_property
     def df_local(self) -> DataFrame:
-        return retrieve.probe(self.tokens, self.qterms)
+        return retrieve.probe(self.matched, self.qterms)
 
     @cached_property
     def df_global(self) -> DataFrame:
@@ -76,18 +82,18 @@ class Retrieved:
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return corpus_stats.sizes(self.tokens)
+        return corpus_stats.sizes(self.matched)
 
     @cached_property
     def size(self) -> DataFrame:
-        return corpus_stats.global_size(self.tokens)
+        return corpus_stats.global_size(self.matched)
 
     def keyword(self, top: int) -> DataFrame:
         return retrieve.keyword(self.tf, self.df_local, self.sizes, top, STRIPES).withColumn("vector_similarity", F.lit(None).cast("double"))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return retrieve.semantic(self.keyword(retrieve.budget(len(STRIPES))), self.tokens, self.qterms)
+        return retrieve.semantic(self.keyword(retrieve.budget(len(STRIPES))), self.matched, self.qterms)
 
     @cached_property
     def per_index(self) -> DataFrame:
@@ -99,9 +105,9 @@ class Retrieved:
         flat = self.tf.withColumn("home", F.col("stripe")).withColumn("stripe", F.lit("all"))
         df = self.df_global.withColumn("stripe", F.lit("all"))
         hits = retrieve.keyword(flat, df, self.size.withColumn("stripe", F.lit("all")), DEPTH, ["all"])
-        home = self.tokens.select("doc_id", F.col("stripe").alias("home"))
+        home = self.matched.select("doc_id", F.col("stripe").alias("home"))
         labelled = hits.join(home, "doc_id").drop("stripe").withColumnRenamed("home", "stripe").withColumn("vector_similarity", F.lit(None).cast("double"))
-        return retrieve.semantic(labelled, self.tokens, self.qterms)
+        return retrieve.semantic(labelled, self.matched, self.qterms)
 
     def chosen(self, threshold: float) -> DataFrame:
         return fuse.selected(self.queries, STRIPES, fuse.yields(self.qterms, self.df_global, self.size, self.df_local), threshold)

@@ -218,6 +218,7 @@ def _hybrid_parts(spark, d):
     own = vectors(spark, d).drop("stripe").join(home, "doc_id")
     names = read_table(spark, d, "documents").filter("doc_id % 50 = 0").join(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     qterms = retrieve.terms_of(names.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")))
+    toks = durable(retrieve.pruned(toks, qterms))
     tf = retrieve.frequencies(toks, qterms)
     t = retrieve.keyword(tf, retrieve.probe(toks, qterms), corpus_stats.sizes(toks), 50, STRIPES)
     v = retrieve.vector(own, vector_queries(spark, d), 50, STRIPES)
@@ -340,6 +341,7 @@ def merge_bm25(spark, d):
     r = Retrieved(spark, d)
     toks = corpus_stats.tokenized(corpus(spark, d), stop=False)
     qterms = r.queries.select("query_id", F.explode(F.array_distinct(text.tokenize("text", stop=False))).alias("term"))
+    toks = durable(retrieve.pruned(toks, qterms))
     tf, df, size = retrieve.frequencies(toks, qterms), retrieve.probe(toks, qterms), corpus_stats.sizes(toks)
     c = retrieve.keyword(tf, df, size, 25, STRIPES)
     return _fused(fuse.rescored(c, tf, qterms, corpus_stats.df_global(df), corpus_stats.global_size(toks), TOP))
@@ -394,7 +396,7 @@ def external_rerank(spark, d):
 @query
 def agentic_rerank(spark, d):
     r = Retrieved(spark, d)
-    return _fused(fuse.by_reranker(retrieve.semantic(r.per_index, r.tokens, r.qterms), 50))
+    return _fused(fuse.by_reranker(retrieve.semantic(r.per_index, r.matched, r.qterms), 50))
 
 
 @query
@@ -407,9 +409,9 @@ def agentic_planned(spark, d):
     r = Retrieved(spark, d)
     plan = spark.createDataFrame(REWRITES, "query_id string, sub_id string, text string")
     qterms = retrieve.terms_of(plan.select(F.col("sub_id").alias("query_id"), "text"))
-    tf = retrieve.frequencies(r.tokens, qterms)
-    c = retrieve.keyword(tf, retrieve.probe(r.tokens, qterms), r.sizes, 50, STRIPES)
-    return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(c, r.tokens, qterms), 50))
+    toks = durable(retrieve.pruned(r.tokens, qterms))
+    c = retrieve.keyword(retrieve.frequencies(toks, qterms), retrieve.probe(toks, qterms), corpus_stats.sizes(toks), 50, STRIPES)
+    return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(c, toks, qterms), 50))
 
 
 @query
@@ -461,10 +463,6 @@ def evaluate_matrix(spark, d):
     """Every strategy that needs no service, per query of the query set, against the un-split index."""
     r = Retrieved(spark, d)
     c = durable(r.candidates)
-    r.tf = durable(r.tf)
-    r.df_local = durable(r.df_local)
-    r.size = durable(r.size)
-    r.sizes = durable(r.sizes)
     truth = fuse.single_index(r.oracle, 50).select("query_id", "doc_id", F.col("fused_rank").alias("rank"))
     plans = {
         "naive-score": fuse.naive(c, TOP),
