@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import durable, settled
 from .topn import top_n
 
 # The categories in the order of their enumeration, from 0.
@@ -151,10 +151,11 @@ def draw(queries: DataFrame, plan: DataFrame, seed: int = 42, set_col: str = "se
     """The sample itself: of each cell the ``take`` queries with the smallest random key (a hash of seed and id).
 
     The draw is exact, repeatable and the same however the data are partitioned; cells are cut by the salted
-    two-stage ranking, so a cell with a third of all queries is no bottleneck.
+    two-stage ranking, so a cell with a third of all queries is no bottleneck. The plan's few rows are written once
+    to the shared folder, as the ranking reads them several times.
     """
     cell = F.concat_ws("␟", F.col(set_col).cast("string"), *CELL)
     known = labelled(queries, set_col, id_col).select(cell.alias("cell"), F.col(id_col), (-F.xxhash64(F.lit(seed), F.col(id_col)).cast("double")).alias("key"))
-    limits = plan.filter("take > 0").select(cell.alias("cell"), "take", set_col, *CELL)
+    limits = durable(plan.filter("take > 0").select(cell.alias("cell"), "take", set_col, *CELL))
     chosen = top_n(known, limits.select("cell", "take"), "cell", id_col, "key", "take")
     return chosen.join(limits.drop("take"), "cell").select(set_col, *CELL, id_col)
