@@ -44,16 +44,28 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return routing.by_category(docs, "language", groups, "doc_id")
 
 
+def evaluation_queries(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, text): each evaluation query once, with the last text delivered for it; null where there never was one."""
+    q = read_table(spark, d, "eval_queries").filter("query_id is not null")
+    return q.groupBy("query_id").agg(F.max_by("text", F.struct(F.col("text").isNotNull(), "received_at", "text")).alias("text"))
+
+
 @dataclass
 class Retrieved:
-    """Everything one retrieval of the query set yields; each part is made when it is first used."""
+    """Everything one retrieval of the query set yields; each part is made when it is first used.
+
+    ``texts`` is a fixed query set; without one every query of ``eval_queries`` is searched.
+    """
 
     spark: SparkSession
     d: str
+    texts: list[tuple[str, str]] | None = None
 
     @cached_property
     def queries(self) -> DataFrame:
-        return self.spark.createDataFrame(QUERIES, "query_id string, text string")
+        if self.texts is None:
+            return evaluation_queries(self.spark, self.d)
+        return self.spark.createDataFrame(self.texts, "query_id string, text string")
 
     @cached_property
     def qterms(self) -> DataFrame:

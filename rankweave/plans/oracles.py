@@ -49,6 +49,10 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {body})"
 
 
+#: Every evaluation query with the last text delivered for it.
+EVALUATED = "q AS (SELECT query_id, arg_max(text, struct_pack(r := received_at, t := text)) AS text FROM eval_queries WHERE query_id IS NOT NULL GROUP BY ALL)"
+
+
 def retrieval(stop: bool = True, rows: list[tuple] = QUERIES) -> str:
     return f"""{token_ctes(stop)},
     {values(rows, 'q', 'query_id, text')},
@@ -379,4 +383,7 @@ def oracle_sql() -> dict[str, str]:
     out["stride_sample"] = f"WITH {place} SELECT doc_id FROM p WHERE place IN (SELECT (i * n) // least(300, n) FROM (SELECT max(n) AS n FROM p), range(300) r(i) WHERE i < n)"
     out["stride_sample_int"] = f"WITH {place} SELECT doc_id FROM p WHERE place % greatest(1, n // 300) = 0 AND place < greatest(1, n // 300) * 300"
     out["latency_windows"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS largest FROM events GROUP BY ALL"
+    # the searches again over every evaluation query
+    fixed = values(QUERIES, "q", "query_id, text")
+    out |= {f"eval_{n}": x.replace(fixed, EVALUATED).replace("substr(query_id, 2, 2)", "substr(query_id, 2)") for n, x in out.items() if fixed in x}
     return out

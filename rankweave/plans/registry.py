@@ -13,7 +13,7 @@ from ..operators import corpus_stats, evaluate, fuse, metrics, prep, retrieve, s
 from ..session import durable
 from ..sources import tables
 from ..sources.tables import read_table
-from .inputs import GENRE_TAGS, REWRITES, STRIPES, TOP, Retrieved, corpus, hits, stored_sizes, vector_queries, vectors
+from .inputs import GENRE_TAGS, QUERIES, REWRITES, STRIPES, TOP, Retrieved, corpus, hits, stored_sizes, vector_queries, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,6 +28,14 @@ def _add(name: str, f: Query) -> None:
     _QUERIES[name] = f
 
 
+def searched(f: Callable[[Retrieved], DataFrame], name: str = "") -> Callable[[Retrieved], DataFrame]:
+    """Register a search twice: over the fixed list, and as ``eval_...`` over every query of ``eval_queries``."""
+    name = name or f.__name__
+    _add(name, lambda spark, d: f(Retrieved(spark, d, QUERIES)))
+    _add(f"eval_{name}", lambda spark, d: f(Retrieved(spark, d)))
+    return f
+
+
 def _six(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison."""
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
@@ -74,7 +82,7 @@ def query_terms(spark, d):
 
 @query
 def idf(spark, d):
-    r = Retrieved(spark, d)
+    r = Retrieved(spark, d, QUERIES)
     g = corpus_stats.df_global(corpus_stats.df_local(r.tokens))
     return g.select("term", "df", F.round(text.idf(F.col("df"), r.size.select("n_docs").scalar()), 6).alias("idf"))
 
@@ -188,20 +196,19 @@ def _hit(df: DataFrame, *more: str) -> DataFrame:
     return _six(df.select("query_id", "stripe", "doc_id", "hit_rank", "score", *more), 9)
 
 
-@query
-def keyword_topk(spark, d):
-    return _hit(Retrieved(spark, d).per_index)
+@searched
+def keyword_topk(r: Retrieved) -> DataFrame:
+    return _hit(r.per_index)
 
 
-@query
-def oracle_topk(spark, d):
-    return _hit(Retrieved(spark, d).oracle)
+@searched
+def oracle_topk(r: Retrieved) -> DataFrame:
+    return _hit(r.oracle)
 
 
-@query
-def filtered_retrieval(spark, d):
-    r = Retrieved(spark, d)
-    toks = corpus_stats.tokenized(corpus(spark, d).filter(F.col("language") == "en"))
+@searched
+def filtered_retrieval(r: Retrieved) -> DataFrame:
+    toks = corpus_stats.tokenized(corpus(r.spark, r.d).filter(F.col("language") == "en"))
     tf = retrieve.frequencies(toks, r.qterms)
     return _hit(retrieve.keyword(tf, r.df_local, r.sizes, TOP, STRIPES))
 
@@ -231,27 +238,26 @@ def hybrid_topk(spark, d):
     return _hit(retrieve.hybrid(t, v, 50, STRIPES), "text_score", "vector_similarity")
 
 
-@query
-def semantic_scores(spark, d):
-    return _hit(Retrieved(spark, d).candidates, "reranker_score")
+@searched
+def semantic_scores(r: Retrieved) -> DataFrame:
+    return _hit(r.candidates, "reranker_score")
 
 
-@query
-def fan_out(spark, d):
-    return Retrieved(spark, d).candidates.groupBy("query_id", "stripe").agg(F.count(F.lit(1)).alias("returned"))
+@searched
+def fan_out(r: Retrieved) -> DataFrame:
+    return r.candidates.groupBy("query_id", "stripe").agg(F.count(F.lit(1)).alias("returned"))
 
 
-@query
-def candidate_budget(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def candidate_budget(r: Retrieved) -> DataFrame:
     sides = [(r.candidates, "equalized"), (r.per_index, "per-index")]
     parts = [x.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned")).withColumn("budget", F.lit(n)) for x, n in sides]
     return parts[0].unionByName(parts[1])
 
 
-@query
-def df_probe(spark, d):
-    return Retrieved(spark, d).df_local
+@searched
+def df_probe(r: Retrieved) -> DataFrame:
+    return r.df_local
 
 
 @query
@@ -300,46 +306,41 @@ def _factors(r: Retrieved) -> DataFrame:
     return fuse.correction(r.qterms, r.df_global, r.size, r.df_local, r.sizes)
 
 
-@query
-def idf_factors(spark, d):
-    return _six(_factors(Retrieved(spark, d)))
+@searched
+def idf_factors(r: Retrieved) -> DataFrame:
+    return _six(_factors(r))
 
 
-@query
-def idf_correct_sidecar(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def idf_correct_sidecar(r: Retrieved) -> DataFrame:
     local = corpus_stats.df_local(r.tokens)
     return _fused(fuse.idf_corrected(r.candidates, fuse.correction(r.qterms, corpus_stats.df_global(local), r.size, local, r.sizes), TOP))
 
 
-@query
-def idf_correct_probe(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def idf_correct_probe(r: Retrieved) -> DataFrame:
     return _fused(fuse.idf_corrected(r.candidates, _factors(r), TOP))
 
 
-@query
-def global_bm25(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def global_bm25(r: Retrieved) -> DataFrame:
     return _fused(fuse.rescored(r.candidates, r.tf, r.qterms, r.df_global, r.size, TOP))
 
 
-@query
-def local_bm25(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def local_bm25(r: Retrieved) -> DataFrame:
     return _fused(fuse.rescored(r.candidates, r.tf, r.qterms, r.df_local, r.sizes, TOP, local=True))
 
 
-@query
-def merge_naive(spark, d):
-    return _fused(fuse.naive(Retrieved(spark, d).candidates, TOP), 12)
+@searched
+def merge_naive(r: Retrieved) -> DataFrame:
+    return _fused(fuse.naive(r.candidates, TOP), 12)
 
 
-@query
-def merge_bm25(spark, d):
+@searched
+def merge_bm25(r: Retrieved) -> DataFrame:
     """Corpus-wide BM25 with the plain tokenizer, which keeps stop words."""
-    r = Retrieved(spark, d)
-    toks = corpus_stats.tokenized(corpus(spark, d), stop=False)
+    toks = corpus_stats.tokenized(corpus(r.spark, r.d), stop=False)
     qterms = r.queries.select("query_id", F.explode(F.array_distinct(text.tokenize("text", stop=False))).alias("term"))
     toks = durable(retrieve.pruned(toks, qterms))
     tf, df, size = retrieve.frequencies(toks, qterms), retrieve.probe(toks, qterms), corpus_stats.sizes(toks)
@@ -347,9 +348,8 @@ def merge_bm25(spark, d):
     return _fused(fuse.rescored(c, tf, qterms, corpus_stats.df_global(df), corpus_stats.global_size(toks), TOP))
 
 
-@query
-def merge_idf(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def merge_idf(r: Retrieved) -> DataFrame:
     return _fused(fuse.idf_corrected(r.per_index, _factors(r), TOP))
 
 
@@ -358,16 +358,15 @@ def merge_vector(spark, d):
     return _fused(fuse.by_vector(retrieve.vector(vectors(spark, d), vector_queries(spark, d), 25, STRIPES), TOP))
 
 
-def _selective(threshold: float) -> Query:
-    def run(spark, d):
-        r = Retrieved(spark, d)
+def _selective(threshold: float) -> Callable[[Retrieved], DataFrame]:
+    def run(r: Retrieved) -> DataFrame:
         return _fused(fuse.selective(r.per_index, r.chosen(threshold), r.tf, r.qterms, r.df_global, r.size, TOP))
 
     return run
 
 
-_add("selective_one", _selective(1.0))
-_add("selective_adaptive", _selective(0.35))
+searched(_selective(1.0), "selective_one")
+searched(_selective(0.35), "selective_adaptive")
 
 
 def _rescores(r: Retrieved) -> DataFrame:
@@ -375,38 +374,35 @@ def _rescores(r: Retrieved) -> DataFrame:
     return r.candidates.select("query_id", "doc_id", (F.col("reranker_score") + F.lit(0.01) * F.log(F.lit(1.0) + F.col("doc_len"))).alias("rescore"))
 
 
-@query
-def semantic_merge(spark, d):
-    return _fused(fuse.by_reranker(Retrieved(spark, d).candidates, TOP))
+@searched
+def semantic_merge(r: Retrieved) -> DataFrame:
+    return _fused(fuse.by_reranker(r.candidates, TOP))
 
 
-@query
-def semantic_rerank(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def semantic_rerank(r: Retrieved) -> DataFrame:
     return _fused(fuse.reranked_again(r.candidates, _rescores(r), TOP))
 
 
-@query
-def external_rerank(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def external_rerank(r: Retrieved) -> DataFrame:
     grades = r.candidates.select("query_id", "doc_id", F.floor(F.col("reranker_score") * 0.75).cast("int").alias("grade"))
     return _fused(fuse.external(r.candidates, grades, TOP))
 
 
-@query
-def agentic_rerank(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def agentic_rerank(r: Retrieved) -> DataFrame:
     return _fused(fuse.by_reranker(retrieve.semantic(r.per_index, r.matched, r.qterms), 50))
 
 
-@query
-def agentic_cheap(spark, d):
-    return _fused(fuse.interleave(Retrieved(spark, d).per_index, 50))
+@searched
+def agentic_cheap(r: Retrieved) -> DataFrame:
+    return _fused(fuse.interleave(r.per_index, 50))
 
 
 @query
 def agentic_planned(spark, d):
-    r = Retrieved(spark, d)
+    r = Retrieved(spark, d, QUERIES)
     plan = spark.createDataFrame(REWRITES, "query_id string, sub_id string, text string")
     qterms = retrieve.terms_of(plan.select(F.col("sub_id").alias("query_id"), "text"))
     toks = durable(retrieve.pruned(r.tokens, qterms))
@@ -414,14 +410,13 @@ def agentic_planned(spark, d):
     return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(c, toks, qterms), 50))
 
 
-@query
-def single_index(spark, d):
-    return _fused(fuse.single_index(Retrieved(spark, d).oracle, TOP))
+@searched
+def single_index(r: Retrieved) -> DataFrame:
+    return _fused(fuse.single_index(r.oracle, TOP))
 
 
-@query
-def single_index_rescored(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def single_index_rescored(r: Retrieved) -> DataFrame:
     return _fused(fuse.rescored(r.oracle, r.tf, r.qterms, r.df_global, r.size, TOP))
 
 
@@ -458,10 +453,9 @@ def judgment_pool(spark, d):
     return evaluate.judgment_pool(lists, truth)
 
 
-@query
-def evaluate_matrix(spark, d):
+@searched
+def evaluate_matrix(r: Retrieved) -> DataFrame:
     """Every strategy that needs no service, per query of the query set, against the un-split index."""
-    r = Retrieved(spark, d)
     c = durable(r.candidates)
     truth = fuse.single_index(r.oracle, 50).select("query_id", "doc_id", F.col("fused_rank").alias("rank"))
     plans = {
@@ -548,10 +542,9 @@ def query_accounting(spark, d):
     return _six(evaluate.accounting(shared.unionByName(own), names))
 
 
-@query
-def probe_cache(spark, d):
-    r = Retrieved(spark, d)
-    asked = r.qterms.select("term", F.substring("query_id", 2, 2).cast("int").alias("query_no"), F.explode(F.array(*[F.lit(s) for s in STRIPES])).alias("stripe"))
+@searched
+def probe_cache(r: Retrieved) -> DataFrame:
+    asked = r.qterms.select("term", F.expr("substr(query_id, 2)").cast("int").alias("query_no"), F.explode(F.array(*[F.lit(s) for s in STRIPES])).alias("stripe"))
     return evaluate.first_probes(asked).groupBy("query_no").agg(F.count(F.lit(1)).alias("probes"))
 
 
@@ -563,9 +556,8 @@ def apply_judgments(spark, d):
     return _six(evaluate.apply_judgments(r, scores).select("record_id", "judged_coverage"))
 
 
-@query
-def explain_query(spark, d):
-    r = Retrieved(spark, d)
+@searched
+def explain_query(r: Retrieved) -> DataFrame:
     return _six(r.candidates.filter("hit_rank <= 10").select("query_id", "stripe", "hit_rank", "doc_id", "score", "text_score", "reranker_score"), 9)
 
 
