@@ -54,17 +54,20 @@ def evaluation_queries(spark: SparkSession, d: str) -> DataFrame:
 class Retrieved:
     """Everything one retrieval of the query set yields; each part is made when it is first used.
 
-    ``texts`` is a fixed query set; without one every query of ``eval_queries`` is searched.
+    ``texts`` is a stated query set, as rows or as a table (query_id, text); without one every query of
+    ``eval_queries`` is searched.
     """
 
     spark: SparkSession
     d: str
-    texts: list[tuple[str, str]] | None = None
+    texts: list[tuple[str, str]] | DataFrame | None = None
 
     @cached_property
     def queries(self) -> DataFrame:
         if self.texts is None:
             return evaluation_queries(self.spark, self.d)
+        if isinstance(self.texts, DataFrame):
+            return self.texts
         return self.spark.createDataFrame(self.texts, "query_id string, text string")
 
     @cached_property
@@ -112,13 +115,17 @@ class Retrieved:
         return self.keyword(DEPTH)
 
     @cached_property
-    def oracle(self) -> DataFrame:
-        """The same retrieval over the un-split corpus; hits keep their home stripe's label."""
-        flat = self.tf.withColumn("home", F.col("stripe")).withColumn("stripe", F.lit("all"))
+    def flat(self) -> DataFrame:
+        """The same retrieval over the un-split corpus."""
+        tf = self.tf.withColumn("stripe", F.lit("all"))
         df = self.df_global.withColumn("stripe", F.lit("all"))
-        hits = retrieve.keyword(flat, df, self.size.withColumn("stripe", F.lit("all")), DEPTH, ["all"])
+        return retrieve.keyword(tf, df, self.size.withColumn("stripe", F.lit("all")), DEPTH, ["all"])
+
+    @cached_property
+    def oracle(self) -> DataFrame:
+        """The un-split retrieval; hits keep their home stripe's label."""
         home = self.matched.select("doc_id", F.col("stripe").alias("home"))
-        labelled = hits.join(home, "doc_id").drop("stripe").withColumnRenamed("home", "stripe").withColumn("vector_similarity", F.lit(None).cast("double"))
+        labelled = self.flat.join(home, "doc_id").drop("stripe").withColumnRenamed("home", "stripe").withColumn("vector_similarity", F.lit(None).cast("double"))
         return retrieve.semantic(labelled, self.matched, self.qterms)
 
     def chosen(self, threshold: float) -> DataFrame:

@@ -225,6 +225,78 @@ _SCALE = "coalesce(list_max(list_transform(e, lambda x: abs(x))), 0) / 127::DOUB
 _QUANT = "list_transform(e, lambda x: CASE WHEN s > 0 THEN greatest(-127, least(127, round_even(x / s, 0))) ELSE 0 END)"
 
 
+#: A rescored hit; queries without terms keep the raw score.
+_AGAIN = "CASE WHEN EXISTS (SELECT 1 FROM qt WHERE qt.query_id = c.query_id) THEN coalesce(b, 0) ELSE score END"
+_SCORES = "sc AS (SELECT query_id, stripe, min(score) AS lo, max(score) AS hi, avg(score) AS m, stddev_pop(score) AS sd FROM cand GROUP BY ALL), st AS (SELECT query_id, count(DISTINCT stripe_pos) AS n FROM cand GROUP BY ALL)"
+_QUOTAS = "rs AS (SELECT query_id, stripe, n_docs AS n FROM (SELECT DISTINCT query_id, stripe FROM cand) JOIN dn USING (stripe)), qu AS (SELECT *, greatest(1, round_even(10 * n / sum(n) OVER (PARTITION BY query_id)::DOUBLE, 0)) AS quota FROM rs)"
+_ANY = [
+    ("naive-score", "score", ""),
+    ("interleave", "-(hit_rank - 1 + stripe_pos / n::DOUBLE)", "JOIN st USING (query_id)"),
+    ("global-rrf", "1 / (60::DOUBLE + hit_rank)", ""),
+    ("quota-merge", "-hit_rank::DOUBLE", "JOIN qu USING (query_id, stripe) WHERE hit_rank <= quota"),
+    ("minmax-norm", "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END", "JOIN sc USING (query_id, stripe)"),
+    ("zscore-norm", "CASE WHEN hi > lo THEN (score - m) / sd ELSE 0 END", "JOIN sc USING (query_id, stripe)"),
+]
+_LEGGED = [("vector-similarity", "coalesce(vector_similarity, CASE WHEN mode = 'Vector' THEN score END)", "")]
+_WORDED = [
+    ("idf-correct-probe", CORRECTED, "LEFT JOIN fac USING (query_id, stripe)"),
+    ("idf-correct-sidecar", CORRECTED, "LEFT JOIN fac USING (query_id, stripe)"),
+    ("global-bm25", _AGAIN, "LEFT JOIN gb USING (query_id, doc_id)"),
+    ("local-bm25", _AGAIN, "LEFT JOIN lb USING (query_id, doc_id)"),
+]
+
+
+def _arm(mode: str, ctes: str, plans: list[tuple], worded: bool, queries: str) -> str:
+    """Rows (kind, query_id, doc_id, rank) of one mode: lists, the un-split list, and the queries of each strategy."""
+    summed = "SELECT query_id, mode, doc_id, arg_min(stripe, struct_pack(p := stripe_pos, r := hit_rank)) AS stripe, min(stripe_pos) AS stripe_pos, min(hit_rank) AS hit_rank, sum(1 / (60::DOUBLE + hit_rank)) AS fused FROM cand GROUP BY query_id, mode, doc_id"
+    bodies = {n: "WITH " + tail(f"SELECT c.*, {e} AS fused FROM cand c {j}", digits=12 if n == "naive-score" else 9) for n, e, j in plans}
+    bodies["rrf-sum"] = "WITH " + tail(summed)
+    if mode == "Hybrid":
+        bodies["hybrid-legs"] = f"WITH hits AS (SELECT * FROM cand), {tail(_LEGS)}"
+    if worded:
+        for name, threshold in (("selective-one", 1.0), ("selective-adaptive", 0.35)):
+            several = tail(f"SELECT c.*, {_AGAIN} AS fused FROM kept c LEFT JOIN gb USING (query_id, doc_id) WHERE chosen > 1")
+            bodies[name] = f"WITH {chosen(threshold)}, {several} UNION ALL SELECT query_id, mode, doc_id, stripe, fused_score, fused_rank FROM one WHERE fused_rank <= 10"
+        bodies["single-index-rescored"] = "WITH " + tail(f"SELECT c.*, {_AGAIN} AS fused FROM orc c LEFT JOIN gb USING (query_id, doc_id)")
+    names = "nm AS (SELECT unnest([" + ", ".join(f"'{mode}|{n}|'" for n in bodies) + "]) AS nm)"
+    made = " UNION ALL ".join(f"SELECT 'l', '{mode}|{n}|' || query_id, doc_id, fused_rank FROM ({b})" for n, b in bodies.items())
+    return f"""SELECT * FROM (WITH {ctes}, {_SCORES}, {_QUOTAS}{f', {FACTORS}, {GLOBAL}, {LOCAL}' if worded else ''}, {names},
+        tr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(reranker_score, score) DESC, hit_rank) AS rank FROM orc)
+        SELECT 't' AS kind, nm || query_id AS query_id, doc_id, rank FROM tr, nm UNION ALL SELECT 'q', nm || query_id, NULL, NULL FROM ({queries}), nm UNION ALL {made})"""
+
+
+def evaluated() -> str:
+    """Queries x modes x strategies, every metric."""
+    asked = "SELECT vec_id::VARCHAR AS query_id FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL"
+    placed = "CASE stripe WHEN 'a' THEN 0 ELSE 1 END AS stripe_pos"
+    fixed = values(QUERIES, "q", "query_id, text")
+    keyword = retrieval().replace(fixed, EVALUATED) + ", dn AS (SELECT stripe, n_docs FROM sz)"
+    whole = lambda home: nearest(f"(SELECT * REPLACE ('all' AS stripe) FROM {home})").replace("vh AS", "vo AS")
+    vector = f"""{_VECTORS}, {nearest()}, {whole('vs')}, dn AS (SELECT stripe, count(*) AS n_docs FROM vs GROUP BY ALL),
+        wide AS (SELECT * REPLACE (query_id::VARCHAR AS query_id), 'Vector' AS mode, {placed}, score AS vector_similarity FROM vh), cand AS (SELECT * FROM wide WHERE hit_rank <= 25),
+        orc AS (SELECT query_id::VARCHAR AS query_id, doc_id, score, hit_rank, NULL::DOUBLE AS reranker_score FROM vo)"""
+    titles = "q AS (SELECT doc_id::VARCHAR AS query_id, title AS text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL))"
+    text = retrieval().replace(fixed, titles)
+    for n in ("cand", "wide", "orc"):
+        text = text.replace(f" {n} AS (", f" k_{n} AS (")
+    both = "coalesce(1 / (60::DOUBLE + t.hit_rank), 0) + coalesce(1 / (60::DOUBLE + v.hit_rank), 0)"
+    hybrid = f"""{text}, {_VECTORS}, hv AS (SELECT vs.* REPLACE (tok.stripe AS stripe) FROM vs JOIN tok USING (doc_id)), {nearest('hv')}, {whole('hv')}, dn AS (SELECT stripe, n_docs FROM sz),
+        v1 AS (SELECT * REPLACE (query_id::VARCHAR AS query_id) FROM vh), v2 AS (SELECT * REPLACE (query_id::VARCHAR AS query_id) FROM vo), k1 AS (SELECT * FROM kw WHERE hit_rank <= 50),
+        h1 AS (SELECT query_id, stripe, doc_id, t.score AS text_score, v.score AS vector_similarity, round({both}, 9) AS score FROM k1 t FULL JOIN v1 v USING (query_id, stripe, doc_id)),
+        wide AS (SELECT * FROM (SELECT *, 'Hybrid' AS mode, {placed}, row_number() OVER (PARTITION BY query_id, stripe ORDER BY score DESC, doc_id) AS hit_rank FROM h1) WHERE hit_rank <= 50), cand AS (SELECT * FROM wide WHERE hit_rank <= 25),
+        h2 AS (SELECT query_id, doc_id, t.score AS text_score, v.score AS vector_similarity, round({both}, 9) AS score FROM k_orc t FULL JOIN v2 v USING (query_id, doc_id)),
+        orc AS (SELECT o.*, 'all' AS stripe, 'Hybrid' AS mode, 0 AS stripe_pos, CASE WHEN n > 0 THEN round(4 * coalesce(h, 0) / n::DOUBLE, 9) END AS reranker_score
+                FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS hit_rank FROM h2) WHERE hit_rank <= 50) o LEFT JOIN held USING (query_id, doc_id) LEFT JOIN nt USING (query_id))"""
+    arms = [_arm("Keyword", keyword, _ANY + _WORDED, True, "SELECT query_id FROM q"), _arm("Vector", vector, _ANY + _LEGGED, False, asked), _arm("Hybrid", hybrid, _ANY + _LEGGED + _WORDED, True, asked)]
+    covered = f"{_COVERAGE} SELECT query_id, round(coalesce(v, 0), 6) AS judged_coverage FROM qs LEFT JOIN c USING (query_id)"
+    parts = " ".join(f"JOIN (WITH dummy AS (SELECT 1) {m}) m{i} USING (query_id)" for i, m in enumerate((_NDCG, _OVERLAP, _KENDALL, _RBO, _JUDGED, covered)))
+    return f"""WITH {HITS}, every AS MATERIALIZED ({' UNION ALL '.join(arms)}), li AS (SELECT query_id, doc_id, rank FROM every WHERE kind = 'l'), tr AS (SELECT query_id, doc_id, rank FROM every WHERE kind = 't'), qs AS (SELECT query_id FROM every WHERE kind = 'q'),
+        sh AS (SELECT li.query_id, li.doc_id, li.rank AS rc, tr.rank AS ro FROM li JOIN tr USING (query_id, doc_id)),
+        j0 AS (SELECT query_id, doc_id, least(3, greatest(0, floor(max(vector_similarity) * 4)))::INT AS grade FROM hits WHERE mode = 'Hybrid' AND vector_similarity <= 1 GROUP BY ALL),
+        ju AS (SELECT qs.query_id, doc_id, grade FROM j0 JOIN qs ON split_part(qs.query_id, '|', 3) = j0.query_id)
+        SELECT split_part(query_id, '|', 3) AS query_id, split_part(query_id, '|', 1) AS mode, split_part(query_id, '|', 2) AS strategy, ndcg, recall, jaccard, kendall_tau, rbo, judged_ndcg, judged_coverage FROM qs {parts}"""
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     plain = lambda c: f"regexp_replace({c}, '[^A-Za-z]', '', 'g')"
@@ -386,4 +458,5 @@ def oracle_sql() -> dict[str, str]:
     # the searches again over every evaluation query
     fixed = values(QUERIES, "q", "query_id, text")
     out |= {f"eval_{n}": x.replace(fixed, EVALUATED).replace("substr(query_id, 2, 2)", "substr(query_id, 2)") for n, x in out.items() if fixed in x}
+    out["evaluate_all"] = evaluated()
     return out

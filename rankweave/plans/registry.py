@@ -13,6 +13,7 @@ from ..operators import corpus_stats, evaluate, fuse, metrics, prep, retrieve, s
 from ..session import durable
 from ..sources import tables
 from ..sources.tables import read_table
+from . import matrix
 from .inputs import GENRE_TAGS, QUERIES, REWRITES, STRIPES, TOP, Retrieved, corpus, hits, stored_sizes, vector_queries, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +478,12 @@ def evaluate_matrix(r: Retrieved) -> DataFrame:
     return _six(m.select(F.split_part("query_id", F.lit("|"), F.lit(2)).alias("query_id"), F.split_part("query_id", F.lit("|"), F.lit(1)).alias("strategy"), "recall", "jaccard"))
 
 
+@query
+def evaluate_all(spark, d):
+    """Queries x modes x strategies with every metric; ``evaluate_matrix`` is its first part, as its SQL states it."""
+    return _six(matrix.matrix(spark, d, _judgments(spark, d)))
+
+
 # --- evaluation records -------------------------------------------------------------------------------------------
 
 BASELINE = "single-index"
