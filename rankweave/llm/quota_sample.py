@@ -9,15 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels
+from ..functions.labels import CATEGORIES
 from .common import durable, settled
 from .topn import top_n
 
-# The categories in the order of their enumeration, from 0.
-CATEGORIES = {
-    "shape": ["Head", "Torso", "Tail"],
-    "span": ["StripeLocal", "CrossStripe"],
-    "intent": ["Lexical", "Conceptual", "Mixed"],
-}
 CELL = list(CATEGORIES)
 
 
@@ -25,27 +21,12 @@ def _spelled(rows: DataFrame) -> DataFrame:
     """Of each label ``_c`` its letters and digits (``_c_word``) and the number it is (``_c_number``)."""
     made = {}
     for c in CELL:
-        made[f"_{c}_word"] = F.lower(F.regexp_replace(F.col(f"_{c}"), r"[^\p{L}\p{Nd}]", ""))
-        made[f"_{c}_number"] = F.regexp_extract(F.lower(F.regexp_replace(F.col(f"_{c}"), r"[^\p{L}\p{Nd}.-]", "")), r"^\.*0*(\d+)(?:\.0*)?\.?$", 1)
-    words = settled(rows, **made)
-    edits = {f"_{c}_edits": F.array(*[F.levenshtein(F.col(f"_{c}_word"), F.lit(n.lower())) for n in v]) for c, v in CATEGORIES.items()}
-    return settled(words, **edits)
+        made |= {f"_{c}_word": labels.word(F.col(f"_{c}")), f"_{c}_number": labels.number(F.col(f"_{c}"))}
+    return settled(settled(rows, **made), **{f"_{c}_edits": labels.edits(F.col(f"_{c}_word"), v) for c, v in CATEGORIES.items()})
 
 
 def _named(c: str, names: list[str]) -> Column:
-    """The category a hand-typed label evidently names, or null.
-
-    Case, blanks and punctuation do not matter; a bare number is the category's place in the enumeration (a
-    negative one names nothing); a misspelling counts when exactly one name is nearest, at most two edits and half
-    its length away.
-    """
-    edits, near = F.col(f"_{c}_edits"), F.array_min(f"_{c}_edits")
-    unique = F.size(F.filter(edits, lambda d: d == near)) == 1
-    out = F.lit(None).cast("string")
-    for i, n in enumerate(names):
-        typo = unique & (edits[i] == near) & (near <= 2) & (near * 2 <= len(n))
-        out = F.when((F.col(f"_{c}_number") == str(i)) | typo, n).otherwise(out)
-    return F.when(F.length(f"_{c}_word") > 0, out)
+    return labels.named(F.col(f"_{c}_word"), F.col(f"_{c}_number"), F.col(f"_{c}_edits"), names)
 
 
 def labelled(queries: DataFrame, set_col: str = "set_id", id_col: str = "query_id", arrived: str = "received_at") -> DataFrame:

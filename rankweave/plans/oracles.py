@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.labels import CATEGORIES
 from ..functions.statistics import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_LOW, ERF_A, ERF_P
 from ..functions.text import STOP_WORDS
 from ..operators.corpus_stats import BANDS
@@ -297,6 +298,15 @@ def evaluated() -> str:
         SELECT split_part(query_id, '|', 3) AS query_id, split_part(query_id, '|', 1) AS mode, split_part(query_id, '|', 2) AS strategy, ndcg, recall, jaccard, kendall_tau, rbo, judged_ndcg, judged_coverage FROM qs {parts}"""
 
 
+def named_spans() -> str:
+    """The span of each query by the rule of ``functions.labels``: number by enumeration, or the one nearest name."""
+    word, number = "lower(regexp_replace(span, '[^\\p{L}\\p{Nd}]', '', 'g'))", "regexp_extract(lower(regexp_replace(span, '[^\\p{L}\\p{Nd}.-]', '', 'g')), '^\\.*0*(\\d+)(?:\\.0*)?\\.?$', 1)"
+    near = lambda n, o: f"(levenshtein(w, '{n.lower()}') <= 2 AND levenshtein(w, '{n.lower()}') < levenshtein(w, '{o.lower()}'))"
+    a, b = CATEGORIES["span"]
+    named = f"CASE WHEN length(w) = 0 THEN NULL WHEN i = '1' OR {near(b, a)} THEN '{b}' WHEN i = '0' OR {near(a, b)} THEN '{a}' END"
+    return f"sp AS (SELECT query_id, arg_max(s, struct_pack(r := received_at, s := s)) AS span FROM (SELECT query_id, received_at, {named} AS s FROM (SELECT query_id, received_at, {word} AS w, {number} AS i FROM eval_queries)) WHERE s IS NOT NULL AND query_id IS NOT NULL GROUP BY ALL)"
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     plain = lambda c: f"regexp_replace({c}, '[^A-Za-z]', '', 'g')"
@@ -414,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
     out["strategy_summary"] = f"WITH {SUMMARY} SELECT mode, strategy, queries, {six('ndcg', 'judged_ndcg', 'compute_units', 'agentic_tokens', 'latency_p50_ms', 'latency_p95_ms')} FROM su"
     span = f"sp AS (SELECT query_id, min(s) AS span FROM (SELECT query_id, CASE lower({plain('span')}) WHEN 'stripelocal' THEN 'StripeLocal' WHEN 'crossstripe' THEN 'CrossStripe' END AS s FROM eval_queries) WHERE s IS NOT NULL AND query_id IS NOT NULL GROUP BY ALL)"
     out["span_breakdown"] = f"WITH {RECORDS}, {span}, x AS (SELECT mode, strategy, coalesce(avg(CASE WHEN span = 'StripeLocal' THEN ndcg END), 0) AS l, coalesce(avg(CASE WHEN span = 'CrossStripe' THEN ndcg END), 0) AS c FROM rec JOIN sp USING (query_id) GROUP BY ALL) SELECT mode, strategy, round(l, 6) AS local_ndcg, round(c, 6) AS cross_ndcg, round(c - l, 6) AS delta FROM x"
+    out["span_breakdown_named"] = out["span_breakdown"].replace(span, named_spans())
     out["paired_differences"] = f"WITH {differences()} {PAIRED}"
     out["effect_size"] = f"WITH {differences()} {EFFECT}"
     out["wilcoxon"] = f"WITH {differences()} {WILCOXON}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import routing, statistics, text
+from ..functions import labels, routing, statistics, text
 from ..functions import vectors as vec
 from ..operators import corpus_stats, evaluate, fuse, metrics, prep, retrieve, significance
 from ..session import durable
@@ -500,6 +500,12 @@ def _spans(spark, d):
     return named.groupBy("query_id").agg(F.min("span").alias("span"))
 
 
+def _named_spans(spark, d):
+    """The span each query's label evidently names, from the last delivery with a recognisable one."""
+    q = read_table(spark, d, "eval_queries").filter("query_id is not null").select("query_id", "received_at", labels.category(F.col("span"), labels.CATEGORIES["span"]).alias("span"))
+    return q.dropna(subset=["span"]).groupBy("query_id").agg(F.max_by("span", F.struct("received_at", "span")).alias("span"))
+
+
 def _summary(spark, d):
     return evaluate.strategy_summary(_records(spark, d))
 
@@ -510,6 +516,7 @@ def _differences(spark, d):
 
 _add("strategy_summary", lambda s, d: _six(_summary(s, d)))
 _add("span_breakdown", lambda s, d: _six(evaluate.span_breakdown(_records(s, d), _spans(s, d))))
+_add("span_breakdown_named", lambda s, d: _six(evaluate.span_breakdown(_records(s, d), _named_spans(s, d))))
 _add("paired_differences", lambda s, d: _six(significance.summary(_differences(s, d))))
 _add("paired_t", lambda s, d: _six(significance.paired_t(_differences(s, d))))
 _add("wilcoxon", lambda s, d: _six(significance.wilcoxon(_differences(s, d))))
