@@ -521,7 +521,7 @@ _add("paired_differences", lambda s, d: _six(significance.summary(_differences(s
 _add("paired_t", lambda s, d: _six(significance.paired_t(_differences(s, d))))
 _add("wilcoxon", lambda s, d: _six(significance.wilcoxon(_differences(s, d))))
 _add("effect_size", lambda s, d: _six(significance.effect(_differences(s, d))))
-_add("bootstrap_ci", lambda s, d: _six(significance.bootstrap_ci(_differences(s, d), 1000)))
+_add("bootstrap_ci", lambda s, d: _six(significance.bootstrap_ci(_differences(s, d))))
 _add("holm", lambda s, d: _six(significance.holm(significance.paired_t(_differences(s, d)), "t_p", ["mode"]).select("mode", "strategy", "p_holm")))
 _add("significance_table", lambda s, d: _six(significance.table(_records(s, d), "judged_ndcg", "record_id", BASELINE).select("mode", "strategy", "n", "mean", "wins", "losses", "ties", "t", "t_p", "w_p", "cohens_d", "p_holm")))
 
