@@ -396,6 +396,9 @@ def oracle_sql() -> dict[str, str]:
     subs = [(s, x) for _, s, x in REWRITES]
     whole = values([(q, s) for q, s, _ in REWRITES], "rw", "whole_id, sub_id") + ", sw AS (SELECT rw.whole_id AS query_id, w.* EXCLUDE (query_id) FROM wide w JOIN rw ON w.query_id = rw.sub_id)"
     out["agentic_planned"] = over("sw", "reranker_score", more=whole, k=50, rows=subs)
+    unplanned = [(q, x) for q, x in QUERIES if q not in {w for w, _, _ in REWRITES}]
+    all_subs = values([(q, s) for q, s, _ in REWRITES] + [(q, q) for q, _ in unplanned], "rw", "whole_id, sub_id")
+    out["agentic_planned_whole"] = over("sw", "reranker_score", more=whole.replace(values([(q, s) for q, s, _ in REWRITES], "rw", "whole_id, sub_id"), all_subs), k=50, rows=subs + unplanned)
     out["single_index"] = f"WITH {r} SELECT query_id, mode, doc_id, stripe, round(coalesce(reranker_score, score), 9) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(reranker_score, score) DESC, hit_rank) AS fused_rank FROM orc) WHERE fused_rank <= 10"
     out["single_index_rescored"] = over("orc", RESCORED, "LEFT JOIN gb USING (query_id, doc_id)", GLOBAL)
     plans = [
@@ -469,5 +472,6 @@ def oracle_sql() -> dict[str, str]:
     # the searches again over every evaluation query
     fixed = values(QUERIES, "q", "query_id, text")
     out |= {f"eval_{n}": x.replace(fixed, EVALUATED).replace("substr(query_id, 2, 2)", "substr(query_id, 2)") for n, x in out.items() if fixed in x}
+    out["eval_agentic_planned_whole"] = out["eval_agentic_rerank"]  # none of these queries has rewrites
     out["evaluate_all"] = evaluated()
     return out

@@ -411,6 +411,16 @@ def agentic_planned(spark, d):
     return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(c, toks, qterms), 50))
 
 
+@searched
+def agentic_planned_whole(r: Retrieved) -> DataFrame:
+    """Like ``agentic_planned``; a query without rewrites is its own single subquery."""
+    given = r.spark.createDataFrame(REWRITES, "query_id string, sub_id string, text string").join(r.queries.select("query_id"), "query_id", "left_semi")
+    plain = r.queries.join(given, "query_id", "left_anti").select("query_id", F.col("query_id").alias("sub_id"), "text")
+    plan = given.unionByName(plain)
+    s = Retrieved(r.spark, r.d, plan.select(F.col("sub_id").alias("query_id"), "text"))
+    return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(s.per_index, s.matched, s.qterms), 50))
+
+
 @searched
 def single_index(r: Retrieved) -> DataFrame:
     return _fused(fuse.single_index(r.oracle, TOP))

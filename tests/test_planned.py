@@ -1,0 +1,9 @@
+"""Queries without rewrites are searched as they stand."""
+
+from rankweave.plans import registry
+
+
+def test_every_query_with_hits_has_a_planned_list(spark, small):
+    q = registry.queries()
+    ids = lambda n: {r[0] for r in q[n](spark, small).select("query_id").distinct().collect()}
+    assert ids("agentic_planned_whole") == ids("agentic_rerank") > ids("agentic_planned")
