@@ -22,6 +22,10 @@ def source_name(label: Column | str) -> Column:
     return F.when(name != "", name)
 
 
+#: Difference of two bisected exponents below which they say the same.
+SETTLED = 1e-9
+
+
 def bisect(falling, target: float, low: float = 0.0, high: float = 64.0, steps: int = 80) -> float:
     """The argument at which a falling function comes down to ``target``; the nearer end where it never does."""
     if falling(low) <= target:
@@ -76,16 +80,18 @@ def _planned(mix: pd.DataFrame) -> pd.DataFrame:
     target = mix["target_share"].to_numpy(dtype=float)
     own = mix["source_tokens"].to_numpy(dtype=float)
     cap = np.where(size > 0, own * mix["max_repeats"].to_numpy(dtype=float) / max(size, 1e-300), 0.0)
-    share, exponent = np.zeros(len(mix)), np.zeros(len(mix))
+    share, exponent, spare = np.zeros(len(mix)), np.zeros(len(mix)), np.zeros(len(mix))
     for i in range(len(mix)):
         natural = own[i] / total if total else 0.0
         wanted, limit = source_exponent(natural, target[i], cap[i])
-        exponent[i] = max(wanted, limit)
+        exponent[i], spare[i] = max(wanted, limit), wanted - limit
         tempered = natural ** exponent[i] if 0 < natural < 1 else min(target[i], cap[i])
         # the bisected power may miss the target by rounding; the exact bounds settle it
         share[i] = min(tempered if abs(tempered - target[i]) > 1e-9 else target[i], cap[i], target[i])
-    # exact check, in whole tokens: a millionth of a token is rounding
-    reachable = target * size <= own * mix["max_repeats"].to_numpy(dtype=float) + 1e-6
+    # out of reach where the repetition limit asks for the larger exponent; where both agree up to rounding, whole
+    # tokens settle it (a millionth of a token is rounding)
+    exact = target * size <= own * mix["max_repeats"].to_numpy(dtype=float) + 1e-6
+    reachable = np.where((np.abs(spare) > SETTLED) & (size > 0), spare > 0, exact)
     share = np.where(reachable, target, share)
     known = own / own.sum() if own.sum() else own
     a = max(temper_to_entropy(known, entropy(target)), temper_to_repeats(known, cap)) if own.sum() else 1.0
