@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25, idf
-from .ranks import hot_keys, ranked_by_range
+from .ranks import hot_keys, parted, ranked_by_range, same
 
 LIST = ["query_id", "mode"]
 #: Hits of one query from which on its ranks are made by ranges of the score.
@@ -45,9 +45,14 @@ def naive(c: DataFrame, k: int = 10) -> DataFrame:
 
 
 def interleave(c: DataFrame, k: int = 10) -> DataFrame:
-    """By place in the list, then by stripe: -(place + stripe / stripes), places from 0; stripes are those that answered."""
-    stripes = c.groupBy(*LIST).agg(F.countDistinct("stripe_pos").alias("_n"))
-    return rank_and_truncate(c.join(stripes, LIST).withColumn("fused_score", -(F.col("hit_rank") - 1 + F.col("stripe_pos") / F.greatest("_n", F.lit(1)))), k)
+    """By place in the list, then by stripe: -(place + stripe / stripes), places from 0.
+
+    Stripes are numbered from 0 among those that answered the list, so the second term never reaches the next place.
+    """
+    answered = c.select(*LIST, "stripe_pos").distinct()
+    order = F.row_number().over(Window.partitionBy(*LIST).orderBy("stripe_pos")) - 1
+    numbered = answered.withColumn("_s", order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*LIST)))
+    return rank_and_truncate(_beside(c, numbered, [*LIST, "stripe_pos"]).withColumn("fused_score", -(F.col("hit_rank") - 1 + F.col("_s") / F.col("_n"))), k)
 
 
 def rrf(c: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
@@ -62,26 +67,32 @@ def rrf_sum(c: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
     return rank_and_truncate(s, k)
 
 
+def _beside(c: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Each candidate with the figures of its group, where there are some; null keys are groups too."""
+    figures = [F.col(f"o.{x}").alias(x) for x in other.columns if x not in keys]
+    return c.alias("c").join(other.alias("o"), same("c", "o", keys)).select("c.*", *figures)
+
+
 def quota(c: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
     """Each answering stripe gives its share of ``k`` by size (half to even, one at least), ordered by rank; no sizes, no list."""
-    returned = c.select(*LIST, "stripe").distinct().join(F.broadcast(sizes.select("stripe", "n_docs")), "stripe", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    total = returned.groupBy(*LIST).agg(F.sum("n_docs").alias("_all"))
-    shares = returned.join(total, LIST).filter("_all > 0").select(*LIST, "stripe", F.greatest(F.lit(1), F.bround(F.lit(float(k)) * F.col("n_docs") / F.col("_all"))).alias("_quota"))
-    return rank_and_truncate(c.join(shares, [*LIST, "stripe"]).filter("hit_rank <= _quota").withColumn("fused_score", -F.col("hit_rank").cast("double")), k)
+    returned = c.select(*LIST, "stripe").distinct().join(sizes.select("stripe", "n_docs"), "stripe", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+    total = F.sum("n_docs").over(Window.partitionBy(*LIST))
+    shares = returned.withColumn("_all", total).filter("_all > 0").select(*LIST, "stripe", F.greatest(F.lit(1), F.bround(F.lit(float(k)) * F.col("n_docs") / F.col("_all"))).alias("_quota"))
+    return rank_and_truncate(_beside(c, shares, [*LIST, "stripe"]).filter("hit_rank <= _quota").withColumn("fused_score", -F.col("hit_rank").cast("double")), k)
 
 
 def minmax(c: DataFrame, k: int = 10) -> DataFrame:
     """Scores of a stripe stretched to 0..1; without a range all are 1."""
     s = c.groupBy(*LIST, "stripe").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
-    return rank_and_truncate(c.join(s, [*LIST, "stripe"]).withColumn("fused_score", score), k)
+    return rank_and_truncate(_beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score), k)
 
 
 def zscore(c: DataFrame, k: int = 10) -> DataFrame:
     """Scores of a stripe in population standard deviations from their mean; without a spread all are 0."""
     s = c.groupBy(*LIST, "stripe").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
-    return rank_and_truncate(c.join(s, [*LIST, "stripe"]).withColumn("fused_score", score), k)
+    return rank_and_truncate(_beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score), k)
 
 
 def by_vector(c: DataFrame, k: int = 10) -> DataFrame:
@@ -89,21 +100,22 @@ def by_vector(c: DataFrame, k: int = 10) -> DataFrame:
     return rank_and_truncate(c.withColumn("fused_score", F.coalesce("vector_similarity", F.when(F.col("mode") == "Vector", F.col("score")))), k)
 
 
-def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS, delivered: DataFrame | None = None) -> DataFrame:
     """Both legs ranked anew over all stripes, reciprocal ranks summed; hits of no leg are dropped.
 
-    Queries over ``hot_rows`` hits (and a thousandth of all, so fewer than a thousand queries) are ranked by ranges
-    of the score instead of in one task; the ranks are the same.
+    Queries over ``hot_rows`` hits are ranked by ranges of (list, score) instead of in one task; the ranks are the
+    same. ``delivered`` is a table in which the hits of a query can be counted where ``c`` is costly to make; it may
+    count too many.
     """
-    hot = hot_keys(c.select("query_id"), "query_id", hot_rows)
+    hot = hot_keys((c if delivered is None else delivered).select("query_id"), "query_id", hot_rows)
+    usual, big = parted(c, hot, "query_id")
     share = lambda rank: F.lit(1.0) / (F.lit(float(constant)) + rank)
-    usual = c.filter(~F.col("query_id").isin(hot)) if hot else c
-    placed = lambda name: F.when(F.col(name).isNotNull(), share(F.row_number().over(Window.partitionBy(*LIST).orderBy(F.col(name).desc_nulls_last(), "doc_id", "stripe_pos"))))
+    ties = [F.col("doc_id"), F.col("stripe_pos"), F.col("stripe")]
+    placed = lambda name: F.when(F.col(name).isNotNull(), share(F.row_number().over(Window.partitionBy(*LIST).orderBy(F.col(name).desc_nulls_last(), *ties))))
     parts = usual.withColumn("_t", placed("text_score")).withColumn("_v", placed("vector_similarity"))
-    if hot:
-        big = c.filter(F.col("query_id").isin(hot))
+    if big is not None:
         for name, out in (("text_score", "_t"), ("vector_similarity", "_v")):
-            ranked = ranked_by_range(big.filter(F.col(name).isNotNull()), LIST, name, "_r", [F.col("doc_id"), F.col("stripe_pos")])
+            ranked = ranked_by_range(big.filter(F.col(name).isNotNull()), LIST, name, "_r", ties)
             big = ranked.withColumn(out, share(F.col("_r"))).drop("_r").unionByName(big.filter(F.col(name).isNull()).withColumn(out, F.lit(None).cast("double")))
         parts = parts.unionByName(big)
     both = F.when(F.col("_t").isNotNull() | F.col("_v").isNotNull(), F.coalesce("_t", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0)))
@@ -130,19 +142,20 @@ def idf_corrected(c: DataFrame, factors: DataFrame, k: int = 10) -> DataFrame:
     return rank_and_truncate(joined.withColumn("fused_score", F.when(F.col("_has"), base).otherwise(F.col("score"))), k)
 
 
-def rescored(c: DataFrame, tf: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, local: bool = False) -> DataFrame:
-    """BM25 recomputed from the text with corpus-wide (or, as a control, the stripe's own) statistics.
+def rescored(c: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, local: bool = False) -> DataFrame:
+    """BM25 recomputed from the postings with corpus-wide (or, as a control, the stripe's own) statistics.
 
-    Candidates that hold no query term keep their place at 0; queries without terms keep the raw score.
+    ``near`` (doc_id, stripe, doc_len, term, tf) is read for the candidates' own terms only. Candidates that hold no
+    query term keep their place at 0; queries without terms keep the raw score.
     """
     keys = ["stripe", "term"] if local else ["term"]
-    near = tf.join(c.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").join(df.select(*keys, "df"), keys)
+    own = c.select("query_id", "doc_id").distinct().join(qterms, "query_id").join(near.select("doc_id", "stripe", "doc_len", "term", "tf"), ["doc_id", "term"]).join(df.select(*keys, "df"), keys)
     if local:
-        near = near.join(F.broadcast(size), "stripe")
+        own = own.join(F.broadcast(size), "stripe")
     else:
-        near = near.withColumn("n_docs", size.select("n_docs").scalar()).withColumn("avgdl", size.select("avgdl").scalar())
+        own = own.withColumn("n_docs", size.select("n_docs").scalar()).withColumn("avgdl", size.select("avgdl").scalar())
     part = bm25(idf(F.col("df"), F.col("n_docs")), F.col("tf").cast("double"), F.col("doc_len"), F.col("avgdl"))
-    sums = near.groupBy("query_id", "doc_id").agg(F.sum(part).alias("_b"))
+    sums = own.groupBy("query_id", "doc_id").agg(F.sum(part).alias("_b"))
     has = qterms.select("query_id").distinct().withColumn("_has", F.lit(True))
     joined = c.join(sums, ["query_id", "doc_id"], "left").join(has, "query_id", "left")
     return rank_and_truncate(joined.withColumn("fused_score", F.when(F.col("_has"), F.coalesce("_b", F.lit(0.0))).otherwise(F.col("score"))), k)
@@ -167,23 +180,29 @@ def selected(queries: DataFrame, stripes: list[str], per_stripe: DataFrame, thre
     return kept.join(n, "query_id").select("query_id", "stripe", "chosen")
 
 
-def selective(c: DataFrame, chosen: DataFrame, tf: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, total: int = 50) -> DataFrame:
+def selective(c: DataFrame, chosen: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, total: int = 50) -> DataFrame:
     """Only the chosen stripes answer, each with an equal part of ``total``. One stripe's list keeps its own order; several are rescored."""
     kept = c.join(chosen, ["query_id", "stripe"]).filter(F.col("hit_rank") <= F.ceil(F.lit(float(total)) / F.col("chosen")))
     own = Window.partitionBy(*LIST).orderBy(F.col("score").desc(), "hit_rank")
     one = kept.filter("chosen = 1").withColumn("fused_rank", F.row_number().over(own)).filter(F.col("fused_rank") <= k).select(*LIST, "doc_id", "stripe", F.col("score").alias("fused_score"), "fused_rank")
-    return one.unionByName(rescored(kept.filter("chosen > 1").drop("chosen"), tf, qterms, df, size, k))
+    return one.unionByName(rescored(kept.filter("chosen > 1").drop("chosen"), near, qterms, df, size, k))
+
 
+def by_reranker(c: DataFrame, k: int = 10, strict: bool = False) -> DataFrame:
+    """The second-stage score; hits without one are dropped.
 
-def by_reranker(c: DataFrame, k: int = 10) -> DataFrame:
-    """The second-stage score; hits without one are dropped. No score at all is an error of the run, see ``require_scores``."""
-    return rank_and_truncate(c.withColumn("fused_score", F.col("reranker_score")), k)
+    ``strict`` makes a run in which hits came but no hit of any list has such a score an error instead of an empty
+    result; it is raised when the plan runs, not when it is made, and costs one count beside the plan.
+    """
+    scored = c.withColumn("fused_score", F.col("reranker_score"))
+    return rank_and_truncate(require_scores(scored) if strict else scored, k)
 
 
 def require_scores(c: DataFrame) -> DataFrame:
-    if not c.filter("reranker_score is not null").limit(1).count():
-        raise ValueError("no candidate has a reranker score; run retrieval with the semantic stage")
-    return c
+    """The candidates, with an error raised on execution where there are some and none has a reranker score."""
+    seen = c.agg(F.count(F.lit(1)).alias("n"), F.count("reranker_score").alias("m")).select((F.col("n") > 0) & (F.col("m") == 0)).scalar()
+    text = "no candidate has a reranker score; run retrieval with the semantic stage"
+    return c.filter(F.when(seen, F.raise_error(F.lit(text)).cast("boolean")).otherwise(F.lit(True)))
 
 
 def reranked_again(c: DataFrame, scorer: DataFrame, k: int = 10, depth: int = 25) -> DataFrame:
@@ -219,6 +238,23 @@ def single_index(c: DataFrame, k: int = 10) -> DataFrame:
     return c.withColumn("fused_rank", F.row_number().over(order)).filter(F.col("fused_rank") <= k).select(*LIST, "doc_id", "stripe", F.round(score, 9).alias("fused_score"), "fused_rank")
 
 
-def explained(c: DataFrame, constant: int = 60) -> Column:
-    """How a reciprocal rank came about."""
-    return F.format_string(f"1/({constant}+%d) = %.6f", F.col("hit_rank"), F.lit(1.0) / (F.lit(float(constant)) + F.col("hit_rank")))
+# How the strategies explain a hit, in the order of the columns that each text takes.
+EXPLANATIONS = {
+    "naive-score": ("@search.score=%.4f from %s", ["score", "stripe"]),
+    "interleave": ("rank %d in %s", ["hit_rank", "stripe"]),
+    "global-rrf": ("1/(60+%d) = %.6f from %s", ["hit_rank", "fused_score", "stripe"]),
+    "minmax-norm": ("(%.4f-%.4f)/(%.4f-%.4f) = %.4f in %s", ["score", "_lo", "_hi", "_lo", "fused_score", "stripe"]),
+    "zscore-norm": ("z=(%.4f-%.4f)/%.4f = %.4f in %s", ["score", "_m", "_s", "fused_score", "stripe"]),
+    "vector-similarity": ("cosine=%.4f from %s", ["fused_score", "stripe"]),
+    "semantic-score": ("reranker=%.3f (0-4), from %s", ["fused_score", "stripe"]),
+}
+
+
+def explained(c: DataFrame, lists: DataFrame, strategy: str) -> DataFrame:
+    """The hits of a fused list with ``explanation``: how the strategy came to the score of the hit that was kept."""
+    pattern, columns = EXPLANATIONS[strategy]
+    keys = [*LIST, "stripe"]
+    hit = c.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"), F.min("hit_rank").alias("hit_rank"))
+    spread = c.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
+    both = _beside(_beside(lists, hit, [*keys, "doc_id"]), spread, keys)
+    return both.select(*lists.columns, F.format_string(pattern, *columns).alias("explanation"))

@@ -7,34 +7,83 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def value_range(value: Column) -> Column:
     """A coarse code that never decreases as the value grows; about 0.4 % of the value wide, at any scale and sign."""
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * F.lit(1e6)) * F.lit(256.0)).cast("long")
 
 
-def hot_keys(df: DataFrame, key: str, floor: int, at_most: int = 1000) -> list:
-    """Keys that hold more than ``max(floor, rows / at_most)`` rows: fewer than ``at_most`` of them, whatever the size."""
-    limit = max(floor, df.count() // at_most)
-    counts = df.groupBy(key).count()
-    return [r[0] for r in counts.filter((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]
+#: Hot keys up to this number are broadcast; more are joined by shuffle.
+FEW_KEYS = 10_000
+#: Rows of equal value in one group that are joined to their rank in one task.
+HEAVY_ROWS = 200_000
+
+
+def hot_keys(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """A table of the keys that hold more than ``limit`` rows, or None where there is none; null is no key.
+
+    One counting job. The limit does not grow with the data, so a key below it is always small enough for one task;
+    the keys stay a table, which is broadcast only where they are few.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = durable(counts.filter((F.col("_n") > limit) & F.col(key).isNotNull()).select(key))
+    n = hot.count()
+    if not n:
+        return None
+    return F.broadcast(hot) if n <= FEW_KEYS else hot
+
+
+def parted(rows: DataFrame, hot: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of usual keys, nulls among them, and rows of hot keys."""
+    if hot is None:
+        return rows, None
+    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+
+
+def summed_by_range(df: DataFrame, group: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:
+    """Add the sum of ``amount`` over the rows before each row in its group, in a total ``order``; 0 for the first.
+
+    Rows are cut into ranges of (group, order), so a task holds about as many rows whatever the groups are; the sums
+    of a group's earlier ranges, one row each, are added. The ranges are written once to the shared folder, as they
+    would differ if a lost task had to make them again.
+    """
+    whole = [*[F.col(g) for g in group], *order]
+    cut = df.repartitionByRange(*whole).withColumn("_p", F.spark_partition_id()).withColumn("_a", amount)
+    rows = durable(cut)
+    sums = rows.groupBy("_p", *group).agg(F.sum("_a").alias("_s"))
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_p", *group, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
+    joined = placed.alias("r").join(starts.alias("s"), same("r", "s", ["_p", *group]))
+    return joined.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("r._before") + F.col("s._start")).alias(out))
 
 
-def ranked_by_range(df: DataFrame, group: list[str], value: str, rank: str, ties: list[Column] | None = None) -> DataFrame:
-    """Add the 1-based rank of each row in its group, highest value first.
+def ranked_by_range(df: DataFrame, group: list[str], value: str, rank: str, ties: list[Column] | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Add the 1-based rank of each row in its group, highest value first, without a group in one task.
 
-    Rows are spread by (group, range of the value); the rows in higher ranges of the group are counted per range
-    and added to the rank within the range. Without ``ties`` equal values share a rank (1, 1, 3), with ``ties``
-    the order is total. Only the counts per range, a few thousand a group, are summed in order.
+    With ``ties``, which make the order total, rows are ranked one by one, equal values too. Without, equal values
+    share a rank (1, 1, 3): the distinct values are ranked with their counts, and a value that more than
+    ``heavy_rows`` rows have is joined back in parts, cut by a hash of the row. Null groups are groups of their own.
     """
-    ranged = df.withColumn("_range", value_range(F.col(value)))
-    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*group).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    within = Window.partitionBy(*group, "_range").orderBy(F.col(value).desc(), *(ties or []))
-    local = F.row_number() if ties else F.rank()
-    joined = ranged.join(offsets, [*group, "_range"])
-    return joined.withColumn(rank, local.over(within) + F.col("_above")).drop("_range", "_above")
+    if ties:
+        return summed_by_range(df, group, [F.col(value).desc(), *ties], F.lit(1), "_before").withColumn(rank, F.col("_before") + 1).drop("_before")
+    distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = durable(summed_by_range(distinct, group, [F.col(value).desc()], F.col("_n"), "_before").select(*group, value, "_n", (F.col("_before") + 1).alias("_rank")))
+    parts = F.ceil(F.col("_n") / F.lit(heavy_rows)).cast("int")
+    keys = [*group, value]
+    rows, spread = df.withColumn("_salt", F.lit(0)), ranks.withColumn("_salt", F.lit(0))
+    heavy = ranks.filter(F.col("_n") > heavy_rows).select(*keys, parts.alias("_ways"))
+    n = heavy.count()
+    if n:
+        few = F.broadcast(heavy) if n <= FEW_KEYS else heavy
+        salted = df.alias("r").join(few.alias("h"), same("r", "h", keys), "left")
+        rows = salted.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], F.pmod(F.xxhash64(*[F.col(f"r.{c}") for c in df.columns]), F.coalesce("h._ways", F.lit(1))).cast("int").alias("_salt"))
+        spread = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    joined = rows.alias("r").join(spread.alias("s"), same("r", "s", [*keys, "_salt"]))
+    return joined.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], F.col("s._rank").alias(rank))
 
 
 def same(a: str, b: str, keys: list[str]) -> Column:
