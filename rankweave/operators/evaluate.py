@@ -49,11 +49,6 @@ def metered(semantic: Column, agentic: Column, model: Column) -> Column:
     return semantic * F.lit(PER_1K_SEMANTIC) + agentic * F.lit(0.001 * PER_1M_AGENTIC) + model * F.lit(0.001 * PER_1M_MODEL)
 
 
-def price(dollars: Column) -> Column:
-    """Dollars as printed: a dash for none, three decimals under one dollar."""
-    return F.when(dollars.isNull() | (dollars <= 0), "—").when(dollars < 0.01, "<$0.01").when(dollars < 1, F.format_string("$%.3f", dollars)).otherwise(F.format_string("$%.2f", dollars))
-
-
 def cost_tradeoff(summary: DataFrame, baseline: str, requests: DataFrame | None = None) -> DataFrame:
     """Quality, cost and capacity of each strategy against the baseline of its mode.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_language, parse_rating, parse_year, split_authors
+from .ranks import summed_by_range
 
 
 def catalog(books: DataFrame) -> DataFrame:
@@ -69,17 +70,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("r")).select(*keys, "r.*").select(old.columns)
 
 
-def stride_places(count: int, take: int) -> set[int]:
-    return {int(i * count / take) for i in range(min(take, count))} if take > 0 else set()
-
-
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Add ``place`` (from 0) in a total order, by range partitions and their counts rather than one sort in one task."""
-    part = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    part = part.withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m").persist()
-    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return part.join(F.broadcast(starts), "_p").withColumn("place", F.col("_s") + F.col("_i")).drop("_p", "_s", "_i")
+    return summed_by_range(rows, [], [F.col(c) for c in order], F.lit(1), "place")
 
 
 def stride_sample(rows: DataFrame, order: list[str], take: int) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import normal_cdf, normal_quantile, student_t_p
+from ..session import durable
+from .ranks import summed_by_range
 
 ITERATIONS, SEED = 10_000, 20260904
+#: Pairs of a group that are resampled in one task.
+BLOCK_ROWS = 65_536
 GROUP = ["mode", "strategy"]
 
 
@@ -50,13 +53,13 @@ def paired_t(d: DataFrame) -> DataFrame:
 def wilcoxon(d: DataFrame) -> DataFrame:
     """Signed-rank p by the normal approximation with midranks, tie and continuity corrections; zeros are dropped.
 
-    Midranks come from the counts of equal sizes, which are summed before they are ordered, so a group's rows are
-    never sorted in one task, only its distinct sizes. Fewer than two differences or no variance give 1.
+    Midranks come from the counts of equal sizes, which are added up range by range, so that no group's sizes are
+    ordered in one task. Fewer than two differences or no variance give 1.
     """
     z = d.filter("d <> 0").withColumn("a", F.round(F.abs("d"), 12))
     peers = z.groupBy(*GROUP, "a").agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*GROUP).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    mid = peers.withColumn("r", before + (F.col("c") + 1) / 2.0)
+    placed = summed_by_range(peers, GROUP, [F.col("a")], F.col("c"), "_before")
+    mid = placed.withColumn("r", F.col("_before") + (F.col("c") + 1) / 2.0)
     c = F.col("c").cast("double")
     s = mid.groupBy(*GROUP).agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("up")).alias("w"), F.sum(c * (c * c - 1) / 48.0).alias("tie"))
     n = F.col("n").cast("double")
@@ -88,42 +91,89 @@ def holm(tests: DataFrame, p: str, within: list[str], out: str = "p_holm") -> Da
     return stepped.withColumn(out, F.max("_q").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_q")
 
 
-def _poisson_sums(iterations: int, seed: int):
-    """Per group the bootstrap sums and counts of a batch: a pair enters iteration i as often as its own Poisson(1) draw says."""
+# The multipliers of the hash that draws.
+MIX = (73244475, 48271, 40503)
+_LOW = (1 << 31) - 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = ((x ^ (x >> 16)) * MIX[0]) & _LOW
+    x = ((x ^ (x >> 15)) * MIX[1]) & _LOW
+    return x ^ (x >> 16)
+
+
+def drawn(iterations: np.ndarray, draws: np.ndarray, n: int, seed: int, block: int = 0) -> np.ndarray:
+    """The places from 0 to n - 1 that the draws of the iterations fall on (a row each iteration): a hash of both, the same for equal n."""
+    start = _mixed((iterations.astype(np.int64) * MIX[2] + seed + block) & _LOW)
+    return (_mixed((start[:, None] + draws.astype(np.int64)[None, :] * MIX[1]) & _LOW) * n) >> 31
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-        for batch in batches:
-            for key, part in batch.groupby(GROUP, dropna=False):
-                sums, counts = held.setdefault(key, [np.zeros(iterations), np.zeros(iterations)])
-                for q, x in zip(part["q"].to_numpy(), part["d"].to_numpy()):
-                    w = np.random.default_rng([seed, int(q) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, iterations)
-                    sums += w * x
-                    counts += w
-        for key, (sums, counts) in held.items():
-            yield pd.DataFrame({"mode": key[0], "strategy": key[1], "i": np.arange(iterations), "s": sums, "c": counts})
+
+def shared_out(sizes: np.ndarray, block: int, iterations: int, seed: int) -> np.ndarray:
+    """How many of n draws fall into a block of a group of n pairs, for each iteration.
+
+    The draws are divided between the halves of the blocks, and again, by binomial numbers seeded with the halves:
+    every block finds its own number alone, and the numbers of all blocks add up to n.
+    """
+    low, high = 0, len(sizes)
+    left = np.full(iterations, int(sizes.sum()), dtype=np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = sizes[low:mid].sum() / sizes[low:high].sum()
+        first = np.random.default_rng([seed, low, high]).binomial(left, share)
+        if block < mid:
+            high, left = mid, first
+        else:
+            low, left = mid, left - first
+    return left
+
+
+def _block_sums(iterations: int, seed: int):
+    """Bootstrap sums of one block of a group's pairs, an Arrow batch of iterations at a time."""
+
+    def run(part: pa.Table) -> pa.Table:
+        order = pc.sort_indices(part, sort_keys=[("query_id", "ascending"), ("d", "ascending")])
+        d = np.asarray(part["d"].take(order))
+        block, sizes = part["_block"][0].as_py(), np.array(part["_sizes"][0].as_py(), dtype=np.int64)
+        times = shared_out(sizes, block, iterations, seed)
+        sums = np.zeros(iterations)
+        step = max(1, 2_000_000 // max(1, int(times.max(initial=1))))
+        for i in range(0, iterations, step):
+            at = np.arange(i, min(i + step, iterations))
+            draws = np.arange(int(times[at].max(initial=0)))
+            taken = d[drawn(at, draws, len(d), seed, block)]
+            sums[at] = taken.sum(axis=1) if (times[at] == len(draws)).all() else np.where(draws[None, :] < times[at][:, None], taken, 0.0).sum(axis=1)
+        key = {g: pa.array([part[g][0].as_py()] * iterations, pa.string()) for g in GROUP}
+        return pa.table({**key, "i": pa.array(np.arange(iterations, dtype=np.int32)), "s": pa.array(sums)})
 
     return run
 
 
-def bootstrap_ci(d: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean by resampling the pairs, linearly interpolated: (mode, strategy, ci_low, ci_high).
+def bootstrap_ci(d: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, level: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Percentile interval of the mean by resampling n of n pairs, linearly interpolated: (mode, strategy, ci_low, ci_high).
 
-    Every pair draws its own Poisson weight for each iteration from a generator seeded by its query, so partial sums
-    of any partitioning add up to the same resamples and no group has to be in one place. For n pairs the draws
-    differ from sampling n of n with replacement only in that their number varies around n.
+    Every draw is a hash of its iteration and number, so groups of equal size see the same draws and a run can be
+    repeated. A group of more than ``block_rows`` pairs is cut into blocks; the number of draws that fall into each
+    is binomial, so that together they are n again, and no task holds more than about a block. Pairs with a null key
+    or difference are left out; an empty table gives no rows.
     """
-    rows = d.select(*GROUP, F.xxhash64("query_id").alias("q"), "d")
-    parts = rows.mapInPandas(_poisson_sums(iterations, seed), "mode string, strategy string, i int, s double, c double")
-    means = parts.groupBy(*GROUP, "i").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("m")).filter("m is not null")
+    ok = d.dropna(subset=[*GROUP, "query_id", "d"]).select(*GROUP, F.col("query_id").cast("string").alias("query_id"), F.col("d").cast("double").alias("d"))
+    n = ok.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
+    cut = ok.join(n, GROUP).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int"))
+    held = cut.groupBy(*GROUP, "_block").agg(F.count(F.lit(1)).alias("_c"))
+    # the blocks that hold pairs are numbered in order; a group has one for each block_rows of its pairs
+    shape = held.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_s"))
+    shape = shape.select(*GROUP, F.transform("_s", lambda x: x["_c"]).alias("_sizes"), F.transform("_s", lambda x: x["_block"]).alias("_names"))
+    rows = cut.join(shape, GROUP).select(*GROUP, "query_id", "d", (F.array_position("_names", F.col("_block")) - 1).cast("int").alias("_block"), "_sizes")
+    sums = rows.groupBy(*GROUP, "_block").applyInArrow(_block_sums(iterations, seed), "mode string, strategy string, i int, s double")
+    means = sums.groupBy(*GROUP, "i").agg(F.sum("s").alias("s")).join(n, GROUP).withColumn("m", F.col("s") / F.col("_n"))
     tail = (1 - level) / 2
     return means.groupBy(*GROUP).agg(F.percentile("m", tail).alias("ci_low"), F.percentile("m", 1 - tail).alias("ci_high"))
 
 
 def table(records: DataFrame, value: str, order: str, baseline: str, within: str = "mode") -> DataFrame:
-    """Every strategy against the baseline: counts, mean, t, Wilcoxon, effect and Holm-corrected p within a mode."""
-    d = differences(first_per_query(records, value, order), baseline)
-    out = summary(d).join(paired_t(d), GROUP).join(wilcoxon(d), GROUP).join(effect(d), GROUP)
+    """Every strategy against the baseline: counts, mean with its interval, t, Wilcoxon, effect and Holm-corrected p within a mode."""
+    d = durable(differences(first_per_query(records, value, order), baseline))
+    out = summary(d).join(bootstrap_ci(d), GROUP).join(paired_t(d), GROUP).join(wilcoxon(d), GROUP).join(effect(d), GROUP)
     return holm(out, "t_p", [within])
 
 
@@ -168,7 +218,3 @@ def histogram(grades: DataFrame, grade: str) -> DataFrame:
     counts = g.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy(F.lit(1))
     return counts.select("grade", "n", (F.col("n") / F.sum("n").over(every)).alias("share"), (F.sum(F.when(F.col("grade") >= 2, F.col("n")).otherwise(0)).over(every) / F.sum("n").over(every)).alias("relevant_share"))
-
-
-def standard_score(p: Column) -> Column:
-    return normal_quantile(p)

@@ -1,5 +1,10 @@
+"""Tests of significance against plain-Python versions and tabulated critical values."""
+
 import math
+import random
+from statistics import fmean, stdev
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,52 +23,118 @@ def one(df, strategy):
     return df.filter(F.col("strategy") == strategy).first()
 
 
-def test_t_test(spark):
-    d = diffs(spark, {"same": [0] * 5, "shift": [0.1] * 5, "steps": [1, 2, 3, 4, 5], "single": [4]})
-    t = sig.paired_t(d)
-    assert tuple(one(t, "same"))[2:] == (0.0, 1.0) and tuple(one(t, "single"))[2:] == (0.0, 1.0)
-    assert one(t, "shift")["t_p"] == 0.0 and one(t, "shift")["t"] == math.inf
-    assert one(t, "steps")["t"] == pytest.approx(4.2426, abs=1e-4) and one(t, "steps")["t_p"] == pytest.approx(0.01324, abs=1e-5)
-    s = sig.summary(d)
-    assert one(s, "same")["ties"] == 5 and one(s, "steps")["wins"] == 5
-    e = sig.effect(d)
-    assert one(e, "same")["mde"] == 0 and one(e, "steps")["cohens_d"] == pytest.approx(3 / math.sqrt(2.5))
+def t_density(t, df):
+    return math.gamma((df + 1) / 2) / (math.sqrt(df * math.pi) * math.gamma(df / 2)) * (1 + t * t / df) ** (-(df + 1) / 2)
 
 
-def test_critical_values(spark):
-    rows = spark.createDataFrame([(2.228, 10), (2.086, 20), (2.009, 50), (0.0, 3), (12.706, 1)], "t double, df int")
-    p = [r[0] for r in rows.select(statistics.student_t_p(F.col("t"), F.col("df"))).collect()]
-    assert p == pytest.approx([0.05, 0.05, 0.05, 1.0, 0.05], abs=2e-4)
+def t_p(t, df, steps=20_000):
+    """Two-sided p by the trapezoid rule over the density."""
+    xs = np.linspace(0, abs(t), steps)
+    return 1 - 2 * np.trapezoid([t_density(x, df) for x in xs], xs)
 
 
-def test_normal(spark):
-    r = spark.range(1).select(*[statistics.normal_quantile(F.lit(x)) for x in (0.975, 0.5, 0.01, 0.0, 1.0)], statistics.normal_cdf(F.lit(1.959964)), statistics.erf(F.lit(-0.5))).first()
-    assert tuple(r) == pytest.approx((1.959964, 0, -2.326348, 0, 0, 0.975, -0.5204999), abs=2e-6)
+GAINS = [0.31, -0.12, 0.08, 0.44, 0.27, -0.05, 0.19, 0.36, 0.02, 0.15, -0.21, 0.4]
 
 
-def test_wilcoxon_drops_ties_and_is_symmetric(spark):
-    base = [0.3, -0.1, 0.2, 0.5, -0.4, 0.25, 0.2]
-    d = diffs(spark, {"plain": base, "ties": base + [0] * 20, "swapped": [-x for x in base], "zeros": [0, 0]})
-    w = sig.wilcoxon(d)
-    assert one(w, "plain")["w_p"] == pytest.approx(one(w, "ties")["w_p"]) == pytest.approx(one(w, "swapped")["w_p"])
-    assert one(w, "zeros")["w_p"] == 1.0
+def test_t_test_matches_integration(spark):
+    d = diffs(spark, {"gains": GAINS, "none": [0.0] * 7, "steady": [-0.25] * 9, "lone": [0.7], "pair": [0.5, 0.1]})
+    t = sig.paired_t(d)
+    for name, xs in (("gains", GAINS), ("pair", [0.5, 0.1])):
+        want = fmean(xs) / (stdev(xs) / math.sqrt(len(xs)))
+        assert one(t, name)["t"] == pytest.approx(want) and one(t, name)["t_p"] == pytest.approx(t_p(want, len(xs) - 1), abs=1e-6)
+    assert tuple(one(t, "none"))[2:] == (0.0, 1.0) == tuple(one(t, "lone"))[2:]
+    assert one(t, "steady")["t_p"] == 0.0 and one(t, "steady")["t"] == -math.inf
+    s = sig.summary(d)
+    assert tuple(one(s, "gains"))[-3:] == (9, 3, 0) and one(s, "none")["ties"] == 7
+    e = sig.effect(d)
+    assert one(e, "none")["mde"] == 0 and one(e, "gains")["cohens_d"] == pytest.approx(fmean(GAINS) / stdev(GAINS))
 
 
-def test_holm(spark):
-    t = spark.createDataFrame([("K", f"s{i}", p) for i, p in enumerate([0.01, 0.02, 0.03, 0.04, 0.05])], "mode string, strategy string, p double")
-    got = [r["p_holm"] for r in sig.holm(t, "p", ["mode"]).orderBy("p").collect()]
-    assert got == pytest.approx([0.05, 0.08, 0.09, 0.09, 0.09])
+# Two-sided critical values of Student's t (t, degrees of freedom, p) as tables print them.
+CRITICAL = [(6.314, 1, 0.10), (4.303, 2, 0.05), (4.032, 5, 0.01), (2.131, 15, 0.05), (2.750, 30, 0.01), (1.980, 120, 0.05)]
 
 
-def test_bootstrap(spark):
-    d = diffs(spark, {"shift": [0.1] * 40, "spread": [math.sin(i) for i in range(200)]})
-    got = sig.bootstrap_ci(d, 400)
-    assert one(got, "shift")["ci_low"] == pytest.approx(0.1) == one(got, "shift")["ci_high"]
-    xs = [math.sin(i) for i in range(200)]
-    m, s = sum(xs) / 200, math.sqrt(sum(x * x for x in xs) / 200 / 200)
-    assert one(got, "spread")["ci_low"] == pytest.approx(m - 1.96 * s, abs=0.03) and one(got, "spread")["ci_high"] == pytest.approx(m + 1.96 * s, abs=0.03)
-    again = sig.bootstrap_ci(d.repartition(7), 400)
-    assert one(again, "spread")["ci_low"] == pytest.approx(one(got, "spread")["ci_low"], abs=1e-9)
+def test_critical_values(spark):
+    rows = spark.createDataFrame([(t, n) for t, n, _ in CRITICAL] + [(0.0, 4)], "t double, df int")
+    p = [r[0] for r in rows.select(statistics.student_t_p(F.col("t"), F.col("df"))).collect()]
+    assert p == pytest.approx([p for *_, p in CRITICAL] + [1.0], abs=2e-4)
+
+
+def test_normal_functions(spark):
+    ps = [0.001, 0.02, 0.3, 0.5, 0.77, 0.98, 0.9995]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", statistics.normal_quantile(F.col("p")).alias("z"), statistics.normal_cdf(statistics.normal_quantile(F.col("p"))).alias("back")).collect()
+    for r in got:
+        assert 0.5 * math.erfc(-r["z"] / math.sqrt(2)) == pytest.approx(r["p"], abs=1e-8) and r["back"] == pytest.approx(r["p"], abs=2e-7)
+    assert tuple(spark.range(1).select(*[statistics.normal_quantile(F.lit(x)) for x in (0.0, 1.0, -3.0)]).first()) == (0, 0, 0)
+
+
+def brute_wilcoxon(xs):
+    xs = [x for x in xs if x]
+    n = len(xs)
+    sizes = sorted(abs(x) for x in xs)
+    rank = {a: fmean(i + 1 for i, b in enumerate(sizes) if b == a) for a in sizes}
+    w = sum(rank[abs(x)] for x in xs if x > 0)
+    var = n * (n + 1) * (2 * n + 1) / 24 - sum(c**3 - c for c in (sizes.count(a) for a in set(sizes))) / 48
+    if n < 2 or var <= 0:
+        return 1.0
+    z = max(abs(w - n * (n + 1) / 4) - 0.5, 0) / math.sqrt(var)
+    return min(1.0, math.erfc(z / math.sqrt(2)))
+
+
+def test_wilcoxon_matches_brute_force(spark):
+    rng = random.Random(5)
+    groups = {f"s{i}": [rng.choice([0, 0.1, -0.1, 0.2, round(rng.gauss(0.1, 0.3), 2)]) for _ in range(rng.randint(2, 60))] for i in range(8)} | {"zeros": [0, 0, 0], "lone": [0.4]}
+    got = {r["strategy"]: r["w_p"] for r in sig.wilcoxon(diffs(spark, groups)).collect()}
+    assert got == {k: pytest.approx(brute_wilcoxon(v), abs=3e-7) for k, v in groups.items()}
+
+
+def brute_holm(ps):
+    out, top = {}, 0.0
+    for i, (name, p) in enumerate(sorted(ps.items(), key=lambda x: (x[1], x[0]))):
+        top = max(top, min(1.0, (len(ps) - i) * p))
+        out[name] = top
+    return out
+
+
+def test_holm_matches_brute_force(spark):
+    rng = random.Random(6)
+    ps = {f"s{i:02}": round(rng.random() ** 4, 4) for i in range(13)} | {"tie1": 0.013, "tie2": 0.013}
+    t = spark.createDataFrame([("K", k, p) for k, p in ps.items()], "mode string, strategy string, p double")
+    assert {r["strategy"]: r["p_holm"] for r in sig.holm(t, "p", ["mode"]).collect()} == pytest.approx(brute_holm(ps))
+
+
+def test_bootstrap_draws_n_of_n(spark):
+    """Against the same hash drawn in plain Python."""
+    xs = [math.sin(i) for i in range(57)]
+    order = sorted((f"q{i}", x) for i, x in enumerate(xs))
+
+    def mixed(x):
+        x = ((x ^ x >> 16) * sig.MIX[0]) & 0x7FFFFFFF
+        x = ((x ^ x >> 15) * sig.MIX[1]) & 0x7FFFFFFF
+        return x ^ x >> 16
+
+    means = []
+    for i in range(300):
+        start = mixed((i * sig.MIX[2] + sig.SEED) & 0x7FFFFFFF)
+        means.append(fmean(order[(mixed((start + j * sig.MIX[1]) & 0x7FFFFFFF) * 57) >> 31][1] for j in range(57)))
+    got = sig.bootstrap_ci(diffs(spark, {"x": xs, "flat": [0.3] * 20}), 300)
+    assert (one(got, "x")["ci_low"], one(got, "x")["ci_high"]) == pytest.approx((np.quantile(means, 0.025), np.quantile(means, 0.975)))
+    assert one(got, "flat")["ci_low"] == pytest.approx(0.3) == one(got, "flat")["ci_high"]
+
+
+def test_bootstrap_of_groups_in_blocks(spark):
+    """Blocks draw n of n together, and give the interval of the normal approximation."""
+    sizes = np.array([40, 3, 57, 1, 99])
+    parts = [sig.shared_out(sizes, b, 500, 1) for b in range(5)]
+    assert (sum(parts) == 200).all() and abs(parts[0].mean() - 40) < 1.5
+    rng = random.Random(9)
+    xs = [rng.gauss(0.2, 1.0) for _ in range(400)]
+    d = diffs(spark, {"x": xs})
+    whole, cut = (one(sig.bootstrap_ci(d.repartition(p), 1000, block_rows=b), "x") for p, b in ((1, 65_536), (5, 50)))
+    gap = 1.96 * stdev(xs) / 20
+    for r in (whole, cut):
+        assert r["ci_low"] == pytest.approx(fmean(xs) - gap, abs=0.02) and r["ci_high"] == pytest.approx(fmean(xs) + gap, abs=0.02)
+    assert sig.bootstrap_ci(d.limit(0), 10).count() == 0
 
 
 def test_first_record_of_a_query_wins(spark):
