@@ -25,11 +25,6 @@ def tokenize(text: Column | str, stop: bool = True) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
-def searchable(title: Column | str, authors: Column | str, blurb: Column | str) -> Column:
-    """The searchable fields as one text; a list of authors is joined by blanks, nulls are left out."""
-    return F.concat_ws(" ", _col(title), F.array_join(_col(authors), " "), _col(blurb))
-
-
 def query_terms(text: Column | str) -> Column:
     """The distinct tokens of a query in order of first appearance."""
     return F.array_distinct(tokenize(text))

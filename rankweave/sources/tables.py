@@ -81,21 +81,24 @@ def duplicated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def save_statistics(tables: dict[str, DataFrame], path: str) -> None:
-    """Statistics tables, each stamped with and divided by the name of the split."""
+    """Statistics tables, each stamped with and divided by the name of the split; those without a name stay unqualified."""
     for name, t in tables.items():
-        t.write.mode("overwrite").partitionBy("split").parquet(f"{path}/{name}")
+        stamped = t if "split" in t.columns else t.withColumn("split", F.lit(None).cast("string"))
+        stamped.write.mode("overwrite").partitionBy("split").parquet(f"{path}/{name}")
 
 
 def load_statistics(spark: SparkSession, path: str, split: Split) -> dict[str, DataFrame]:
-    """The tables of one split; statistics of another split are an error, not a fallback."""
-    out = {}
+    """The tables of one split; where there are none, the unqualified ones. Statistics stamped with another split are an error, never a fallback."""
+    out, wanted = {}, None
     for name in ("global", "stripe", "df_global", "df_local"):
         t = spark.read.parquet(f"{path}/{name}")
-        own = t.filter(F.col("split") == split.name)
-        if name == "global" and not own.limit(1).count():
-            have = [r["split"] for r in t.select("split").distinct().limit(20).collect()]
-            raise ValueError(f"no statistics for split {split.name!r}; there are {have}")
-        out[name] = own
+        t = t.withColumn("split", F.col("split").cast("string"))
+        if wanted is None:
+            have = {r["split"] for r in t.select("split").distinct().limit(100).collect()}
+            if split.name not in have and None not in have:
+                raise ValueError(f"no statistics for split {split.name!r}; there are {sorted(have)}")
+            wanted = F.col("split") == split.name if split.name in have else F.col("split").isNull()
+        out[name] = t.filter(wanted)
     return out
 
 

@@ -1,10 +1,8 @@
-"""What a corpus, a request and a fusion are, as plain values."""
+"""What a corpus and its division are, as plain values."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -31,25 +29,3 @@ class Split:
         if self.kind == "temporal":
             return f"temporal-{self.cut}"
         return f"random-{self.seed}" if self.kind == "hash" else self.kind
-
-
-@dataclass(frozen=True)
-class RetrievalRequest:
-    mode: str = "Keyword"
-    size: int = 50
-    k1: float = 1.2
-    b: float = 0.75
-    exhaustive: bool = True
-    semantic: bool = False
-    where: str | None = None
-
-
-@dataclass(frozen=True)
-class FusionContext:
-    """What strategies may use besides the candidates."""
-
-    top_k: int = 10
-    stats: dict[str, DataFrame] = field(default_factory=dict)
-    query_terms: DataFrame | None = None
-    term_frequencies: DataFrame | None = None
-    budget: int = 50

@@ -10,11 +10,6 @@ from ..operators.corpus_stats import df_local, tokenized
 from ..spec import CorpusSpec
 
 
-def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sum of two (stripe, term, df) tables: batches that share no document add up."""
-    return old.unionByName(new).groupBy("stripe", "term").agg(F.sum("df").alias("df"))
-
-
 def compacted(parts: DataFrame) -> DataFrame:
     return parts.groupBy("stripe", "term").agg(F.sum("df").alias("df"))
 

@@ -48,6 +48,14 @@ def test_statistics_belong_to_their_split(spark, tmp_path):
     assert {(r["term"], r["df"]) for r in back["df_global"].collect()} == {("dragon", 2), ("wizard", 1)}
     with pytest.raises(ValueError, match="random-42"):
         tables.load_statistics(spark, str(tmp_path / "s"), Split("hash"))
+    plain = {k: v.drop("split") for k, v in s.items()}
+    tables.save_statistics(plain, str(tmp_path / "u"))
+    for split in (Split("category"), Split("hash")):  # unqualified statistics serve any split
+        assert tables.load_statistics(spark, str(tmp_path / "u"), split)["df_local"].count() == 3
+    both = {k: v.unionByName(plain[k].withColumn("split", F.lit(None).cast("string"))) for k, v in s.items()}
+    tables.save_statistics(both, str(tmp_path / "b"))
+    assert {r["split"] for r in tables.load_statistics(spark, str(tmp_path / "b"), Split("category"))["df_local"].collect()} == {"category"}
+    assert {r["split"] for r in tables.load_statistics(spark, str(tmp_path / "b"), Split("hash"))["df_local"].collect()} == {None}
     roll = {(r["term"], r["scope"]): r["df"] for r in corpus_stats.df_rollup(corpus_stats.tokenized(docs)).collect()}
     assert roll[("dragon", "all")] == 2 and roll[("dragon", "a")] == 1
 
