@@ -3,54 +3,51 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bm25, idf, query_terms
+from ..functions.text import bm25, idf, tokenize
+from ..session import durable
 
-#: Query vectors that travel with a task at once; a larger query set is searched block by block.
-VECTOR_BLOCK = 2048
+#: Query vectors, and vectors of the corpus, that one task multiplies.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 32_768
+#: Similarities that a task holds at once.
+CELLS = 4_000_000
+#: Query terms up to this number are broadcast to the postings; more are joined by shuffle.
+FEW_TERMS = 500_000
 #: Results that the second-stage scorer looks at per index.
 SEMANTIC_DEPTH = 50
 
 
-def terms_of(queries: DataFrame) -> DataFrame:
+def terms_of(queries: DataFrame, stop: bool = True) -> DataFrame:
     """(query_id, term): the distinct terms of each query; a query of stop words has none."""
-    return queries.select("query_id", F.explode(query_terms("text")).alias("term"))
+    return queries.select("query_id", F.explode(F.array_distinct(tokenize("text", stop))).alias("term"))
 
 
-def pruned(tokens: DataFrame, qterms: DataFrame, at_most: int = 5000) -> DataFrame:
-    """The tokenized corpus with only the queries' terms left in ``tokens``; lengths stay those of the whole texts.
+def postings(tokens: DataFrame, partitions: int) -> DataFrame:
+    """(doc_id, stripe, doc_len, term, tf) of every term, and for each document one row with the empty term.
 
-    Everything retrieval needs (frequencies, document frequencies, sizes) can then be had from these short rows, so
-    the texts are read once. A vocabulary over ``at_most`` terms is left to the joins, and the tokens stay whole.
+    Documents are cut into ``partitions`` by id before their terms are counted, so each is counted where it is and
+    later joins and sums by document need no further shuffle.
     """
-    words = [r[0] for r in qterms.select("term").distinct().limit(at_most + 1).collect()]
-    if len(words) > at_most:
-        return tokens
-    keep = (lambda t: t.isin(words)) if words else (lambda t: F.lit(False))
-    return tokens.withColumn("tokens", F.filter("tokens", keep))
+    rows = tokens.repartition(partitions, "doc_id").select("doc_id", "stripe", "doc_len", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    return rows.groupBy("doc_id", "stripe", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def frequencies(tokens: DataFrame, qterms: DataFrame) -> DataFrame:
-    """(query_id, stripe, doc_id, doc_len, term, tf) of the documents that hold a query term.
-
-    Postings are cut to the queries' vocabulary before anything is shuffled; Spark broadcasts that small side by
-    its own size check.
-    """
-    vocabulary = qterms.select("term").distinct()
-    hits = tokens.select("doc_id", "stripe", "doc_len", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    return hits.groupBy("doc_id", "stripe", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")).join(qterms, "term")
+def matching(index: DataFrame, qterms: DataFrame) -> DataFrame:
+    """The postings of the queries' terms."""
+    words = qterms.select("term").distinct()
+    few = words.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    return index.join(F.broadcast(words) if few else words, "term", "left_semi")
 
 
-def probe(tokens: DataFrame, qterms: DataFrame) -> DataFrame:
-    """(stripe, term, df) counted on the fly for the queries' terms only."""
-    vocabulary = qterms.select("term").distinct()
-    return tokens.select("stripe", F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("stripe", "term").agg(F.count(F.lit(1)).alias("df"))
+def probe(near: DataFrame) -> DataFrame:
+    """(stripe, term, df) counted on the fly from the postings of the queries' terms."""
+    return near.groupBy("stripe", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def budget(stripes: int, equalized: bool = True, size: int = 50) -> int:
@@ -65,11 +62,16 @@ def positions(stripe: Column, order: list[str]) -> Column:
     return out.cast("int")
 
 
-def keyword(tf: DataFrame, df: DataFrame, size: DataFrame, top: int = 50, order: list[str] = ["a", "b"], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 per stripe with the stripe's own statistics: what an index returns by itself, best ``top`` with 1-based ranks."""
-    joined = tf.join(df, ["stripe", "term"]).join(F.broadcast(size), "stripe")
+def keyword(near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, top: int = 50, order: list[str] = ["a", "b"], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 per stripe with the stripe's own statistics: what an index returns by itself, best ``top`` with 1-based ranks.
+
+    ``near`` holds the postings of the queries' terms. A posting is weighted once, whichever and however many queries
+    ask for it; a document's weights are added up where its postings are, and only the best ``top`` of each
+    partition are sent on.
+    """
     part = bm25(idf(F.col("df"), F.col("n_docs")), F.col("tf").cast("double"), F.col("doc_len"), F.col("avgdl"), k1, b)
-    scored = joined.groupBy("query_id", "stripe", "doc_id", "doc_len").agg(F.round(F.sum(part), 9).alias("score"))
+    weighted = near.join(df, ["stripe", "term"]).join(F.broadcast(size), "stripe").select("doc_id", "stripe", "doc_len", "term", part.alias("_w"))
+    scored = weighted.join(qterms, "term").groupBy("query_id", "stripe", "doc_id", "doc_len").agg(F.round(F.sum("_w"), 9).alias("score"))
     return ranked(scored, top, "Keyword", order).withColumn("text_score", F.col("score"))
 
 
@@ -79,45 +81,69 @@ def ranked(scored: DataFrame, top: int, mode: str, order: list[str]) -> DataFram
     return best.withColumn("mode", F.lit(mode)).withColumn("stripe_pos", positions(F.col("stripe"), order))
 
 
-def vector(corpus: DataFrame, queries: list[tuple], top: int = 50, order: list[str] = ["a", "b"], where: Column | None = None, block: int = VECTOR_BLOCK) -> DataFrame:
+def vector(corpus: DataFrame, queries: DataFrame, top: int = 50, order: list[str] = ["a", "b"], where: Column | None = None, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """Exact nearest neighbours by cosine: (query_id, stripe, doc_id, score, hit_rank, ...).
 
-    ``queries`` is the stated query set [(id, vector), ...]; blocks of it travel with the tasks and are multiplied
-    with each Arrow batch of the corpus, so nothing but the best ``top`` per batch, stripe and query leaves a task.
-    A missing query vector is an error; documents without a vector or with a zero vector are not found.
+    ``queries`` (query_id, embedding) is the stated query set. Queries and corpus are cut into blocks by a hash of the
+    id, and a task multiplies one block of each, so neither side is ever whole in one place; it gives the best
+    ``top`` of its pair of blocks for each query and stripe. A missing query vector is an error; documents
+    without a vector or with a zero vector are not found, nor is anything for a zero query vector.
     """
-    if any(v is None for _, v in queries):
-        raise ValueError("a vector query needs a vector")
     src = corpus.filter(where) if where is not None else corpus
     src = src.filter(F.col("embedding").isNotNull()).select("doc_id", "stripe", "embedding")
-    parts = [src.mapInPandas(_nearest(queries[i : i + block], top), "query_id long, stripe string, doc_id long, score double") for i in range(0, len(queries), block)]
-    if not parts:
-        parts = [src.limit(0).selectExpr("doc_id as query_id", "stripe", "doc_id", "0D as score")]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("m")).first()
+    if asked["n"] > asked["m"]:
+        raise ValueError("a vector query needs a vector")
+    wide = max(1, math.ceil(asked["n"] / query_block))
+    long = max(1, math.ceil(src.count() / corpus_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = src.select("doc_id", "stripe", _doubles("embedding"), place("doc_id", long).alias("_c"), every(wide).alias("_q"))
+    right = queries.select("query_id", _doubles("embedding"), place("query_id", wide).alias("_q"), every(long).alias("_c"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, stripe string, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+    found = left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInArrow(_nearest(top), kinds)
     return ranked(found, top, "Vector", order).withColumn("vector_similarity", F.col("score"))
 
 
-def _nearest(queries: list[tuple], top: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    ids = np.array([q for q, _ in queries], dtype=np.int64)
-    matrix = np.array([np.asarray(v, dtype=np.float64) for _, v in queries])
-    norms = np.linalg.norm(matrix, axis=1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for stripe, part in batch.groupby("stripe", dropna=False):
-                own = np.array([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-                length = np.linalg.norm(own, axis=1)
-                docs = part["doc_id"].to_numpy()
-                good = length > 0
-                own, length, docs = own[good], length[good], docs[good]
-                if not len(own):
+def _doubles(name: str) -> Column:
+    return F.col(name).cast("array<double>").alias(name)
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a table as unit rows, and which of them have a length."""
+    column = table.column("embedding").combine_chunks()
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    length = np.linalg.norm(rows, axis=1)
+    return rows / np.where(length > 0, length, 1.0)[:, None], length > 0
+
+
+def _nearest(top: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query_id": [], "stripe": [], "doc_id": [], "score": []}
+        if docs.num_rows and asked.num_rows:
+            own, good = _matrix(docs)
+            matrix, fit = _matrix(asked)
+            ids, names = np.asarray(docs["doc_id"]), np.asarray(docs["stripe"].to_pylist(), dtype=object)
+            queries = asked["query_id"].to_pylist()
+            for stripe in dict.fromkeys(names):
+                at = np.flatnonzero(good & (names == stripe))
+                at = at[np.argsort(ids[at], kind="stable")]
+                if not len(at):
                     continue
-                sims = np.round(matrix @ own.T / np.outer(np.where(norms > 0, norms, np.nan), length), 9)
-                for i in np.flatnonzero(norms > 0):
-                    best = np.lexsort((docs, -sims[i]))[:top]
-                    yield pd.DataFrame({"query_id": ids[i], "stripe": stripe, "doc_id": docs[best], "score": sims[i][best]})
+                step = max(1, CELLS // len(at))
+                for i in range(0, len(queries), step):
+                    sims = np.round(matrix[i : i + step] @ own[at].T, 9)
+                    for j in np.flatnonzero(fit[i : i + step]):
+                        row = sims[j]
+                        near = np.flatnonzero(row >= -np.partition(-row, top - 1)[top - 1]) if len(row) > top else np.arange(len(row))
+                        best = near[np.argsort(-row[near], kind="stable")][:top]  # equal ones stay in the order of their ids
+                        out["query_id"] += [queries[i + j]] * len(best)
+                        out["stripe"] += [stripe] * len(best)
+                        out["doc_id"] += ids[at[best]].tolist()
+                        out["score"] += row[best].tolist()
+        kinds = [asked.schema.field("query_id").type, pa.string(), docs.schema.field("doc_id").type, pa.float64()]
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return run
 
@@ -131,20 +157,39 @@ def hybrid(text_leg: DataFrame, vector_leg: DataFrame, top: int = 50, order: lis
     return ranked(both.drop("_t", "_v"), top, "Hybrid", order)
 
 
-def semantic(candidates: DataFrame, tokens: DataFrame, qterms: DataFrame, depth: int = SEMANTIC_DEPTH) -> DataFrame:
+def semantic(candidates: DataFrame, near: DataFrame, qterms: DataFrame, depth: int = SEMANTIC_DEPTH) -> DataFrame:
     """Add ``reranker_score`` (0 to 4) for the first ``depth`` candidates of an index, null beyond.
 
     The scorer is a stand-in for a cross-encoder: four times the share of the query's terms that the document
     holds. Like the real one it does not depend on the corpus.
     """
     need = qterms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    near = candidates.filter(F.col("hit_rank") <= depth).select("query_id", "doc_id").distinct()
-    held = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(qterms, "term").join(near, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_h"))
+    seen = candidates.filter(F.col("hit_rank") <= depth).select("query_id", "doc_id").distinct()
+    held = seen.join(qterms, "query_id").join(near.select("doc_id", "term"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_h"))
     joined = candidates.join(held, ["query_id", "doc_id"], "left").join(need, "query_id", "left")
     score = F.when((F.col("hit_rank") <= depth) & (F.col("_n") > 0), F.round(F.lit(4.0) * F.coalesce("_h", F.lit(0)) / F.col("_n"), 9))
     return joined.withColumn("reranker_score", score).drop("_h", "_n")
 
 
+def answered(stripes: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """(hits, failures): the hits of every stripe whose search succeeds, and the message of each that fails.
+
+    Each stripe is searched and its hits are written apart, so a stripe that cannot be read or fails while it is searched
+    costs its own hits only. No stripe at all, or none that answers, is an error.
+    """
+    hits, failures = None, {}
+    for name, search in stripes.items():
+        try:
+            part = durable(search())
+        except Exception as e:  # whatever a source or a scorer raises
+            failures[name] = str(e).strip().split("\n")[0]
+            continue
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        raise RuntimeError(f"no stripe answered: {failures}")
+    return hits, failures
+
+
 def counts(corpus: DataFrame) -> DataFrame:
     """Documents per index."""
     return corpus.groupBy("stripe").agg(F.count(F.lit(1)).alias("n_docs"))

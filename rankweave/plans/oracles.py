@@ -6,7 +6,8 @@ from ..functions.labels import CATEGORIES
 from ..functions.statistics import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_LOW, ERF_A, ERF_P
 from ..functions.text import STOP_WORDS
 from ..operators.corpus_stats import BANDS
-from .inputs import GENRE_TAGS, LANGUAGE_STRIPES, QUERIES, REWRITES
+from ..operators.significance import ITERATIONS, MIX, SEED
+from .inputs import GENRE_TAGS, LANGUAGE_STRIPES
 
 HALF, ONE = "0.5::DOUBLE", "1::DOUBLE"
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -23,7 +24,8 @@ def toks(text: str, stop: bool = True) -> str:
 
 LANGUAGE = "CASE WHEN trim(lang) = '' THEN NULL WHEN lower(trim(lang)) LIKE 'en%' THEN 'en' ELSE trim(lang) END"
 _GROUPS = " ".join(f"WHEN lower(l) = '{a}' THEN '{b}'" for a, b in LANGUAGE_STRIPES)
-CORPUS = f"corpus AS (SELECT doc_id, title, coalesce(text, '') AS text, l AS language, CASE {_GROUPS} ELSE {hashed('doc_id')} END AS stripe FROM (SELECT *, {LANGUAGE} AS l FROM documents))"
+_AUTHORS = "au AS (SELECT book_id, array_to_string(list_filter(list_transform(string_split(coalesce(a, ''), ','), lambda x: trim(x)), lambda x: x <> ''), ' ') AS authors FROM (SELECT book_id, arg_max(struct_pack(a := authors), struct_pack(r := received_at, c := ratings_count)).a AS a FROM books WHERE book_id IS NOT NULL GROUP BY book_id))"
+CORPUS = f"{_AUTHORS}, corpus AS (SELECT doc_id, title, concat_ws(' ', title, authors, coalesce(text, '')) AS text, l AS language, CASE {_GROUPS} ELSE {hashed('doc_id')} END AS stripe FROM (SELECT *, {LANGUAGE} AS l FROM documents) LEFT JOIN au USING (book_id))"
 
 
 def token_ctes(stop: bool = True) -> str:
@@ -50,13 +52,16 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {body})"
 
 
-#: Every evaluation query with the last text delivered for it.
+#: Every evaluation query with the last text delivered for it, and the stated query set.
 EVALUATED = "q AS (SELECT query_id, arg_max(text, struct_pack(r := received_at, t := text)) AS text FROM eval_queries WHERE query_id IS NOT NULL GROUP BY ALL)"
 
 
-def retrieval(stop: bool = True, rows: list[tuple] = QUERIES) -> str:
+STATED = EVALUATED.replace("q AS", "q0 AS") + ", q AS (SELECT * FROM q0 WHERE TRY_CAST(regexp_extract(query_id, '\\d+') AS BIGINT) % 50 = 0)"
+
+
+def retrieval(stop: bool = True, asked: str = STATED) -> str:
     return f"""{token_ctes(stop)},
-    {values(rows, 'q', 'query_id, text')},
+    {asked},
     qt AS (SELECT query_id, unnest(list_distinct({toks('text', stop)})) AS term FROM q),
     post AS (SELECT doc_id, stripe, doc_len, term, count(*) AS tf FROM (SELECT doc_id, stripe, doc_len, unnest(tokens) AS term FROM tokl) GROUP BY ALL),
     tf AS (SELECT query_id, stripe, doc_id, doc_len, post.term, tf FROM post JOIN qt ON post.term = qt.term),
@@ -87,8 +92,16 @@ def over_hits(fused: str, where: str = "TRUE", joins: str = "", more: str = "",
     return f"WITH {HITS}{', ' + more if more else ''}, {tail(f'SELECT h.*, {fused} AS fused FROM hits h {joins} WHERE {where}', k)}"
 
 
-def over(source: str, fused: str, joins: str = "", more: str = "", k: int = 10, stop: bool = True, where: str = "TRUE", rows: list[tuple] = QUERIES) -> str:
-    return f"WITH {retrieval(stop, rows)}{', ' + more if more else ''}, {tail(f'SELECT c.*, {fused} AS fused FROM {source} c {joins} WHERE {where}', k)}"
+def over(source: str, fused: str, joins: str = "", more: str = "", k: int = 10, stop: bool = True, where: str = "TRUE", asked: str = STATED) -> str:
+    return f"WITH {retrieval(stop, asked)}{', ' + more if more else ''}, {tail(f'SELECT c.*, {fused} AS fused FROM {source} c {joins} WHERE {where}', k)}"
+
+
+#: Place in the list, then the stripe's place among those that answered.
+INTERLEAVED = "-(hit_rank - 1 + nth / n::DOUBLE)"
+
+
+def answering(hits: str, key: str) -> str:
+    return f"st AS (SELECT {key}, stripe_pos, row_number() OVER (PARTITION BY {key} ORDER BY stripe_pos) - 1 AS nth, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT DISTINCT {key}, stripe_pos FROM {hits}))"
 
 
 FACTORS = f"""fac AS (SELECT query_id, stripe, sum(g / l * g) / sum(g) AS factor FROM (
@@ -203,6 +216,14 @@ T_TEST = f"""ts AS (SELECT mode, strategy, count(*) AS n, CASE WHEN count(*) < 2
 HOLM = """hs AS (SELECT *, least(1, (count(*) OVER (PARTITION BY mode) - row_number() OVER (PARTITION BY mode ORDER BY t_p, strategy) + 1) * t_p) AS q FROM tp),
     ho AS (SELECT *, max(q) OVER (PARTITION BY mode ORDER BY t_p, strategy ROWS UNBOUNDED PRECEDING) AS p_holm FROM hs)"""
 
+#: Places drawn n of n by the hash of iteration and draw, and the interval of the resampled means.
+BOOTSTRAP = f"""bn AS (SELECT mode, strategy, d, row_number() OVER (PARTITION BY mode, strategy ORDER BY query_id, d) - 1 AS place, count(*) OVER (PARTITION BY mode, strategy) AS n FROM di WHERE d IS NOT NULL),
+    i0 AS (SELECT i, (i * {MIX[2]} + {SEED}) & 2147483647 AS a FROM range({ITERATIONS}) r(i)), i1 AS (SELECT i, ((xor(a, a >> 16) * {MIX[0]}) & 2147483647) AS a FROM i0), i2 AS (SELECT i, ((xor(a, a >> 15) * {MIX[1]}) & 2147483647) AS a FROM i1), i3 AS (SELECT i, xor(a, a >> 16) AS a FROM i2),
+    w0 AS (SELECT n, i, (a + j * {MIX[1]}) & 2147483647 AS x FROM i3, (SELECT DISTINCT n FROM bn), range((SELECT max(n) FROM bn)) r(j) WHERE j < n), w1 AS (SELECT n, i, ((xor(x, x >> 16) * {MIX[0]}) & 2147483647) AS x FROM w0), w2 AS (SELECT n, i, ((xor(x, x >> 15) * {MIX[1]}) & 2147483647) AS x FROM w1),
+    w3 AS (SELECT n, i, (xor(x, x >> 16) * n) >> 31 AS place, count(*) AS c FROM w2 GROUP BY ALL),
+    bm AS (SELECT mode, strategy, i, sum(d * c) / max(bn.n) AS m FROM bn JOIN w3 USING (n, place) GROUP BY ALL),
+    bc AS (SELECT mode, strategy, round(quantile_cont(m, 0.025::DOUBLE), 6) AS ci_low, round(quantile_cont(m, 0.975::DOUBLE), 6) AS ci_high FROM bm GROUP BY ALL)"""
+
 PAIRS = """r AS (SELECT doc_id, rater, max(reading_level) AS level FROM reading_labels WHERE reading_level BETWEEN 1 AND 5 GROUP BY ALL),
     pr AS (SELECT doc_id, least(3, arg_min(level, rater) - 1) AS g1, least(3, arg_max(level, rater) - 1) AS g2 FROM r WHERE rater IS NOT NULL GROUP BY doc_id HAVING count(*) > 1)"""
 KAPPA = """, c AS (SELECT g1, g2, count(*) AS c FROM pr GROUP BY ALL), a AS (SELECT g1, sum(c) AS x FROM c GROUP BY ALL), b AS (SELECT g2, sum(c) AS y FROM c GROUP BY ALL),
@@ -228,11 +249,11 @@ _QUANT = "list_transform(e, lambda x: CASE WHEN s > 0 THEN greatest(-127, least(
 
 #: A rescored hit; queries without terms keep the raw score.
 _AGAIN = "CASE WHEN EXISTS (SELECT 1 FROM qt WHERE qt.query_id = c.query_id) THEN coalesce(b, 0) ELSE score END"
-_SCORES = "sc AS (SELECT query_id, stripe, min(score) AS lo, max(score) AS hi, avg(score) AS m, stddev_pop(score) AS sd FROM cand GROUP BY ALL), st AS (SELECT query_id, count(DISTINCT stripe_pos) AS n FROM cand GROUP BY ALL)"
+_SCORES = "sc AS (SELECT query_id, stripe, min(score) AS lo, max(score) AS hi, avg(score) AS m, stddev_pop(score) AS sd FROM cand GROUP BY ALL), " + answering("cand", "query_id")
 _QUOTAS = "rs AS (SELECT query_id, stripe, n_docs AS n FROM (SELECT DISTINCT query_id, stripe FROM cand) JOIN dn USING (stripe)), qu AS (SELECT *, greatest(1, round_even(10 * n / sum(n) OVER (PARTITION BY query_id)::DOUBLE, 0)) AS quota FROM rs)"
 _ANY = [
     ("naive-score", "score", ""),
-    ("interleave", "-(hit_rank - 1 + stripe_pos / n::DOUBLE)", "JOIN st USING (query_id)"),
+    ("interleave", INTERLEAVED, "JOIN st USING (query_id, stripe_pos)"),
     ("global-rrf", "1 / (60::DOUBLE + hit_rank)", ""),
     ("quota-merge", "-hit_rank::DOUBLE", "JOIN qu USING (query_id, stripe) WHERE hit_rank <= quota"),
     ("minmax-norm", "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END", "JOIN sc USING (query_id, stripe)"),
@@ -266,18 +287,17 @@ def _arm(mode: str, ctes: str, plans: list[tuple], worded: bool, queries: str) -
         SELECT 't' AS kind, nm || query_id AS query_id, doc_id, rank FROM tr, nm UNION ALL SELECT 'q', nm || query_id, NULL, NULL FROM ({queries}), nm UNION ALL {made})"""
 
 
-def evaluated() -> str:
-    """Queries x modes x strategies, every metric."""
+def _arms() -> str:
+    """The rows of every mode."""
     asked = "SELECT vec_id::VARCHAR AS query_id FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL"
     placed = "CASE stripe WHEN 'a' THEN 0 ELSE 1 END AS stripe_pos"
-    fixed = values(QUERIES, "q", "query_id, text")
-    keyword = retrieval().replace(fixed, EVALUATED) + ", dn AS (SELECT stripe, n_docs FROM sz)"
+    keyword = retrieval(asked=EVALUATED) + ", dn AS (SELECT stripe, n_docs FROM sz)"
     whole = lambda home: nearest(f"(SELECT * REPLACE ('all' AS stripe) FROM {home})").replace("vh AS", "vo AS")
     vector = f"""{_VECTORS}, {nearest()}, {whole('vs')}, dn AS (SELECT stripe, count(*) AS n_docs FROM vs GROUP BY ALL),
         wide AS (SELECT * REPLACE (query_id::VARCHAR AS query_id), 'Vector' AS mode, {placed}, score AS vector_similarity FROM vh), cand AS (SELECT * FROM wide WHERE hit_rank <= 25),
         orc AS (SELECT query_id::VARCHAR AS query_id, doc_id, score, hit_rank, NULL::DOUBLE AS reranker_score FROM vo)"""
     titles = "q AS (SELECT doc_id::VARCHAR AS query_id, title AS text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL))"
-    text = retrieval().replace(fixed, titles)
+    text = retrieval(asked=titles)
     for n in ("cand", "wide", "orc"):
         text = text.replace(f" {n} AS (", f" k_{n} AS (")
     both = "coalesce(1 / (60::DOUBLE + t.hit_rank), 0) + coalesce(1 / (60::DOUBLE + v.hit_rank), 0)"
@@ -289,9 +309,19 @@ def evaluated() -> str:
         orc AS (SELECT o.*, 'all' AS stripe, 'Hybrid' AS mode, 0 AS stripe_pos, CASE WHEN n > 0 THEN round(4 * coalesce(h, 0) / n::DOUBLE, 9) END AS reranker_score
                 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS hit_rank FROM h2) WHERE hit_rank <= 50) o LEFT JOIN held USING (query_id, doc_id) LEFT JOIN nt USING (query_id))"""
     arms = [_arm("Keyword", keyword, _ANY + _WORDED, True, "SELECT query_id FROM q"), _arm("Vector", vector, _ANY + _LEGGED, False, asked), _arm("Hybrid", hybrid, _ANY + _LEGGED + _WORDED, True, asked)]
+    return " UNION ALL ".join(arms)
+
+
+def pooled() -> str:
+    """Every document that any list of any mode holds."""
+    return f"WITH every AS MATERIALIZED ({_arms()}) SELECT DISTINCT split_part(query_id, '|', 3) AS query_id, doc_id FROM every WHERE kind IN ('l', 't')"
+
+
+def evaluated() -> str:
+    """Queries x modes x strategies, every metric."""
     covered = f"{_COVERAGE} SELECT query_id, round(coalesce(v, 0), 6) AS judged_coverage FROM qs LEFT JOIN c USING (query_id)"
     parts = " ".join(f"JOIN (WITH dummy AS (SELECT 1) {m}) m{i} USING (query_id)" for i, m in enumerate((_NDCG, _OVERLAP, _KENDALL, _RBO, _JUDGED, covered)))
-    return f"""WITH {HITS}, every AS MATERIALIZED ({' UNION ALL '.join(arms)}), li AS (SELECT query_id, doc_id, rank FROM every WHERE kind = 'l'), tr AS (SELECT query_id, doc_id, rank FROM every WHERE kind = 't'), qs AS (SELECT query_id FROM every WHERE kind = 'q'),
+    return f"""WITH {HITS}, every AS MATERIALIZED ({_arms()}), li AS (SELECT query_id, doc_id, rank FROM every WHERE kind = 'l'), tr AS (SELECT query_id, doc_id, rank FROM every WHERE kind = 't'), qs AS (SELECT query_id FROM every WHERE kind = 'q'),
         sh AS (SELECT li.query_id, li.doc_id, li.rank AS rc, tr.rank AS ro FROM li JOIN tr USING (query_id, doc_id)),
         j0 AS (SELECT query_id, doc_id, least(3, greatest(0, floor(max(vector_similarity) * 4)))::INT AS grade FROM hits WHERE mode = 'Hybrid' AND vector_similarity <= 1 GROUP BY ALL),
         ju AS (SELECT qs.query_id, doc_id, grade FROM j0 JOIN qs ON split_part(qs.query_id, '|', 3) = j0.query_id)
@@ -362,7 +392,7 @@ def oracle_sql() -> dict[str, str]:
     out["hybrid_topk"] = f"WITH {t}, {_VECTORS}, {names} SELECT {hit}, round(text_score, 9) AS text_score, round(vector_similarity, 9) AS vector_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, stripe ORDER BY score DESC, doc_id) AS hit_rank FROM hy) WHERE hit_rank <= 50"
     # fusion of the delivered hits
     out["naive_score"] = f"WITH {HITS}, {tail('SELECT *, score AS fused FROM hits', digits=12)}"
-    out["interleave"] = over_hits("-(hit_rank - 1 + stripe_pos / greatest(n, 1)::DOUBLE)", joins="JOIN st USING (query_id, mode)", more="st AS (SELECT query_id, mode, count(DISTINCT stripe_pos) AS n FROM hits GROUP BY ALL)")
+    out["interleave"] = over_hits(INTERLEAVED, joins="JOIN st USING (query_id, mode, stripe_pos)", more=answering("hits", "query_id, mode"))
     out["global_rrf"] = over_hits("1 / (60::DOUBLE + hit_rank)")
     out["rrf_sum"] = f"WITH {HITS}, {tail('SELECT query_id, mode, doc_id, arg_min(stripe, struct_pack(p := stripe_pos, r := hit_rank)) AS stripe, min(stripe_pos) AS stripe_pos, min(hit_rank) AS hit_rank, sum(1 / (60::DOUBLE + hit_rank)) AS fused FROM hits GROUP BY query_id, mode, doc_id')}"
     spread = "sp AS (SELECT query_id, mode, stripe, min(score) AS lo, max(score) AS hi, avg(score) AS m, stddev_pop(score) AS sd FROM hits GROUP BY ALL)"
@@ -375,7 +405,20 @@ def oracle_sql() -> dict[str, str]:
     out["quota_merge"] = over_hits("-hit_rank::DOUBLE", where="hit_rank <= quota", joins="JOIN qu USING (query_id, mode, stripe)", more=shares)
     out["select_pool"] = f"""WITH {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode, doc_id ORDER BY hit_rank, stripe_pos) AS o FROM hits),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY hit_rank, stripe_pos, doc_id) AS pool_rank FROM o WHERE o = 1) SELECT query_id, mode, doc_id, stripe, pool_rank FROM p WHERE pool_rank <= 50"""
-    out["explain_fusion"] = f"WITH {HITS} SELECT query_id, mode, stripe, doc_id, printf('1/(60+%d) = %.6f', hit_rank, 1 / (60::DOUBLE + hit_rank)) AS explanation FROM hits WHERE hit_rank <= 10"
+    shown = lambda x, n: f"round({x}::DECIMAL(30, 12), {n})::DECIMAL(30, {n})::VARCHAR"
+    hs, lo, hi, mean, sd, fs = (shown(x, 4) for x in ("hs", "lo", "hi", "m", "sd", "fused_score"))
+    told = [
+        ("naive-score", "score", "", "", 12, f"'@search.score=' || {hs} || ' from ' || stripe"),
+        ("interleave", INTERLEAVED, "JOIN st USING (query_id, mode, stripe_pos)", answering("hits", "query_id, mode"), 9, "'rank ' || hr || ' in ' || stripe"),
+        ("global-rrf", "1 / (60::DOUBLE + hit_rank)", "", "", 9, f"'1/(60+' || hr || ') = ' || {shown('fused_score', 6)} || ' from ' || stripe"),
+        ("minmax-norm", "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END", "JOIN sp USING (query_id, mode, stripe)", spread, 9, f"'(' || {hs} || '-' || {lo} || ')/(' || {hi} || '-' || {lo} || ') = ' || {fs} || ' in ' || stripe"),
+        ("zscore-norm", "CASE WHEN hi > lo THEN (score - m) / sd ELSE 0 END", "JOIN sp USING (query_id, mode, stripe)", spread, 9, f"'z=(' || {hs} || '-' || {mean} || ')/' || {sd} || ' = ' || {fs} || ' in ' || stripe"),
+        ("vector-similarity", "coalesce(vector_similarity, CASE WHEN mode = 'Vector' THEN score END)", "", "", 9, f"'cosine=' || {fs} || ' from ' || stripe"),
+        ("semantic-score", "reranker_score", "", "", 9, f"'reranker=' || {shown('fused_score', 3)} || ' (0-4), from ' || stripe"),
+    ]
+    one_list = lambda e, j, w, n: f"(WITH {w + ', ' if w else ''}{tail(f'SELECT h.*, {e} AS fused FROM hits h {j}', digits=n)})"
+    parts = " UNION ALL ".join(f"SELECT query_id, mode, '{name}' AS strategy, doc_id, stripe, fused_rank, {x} AS explanation FROM {one_list(e, j, w, n)} JOIN bh USING (query_id, mode, stripe, doc_id) JOIN sq USING (query_id, mode, stripe)" for name, e, j, w, n, x in told)
+    out["explain_fusion"] = f"WITH {HITS}, bh AS (SELECT query_id, mode, stripe, doc_id, max(score) AS hs, min(hit_rank) AS hr FROM hits GROUP BY ALL), {spread.replace('sp AS', 'sq AS')} {parts}"
     # fusion of retrieved candidates
     out["idf_factors"] = f"WITH {r}, {FACTORS} SELECT query_id, stripe, round(factor, 6) AS factor FROM fac"
     corrected = over("cand", CORRECTED, "LEFT JOIN fac USING (query_id, stripe)", FACTORS)
@@ -388,17 +431,17 @@ def oracle_sql() -> dict[str, str]:
     out["merge_vector"] = f"WITH {_VECTORS}, {nearest(k=25)}, {tail('''SELECT query_id, 'Vector' AS mode, doc_id, stripe, CASE stripe WHEN 'a' THEN 0 ELSE 1 END AS stripe_pos, hit_rank, score AS fused FROM vh''')}"
     out["selective_one"], out["selective_adaptive"] = selective(1.0), selective(0.35)
     out["semantic_merge"] = over("cand", "reranker_score")
+    out["rerank_existing"] = over("wide", "reranker_score + 0.01::DOUBLE * ln(1::DOUBLE + doc_len)", "JOIN tokl d ON d.doc_id = c.doc_id")
     out["semantic_rerank"] = over("cand", "reranker_score + 0.01::DOUBLE * ln(1::DOUBLE + doc_len)", "JOIN tokl d ON d.doc_id = c.doc_id")
     pool = """po AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hit_rank, stripe_pos) AS po FROM cand), pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank, stripe_pos, doc_id) AS pool_rank FROM po WHERE po = 1) WHERE pool_rank <= 50)"""
     out["external_rerank"] = over("pl", "greatest(0, floor(reranker_score * 0.75::DOUBLE)) + greatest(0, least(1000, score)) / 100000::DOUBLE", more=pool)
     out["agentic_rerank"] = over("wide", "reranker_score", k=50)
-    out["agentic_cheap"] = over("wide", "-(hit_rank - 1 + stripe_pos / n::DOUBLE)", "JOIN st USING (query_id)", "st AS (SELECT query_id, count(DISTINCT stripe_pos) AS n FROM wide GROUP BY ALL)", k=50)
-    subs = [(s, x) for _, s, x in REWRITES]
-    whole = values([(q, s) for q, s, _ in REWRITES], "rw", "whole_id, sub_id") + ", sw AS (SELECT rw.whole_id AS query_id, w.* EXCLUDE (query_id) FROM wide w JOIN rw ON w.query_id = rw.sub_id)"
-    out["agentic_planned"] = over("sw", "reranker_score", more=whole, k=50, rows=subs)
-    unplanned = [(q, x) for q, x in QUERIES if q not in {w for w, _, _ in REWRITES}]
-    all_subs = values([(q, s) for q, s, _ in REWRITES] + [(q, q) for q, _ in unplanned], "rw", "whole_id, sub_id")
-    out["agentic_planned_whole"] = over("sw", "reranker_score", more=whole.replace(values([(q, s) for q, s, _ in REWRITES], "rw", "whole_id, sub_id"), all_subs), k=50, rows=subs + unplanned)
+    out["agentic_cheap"] = over("wide", INTERLEAVED, "JOIN st USING (query_id, stripe_pos)", answering("wide", "query_id"), k=50)
+    halved = f"""SELECT query_id AS whole_id, query_id || '.' || i AS sub_id, CASE WHEN len(t) < 2 THEN text WHEN i = 1 THEN array_to_string(t[1:(len(t) + 1) // 2], ' ') ELSE array_to_string(t[(len(t) + 1) // 2 + 1:], ' ') END AS text
+        FROM (SELECT query_id, text, coalesce(list_filter(x, lambda v, i: list_position(x, v) = i), []) AS t FROM (SELECT query_id, text, {toks('text')} AS x FROM q)), (VALUES (1), (2)) v(i) WHERE i = 1 OR len(t) >= 2"""
+    whole = "sw AS (SELECT rw.whole_id AS query_id, w.* EXCLUDE (query_id) FROM wide w JOIN rw ON w.query_id = rw.sub_id)"
+    planned = lambda asked: f"{asked.replace(' q AS', ' qa AS') if ' q AS' in asked else asked.replace('q AS', 'qa AS', 1)}, rw AS MATERIALIZED ({halved.replace('FROM q)', 'FROM qa)')}), q AS (SELECT sub_id AS query_id, text FROM rw)"
+    out["agentic_planned"] = over("sw", "reranker_score", more=whole, k=50, asked=planned(STATED))
     out["single_index"] = f"WITH {r} SELECT query_id, mode, doc_id, stripe, round(coalesce(reranker_score, score), 9) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(reranker_score, score) DESC, hit_rank) AS fused_rank FROM orc) WHERE fused_rank <= 10"
     out["single_index_rescored"] = over("orc", RESCORED, "LEFT JOIN gb USING (query_id, doc_id)", GLOBAL)
     plans = [
@@ -429,12 +472,13 @@ def oracle_sql() -> dict[str, str]:
     out["span_breakdown"] = f"WITH {RECORDS}, {span}, x AS (SELECT mode, strategy, coalesce(avg(CASE WHEN span = 'StripeLocal' THEN ndcg END), 0) AS l, coalesce(avg(CASE WHEN span = 'CrossStripe' THEN ndcg END), 0) AS c FROM rec JOIN sp USING (query_id) GROUP BY ALL) SELECT mode, strategy, round(l, 6) AS local_ndcg, round(c, 6) AS cross_ndcg, round(c - l, 6) AS delta FROM x"
     out["span_breakdown_named"] = out["span_breakdown"].replace(span, named_spans())
     out["paired_differences"] = f"WITH {differences()} {PAIRED}"
+    out["bootstrap_ci"] = f"WITH {differences()}, {BOOTSTRAP} SELECT * FROM bc"
     out["effect_size"] = f"WITH {differences()} {EFFECT}"
     out["wilcoxon"] = f"WITH {differences()} {WILCOXON}"
     out["paired_t"] = f"WITH {differences()}, {T_TEST} SELECT mode, strategy, round(t, 6) AS t, round(t_p, 6) AS t_p FROM tp"
     out["holm"] = f"WITH {differences()}, {T_TEST}, {HOLM} SELECT mode, strategy, round(p_holm, 6) AS p_holm FROM ho"
-    out["significance_table"] = f"""WITH {differences()}, {T_TEST}, {HOLM}, pd AS ({PAIRED}), ef AS ({EFFECT}), wi AS (SELECT * FROM (WITH dummy AS (SELECT 1) {WILCOXON}))
-        SELECT mode, strategy, n, mean, wins, losses, ties, round(t, 6) AS t, round(t_p, 6) AS t_p, w_p, cohens_d, round(p_holm, 6) AS p_holm FROM pd JOIN ef USING (mode, strategy) JOIN wi USING (mode, strategy) JOIN ho USING (mode, strategy)"""
+    out["significance_table"] = f"""WITH {differences()}, {T_TEST}, {HOLM}, {BOOTSTRAP}, pd AS ({PAIRED}), ef AS ({EFFECT}), wi AS (SELECT * FROM (WITH dummy AS (SELECT 1) {WILCOXON}))
+        SELECT mode, strategy, n, mean, ci_low, ci_high, wins, losses, ties, round(t, 6) AS t, round(t_p, 6) AS t_p, w_p, cohens_d, round(p_holm, 6) AS p_holm FROM pd JOIN bc USING (mode, strategy) JOIN ef USING (mode, strategy) JOIN wi USING (mode, strategy) JOIN ho USING (mode, strategy)"""
     arms = differences("ndcg", "naive-score", "strategy IN ('naive-score', 'global-rrf')")
     out["compare"] = f"WITH {arms}, {T_TEST}, pd AS ({PAIRED}) SELECT pd.*, round(t, 6) AS t, round(t_p, 6) AS t_p FROM pd JOIN tp USING (mode, strategy)"
     out["compute_model"] = f"WITH {HITS} SELECT query_id, mode, round(0.00017::DOUBLE * count(DISTINCT stripe) + 0.0000054::DOUBLE * count(*), 9) AS compute_units FROM hits GROUP BY ALL"
@@ -445,8 +489,11 @@ def oracle_sql() -> dict[str, str]:
     out["query_accounting"] = """WITH f AS (SELECT query_id, stripe, count(DISTINCT mode) AS r, count(*) AS n FROM candidates GROUP BY ALL), s AS (SELECT query_id, sum(r)::BIGINT AS r, sum(n * 0.0000054::DOUBLE) AS c, max(n)::DOUBLE AS l FROM f GROUP BY ALL)
         SELECT query_id, 'naive-score' AS strategy, r AS queries, round(c, 6) AS compute_units, round(l, 6) AS latency_ms FROM s
         UNION ALL SELECT s.query_id, 'agentic-rerank', CASE WHEN f.n IS NULL THEN 0 ELSE 2 END, CASE WHEN f.n IS NULL THEN 0 ELSE 0.001::DOUBLE END, CASE WHEN f.n IS NULL THEN 0 ELSE 50::DOUBLE END FROM s LEFT JOIN f ON f.query_id = s.query_id AND f.stripe = 'a'"""
-    out["probe_cache"] = f"WITH {r} SELECT n AS query_no, 2 * count(*) AS probes FROM (SELECT term, min(substr(query_id, 2, 2)::INT) AS n FROM qt GROUP BY ALL) GROUP BY ALL"
-    out["explain_query"] = f"WITH {r} SELECT {hit}, round(text_score, 9) AS text_score, round(reranker_score, 9) AS reranker_score FROM cand WHERE hit_rank <= 10"
+    out["probe_cache"] = f"WITH {r} SELECT n AS query_no, 2 * count(*) AS probes FROM (SELECT term, min(regexp_extract(query_id, '\\d+')::BIGINT) AS n FROM qt GROUP BY ALL) GROUP BY ALL"
+    out["explain_query"] = f"""WITH {r}, li AS (SELECT * FROM ({'WITH ' + tail('SELECT *, 1 / (60::DOUBLE + hit_rank) AS fused FROM cand')})), mx AS (SELECT query_id, string_agg(stripe || '=' || n, ' | ' ORDER BY stripe) AS m FROM (SELECT query_id, stripe, count(*) AS n FROM li GROUP BY ALL) GROUP BY ALL)
+        SELECT query_id, 'stripe' AS part, stripe, hit_rank AS place, doc_id, round(score, 9) AS score, round(text_score, 9) AS text_score, round(reranker_score, 9) AS reranker_score, NULL AS explanation FROM cand WHERE hit_rank <= 10
+        UNION ALL SELECT query_id, 'fused', li.stripe, fused_rank, doc_id, fused_score, NULL, NULL, printf('1/(60+%d) = %.6f from %s', cand.hit_rank, fused_score, li.stripe) FROM li JOIN cand USING (query_id, doc_id) WHERE li.stripe = cand.stripe
+        UNION ALL SELECT query_id, 'mix', NULL, NULL, NULL, NULL, NULL, NULL, m FROM mx"""
     out["verify_counts"] = "SELECT stripe AS source, count(*) AS n_docs FROM documents GROUP BY ALL"
     checks = [("vectors", "(SELECT count(*) FROM embeddings) > 0"), ("one vector size", "(SELECT count(DISTINCT len(embedding)) FROM embeddings) = 1"), ("stripes", "(SELECT count(DISTINCT stripe) FROM documents) >= 2")]
     checks += [(f"{c} present", f"(SELECT count({c}) FROM candidates) > 0") for c in ("text_score", "vector_similarity", "reranker_score")]
@@ -470,8 +517,9 @@ def oracle_sql() -> dict[str, str]:
     out["stride_sample_int"] = f"WITH {place} SELECT doc_id FROM p WHERE place % greatest(1, n // 300) = 0 AND place < greatest(1, n // 300) * 300"
     out["latency_windows"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS largest FROM events GROUP BY ALL"
     # the searches again over every evaluation query
-    fixed = values(QUERIES, "q", "query_id, text")
-    out |= {f"eval_{n}": x.replace(fixed, EVALUATED).replace("substr(query_id, 2, 2)", "substr(query_id, 2)") for n, x in out.items() if fixed in x}
-    out["eval_agentic_planned_whole"] = out["eval_agentic_rerank"]  # none of these queries has rewrites
+    out |= {f"eval_{n}": x.replace(STATED, EVALUATED) for n, x in out.items() if STATED in x}
+    out["eval_agentic_planned"] = over("sw", "reranker_score", more=whole, k=50, asked=planned(EVALUATED))
     out["evaluate_all"] = evaluated()
+    out["judgment_pool_all"] = pooled()
+    out["hybrid_legs_by_range"] = out["hybrid_legs"]
     return out

@@ -14,7 +14,8 @@ from ..session import durable
 from ..sources import tables
 from ..sources.tables import read_table
 from . import matrix
-from .inputs import GENRE_TAGS, QUERIES, REWRITES, STRIPES, TOP, Retrieved, corpus, hits, stored_sizes, vector_queries, vectors
+from .catalog import STRATEGIES
+from .inputs import DEPTH, GENRE_TAGS, SPEC, STRIPES, TOP, Retrieved, corpus, halves, hits, index_of, number_of, retrieved, stored_sizes, vector_queries, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -30,10 +31,10 @@ def _add(name: str, f: Query) -> None:
 
 
 def searched(f: Callable[[Retrieved], DataFrame], name: str = "") -> Callable[[Retrieved], DataFrame]:
-    """Register a search twice: over the fixed list, and as ``eval_...`` over every query of ``eval_queries``."""
+    """Register a search twice: over the stated query set, and as ``eval_...`` over every query of ``eval_queries``."""
     name = name or f.__name__
-    _add(name, lambda spark, d: f(Retrieved(spark, d, QUERIES)))
-    _add(f"eval_{name}", lambda spark, d: f(Retrieved(spark, d)))
+    _add(name, lambda spark, d: f(retrieved(spark, d)))
+    _add(f"eval_{name}", lambda spark, d: f(retrieved(spark, d, True)))
     return f
 
 
@@ -83,9 +84,8 @@ def query_terms(spark, d):
 
 @query
 def idf(spark, d):
-    r = Retrieved(spark, d, QUERIES)
-    g = corpus_stats.df_global(corpus_stats.df_local(r.tokens))
-    return g.select("term", "df", F.round(text.idf(F.col("df"), r.size.select("n_docs").scalar()), 6).alias("idf"))
+    i = index_of(spark, d)
+    return i.df_global.select("term", "df", F.round(text.idf(F.col("df"), i.size.select("n_docs").scalar()), 6).alias("idf"))
 
 
 @query
@@ -152,7 +152,7 @@ def vector_dequantize(spark, d):
 
 
 def _tokens(spark, d):
-    return Retrieved(spark, d).tokens
+    return corpus_stats.tokenized(corpus(spark, d), SPEC)
 
 
 @query
@@ -209,9 +209,8 @@ def oracle_topk(r: Retrieved) -> DataFrame:
 
 @searched
 def filtered_retrieval(r: Retrieved) -> DataFrame:
-    toks = corpus_stats.tokenized(corpus(r.spark, r.d).filter(F.col("language") == "en"))
-    tf = retrieve.frequencies(toks, r.qterms)
-    return _hit(retrieve.keyword(tf, r.df_local, r.sizes, TOP, STRIPES))
+    """Documents in English only; the filter is applied before the best are taken, statistics are those of all."""
+    return _hit(r.keyword(TOP, corpus(r.spark, r.d).filter(F.col("language") == "en").select("doc_id")))
 
 
 @query
@@ -221,16 +220,11 @@ def vector_topk(spark, d):
 
 def _hybrid_parts(spark, d):
     """Text leg: the documents' titles of the vector queries; vector leg: their vectors, in the stripe of the document."""
-    toks = _tokens(spark, d)
-    home = toks.select("doc_id", "stripe")
-    own = vectors(spark, d).drop("stripe").join(home, "doc_id")
-    names = read_table(spark, d, "documents").filter("doc_id % 50 = 0").join(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    qterms = retrieve.terms_of(names.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")))
-    toks = durable(retrieve.pruned(toks, qterms))
-    tf = retrieve.frequencies(toks, qterms)
-    t = retrieve.keyword(tf, retrieve.probe(toks, qterms), corpus_stats.sizes(toks), 50, STRIPES)
-    v = retrieve.vector(own, vector_queries(spark, d), 50, STRIPES)
-    return t, v
+    asked = vector_queries(spark, d)
+    names = read_table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")).join(asked.select("query_id"), "query_id", "left_semi")
+    r = Retrieved(spark, d, names)
+    own = vectors(spark, d).drop("stripe").join(r.index.lengths.select("doc_id", "stripe"), "doc_id")
+    return r.keyword(DEPTH), retrieve.vector(own, asked, DEPTH, STRIPES)
 
 
 @query
@@ -246,7 +240,9 @@ def semantic_scores(r: Retrieved) -> DataFrame:
 
 @searched
 def fan_out(r: Retrieved) -> DataFrame:
-    return r.candidates.groupBy("query_id", "stripe").agg(F.count(F.lit(1)).alias("returned"))
+    """Hits per stripe; each stripe answers by itself, and one that fails costs its own hits only."""
+    hits, _ = retrieve.answered({s: lambda s=s: r.candidates.filter(F.col("stripe") == s) for s in STRIPES})
+    return hits.groupBy("query_id", "stripe").agg(F.count(F.lit(1)).alias("returned"))
 
 
 @searched
@@ -268,7 +264,7 @@ def doc_counts(spark, d):
 
 # --- fusion -------------------------------------------------------------------------------------------------------
 
-for _name, _plan in {"interleave": fuse.interleave, "global_rrf": fuse.rrf, "rrf_sum": fuse.rrf_sum, "minmax_norm": fuse.minmax, "vector_similarity": fuse.by_vector, "semantic_score": fuse.by_reranker}.items():
+for _name, _plan in {"interleave": fuse.interleave, "global_rrf": fuse.rrf, "rrf_sum": fuse.rrf_sum, "minmax_norm": fuse.minmax, "vector_similarity": fuse.by_vector, "semantic_score": lambda c, k: fuse.by_reranker(c, k, strict=True)}.items():
     _add(_name, lambda spark, d, plan=_plan: _fused(plan(hits(spark, d), TOP)))
 
 
@@ -284,7 +280,15 @@ def zscore_norm(spark, d):
 
 @query
 def hybrid_legs(spark, d):
-    return _fused(fuse.legs(hits(spark, d).filter(F.col("mode") == "Hybrid"), TOP))
+    hybrid = F.col("mode") == "Hybrid"
+    return _fused(fuse.legs(hits(spark, d).filter(hybrid), TOP, delivered=read_table(spark, d, "candidates").filter(hybrid)))
+
+
+@query
+def hybrid_legs_by_range(spark, d):
+    """The same with every query over 50 hits ranked by ranges, the way that hot queries go."""
+    hybrid = F.col("mode") == "Hybrid"
+    return _fused(fuse.legs(hits(spark, d).filter(hybrid), TOP, hot_rows=50))
 
 
 @query
@@ -299,8 +303,14 @@ def select_pool(spark, d):
 
 @query
 def explain_fusion(spark, d):
-    h = hits(spark, d).filter("hit_rank <= 10")
-    return h.select("query_id", "mode", "stripe", "doc_id", fuse.explained(h).alias("explanation"))
+    """The first ten of each list by seven strategies, with how each score came about."""
+    h = durable(hits(spark, d))
+    out = None
+    for s in STRATEGIES:
+        if s.name in fuse.EXPLANATIONS:
+            one = fuse.explained(h, s.plan(h, TOP), s.name).select("query_id", "mode", F.lit(s.name).alias("strategy"), "doc_id", "stripe", "fused_rank", "explanation")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _factors(r: Retrieved) -> DataFrame:
@@ -314,8 +324,9 @@ def idf_factors(r: Retrieved) -> DataFrame:
 
 @searched
 def idf_correct_sidecar(r: Retrieved) -> DataFrame:
-    local = corpus_stats.df_local(r.tokens)
-    return _fused(fuse.idf_corrected(r.candidates, fuse.correction(r.qterms, corpus_stats.df_global(local), r.size, local, r.sizes), TOP))
+    """With the frequencies of the stored statistics."""
+    i = r.index
+    return _fused(fuse.idf_corrected(r.candidates, fuse.correction(r.qterms, i.df_global, i.size, i.df_local, i.sizes), TOP))
 
 
 @searched
@@ -325,12 +336,12 @@ def idf_correct_probe(r: Retrieved) -> DataFrame:
 
 @searched
 def global_bm25(r: Retrieved) -> DataFrame:
-    return _fused(fuse.rescored(r.candidates, r.tf, r.qterms, r.df_global, r.size, TOP))
+    return _fused(fuse.rescored(r.candidates, r.matched, r.qterms, r.df_global, r.size, TOP))
 
 
 @searched
 def local_bm25(r: Retrieved) -> DataFrame:
-    return _fused(fuse.rescored(r.candidates, r.tf, r.qterms, r.df_local, r.sizes, TOP, local=True))
+    return _fused(fuse.rescored(r.candidates, r.matched, r.qterms, r.df_local, r.sizes, TOP, local=True))
 
 
 @searched
@@ -341,12 +352,8 @@ def merge_naive(r: Retrieved) -> DataFrame:
 @searched
 def merge_bm25(r: Retrieved) -> DataFrame:
     """Corpus-wide BM25 with the plain tokenizer, which keeps stop words."""
-    toks = corpus_stats.tokenized(corpus(r.spark, r.d), stop=False)
-    qterms = r.queries.select("query_id", F.explode(F.array_distinct(text.tokenize("text", stop=False))).alias("term"))
-    toks = durable(retrieve.pruned(toks, qterms))
-    tf, df, size = retrieve.frequencies(toks, qterms), retrieve.probe(toks, qterms), corpus_stats.sizes(toks)
-    c = retrieve.keyword(tf, df, size, 25, STRIPES)
-    return _fused(fuse.rescored(c, tf, qterms, corpus_stats.df_global(df), corpus_stats.global_size(toks), TOP))
+    p = Retrieved(r.spark, r.d, r.queries, stop=False)
+    return _fused(fuse.rescored(p.keyword(25), p.matched, p.qterms, p.df_global, p.size, TOP))
 
 
 @searched
@@ -361,7 +368,7 @@ def merge_vector(spark, d):
 
 def _selective(threshold: float) -> Callable[[Retrieved], DataFrame]:
     def run(r: Retrieved) -> DataFrame:
-        return _fused(fuse.selective(r.per_index, r.chosen(threshold), r.tf, r.qterms, r.df_global, r.size, TOP))
+        return _fused(fuse.selective(r.per_index, r.chosen(threshold), r.matched, r.qterms, r.df_global, r.size, TOP))
 
     return run
 
@@ -371,13 +378,13 @@ searched(_selective(0.35), "selective_adaptive")
 
 
 def _rescores(r: Retrieved) -> DataFrame:
-    """A second opinion on each candidate, from its stripe-independent score."""
-    return r.candidates.select("query_id", "doc_id", (F.col("reranker_score") + F.lit(0.01) * F.log(F.lit(1.0) + F.col("doc_len"))).alias("rescore"))
+    """A second opinion on each hit, from its stripe-independent score."""
+    return r.per_index.select("query_id", "doc_id", (F.col("reranker_score") + F.lit(0.01) * F.log(F.lit(1.0) + F.col("doc_len"))).alias("rescore"))
 
 
 @searched
 def semantic_merge(r: Retrieved) -> DataFrame:
-    return _fused(fuse.by_reranker(r.candidates, TOP))
+    return _fused(fuse.by_reranker(r.candidates, TOP, strict=True))
 
 
 @searched
@@ -385,6 +392,12 @@ def semantic_rerank(r: Retrieved) -> DataFrame:
     return _fused(fuse.reranked_again(r.candidates, _rescores(r), TOP))
 
 
+@searched
+def rerank_existing(r: Retrieved) -> DataFrame:
+    """A result that was retrieved without the second stage, scored in another query of each stripe, 50 keys at most."""
+    return _fused(fuse.reranked_again(r.keyword(DEPTH), _rescores(r), TOP, depth=50))
+
+
 @searched
 def external_rerank(r: Retrieved) -> DataFrame:
     grades = r.candidates.select("query_id", "doc_id", F.floor(F.col("reranker_score") * 0.75).cast("int").alias("grade"))
@@ -393,7 +406,7 @@ def external_rerank(r: Retrieved) -> DataFrame:
 
 @searched
 def agentic_rerank(r: Retrieved) -> DataFrame:
-    return _fused(fuse.by_reranker(retrieve.semantic(r.per_index, r.matched, r.qterms), 50))
+    return _fused(fuse.by_reranker(r.per_index, 50))
 
 
 @searched
@@ -401,24 +414,12 @@ def agentic_cheap(r: Retrieved) -> DataFrame:
     return _fused(fuse.interleave(r.per_index, 50))
 
 
-@query
-def agentic_planned(spark, d):
-    r = Retrieved(spark, d, QUERIES)
-    plan = spark.createDataFrame(REWRITES, "query_id string, sub_id string, text string")
-    qterms = retrieve.terms_of(plan.select(F.col("sub_id").alias("query_id"), "text"))
-    toks = durable(retrieve.pruned(r.tokens, qterms))
-    c = retrieve.keyword(retrieve.frequencies(toks, qterms), retrieve.probe(toks, qterms), corpus_stats.sizes(toks), 50, STRIPES)
-    return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(c, toks, qterms), 50))
-
-
 @searched
-def agentic_planned_whole(r: Retrieved) -> DataFrame:
-    """Like ``agentic_planned``; a query without rewrites is its own single subquery."""
-    given = r.spark.createDataFrame(REWRITES, "query_id string, sub_id string, text string").join(r.queries.select("query_id"), "query_id", "left_semi")
-    plain = r.queries.join(given, "query_id", "left_anti").select("query_id", F.col("query_id").alias("sub_id"), "text")
-    plan = given.unionByName(plain)
+def agentic_planned(r: Retrieved) -> DataFrame:
+    """Subqueries by the stand-in planner; a query of one term or none is its own single subquery."""
+    plan = durable(halves(r.queries))
     s = Retrieved(r.spark, r.d, plan.select(F.col("sub_id").alias("query_id"), "text"))
-    return _fused(fuse.planned(plan.select("query_id", "sub_id"), retrieve.semantic(s.per_index, s.matched, s.qterms), 50))
+    return _fused(fuse.planned(plan.select("query_id", "sub_id"), s.per_index, 50))
 
 
 @searched
@@ -428,7 +429,7 @@ def single_index(r: Retrieved) -> DataFrame:
 
 @searched
 def single_index_rescored(r: Retrieved) -> DataFrame:
-    return _fused(fuse.rescored(r.oracle, r.tf, r.qterms, r.df_global, r.size, TOP))
+    return _fused(fuse.rescored(r.oracle, r.matched, r.qterms, r.df_global, r.size, TOP))
 
 
 # --- metrics over every hybrid query: the naive list against the list of both legs ----------------------------------
@@ -474,7 +475,7 @@ def evaluate_matrix(r: Retrieved) -> DataFrame:
         "global-rrf": fuse.rrf(c, TOP),
         "minmax-norm": fuse.minmax(c, TOP),
         "zscore-norm": fuse.zscore(c, TOP),
-        "global-bm25": fuse.rescored(c, r.tf, r.qterms, r.df_global, r.size, TOP),
+        "global-bm25": fuse.rescored(c, r.matched, r.qterms, r.df_global, r.size, TOP),
         "idf-correct-probe": fuse.idf_corrected(c, _factors(r), TOP),
     }
     named = lambda df, name: df.withColumn("query_id", F.concat(F.lit(f"{name}|"), "query_id"))
@@ -490,10 +491,15 @@ def evaluate_matrix(r: Retrieved) -> DataFrame:
 
 @query
 def evaluate_all(spark, d):
-    """Queries x modes x strategies with every metric; ``evaluate_matrix`` is its first part, as its SQL states it."""
+    """Queries x modes x strategies with every metric; ``evaluate_matrix`` is a part of it over the stated query set."""
     return _six(matrix.matrix(spark, d, _judgments(spark, d)))
 
 
+@query
+def judgment_pool_all(spark, d):
+    return matrix.pool(spark, d)
+
+
 # --- evaluation records -------------------------------------------------------------------------------------------
 
 BASELINE = "single-index"
@@ -533,7 +539,7 @@ _add("wilcoxon", lambda s, d: _six(significance.wilcoxon(_differences(s, d))))
 _add("effect_size", lambda s, d: _six(significance.effect(_differences(s, d))))
 _add("bootstrap_ci", lambda s, d: _six(significance.bootstrap_ci(_differences(s, d))))
 _add("holm", lambda s, d: _six(significance.holm(significance.paired_t(_differences(s, d)), "t_p", ["mode"]).select("mode", "strategy", "p_holm")))
-_add("significance_table", lambda s, d: _six(significance.table(_records(s, d), "judged_ndcg", "record_id", BASELINE).select("mode", "strategy", "n", "mean", "wins", "losses", "ties", "t", "t_p", "w_p", "cohens_d", "p_holm")))
+_add("significance_table", lambda s, d: _six(significance.table(_records(s, d), "judged_ndcg", "record_id", BASELINE).select("mode", "strategy", "n", "mean", "ci_low", "ci_high", "wins", "losses", "ties", "t", "t_p", "w_p", "cohens_d", "p_holm")))
 
 
 @query
@@ -568,7 +574,7 @@ def query_accounting(spark, d):
 
 @searched
 def probe_cache(r: Retrieved) -> DataFrame:
-    asked = r.qterms.select("term", F.expr("substr(query_id, 2)").cast("int").alias("query_no"), F.explode(F.array(*[F.lit(s) for s in STRIPES])).alias("stripe"))
+    asked = r.qterms.select("term", number_of("query_id").alias("query_no"), F.explode(F.array(*[F.lit(s) for s in STRIPES])).alias("stripe"))
     return evaluate.first_probes(asked).groupBy("query_no").agg(F.count(F.lit(1)).alias("probes"))
 
 
@@ -582,7 +588,14 @@ def apply_judgments(spark, d):
 
 @searched
 def explain_query(r: Retrieved) -> DataFrame:
-    return _six(r.candidates.filter("hit_rank <= 10").select("query_id", "stripe", "hit_rank", "doc_id", "score", "text_score", "reranker_score"), 9)
+    """What a query is answered with: the first ten of each stripe with their subscores, the fused list with its explanation, and the stripes' parts of it."""
+    c = r.candidates
+    part = lambda df, name, **more: df.select("query_id", F.lit(name).alias("part"), *[more.get(x, F.lit(None)).cast(t).alias(x) for x, t in (("stripe", "string"), ("place", "int"), ("doc_id", "long"), ("score", "double"), ("text_score", "double"), ("reranker_score", "double"), ("explanation", "string"))])
+    per = part(c.filter("hit_rank <= 10"), "stripe", place=F.col("hit_rank"), **{x: F.col(x) for x in ("stripe", "doc_id", "score", "text_score", "reranker_score")})
+    lists = fuse.explained(c, fuse.rrf(c, TOP), "global-rrf")
+    fused = part(lists, "fused", stripe=F.col("stripe"), place=F.col("fused_rank"), doc_id=F.col("doc_id"), score=F.col("fused_score"), explanation=F.col("explanation"))
+    mix = part(metrics.stripe_mix(lists), "mix", explanation=F.col("stripe_mix"))
+    return _six(per.unionByName(fused).unionByName(mix), 9)
 
 
 @query
