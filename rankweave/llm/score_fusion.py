@@ -8,11 +8,11 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranks import hot_keys, ranked_by_range
+from ..operators.ranks import hot_keys, parted, ranked_by_range
 from . import common
 
 K = 60
-#: Queries with more hits than this, and than a thousandth of all, are ranked by value ranges.
+#: Queries with more hits than this are ranked by value ranges; the number does not grow with the data.
 HOT_ROWS = 200_000
 
 
@@ -34,12 +34,13 @@ def fuse_scores(hits: DataFrame, query: str, item: str, scores: list[str], k: in
     once with the best value of each score; an item without any score keeps total 0. Rows without query or item
     are left out. Empty tables give no rows.
 
-    Queries of ordinary size take one shuffle by query that serves merging and all rankings. Hot queries, at most
-    a thousand at any size, are spread by (query, score, value range) instead.
+    Queries of ordinary size take one shuffle by query that serves merging and all rankings. Hot queries are merged by
+    (query, item) and ranked by ranges of (query, score, value) instead, equal values in parts; both ways give the same
+    total to the last bit.
     """
     rows = hits.filter(F.col(query).isNotNull() & F.col(item).isNotNull()).select(query, item, *scores)
     hot = hot_keys(rows.select(query), query, hot_rows)
-    usual = rows.filter(~F.col(query).isin(hot)) if hot else rows
+    usual, hits_of_hot = parted(rows, hot, query)
     merged = _merged(usual.repartition(query), query, item, scores)
 
     def place(s: str) -> Column:
@@ -49,9 +50,9 @@ def fuse_scores(hits: DataFrame, query: str, item: str, scores: list[str], k: in
     ranked = merged.select(query, item, *[place(s).alias(f"_{i}") for i, s in enumerate(scores)])
     total = reduce(add, [F.col(f"_{i}") for i in range(len(scores))])
     out = ranked.select(query, item, F.round(total, 12).alias("total"))
-    if not hot:
+    if hits_of_hot is None:
         return out
-    big = _merged(rows.filter(F.col(query).isin(hot)), query, item, scores)
+    big = _merged(hits_of_hot, query, item, scores)
     legs = big.select(query, item, F.posexplode(F.array(*scores)).alias("_leg", "_v"))
     placed = ranked_by_range(legs.filter("_v is not null"), [query, "_leg"], "_v", "_rank")
     # summed in the order of the scores, as above, so that both ways give the same total to the last bit

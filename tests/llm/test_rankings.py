@@ -35,15 +35,20 @@ def hits(seed=0):
     return data + data[:20] + [(None, 1, 1.0, 1.0, None, 7), ("q1", None, 1.0, 1.0, None, 7), ("lone", 5, None, None, None, 7)]
 
 
-@pytest.mark.parametrize("hot", [10**9, 5])
-def test_both_ways_match_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot", [10**9, 75])
+def test_both_ways_match_brute_force(spark, hot):
     df = spark.createDataFrame(hits(), "q string, d long, s1 double, s2 double, s3 double, total long")
-    monkeypatch.setattr(score_fusion, "hot_keys", lambda frame, key, floor, at_most=1000: ["q1", "q2"] if hot == 5 else [])
-    got = score_fusion.fuse_scores(df, "q", "d", ["s1", "s2", "s3"])
+    got = score_fusion.fuse_scores(df, "q", "d", ["s1", "s2", "s3"], hot_rows=hot)
     assert {(r["q"], r["d"]): r["total"] for r in got.collect()} == brute_rrf(hits(), 3)
     assert got.columns == ["q", "d", "total"]
 
 
+def test_hot_queries_of_the_tables_get_the_same_totals(spark, small):
+    df = spark.read.parquet(f"{small}/candidates.parquet").filter("mode = 'Hybrid'")
+    scores = ["score", "text_score", "vector_similarity", "reranker_score"]
+    assert rows(score_fusion.fuse_scores(df, "query_id", "doc_id", scores, hot_rows=40)) == rows(score_fusion.fuse_scores(df, "query_id", "doc_id", scores))
+
+
 def test_units_do_not_matter_and_ties_go_to_the_smaller_item(spark):
     base = [("q", 1, 0.9, 10.0), ("q", 2, 0.8, 30.0), ("q", 3, 0.7, 20.0), ("q", 4, 0.7, 20.0)]
     scaled = [(q, d, a * 1e6, b / 1e6 - 5) for q, d, a, b in base]
@@ -65,7 +70,7 @@ def brute_top(data, limits):
     return {(g, i): r + 1 for g in best if g in n for r, (i, _) in enumerate(sorted(best[g].items(), key=lambda x: (-x[1], x[0]))[: n[g]])}
 
 
-@pytest.mark.parametrize("settings", [{}, {"salts": 1}, {"salts": 3, "long_list": 4}])
+@pytest.mark.parametrize("settings", [{}, {"salt_rows": 7}, {"salt_rows": 7, "long_list": 4}, {"long_list": 1}])
 def test_top_n_matches_brute_force(spark, settings):
     rng = random.Random(4)
     data = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(60)]), rng.choice([None, NAN, INF, -INF, 0.0, -0.0, -2.5, rng.random(), 1e9])) for _ in range(900)]
@@ -76,6 +81,21 @@ def test_top_n_matches_brute_force(spark, settings):
     assert got == brute_top(data, limits)
 
 
+def test_every_way_gives_the_same_lists_of_the_tables(spark, small):
+    h, li = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("fused_docs", "fusion_contexts"))
+    top = lambda **how: rows(topn.top_n(h, li, "list_id", "doc_id", "fused_score", "top_k", **how))
+    want = top()
+    assert want == top(salt_rows=5) == top(long_list=10)
+
+
+def test_many_large_groups_are_salted_alike(spark, monkeypatch):
+    h = spark.createDataFrame([(g, i, float(i * 7 % 11)) for g in range(4) for i in range(40)], "g long, i long, s double")
+    li = spark.createDataFrame([(g, 3 + g) for g in range(4)], "g long, n int")
+    want = rows(topn.top_n(h, li, "g", "i", "s", "n"))
+    monkeypatch.setattr(topn, "FEW_KEYS", 1)
+    assert rows(topn.top_n(h, li, "g", "i", "s", "n", salt_rows=5)) == want == rows(topn.top_n(h, li, "g", "i", "s", "n", long_list=4))
+
+
 def test_top_n_of_empty_tables(spark):
     h = spark.createDataFrame([(1, 2, 3.0)], "g long, i long, s double")
     li = spark.createDataFrame([(1, 5)], "g long, n int")
