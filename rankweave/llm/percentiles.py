@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The ordered universe: 2**LEVELS logarithmic steps between LOW and HIGH; a step is about 0.01 % wide.
-LEVELS, LOW, HIGH = 18, 1e-3, 1e9
+#: The ordered universe: 2**LEVELS logarithmic steps between LOW and HIGH; a step is about 0.007 % wide.
+LEVELS, LOW, HIGH = 21, 1e-30, 1e30
 #: Compression: the rank error is at most LEVELS / FACTOR of a group's rows (0.1 %); groups under FACTOR rows keep every leaf.
 FACTOR = 16_384
 #: A packed node: node id above, count below.
-COUNT_BITS = 43
+COUNT_BITS = 40
 _MASK = (1 << COUNT_BITS) - 1
 
 

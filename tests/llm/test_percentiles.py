@@ -43,12 +43,29 @@ def test_compression_keeps_its_rank_error(spark):
 
 
 def test_ends_of_the_universe_and_empty(spark):
-    d = frame(spark, [("x", 0, 1e-9), ("x", 0, 1e300), ("x", 0, float("inf"))])
+    d = frame(spark, [("x", 0, 1e-300), ("x", 0, 1e300), ("x", 0, float("inf"))])
     r = P.with_quantiles(P.digests(d, ["g"], "v"), {"lo": 0.1, "hi": 0.9}).first()
-    assert r["lo"] < 1.001e-3 and r["hi"] > 0.99e9
+    assert r["lo"] < 1.001 * P.LOW and r["hi"] > 0.99 * P.HIGH
+    wide = frame(spark, [("x", 0, v) for v in (3e-25, 7e-9, 2.0, 5e11, 8e27)])
+    got = P.with_quantiles(P.digests(wide, ["g"], "v"), {f"q{i}": (i + 0.5) / 5 for i in range(5)}).first()
+    assert all(abs(got[f"q{i}"] / v - 1) < 1e-4 for i, v in enumerate((3e-25, 7e-9, 2.0, 5e11, 8e27)))
     assert P.with_quantiles(P.merge(P.digests(d.limit(0), ["g", "day"], "v"), ["g"]), {"p": 0.5}).count() == 0
 
 
+def test_compressed_digests_of_the_tables_keep_their_rank_error(spark, small):
+    """Parts per day and their sums compressed by a small factor: the ranks of the percentiles stay within the bound."""
+    factor = 64
+    records = P.once(spark.read.parquet(f"{small}/eval_records.parquet"), "record_id", ["mode", "run_day", "latency_ms"], "ingested_at")
+    merged = P.merge(P.digests(records, ["mode", "run_day"], "latency_ms", factor), ["mode"], factor)
+    got = P.with_quantiles(merged, {"p50": 0.5, "p95": 0.95}).collect()
+    held = {r["mode"]: len(r["nodes"]) for r in merged.collect()}
+    for r in got:
+        xs = np.sort([x[0] for x in records.filter(F.col("mode").eqNullSafe(r["mode"]) & (F.col("latency_ms") > 0) & ~F.isnan("latency_ms")).select("latency_ms").collect()])
+        assert r["n"] == len(xs) and held[r["mode"]] < len(np.unique(xs))
+        for q, c in ((0.5, "p50"), (0.95, "p95")):
+            assert abs(np.searchsorted(xs, r[c] * 1.0002) - q * len(xs)) <= 2 * P.LEVELS / factor * len(xs) + 2
+
+
 def test_one_delivery_counts_and_published_figures(spark):
     r = spark.createDataFrame([(1, "x", 10.0, 1), (1, "x", 20.0, 2), (2, None, 5.0, 1), (None, "x", 1.0, 1)], "id long, g string, v double, at int")
     once = P.once(r, "id", ["g", "v"], "at")
