@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import labels
 from ..functions.labels import CATEGORIES
@@ -97,25 +98,29 @@ def controlled_rounding(table: np.ndarray) -> np.ndarray:
     return base + cell
 
 
-def _rounded(group: pd.DataFrame) -> pd.DataFrame:
-    names = {c: list(dict.fromkeys(group[c])) for c in CELL}
-    across = list(dict.fromkeys(zip(group["span"], group["intent"])))
-    table = np.zeros((len(names["shape"]), len(across)))
-    at = [(names["shape"].index(a), across.index((b, c))) for a, b, c in zip(group["shape"], group["span"], group["intent"])]
-    for (i, j), v in zip(at, group["need"]):
-        table[i, j] = v
-    whole = controlled_rounding(table)
-    return group.assign(quota=[int(whole[i, j]) for i, j in at])
+@F.pandas_udf(ArrayType(LongType()))
+def quotas(cells: pd.Series) -> pd.Series:
+    """The quotas of each set's cells (row, column, need), by controlled rounding of its table."""
+    out = []
+    for group in cells:
+        rows, cols = ({x: i for i, x in enumerate(dict.fromkeys(c[name] for c in group))} for name in ("row", "col"))
+        table = np.zeros((len(rows), len(cols)))
+        at = [(rows[c["row"]], cols[c["col"]]) for c in group]
+        for (i, j), c in zip(at, group):
+            table[i, j] = c["need"]
+        whole = controlled_rounding(table)
+        out.append([int(whole[i, j]) for i, j in at])
+    return pd.Series(out)
 
 
 def quota_plan(queries: DataFrame, targets: DataFrame, set_col: str = "set_id") -> DataFrame:
     """A row per target cell: (set, shape, span, intent, need, available, quota, take, short).
 
     ``need`` is the larger of share x sample size and the minimum; ``quota`` makes the needs of a set whole by
-    controlled rounding over shape x (span, intent), keeping both margins; ``take`` is what the set can give of
-    it; ``short`` says that the set has fewer queries than needed. A cell stated several times counts once, with
-    its largest need. Null shares and minima count as 0; cells with a null set or category are left out. A set has
-    at most 18 cells, so a set's plan is made in one small task; the queries are only counted.
+    controlled rounding over shape x (span, intent), keeping both margins; ``take`` is what the set gives of the
+    quota; ``short`` says that the cell gives all it has and that this is less than it needs. A cell stated several
+    times counts once, with its largest need. Null shares and minima count as 0; cells with a null set or category
+    are left out. A set has at most 18 cells, so its plan is made in one array; the queries are only counted.
     """
     have = labelled(queries, set_col).groupBy(set_col, *CELL).agg(F.count(F.lit(1)).alias("available"))
     share = F.coalesce(F.when(~F.isnan("target_share"), F.col("target_share")), F.lit(0.0)) * F.coalesce(F.col("sample_size"), F.lit(0))
@@ -123,9 +128,12 @@ def quota_plan(queries: DataFrame, targets: DataFrame, set_col: str = "set_id")
     stated = _spelled(targets.select(set_col, need.alias("need"), *[F.col(c).alias(f"_{c}") for c in CELL]))
     wanted = stated.select(set_col, *[_named(c, v).alias(c) for c, v in CATEGORIES.items()], "need").dropna(subset=[set_col, *CELL]).groupBy(set_col, *CELL).agg(F.max("need").alias("need"))
     plan = wanted.join(have, [set_col, *CELL], "left").select(set_col, *CELL, "need", F.coalesce("available", F.lit(0)).alias("available"))
-    kind = plan.schema[set_col].dataType.simpleString()
-    whole = plan.groupBy(set_col).applyInPandas(_rounded, f"`{set_col}` {kind}, shape string, span string, intent string, need double, available long, quota long")
-    return whole.withColumn("take", F.least("quota", "available")).withColumn("short", F.col("need") > F.col("available"))
+    cell = F.struct(*CELL, "need", "available", F.col("shape").alias("row"), F.concat_ws("|", "span", "intent").alias("col"))
+    sets = plan.groupBy(set_col).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    table = F.transform("_cells", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["need"].alias("need")))
+    whole = settled(sets, _quotas=quotas(table)).select(set_col, F.inline(F.arrays_zip(F.col("_cells").alias("c"), F.col("_quotas").alias("quota"))).alias("c", "quota"))
+    given = whole.select(set_col, *[F.col(f"c.{x}").alias(x) for x in [*CELL, "need", "available"]], "quota").withColumn("take", F.least("quota", "available"))
+    return given.withColumn("short", (F.col("take") == F.col("available")) & (F.col("take") < F.col("need")))
 
 
 def draw(queries: DataFrame, plan: DataFrame, seed: int = 42, set_col: str = "set_id", id_col: str = "query_id") -> DataFrame:
