@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +14,10 @@ from . import common, tokens
 
 #: Documents of a source that are ordered together when a mix is drawn.
 BLOCK_DOCS = 20_000
-#: Rows of a plan that are broadcast; a longer plan is joined by shuffle.
+#: Rows of a plan that are broadcast at once; a longer plan is drawn part by part.
 SMALL_PLAN = 50_000
+#: Tokens by which a budget and its target may differ through rounding.
+ROUNDING = 1e-6
 
 
 def source_name(label: Column | str) -> Column:
@@ -22,10 +27,6 @@ def source_name(label: Column | str) -> Column:
     return F.when(name != "", name)
 
 
-#: Difference of two bisected exponents below which they say the same.
-SETTLED = 1e-9
-
-
 def bisect(falling, target: float, low: float = 0.0, high: float = 64.0, steps: int = 80) -> float:
     """The argument at which a falling function comes down to ``target``; the nearer end where it never does."""
     if falling(low) <= target:
@@ -63,42 +64,31 @@ def temper_to_repeats(shares: np.ndarray, caps: np.ndarray) -> float:
     return bisect(over, 1.0, high=1.0)
 
 
-def source_exponent(natural: float, target: float, cap: float) -> tuple[float, float]:
-    """Exponents at which ``natural`` to that power is the target share, and the cap that the repetition limit sets."""
-    if not 0 < natural < 1:
-        return 1.0, 1.0
-    power = lambda a: natural**a
-    return bisect(power, target, high=4096.0), bisect(power, min(cap, 1.0), high=4096.0)
+def exponent_of(own: np.ndarray, target: np.ndarray, cap: np.ndarray) -> float:
+    """The exponent of a mix: that at which its tempered shares have the entropy of the targets, or a larger one that the repetition limits ask for."""
+    if not own.sum():
+        return 1.0
+    return max(temper_to_entropy(own / own.sum(), entropy(target)), temper_to_repeats(own / own.sum(), cap))
+
+
+_PLAN = "double, source string, target_share double, max_repeats int, source_tokens long, mix_tokens double, exponent double, tempered_share double, tempered_budget double, target_budget double, budget double"
 
 
-_PLAN = "double, source string, target_share double, max_repeats int, source_tokens long, mix_tokens double, exponent double, share double, budget double, repeats double, reachable boolean, tempered_exponent double, tempered_share double"
+Exponent = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
 
 
-def _planned(mix: pd.DataFrame) -> pd.DataFrame:
-    total = int(mix["total"].iloc[0])
-    size = float(mix["size_factor"].iloc[0]) * total
+def planned(mix: pd.DataFrame, exponent: Exponent = exponent_of) -> pd.DataFrame:
+    """The plan of one mix: its tempered weights by ``exponent``, and the budgets."""
+    size = float(mix["size_factor"].iloc[0]) * int(mix["total"].iloc[0])
     target = mix["target_share"].to_numpy(dtype=float)
     own = mix["source_tokens"].to_numpy(dtype=float)
-    cap = np.where(size > 0, own * mix["max_repeats"].to_numpy(dtype=float) / max(size, 1e-300), 0.0)
-    share, exponent, spare = np.zeros(len(mix)), np.zeros(len(mix)), np.zeros(len(mix))
-    for i in range(len(mix)):
-        natural = own[i] / total if total else 0.0
-        wanted, limit = source_exponent(natural, target[i], cap[i])
-        exponent[i], spare[i] = max(wanted, limit), wanted - limit
-        tempered = natural ** exponent[i] if 0 < natural < 1 else min(target[i], cap[i])
-        # the bisected power may miss the target by rounding; the exact bounds settle it
-        share[i] = min(tempered if abs(tempered - target[i]) > 1e-9 else target[i], cap[i], target[i])
-    # out of reach where the repetition limit asks for the larger exponent; where both agree up to rounding, whole
-    # tokens settle it (a millionth of a token is rounding)
-    exact = target * size <= own * mix["max_repeats"].to_numpy(dtype=float) + 1e-6
-    reachable = np.where((np.abs(spare) > SETTLED) & (size > 0), spare > 0, exact)
-    share = np.where(reachable, target, share)
-    known = own / own.sum() if own.sum() else own
-    a = max(temper_to_entropy(known, entropy(target)), temper_to_repeats(known, cap)) if own.sum() else 1.0
+    most = own * mix["max_repeats"].to_numpy(dtype=float)
+    a = exponent(own, target, most / size if size > 0 else np.zeros(len(mix)))
+    share = temper(own, a)
     out = mix[["mix_id", "source", "target_share", "max_repeats", "source_tokens"]].copy()
-    out["mix_tokens"], out["exponent"], out["share"], out["budget"] = size, exponent, share, share * size
-    out["repeats"] = np.where(own > 0, share * size / np.maximum(own, 1), 0.0)
-    out["reachable"], out["tempered_exponent"], out["tempered_share"] = reachable, a, temper(known, a)
+    out["mix_tokens"], out["exponent"], out["tempered_share"] = size, a, share
+    out["tempered_budget"] = np.minimum(share * size, most)
+    out["target_budget"], out["budget"] = target * size, np.minimum(target * size, most)
     return out
 
 
@@ -109,14 +99,15 @@ def source_sizes(docs: DataFrame, source: str = "source", text: str = "text", ra
     return common.durable(by)
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row per (mix, source): target, exponent, share that can be reached, token budget and whether the target is reachable.
+def mix_plan(sizes: DataFrame, targets: DataFrame, exponent: Exponent = exponent_of) -> DataFrame:
+    """A row per (mix, source): tempered share and budget, target and final budget, in tokens.
 
-    Temperature mixing with one exponent per source: a source's natural token share is raised to the power,
-    found by bisection, that gives its target share, or to the larger power at which its repetition limit is
-    just kept. (One exponent for all sources cannot give arbitrary shares; ``tempered_share`` is that simpler mix,
-    fitted to the entropy of the targets within the limits.) What an unreachable source lacks is not given to
-    others: they keep the shares asked for, and the mix ends smaller.
+    Temperature mixing: the token shares of a mix's sources are raised to one exponent, found by bisection so that the
+    normalised powers have the entropy of the targets, or to a larger one where a repetition limit asks for it.
+    These weights make the ``tempered_budget`` of each source. One exponent cannot give arbitrary shares, so the
+    block permutations are then continued, or stopped earlier, at ``budget``: the target where the repetition
+    limit allows it. What a source lacks is not given to others: they keep the shares asked for, and the mix
+    ends smaller.
 
     Null shares, limits and size factors count as 0; rows without mix or source are left out; a source stated
     twice in a mix counts once with its largest share. A source without documents has 0 tokens. The targets do not
@@ -130,38 +121,56 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     total = whole.agg(F.coalesce(F.max("total"), F.lit(0)).alias("total")).first()["total"]
     joined = asked.join(own, "source", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0))).withColumn("total", F.lit(total))
     kind = joined.schema["mix_id"].dataType.simpleString()
-    return joined.groupBy("mix_id").applyInPandas(_planned, _PLAN.replace("double", f"mix_id {kind}", 1))
+    return joined.groupBy("mix_id").applyInPandas(lambda mix: planned(mix, exponent), _PLAN.replace("double", f"mix_id {kind}", 1))
 
 
-def draw(docs: DataFrame, targets: DataFrame, seed: int = 42, source: str = "source", text: str = "text", ranks: bytes | None = None, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(plan, drawn): ``drawn`` has a row (mix, source, doc, tokens, copies) per document used.
+def _copies(budget: str) -> Column:
+    """How often a document is used for a budget: whole passes, and once more where the permutation reaches it; it crosses the end if at least half of it fits."""
+    full = F.floor(F.round(F.col(budget) / F.col("source_tokens"), 9))
+    rest = F.greatest(F.col(budget) - full * F.col("source_tokens"), F.lit(0.0))
+    return full + (F.col("_at") + F.col("tokens") / 2 <= rest).cast("long")
+
+
+def draw(docs: DataFrame, targets: DataFrame, seed: int = 42, source: str = "source", text: str = "text", ranks: bytes | None = None, block_docs: int = BLOCK_DOCS, small_plan: int = SMALL_PLAN, exponent: Exponent = exponent_of) -> tuple[DataFrame, DataFrame]:
+    """(plan, drawn): ``drawn`` has a row (mix, source, doc, tokens, tempered_copies, copies) per document used.
 
     Budgeted block permutations: the documents of a source are permuted by a hash, cut into blocks, and used in
     this order until the budget is filled; a budget over the source's size takes whole passes first. Token sums
-    per block give each block's place, so a source with a third of all documents is ordered block by block. The
-    document that crosses the budget is used if at least half of it fits; the shares reached are within one
-    document of the plan. Documents without tokens are never used.
+    per block give each block's place, so a source with a third of all documents is ordered block by block.
+    ``tempered_copies`` realise the tempered weights, ``copies`` the final budget; both follow the same permutation,
+    so the smaller draw is a part of the larger. Shares reached are within one document of the plan. Documents
+    without tokens are never used; null and blank sources belong to no mix.
     """
     counted = tokens.encode(docs.select("doc_id", source_name(source).alias("source"), F.col(text).alias("text")), ["doc_id", "source"], "text", ranks, counts_only=True)
     sized = common.durable(counted)
     sizes = common.durable(sized.rollup("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("docs"), F.grouping("source").alias("whole")))
-    plan = common.durable(mix_plan(sizes, targets))
+    plan = common.durable(mix_plan(sizes, targets, exponent))
     n = sizes.filter("whole = 1").agg(F.max("docs").alias("n")).first()["n"] or 0
     blocks = max(16, n // block_docs)
     keyed = sized.filter("tokens > 0 and source is not null").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(blocks)))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("source", "_block").agg(F.sum("tokens").alias("_t")).select("source", "_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("source", "_block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.join(starts, ["source", "_block"]).withColumn("_at", F.col("_start") + F.sum("tokens").over(inside) - F.col("tokens"))
-    passes = plan.filter("source_tokens > 0").select("mix_id", "source", F.floor(F.round(F.col("budget") / F.col("source_tokens"), 9)).alias("_full"), "budget", "source_tokens")
-    passes = passes.withColumn("_rest", F.greatest(F.col("budget") - F.col("_full") * F.col("source_tokens"), F.lit(0.0)))
-    copies = (F.col("_full") + (F.col("_at") + F.col("tokens") / 2 <= F.col("_rest")).cast("long")).alias("copies")
-    small = plan.count() <= SMALL_PLAN
-    used = placed.join(F.broadcast(passes) if small else passes, "source").select("mix_id", "source", "doc_id", "tokens", copies).filter("copies > 0")
-    return plan, used
+    placed = keyed.join(starts, ["source", "_block"]).select("source", "doc_id", "tokens", (F.col("_start") + F.sum("tokens").over(inside) - F.col("tokens")).alias("_at"))
+    wanted = plan.filter("source_tokens > 0").select("mix_id", "source", "source_tokens", "tempered_budget", "budget")
+    parts = max(1, math.ceil(plan.count() / small_plan))
+    used = None
+    for i in range(parts):
+        some = wanted.filter(F.pmod(F.xxhash64("mix_id", "source"), F.lit(parts)) == i) if parts > 1 else wanted
+        one = placed.join(F.broadcast(some), "source").select("mix_id", "source", "doc_id", "tokens", _copies("tempered_budget").alias("tempered_copies"), _copies("budget").alias("copies"))
+        used = one if used is None else used.unionByName(one)
+    return plan, used.filter("copies > 0 or tempered_copies > 0")
 
 
 def shares_reached(plan: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The plan with the tokens drawn and the share of the mix they make."""
-    got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"))
-    return plan.join(got, ["mix_id", "source"], "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0))).withColumn("actual_share", F.when(F.col("mix_tokens") > 0, F.round(F.col("drawn_tokens") / F.col("mix_tokens"), 6)))
+    """The plan with the tokens drawn for the tempered weights and in the end, the shares of the mix they make, and whether the target was reached.
+
+    A target is not reached where every document was used as often as the limit allows and the tokens still are less.
+    """
+    got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("tempered_copies")).alias("tempered_tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"))
+    both = plan.alias("p").join(got.alias("g"), (F.col("p.mix_id") == F.col("g.mix_id")) & (F.col("p.source") == F.col("g.source")), "left")
+    both = both.select("p.*", *[F.coalesce(f"g.{c}", F.lit(0)).alias(c) for c in ("tempered_tokens", "drawn_tokens")])
+    share = lambda c: F.when(F.col("mix_tokens") > 0, F.round(F.col(c) / F.col("mix_tokens"), 6))
+    used_up = F.col("drawn_tokens") == F.col("source_tokens") * F.col("max_repeats")
+    reached = ~(used_up & (F.col("drawn_tokens") + F.lit(ROUNDING) < F.col("target_budget")))
+    return both.withColumns({"tempered_actual": share("tempered_tokens"), "actual_share": share("drawn_tokens"), "reached": reached})
