@@ -39,8 +39,19 @@ def measured(value: Column | str) -> Column:
     return F.when(~F.isnan(c), c + F.lit(0.0))
 
 
-def scratch_parent() -> str:
-    """Where a task may spill: the worker's own Spark scratch disk. Only the task that writes there reads it."""
-    named = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or ""
-    first = named.split(",")[0]
-    return first if first and os.path.isdir(first) else tempfile.gettempdir()
+def scratch_parent(local: bool) -> str:
+    """Where a task may spill: the worker's own Spark scratch disk. Only the task that writes there reads it.
+
+    Spark names it to the workers of a cluster; in local mode, where it does not, it is the system's temporary folder.
+    """
+    for name, between in (("SPARK_LOCAL_DIRS", ","), ("LOCAL_DIRS", ","), ("SPARK_EXECUTOR_DIRS", os.pathsep)):
+        first = os.environ.get(name, "").split(between)[0]
+        if first and os.path.isdir(first):
+            return first
+    if not local:
+        raise RuntimeError("no scratch disk is named in SPARK_LOCAL_DIRS, LOCAL_DIRS or SPARK_EXECUTOR_DIRS")
+    return tempfile.gettempdir()
+
+
+def is_local(df: DataFrame) -> bool:
+    return df.sparkSession.sparkContext._jsc.sc().isLocal()

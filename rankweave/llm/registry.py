@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from . import mixing, percentiles, quota_sample, readability, score_fusion, terms, tokens, topn
 from .common import table
 
@@ -17,18 +18,19 @@ SCORES = ["score", "text_score", "vector_similarity", "reranker_score"]
 TOLERANCE = 0.12
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    got, records = terms.split(terms.term_statistics(table(spark, d, "documents")))
+    return terms.marked(got, sum(records.values()))
+
+
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every term with its document frequency, occurrences, mark, and one row per stripe that holds it."""
-    docs = table(spark, d, "documents")
-    got = terms.marked(terms.term_statistics(docs), terms.worded(docs).scalar())
-    flat = got.select("term", "document_frequency", "occurrences", "mark", F.explode("stripes").alias("s"))
+    flat = _terms(spark, d).select("term", "document_frequency", "occurrences", "mark", F.explode("stripes").alias("s"))
     return flat.select("term", "document_frequency", "occurrences", "mark", F.col("s.stripe").alias("stripe"), F.col("s.document_frequency").alias("local_document_frequency"), F.col("s.occurrences").alias("local_occurrences"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    got = terms.marked(terms.term_statistics(docs), terms.worded(docs).scalar())
-    return got.filter("mark is not null").select("term", "mark")
+    return _terms(spark, d).filter("mark is not null").select("term", "mark")
 
 
 def _latency(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +43,15 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _latency(spark, d).select(*GROUP, "n", *[F.round(c, 3).alias(c) for c in SHARES])
 
 
+def p2_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile is within 0.01 % of the exact one, as it is where no digest was compressed."""
+    records = percentiles.once(table(spark, d, "eval_records"), "record_id", [*GROUP, "latency_ms"], "ingested_at")
+    measured = records.withColumn("latency_ms", F.when((F.col("latency_ms") > 0) & ~F.isnan("latency_ms"), F.col("latency_ms")))
+    exact = ranks.percentiles(measured, GROUP, "latency_ms", SHARES)
+    both = _latency(spark, d).alias("a").join(exact.alias("e"), ranks.same("a", "e", GROUP))
+    return both.select(*[F.col(f"a.{k}") for k in GROUP], "a.n", *[(F.abs(F.col(f"a.{p}") / F.col(f"e.{p}") - 1) < 1e-4).alias(f"{p}_close") for p in SHARES])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "strategy_summaries").select("summary_id", *GROUP, "latency_p50_ms", "latency_p95_ms")
     wrong = percentiles.off_by(said, _latency(spark, d), GROUP, [("latency_p50_ms", "p50"), ("latency_p95_ms", "p95")], TOLERANCE)
@@ -61,12 +72,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return terms.term_weights(docs, docs)
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return terms.term_weights(docs, docs).withColumn("weight", F.round("weight", 6))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     probes = table(spark, d, "doc_probes").select("doc_id").distinct()
     return terms.most_characteristic(terms.term_weights(docs, docs.join(probes, "doc_id", "left_semi")))
 
@@ -79,6 +90,14 @@ def p5_plan(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d)
 
 
+def p5_margins(spark: SparkSession, d: str) -> DataFrame:
+    """The margins of every set's quotas, and whether each is the margin of its needs rounded down or up."""
+    plan = _plan(spark, d)
+    sides = F.inline(F.array(F.struct(F.lit("all").alias("margin"), F.lit("").alias("label")), F.struct(F.lit("shape").alias("margin"), F.col("shape").alias("label")), F.struct(F.lit("span, intent").alias("margin"), F.concat_ws(", ", "span", "intent").alias("label"))))
+    sums = plan.select("set_id", "need", "quota", sides).groupBy("set_id", "margin", "label").agg(F.round(F.sum("need"), 6).alias("need"), F.sum("quota").alias("quota"))
+    return sums.select("set_id", "margin", "label", "need", ((F.col("quota") >= F.floor("need")) & (F.col("quota") <= F.ceil("need"))).alias("kept"))
+
+
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample.draw(table(spark, d, "eval_queries"), _plan(spark, d))
 
@@ -116,12 +135,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_plan(spark, d).filter("not reachable").select("mix_id", "source")
+    return p8_shares(spark, d).filter("not reached").select("mix_id", "source")
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return readability.levels(docs, readability.fit(docs, table(spark, d, "reading_labels")), ["doc_id"])
+    return readability.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +148,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found]
-    more = [p1_terms, p2_percentiles, p3_ranking, p4_weights, p5_plan, p5_sample, p6_ranked, p8_plan, p8_mix, p8_shares, p9_levels]
+    more = [p1_terms, p2_percentiles, p2_within, p3_ranking, p4_weights, p5_plan, p5_margins, p5_sample, p6_ranked, p8_plan, p8_mix, p8_shares, p9_levels]
     return {f.__name__: f for f in [*found, *more]}
 
 
@@ -141,11 +159,23 @@ WITH t AS (SELECT doc_id, stripe, unnest(regexp_extract_all(lower(text), '[\p{L}
      g AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM d GROUP BY term),
      m AS (SELECT term, df, cf, CASE WHEN df <= 2 THEN 'rare' WHEN df > round(n * 0.38::DOUBLE, 6) THEN 'common' END AS mark FROM g, n)"""
 
+#: Languages by the profile of ``terms.language_profile``, where its sample holds every labelled document (up to 20,000 of them), and the weights.
 _WEIGHTED = (
     _COUNTED
-    + """,
-     w AS (SELECT doc_id, d.term, tf, df, cf, round(tf * (-log2(df / n.n::DOUBLE) + log2(1 - exp(-cf / n.n::DOUBLE))) * pow(-log2(df / n.n::DOUBLE) / greatest(log2(n.n::DOUBLE), 1), 2), 6) AS weight
-           FROM d JOIN g ON d.term = g.term, n)"""
+    + r""",
+     lb AS (SELECT doc_id, nullif(substr(lower(regexp_replace(lang, '[^\p{L}]', '', 'g')), 1, 2), '') AS code FROM documents),
+     ls AS (SELECT code, count(*) AS size FROM lb WHERE code IS NOT NULL GROUP BY code ORDER BY size DESC, code LIMIT 50),
+     lk AS (SELECT * FROM ls WHERE size * 1000 >= (SELECT sum(size) FROM ls)),
+     lc AS (SELECT code, term, count(*) AS c FROM d JOIN lb USING (doc_id) WHERE code IN (SELECT code FROM lk) GROUP BY ALL),
+     lw AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY code ORDER BY c DESC, term) AS p FROM lc) WHERE p <= 100),
+     lg AS (SELECT lw.term, lk.code, ln((coalesce(c, 0) + 0.5::DOUBLE) / (size + 1::DOUBLE)) AS g FROM lw CROSS JOIN lk LEFT JOIN lc ON lc.term = lw.term AND lc.code = lk.code),
+     sc AS (SELECT doc_id, code, sum(g) AS s FROM d JOIN lg ON d.term = lg.term GROUP BY ALL),
+     bs AS (SELECT doc_id, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, code) AS p FROM sc) WHERE p = 1),
+     la AS (SELECT lb.doc_id, coalesce(bs.code, lb.code, '') AS l FROM lb LEFT JOIN bs USING (doc_id)),
+     ln AS (SELECT l, count(*)::DOUBLE AS nl FROM (SELECT DISTINCT doc_id FROM d) JOIN la USING (doc_id) GROUP BY l),
+     lt AS (SELECT term, l, sum(tf) AS cl FROM d JOIN la USING (doc_id) GROUP BY ALL),
+     ex AS (SELECT term, sum(nl * (1 - exp(-cl / nl))) AS would FROM lt JOIN ln USING (l) GROUP BY term),
+     w AS (SELECT doc_id, d.term, tf, df, cf, round((1 + ln(tf)) * log2(would / df), 9) AS weight FROM d JOIN g ON d.term = g.term JOIN ex ON ex.term = d.term)"""
 )
 
 
@@ -178,9 +208,14 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": _COUNTED + " SELECT m.term, m.df AS document_frequency, m.cf AS occurrences, m.mark, stripe, count(*) AS local_document_frequency, sum(tf)::BIGINT AS local_occurrences FROM d JOIN m ON d.term = m.term GROUP BY ALL",
         "p2_found": latency
         + " SELECT DISTINCT summary_id FROM strategy_summaries s JOIN g ON s.run_id IS NOT DISTINCT FROM g.run_id AND s.mode IS NOT DISTINCT FROM g.mode AND s.strategy IS NOT DISTINCT FROM g.strategy WHERE abs(latency_p50_ms - p50) > p50 * 0.12::DOUBLE OR abs(latency_p95_ms - p95) > p95 * 0.12::DOUBLE",
+        "p2_within": latency + ", c AS (SELECT r.run_id AS run_id, r.mode AS mode, r.strategy AS strategy, count(*) AS n FROM r WHERE r.l > 0 AND NOT isnan(r.l) GROUP BY ALL) SELECT run_id, mode, strategy, n, TRUE AS p50_close, TRUE AS p95_close FROM c",
         "p3_found": fused + " SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS place FROM f) WHERE place <= 3",
         "p3_ranking": fused + " SELECT query_id, doc_id, total FROM f",
         "p4_found": _WEIGHTED + " SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS place FROM w WHERE doc_id IN (SELECT doc_id FROM doc_probes)) WHERE place = 1",
+        "p4_weights": _WEIGHTED + " SELECT doc_id, term, tf, df AS document_frequency, cf AS occurrences, round(weight, 6) AS weight FROM w",
+        "p5_margins": """WITH t AS (SELECT set_id, shape, span, intent, max(greatest(round(coalesce(target_share, 0) * coalesce(sample_size, 0), 6), coalesce(min_rows, 0))) AS need FROM sample_targets GROUP BY ALL),
+            m AS (SELECT set_id, 'all' AS margin, '' AS label, need FROM t UNION ALL SELECT set_id, 'shape', shape, need FROM t UNION ALL SELECT set_id, 'span, intent', span || ', ' || intent, need FROM t)
+            SELECT set_id, margin, label, round(sum(need), 6) AS need, TRUE AS kept FROM m GROUP BY ALL""",
         "p5_found": f"""WITH q AS (SELECT set_id, query_id, received_at, {labels} FROM eval_queries),
             k AS (SELECT set_id, query_id, {last} FROM q GROUP BY set_id, query_id),
             h AS (SELECT set_id, shape, span, intent, count(*) AS available FROM k WHERE shape IS NOT NULL AND span IS NOT NULL AND intent IS NOT NULL GROUP BY ALL),

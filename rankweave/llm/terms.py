@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import shutil
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +28,14 @@ _BASIC = "term string, stripe string, document_frequency long, occurrences long"
 _STATS = "term string, document_frequency long, occurrences long, stripes array<struct<stripe:string,document_frequency:long,occurrences:long>>"
 
 
+#: Row of ``term_statistics`` that counts the records with a term; no term is empty.
+EVERY = ""
+#: Terms whose statistics are broadcast to the postings: the most frequent ones, at most so many.
+HOT_TERMS = 100_000
+#: Records that the language profile is fitted to, at most, words of it for each language, and languages.
+SAMPLE, PROFILE_WORDS, LANGUAGES = 20_000, 100, 50
+
+
 def _counted(batch: pa.RecordBatch) -> pa.Table:
     """Rows (d, term, tf) of a batch that has a list column ``terms``; d is the row's place in the batch."""
     lists = batch.column(batch.schema.get_field_index("terms"))
@@ -37,7 +48,7 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
     ``keys`` are carried along. Records without a term (null, empty, blank or unworded texts) give no rows.
     """
-    src = docs.select(*keys, common.terms(text).alias("terms")).filter(F.size("terms") > 0)
+    src = docs.select(*keys, common.terms(text).alias("terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,13 +64,60 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return src.mapInArrow(run, f"{schema}, term string, tf long")
 
 
+@dataclass
+class Profile:
+    """Words that tell languages apart, and the log share of each language's records that hold them; a bounded table."""
+
+    words: list[str]
+    names: list[str]
+    logs: np.ndarray
+
+    def of(self, found: pa.Table, rows: int, label: pa.Array) -> pa.Array:
+        """The language of each row by the words it holds, each once; without any of them its label."""
+        if not self.words:
+            return label
+        at = pc.index_in(found["term"], pa.array(self.words, pa.string()))
+        hit = pc.is_valid(at)
+        d, w = (np.asarray(x.filter(hit)) for x in (found["d"], at))
+        score = np.zeros((rows, len(self.names)))
+        np.add.at(score, d, self.logs[w])
+        best = pa.array(self.names, pa.string()).take(pa.array(score.argmax(axis=1)))
+        return pc.if_else(pa.array(np.bincount(d, minlength=rows) > 0), best, label)
+
+
+def _code(label: Column) -> Column:
+    """The first two letters of a language code, so that spellings of one meet; blank gives null."""
+    letters = F.substring(F.lower(F.regexp_replace(label.cast("string"), r"[^\p{L}]", "")), 1, 2)
+    return F.when(letters != "", letters)
+
+
+def language_profile(docs: DataFrame, id_col: str, text: str, lang: str, sample: int = SAMPLE) -> Profile:
+    """The profile of at most ``sample`` labelled records, taken in the order of a hash.
+
+    For each language of at least one record in a thousand the words that most of its records hold; labels may
+    be wrong in part, as a word counts by its share. Without labels there is no profile.
+    """
+    label = _code(F.col(lang)).alias("_label")
+    some = common.durable(docs.select(id_col, label).filter("_label is not null").orderBy(F.xxhash64(id_col), id_col).limit(sample))
+    sizes = {r["_label"]: r["n"] for r in some.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_label").limit(LANGUAGES).collect()}
+    names = sorted(k for k, n in sizes.items() if n * 1000 >= sum(sizes.values()))
+    held = term_counts(docs.select(id_col, text).join(F.broadcast(some), id_col), ["_label"], text).groupBy("_label", "term").agg(F.count(F.lit(1)).alias("n"))
+    held = common.durable(held.filter(F.col("_label").isin(names)))
+    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.col("n").desc(), "term"))
+    words = held.withColumn("_p", place).filter(F.col("_p") <= PROFILE_WORDS).select("term").distinct()
+    counts = {(r["term"], r["_label"]): r["n"] for r in held.join(F.broadcast(words), "term").collect()}
+    order = sorted({t for t, _ in counts})
+    logs = np.array([[math.log((counts.get((t, k), 0) + 0.5) / (sizes[k] + 1.0)) for k in names] for t in order]).reshape(len(order), len(names))
+    return Profile(order, names, logs)
+
+
 class _Store:
     """A DuckDB database on the worker's scratch disk, with a small memory limit: what does not fit is spilled."""
 
-    def __init__(self, memory: str) -> None:
+    def __init__(self, memory: str, local: bool) -> None:
         import duckdb
 
-        self.dir = tempfile.mkdtemp(prefix="radix-", dir=common.scratch_parent())
+        self.dir = tempfile.mkdtemp(prefix="radix-", dir=common.scratch_parent(local))
         self.con = duckdb.connect(f"{self.dir}/terms.db", config={"threads": 1, "memory_limit": memory, "temp_directory": self.dir, "preserve_insertion_order": False})
 
     def __enter__(self) -> Any:
@@ -70,22 +128,34 @@ class _Store:
         shutil.rmtree(self.dir, ignore_errors=True)
 
 
-def _map_side(memory: str, flush_rows: int):
-    """Aggregate what a map task sees, so that the shuffle holds one row per task, term and stripe."""
+_BOTH = ["document_frequency", "occurrences"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(parts: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(parts).group_by(["term", "stripe"]).aggregate([("document_frequency", "sum"), ("occurrences", "sum")]).rename_columns(["term", "stripe", "document_frequency", "occurrences"])
 
+def _map_side(flush_rows: int, profile: Profile | None):
+    """Aggregate what a map task sees, so that the shuffle holds one row per task, term and stripe; the records with a term are counted as ``EVERY``."""
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["term", "stripe"]).aggregate([(x, "sum") for x in _BOTH]).rename_columns(["term", "stripe", *_BOTH])
+
+    def part_of(batch: pa.RecordBatch) -> pa.Table:
+        found = _counted(batch)
+        stripe = batch.column(batch.schema.get_field_index("stripe"))
+        if profile is not None:
+            stripe = profile.of(found, batch.num_rows, stripe)
+        d = found["d"].combine_chunks()
+        terms = pa.table({"term": found["term"], "stripe": stripe.take(d), "occurrences": found["tf"]}).group_by(["term", "stripe"]).aggregate([("occurrences", "count"), ("occurrences", "sum")])
+        worded = pa.array(np.unique(np.asarray(d)))
+        every = pa.table({"stripe": stripe.take(worded)}).group_by(["stripe"]).aggregate([([], "count_all")]).rename_columns(["stripe", "n"])
+        more = pa.table({"term": pa.array([EVERY] * every.num_rows, pa.string()), "stripe": every["stripe"], "document_frequency": every["n"], "occurrences": every["n"]})
+        return pa.concat_tables([terms.select(["term", "stripe", "occurrences_count", "occurrences_sum"]).rename_columns(["term", "stripe", *_BOTH]), more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = _counted(batch)
-            stripes = batch.column(batch.schema.get_field_index("stripe")).take(found["d"].combine_chunks())
-            part = pa.table({"term": found["term"], "stripe": stripes, "occurrences": found["tf"]}).group_by(["term", "stripe"])
-            held.append(part.aggregate([("occurrences", "count"), ("occurrences", "sum")]).select(["term", "stripe", "occurrences_count", "occurrences_sum"]).rename_columns(["term", "stripe", "document_frequency", "occurrences"]))
+            held.append(part_of(batch))
             rows += held[-1].num_rows
             if rows > flush_rows:
                 held = [merged(held)]
@@ -99,7 +169,7 @@ def _map_side(memory: str, flush_rows: int):
     return run
 
 
-def _radix_merge(memory: str, split_rows: int, bits: int):
+def _radix_merge(memory: str, split_rows: int, bits: int, local: bool):
     """Aggregate one radix partition out of core; a partition over ``split_rows`` is split by its next hash bits, again and again."""
 
     def emit(con: Any, name: str) -> Iterator[pa.RecordBatch]:
@@ -127,7 +197,7 @@ def _radix_merge(memory: str, split_rows: int, bits: int):
             yield from descend(con, f"{name}_{way}", level + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _Store(memory) as con:
+        with _Store(memory, local) as con:
             con.execute("CREATE TABLE part (term VARCHAR, stripe VARCHAR, document_frequency BIGINT, occurrences BIGINT)")
             for batch in batches:
                 if batch.num_rows:
@@ -140,72 +210,97 @@ def _radix_merge(memory: str, split_rows: int, bits: int):
 
 
 def term_statistics(
-    docs: DataFrame, text: str = "text", stripe: str = "stripe", partitions: int | None = None, memory: str = "256MB", split_rows: int = SPLIT_ROWS, flush_rows: int = FLUSH_ROWS, bits: int = RADIX_BITS
+    docs: DataFrame, text: str = "text", stripe: str = "stripe", partitions: int | None = None, memory: str = "256MB", split_rows: int = SPLIT_ROWS, flush_rows: int = FLUSH_ROWS, bits: int = RADIX_BITS, profile: Profile | None = None
 ) -> DataFrame:
     """Document frequency and occurrences of every distinct term, over all records and per stripe.
 
     Recursive radix spilling: terms are cut in the JVM, counted per record and combined per map task, sent to
     partitions by bits of the term's hash, and aggregated there out of core in DuckDB; an oversized partition is
     split by further hash bits first. However often a term occurs, a map task sends it once per stripe, so no
-    partition is hot.
+    partition is hot. With a ``profile`` the stripes are the languages it finds, ``stripe`` being the label.
 
     Every record counts once per term it holds, equal texts too. Null, empty, blank and unworded texts hold no
-    term; records without a stripe count globally and under the null stripe. An empty table gives no rows. Other
-    columns of ``docs`` are not read.
+    term; records without a stripe count globally and under the null stripe. The records with a term are counted in
+    the same pass, as a row of the empty term. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    src = docs.select(F.col(stripe).cast("string").alias("stripe"), common.terms(text).alias("terms")).filter(F.size("terms") > 0)
-    partial = src.mapInArrow(_map_side(memory, flush_rows), _BASIC)
+    src = docs.select(F.col(stripe).cast("string").alias("stripe"), common.terms(text).alias("terms"))
+    partial = src.mapInArrow(_map_side(flush_rows, profile), _BASIC)
     radix = partial.repartition(partitions, "term") if partitions else partial.repartition("term")
-    return radix.mapInArrow(_radix_merge(memory, split_rows, bits), _STATS)
+    return radix.mapInArrow(_radix_merge(memory, split_rows, bits, common.is_local(docs)), _STATS)
+
 
+def split(stats: DataFrame) -> tuple[DataFrame, dict[str | None, int]]:
+    """(statistics of the terms, records with a term by stripe): the statistics are written once to the shared folder.
 
-def worded(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row ``n``: how many records hold at least one term."""
-    return docs.filter(F.lower(text).rlike(common.TERM_PATTERN)).agg(F.count(F.lit(1)).alias("n"))
+    The stripes of the one row that counts records come to the driver; stripes and languages are few.
+    """
+    held = common.durable(stats)
+    every = held.filter(F.col("term") == EVERY).select(F.explode("stripes").alias("s")).select("s.stripe", "s.document_frequency").collect()
+    return held.filter(F.col("term") != EVERY), {r["stripe"]: r["document_frequency"] for r in every}
 
 
-def marked(stats: DataFrame, n: Column, rare: int = RARE_AT_MOST, common_over: float = COMMON_OVER) -> DataFrame:
-    """Add ``mark``: 'rare' up to ``rare`` records, 'common' over that share of the worded records, else null.
+def marked(stats: DataFrame, n: int, rare: int = RARE_AT_MOST, common_over: float = COMMON_OVER) -> DataFrame:
+    """Add ``mark``: 'rare' up to ``rare`` records, 'common' over that share of the ``n`` worded records, else null.
 
     Where both hold (a tiny collection) a term is 'rare'.
     """
     df = F.col("document_frequency")
-    return stats.withColumn("mark", F.when(df <= rare, "rare").when(df > F.round(n * F.lit(common_over), 6), "common"))
+    return stats.withColumn("mark", F.when(df <= rare, "rare").when(df > round(n * common_over, 6), "common"))
+
+
+def expected(stripes: Column, records: dict[str | None, int]) -> Column:
+    """How many records a term would be in, if its occurrences were spread over the records of each stripe by Poisson's law."""
+    known = F.create_map(*[x for k, n in records.items() for x in (F.lit(k or ""), F.lit(float(n)))]) if records else F.lit(None).cast("map<string,double>")
 
+    def add(total: Column, s: Column) -> Column:
+        n = known[F.coalesce(s["stripe"], F.lit(""))]
+        return total - n * F.expm1(-s["occurrences"] / n)
 
-def residual_idf(df: Column, occurrences: Column, n: Column) -> Column:
-    """Observed inverse document frequency minus the one a Poisson spread of the same occurrences would have, in bits."""
-    return -F.log2(df / n) + F.log2(-F.expm1(-occurrences / n))
+    return F.aggregate(stripes, F.lit(0.0), add)
 
 
-def weight(tf: Column, df: Column, occurrences: Column, n: Column) -> Column:
-    """How characteristic a term is of a record: tf x residual IDF x (IDF / log2 n) squared.
+def weight(tf: Column, df: Column, would: Column) -> Column:
+    """How characteristic a term is of a record: (1 + ln tf) x residual IDF, in bits.
 
-    The last factor is an addition to the plain residual IDF. In a collection of several languages the function
-    words of a smaller language are as concentrated as any topic word, and the plain product puts them first; the
-    squared rarity, between 0 and 1, makes common terms count little again.
+    Residual IDF is the observed inverse document frequency minus the one that the Poisson spread would have.
     """
-    rarity = -F.log2(df / n) / F.greatest(F.log2(n), F.lit(1.0))
-    return F.round(tf * residual_idf(df, occurrences, n) * rarity * rarity, 9)
+    return F.round((F.lit(1.0) + F.log(tf.cast("double"))) * F.log2(would / df), 9)
 
 
-def term_weights(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text: str = "text", hot_share: int = 256) -> DataFrame:
+def _cut(stats: DataFrame, at_most: int) -> int:
+    """The least power of two that no more than ``at_most`` terms exceed in document frequency; 0 where there are no more terms at all."""
+    sizes = {r["b"]: r["n"] for r in stats.groupBy(F.ceil(F.log2("document_frequency")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    above, cut = 0, 0
+    for b in sorted(sizes, reverse=True):
+        above += sizes[b]
+        if above > at_most:
+            return 1 << b
+    return cut
+
+
+def term_weights(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str | None = "lang", hot_terms: int = HOT_TERMS, sample: int = SAMPLE) -> DataFrame:
     """Weight of every term of the records ``of``, against all records ``docs``: (id, term, tf, document_frequency, occurrences, weight).
 
-    The statistics are written once to the shared checkpoint folder. Terms held by more than one record in
-    ``hot_share`` are joined by broadcast: as the postings sum to records x mean distinct terms, there are at most
-    ``hot_share`` x that mean of them whatever the size. The others, none of which has a hot key, are joined by
-    shuffle. Records without terms give no rows; repeated ids in ``of`` are not merged here.
+    The Poisson expectation is made inside each language, as in a collection of several the function words of a smaller
+    one would else be as concentrated as topic words. A record's language is told by a profile of common words,
+    fitted to at most ``sample`` labelled records, else by its label in ``lang``; without that column there is one.
+
+    Texts are read once for the statistics and once for the postings of ``of``; both are written to the shared
+    folder. The statistics of the ``hot_terms`` most frequent terms are broadcast, the others, none of which has a hot
+    key, are joined by shuffle. Records without terms give no rows; repeated ids in ``of`` are not merged here.
     """
-    n = worded(docs, text).first()["n"]
-    stats = common.durable(term_statistics(docs.withColumn("stripe", F.lit(None).cast("string")).select(text, "stripe"), text).select("term", "document_frequency", "occurrences"))
-    postings = term_counts(of, [id_col], text)
-    cut = max(n // hot_share, 1)
-    hot = stats.filter(F.col("document_frequency") > cut)
-    cold = stats.filter(F.col("document_frequency") <= cut)
-    both = postings.join(F.broadcast(hot), "term").unionByName(postings.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term"))
-    total = F.lit(float(max(n, 1)))
-    return both.select(id_col, "term", "tf", "document_frequency", "occurrences", weight(F.col("tf"), F.col("document_frequency"), F.col("occurrences"), total).alias("weight"))
+    profile = language_profile(docs, id_col, text, lang, sample) if lang else None
+    labelled = docs.select(text, (_code(F.col(lang)) if lang else F.lit(None).cast("string")).alias("stripe"))
+    terms, records = split(term_statistics(labelled, text, profile=profile))
+    stats = terms.select("term", "document_frequency", "occurrences", expected(F.col("stripes"), records).alias("_would"))
+    postings = common.durable(term_counts(of, [id_col], text))
+    cut = _cut(terms, hot_terms)
+    hot, cold = F.col("document_frequency") > cut, F.col("document_frequency") <= cut
+    few = F.broadcast(stats.filter(hot))
+    both = postings.join(few, "term")
+    if cut:
+        both = both.unionByName(postings.join(few.select("term"), "term", "left_anti").join(stats.filter(cold), "term"))
+    return both.select(id_col, "term", "tf", "document_frequency", "occurrences", weight(F.col("tf"), F.col("document_frequency"), F.col("_would")).alias("weight"))
 
 
 def most_characteristic(weights: DataFrame, id_col: str = "doc_id") -> DataFrame:

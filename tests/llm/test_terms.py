@@ -1,7 +1,9 @@
 import math
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -35,42 +37,77 @@ def brute(docs):
 def test_counts_match_brute_force_however_they_are_split(spark, settings):
     df, cf, local = brute(DOCS)
     # an extra column with the name of a result
-    got = terms.term_statistics(spark.createDataFrame(DOCS, SCHEMA).repartition(3), **settings).collect()
+    found, records = terms.split(terms.term_statistics(spark.createDataFrame(DOCS, SCHEMA).repartition(3), **settings))
+    got = found.collect()
+    assert records == {"a": 1, "b": 2, None: 1}
     assert {r["term"]: (r["document_frequency"], r["occurrences"]) for r in got} == {t: (df[t], cf[t]) for t in df}
     assert {(r["term"], s["stripe"]): s["document_frequency"] for r in got for s in r["stripes"]} == dict(local)
 
 
 def test_marks(spark):
-    docs = spark.createDataFrame([(i, "common" + (" mid" if i < 3 else "") + (" rare" if i == 0 else ""), "a") for i in range(8)], "doc_id long, text string, stripe string")
-    got = terms.marked(terms.term_statistics(docs), terms.worded(docs).scalar())
-    assert rows(got.select("term", "mark")) == [("common", "common"), ("mid", None), ("rare", "rare")]
+    docs = spark.createDataFrame([(i, "common" + (" mid" if i < 3 else "") + (" rare" if i == 0 else ""), "a") for i in range(8)] + [(9, None, "a")], "doc_id long, text string, stripe string")
+    got, records = terms.split(terms.term_statistics(docs))
+    assert records == {"a": 8}
+    assert rows(terms.marked(got, 8).select("term", "mark")) == [("common", "common"), ("mid", None), ("rare", "rare")]
 
 
 def test_empty_table(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, stripe string")
+    empty = spark.createDataFrame([], "doc_id long, text string, stripe string, lang string")
     assert terms.term_statistics(empty).count() == 0
     assert rows(terms.most_characteristic(terms.term_weights(empty, empty))) == []
-    none = spark.createDataFrame([(1, None, None)], "doc_id long, text string, stripe string")
-    assert rows(terms.marked(terms.term_statistics(none), terms.worded(none).scalar())) == []
+    none = spark.createDataFrame([(1, None, None, None)], "doc_id long, text string, stripe string, lang string")
+    got, records = terms.split(terms.term_statistics(none))
+    assert rows(terms.marked(got, 0)) == [] and records == {}
+    assert rows(terms.term_weights(none, none)) == []
 
 
 def test_weights(spark):
     docs = [(i, "stop word here filler" + (" topic" * 4 if i in (1, 2) else "")) for i in range(12)] + [(50, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    w = {(r["doc_id"], r["term"]): r for r in terms.term_weights(d, d, hot_share=2).collect()}
-    n, df, cf = 12, 2, 8
-    plain = -math.log2(df / n) + math.log2(1 - math.exp(-cf / n))
-    rarity = -math.log2(df / n) / math.log2(n)
-    assert w[1, "topic"]["weight"] == pytest.approx(4 * plain * rarity**2, abs=1e-8)
-    assert w[1, "stop"]["weight"] == 0
-    other = {(r["doc_id"], r["term"]): r["weight"] for r in terms.term_weights(d, d, hot_share=10**6).collect()}
-    assert other == {k: r["weight"] for k, r in w.items()}
-    best = dict(rows(terms.most_characteristic(terms.term_weights(d, d.filter("doc_id in (1, 5, 50)")))))
+    w = {(r["doc_id"], r["term"]): r["weight"] for r in terms.term_weights(d, d, lang=None).collect()}
+    residual = -math.log2(2 / 12) + math.log2(1 - math.exp(-8 / 12))
+    assert w[1, "topic"] == pytest.approx((1 + math.log(4)) * residual, abs=1e-8)
+    assert w[1, "stop"] == pytest.approx(math.log2(1 - math.exp(-1)), abs=1e-8)
+    for hot in (0, 1, 4, 10**6):
+        assert {(r["doc_id"], r["term"]): r["weight"] for r in terms.term_weights(d, d, lang=None, hot_terms=hot).collect()} == w
+    best = dict(rows(terms.most_characteristic(terms.term_weights(d, d.filter("doc_id in (1, 5, 50)"), lang=None))))
     assert best == {1: "topic", 5: "filler"}  # equal weights: the term that sorts first; no words: no term
 
 
+def bilingual():
+    """A large and a small language; the small one's function words are as concentrated as topics, a few labels are wrong or missing."""
+    rng = random.Random(3)
+    out = []
+    for i in range(400):
+        small = i % 8 == 0
+        words = [rng.choice(["der", "und", "nicht", "ist"] if small else ["the", "and", "not", "is", "was"]) for _ in range(30)]
+        words += [f"name{i // 10}"] * 5 if i % 2 else [f"once{i}"] * 2
+        out.append((i, " ".join(words), None if i % 31 == 0 else "en" if i % 64 == 0 else "DE " if small else rng.choice(["en-US", "eng", "en"])))
+    return out
+
+
+def test_function_words_of_a_small_language_are_not_characteristic(spark):
+    data = bilingual()
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    best = dict(rows(terms.most_characteristic(terms.term_weights(d, d))))
+    plain = dict(rows(terms.most_characteristic(terms.term_weights(d, d, lang=None))))
+    wrong = lambda got: sum(got[i] in {"der", "und", "nicht", "ist"} for i, _, _ in data)
+    assert wrong(best) == 0 < wrong(plain)
+
+
+def test_languages_come_from_words_before_labels(spark):
+    d = spark.createDataFrame(bilingual(), "doc_id long, text string, lang string")
+    profile = terms.language_profile(d, "doc_id", "text", "lang")
+    assert profile.names == ["de", "en"] and len(profile.words) <= terms.PROFILE_WORDS * 2
+    found = pa.table({"d": pa.array([0, 0, 1, 2, 2]), "term": ["der", "und", "zzz", "was", "name1"]})
+    assert profile.of(found, 4, pa.array(["en", "fr", None, None])).to_pylist() == ["de", "fr", "en", None]
+    _, records = terms.split(terms.term_statistics(d.withColumn("stripe", F.lit(None).cast("string")), profile=profile))
+    assert records == {"de": 50, "en": 350}
+    assert terms.language_profile(d.limit(0), "doc_id", "text", "lang").words == []
+
+
 def test_long_text(spark):
     d = spark.createDataFrame([(1, "word " * 200_000 + "x" * 300_000, "a")], "doc_id long, text string, stripe string")
     got = {r["term"][:5]: r["occurrences"] for r in terms.term_statistics(d).collect()}
-    assert got == {"word": 200_000, "xxxxx": 1}
+    assert got == {"word": 200_000, "xxxxx": 1, terms.EVERY: 1}
     assert terms.term_counts(d, ["doc_id"]).filter(F.col("tf") == 200_000).count() == 1
