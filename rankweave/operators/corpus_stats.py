@@ -46,7 +46,10 @@ def global_size(tokens: DataFrame) -> DataFrame:
 
 def build(corpus: DataFrame, spec: CorpusSpec, split: Split) -> dict[str, DataFrame]:
     """The statistics as four tables, each stamped with the split's name."""
-    tokens = tokenized(corpus, spec)
+    return tables_of(tokenized(corpus, spec), split)
+
+
+def tables_of(tokens: DataFrame, split: Split) -> dict[str, DataFrame]:
     local = df_local(tokens)
     tables = {"global": global_size(tokens), "stripe": sizes(tokens), "df_global": df_global(local), "df_local": local}
     return {k: v.withColumn("split", F.lit(split.name)) for k, v in tables.items()}

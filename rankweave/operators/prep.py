@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +74,39 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("r")).select(*keys, "r.*").select(old.columns)
 
 
+def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 96, attempts: int = 5, pause: float = 1.0) -> DataFrame:
+    """(key, embedding): the texts sent to ``embed`` in batches; null texts are sent as empty ones.
+
+    ``embed`` is called once for each ``batch`` of texts of a task, and again after a growing pause where it raises,
+    ``attempts`` times at most; then the error is the task's.
+    """
+    src = rows.select(key, F.coalesce(text, F.lit("")).alias("_text"))
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        for i in range(attempts):
+            try:
+                return embed(texts)
+            except Exception:
+                if i + 1 == attempts:
+                    raise
+                time.sleep(pause * 2**i)
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                part = whole.slice(start, batch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ask(part.column(1).to_pylist()), pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+def looked_up(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """Queries (query_id, text) with the ``embedding`` that ``known`` (text, embedding) holds for their text, else null; each text is looked up once."""
+    once = known.filter("text is not null").groupBy("text").agg(F.min("embedding").alias("embedding"))
+    return queries.join(once, "text", "left").select("query_id", "text", "embedding")
+
+
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Add ``place`` (from 0) in a total order, by range partitions and their counts rather than one sort in one task."""
     return summed_by_range(rows, [], [F.col(c) for c in order], F.lit(1), "place")

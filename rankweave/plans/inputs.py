@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text
 from ..operators import corpus_stats, fuse, prep, retrieve
-from ..session import durable
+from ..session import durable, shared_folder
 from ..sources.tables import read_table
 from ..spec import CorpusSpec
 
@@ -91,18 +92,28 @@ _KEPT: OrderedDict = OrderedDict()
 
 
 def kept(kind: str, spark: SparkSession, d: str, tables: list[str], make: Callable[[], object]) -> object:
-    """What ``make`` made of some tables, for the next query of the session; made again when one of the tables changes. A few are kept."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    stamps = tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in (path(f"{d}/{t}.parquet") for t in tables))
-    key = (spark.sparkContext.applicationId, kind, d)
+    """What ``make`` made of some tables, for the next query of the session. A few are kept.
+
+    It is made again when one of the tables changes or when the shared folder, where its parts are written, is another
+    one or was cleared: an empty file there stands for them.
+    """
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    at = lambda name: (path(name), path(name).getFileSystem(conf))
+    stamps = tuple(fs.getFileStatus(p).getModificationTime() for p, fs in (at(f"{d}/{t}.parquet") for t in tables))
+    key = (spark.sparkContext.applicationId, kind, d, shared_folder(spark))
     held = _KEPT.pop(key, None)
-    if held is None or held[0] != stamps:
-        held = (stamps, make())
+    if held is not None:
+        mark, fs = at(held[1])
+        held = held if held[0] == stamps and fs.exists(mark) else None
+    if held is None:
+        name = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+        mark, fs = at(name)
+        fs.create(mark).close()
+        held = (stamps, name, make())
     _KEPT[key] = held
     while len(_KEPT) > 8:
         _KEPT.popitem(last=False)
-    return held[1]
+    return held[2]
 
 
 def index_of(spark: SparkSession, d: str, stop: bool = True) -> Index:

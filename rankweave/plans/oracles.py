@@ -7,6 +7,7 @@ from ..functions.statistics import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLA
 from ..functions.text import STOP_WORDS
 from ..operators.corpus_stats import BANDS
 from ..operators.significance import ITERATIONS, MIX, SEED
+from . import files
 from .inputs import GENRE_TAGS, LANGUAGE_STRIPES
 
 HALF, ONE = "0.5::DOUBLE", "1::DOUBLE"
@@ -495,9 +496,14 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT query_id, 'fused', li.stripe, fused_rank, doc_id, fused_score, NULL, NULL, printf('1/(60+%d) = %.6f from %s', cand.hit_rank, fused_score, li.stripe) FROM li JOIN cand USING (query_id, doc_id) WHERE li.stripe = cand.stripe
         UNION ALL SELECT query_id, 'mix', NULL, NULL, NULL, NULL, NULL, NULL, m FROM mx"""
     out["verify_counts"] = "SELECT stripe AS source, count(*) AS n_docs FROM documents GROUP BY ALL"
-    checks = [("vectors", "(SELECT count(*) FROM embeddings) > 0"), ("one vector size", "(SELECT count(DISTINCT len(embedding)) FROM embeddings) = 1"), ("stripes", "(SELECT count(DISTINCT stripe) FROM documents) >= 2")]
+    checks = [("vectors", "(SELECT count(*) FROM embeddings) > 0"), ("one vector size", "(SELECT count(DISTINCT len(embedding)) FROM embeddings) = 1"), ("stripes", "(SELECT count(DISTINCT stripe) FROM documents) >= 2"), ("no empty stripe", "(SELECT count(stripe) FROM documents) > 0")]
     checks += [(f"{c} present", f"(SELECT count({c}) FROM candidates) > 0") for c in ("text_score", "vector_similarity", "reranker_score")]
-    out["doctor"] = " UNION ALL ".join(f"SELECT '{a}' AS check, {b} AS ok" for a, b in checks)
+    checks += [("second stage within 0 to 4", "coalesce((SELECT min(reranker_score) >= 0 AND max(reranker_score) <= 4 AND NOT bool_or(isnan(reranker_score)) FROM candidates), FALSE)"), ("statistics of every stripe", "(SELECT min(terms) > 0 AND min(avgdl) > 0 FROM sz LEFT JOIN (SELECT stripe, count(*) AS terms FROM dfl GROUP BY ALL) USING (stripe))")]
+    out["doctor"] = f"WITH {t} " + " UNION ALL ".join(f"SELECT '{a}' AS check, {b} AS ok" for a, b in checks)
+    out["result_rows"] = f"WITH {RECORDS} SELECT DISTINCT query_id AS queryId, mode, strategy, judged_ndcg AS judgedNdcg, agentic_tokens AS agenticTokens, stripe_mix AS stripeMix FROM rec"
+    out["embed_pending"] = "SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS characters, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS blanks, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE AS es FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"
+    out["query_embeddings"] = "WITH k AS (SELECT title, min(label)::DOUBLE AS label FROM embeddings JOIN documents ON doc_id = vec_id WHERE title IS NOT NULL GROUP BY ALL) SELECT doc_id AS query_id, label FROM documents LEFT JOIN k USING (title)"
+    out |= files.oracle_sql(toks("text"), RECORDS)
     # judges
     out["weighted_kappa"] = f"WITH {PAIRS} {KAPPA}"
     out["judge_agreement"] = f"WITH {PAIRS} SELECT count(*) AS n, round(avg((g1 = g2)::INT), 6) AS exact, round(avg((abs(g1 - g2) <= 1)::INT), 6) AS within_one, round(avg(g1), 6) AS mean_1, round(avg(g2), 6) AS mean_2, round(avg(g2) - avg(g1), 6) AS shift, round(coalesce(CASE WHEN isnan(corr(g1, g2)) THEN 0 ELSE corr(g1, g2) END, 0), 6) AS pearson FROM pr"

@@ -13,7 +13,7 @@ from ..operators import corpus_stats, evaluate, fuse, metrics, prep, retrieve, s
 from ..session import durable
 from ..sources import tables
 from ..sources.tables import read_table
-from . import matrix
+from . import files, matrix
 from .catalog import STRATEGIES
 from .inputs import DEPTH, GENRE_TAGS, SPEC, STRIPES, TOP, Retrieved, corpus, halves, hits, index_of, number_of, retrieved, stored_sizes, vector_queries, vectors
 
@@ -605,24 +605,54 @@ def verify_counts(spark, d):
 
 @query
 def doctor(spark, d):
-    """Checks of what the engine needs, one row each."""
+    """Checks of what the engine needs, one row each: vectors, stripes, subscores, statistics and the second stage."""
     e = read_table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.size("embedding")).alias("sizes"))
-    c = read_table(spark, d, "candidates").agg(*[F.count(x).alias(x) for x in ("text_score", "vector_similarity", "reranker_score")])
-    s = read_table(spark, d, "documents").filter("stripe is not null").agg(F.countDistinct("stripe").alias("stripes"))
+    c = read_table(spark, d, "candidates").agg(*[F.count(x).alias(x) for x in ("text_score", "vector_similarity", "reranker_score")], F.max("reranker_score").alias("most"), F.min("reranker_score").alias("least"))
+    s = tables.stripe_catalog(read_table(spark, d, "documents").filter("stripe is not null")).agg(F.count(F.lit(1)).alias("stripes"), F.min("n_docs").alias("fewest"))
+    i = index_of(spark, d)
+    known = i.sizes.join(i.df_local.groupBy("stripe").agg(F.count(F.lit(1)).alias("terms")), "stripe", "left").agg(F.min(F.coalesce("terms", F.lit(0))).alias("terms"), F.min("avgdl").alias("avgdl"))
 
     def row(df: DataFrame, name: str, ok: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("check"), ok.alias("ok"))
+        return df.select(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
-    out = row(e, "vectors", F.col("n") > 0).unionByName(row(e, "one vector size", F.col("sizes") == 1)).unionByName(row(s, "stripes", F.col("stripes") >= 2))
+    out = row(e, "vectors", F.col("n") > 0).unionByName(row(e, "one vector size", F.col("sizes") == 1)).unionByName(row(s, "stripes", F.col("stripes") >= 2)).unionByName(row(s, "no empty stripe", F.col("fewest") > 0))
     for x in ("text_score", "vector_similarity", "reranker_score"):
         out = out.unionByName(row(c, f"{x} present", F.col(x) > 0))
-    return out
+    second = row(c, "second stage within 0 to 4", (F.col("least") >= 0) & (F.col("most") <= 4))
+    return out.unionByName(second).unionByName(row(known, "statistics of every stripe", (F.col("terms") > 0) & (F.col("avgdl") > 0)))
 
 
 @query
 def result_rows(spark, d):
-    r = _records(spark, d).withColumnRenamed("stripe_mix", "mix")
-    return tables.result_rows(r.withColumn("stripe_mix", F.col("mix"))).select("queryId", "mode", "strategy", "judgedNdcg", "agenticTokens", "stripeMix").distinct()
+    """The cells of a results file; figures are read back from their text."""
+    r = _records(spark, d)
+    return tables.result_rows(r).select("queryId", "mode", "strategy", F.col("judgedNdcg").cast("double").alias("judgedNdcg"), F.col("agenticTokens").cast("long").alias("agenticTokens"), "stripeMix").distinct()
+
+
+def _counted_words(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: characters, blanks and the letter e of a text."""
+    return [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
+
+
+@query
+def embed_pending(spark, d):
+    """Documents without a vector, embedded in batches of 96 by the stand-in model."""
+    todo = prep.pending(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["doc_id"])
+    got = prep.embedded(todo, "doc_id", "text", _counted_words)
+    return got.select("doc_id", *[F.col("embedding")[i].alias(x) for i, x in enumerate(("characters", "blanks", "es"))])
+
+
+@query
+def query_embeddings(spark, d):
+    """Evaluation queries with the vector that is known for their text: the label of the vector whose document has it as title."""
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("title").alias("text"))
+    known = read_table(spark, d, "embeddings").join(docs, "vec_id").select("text", F.array(F.col("label").cast("double")).alias("embedding"))
+    asked = docs.select(F.col("vec_id").alias("query_id"), "text")
+    return prep.looked_up(asked, known).select("query_id", F.col("embedding")[0].alias("label"))
+
+
+for _name, _plan in files.QUERIES.items():
+    _add(_name, _plan)
 
 
 # --- two judges: the first two raters of a document -----------------------------------------------------------------

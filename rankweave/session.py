@@ -24,18 +24,25 @@ def session(master: str | None = None, name: str = "rankweave", **more: str) ->
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there; cuts the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``, set in the session when first asked for.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary folder is used
-    in local mode only; on a cluster, whose executors would each write to their own disk, it is an error. Files are
-    removed when the table is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    Where that is unset a temporary folder is used in local mode only; on a cluster, whose executors would each write
+    to their own disk, it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc._jsc.sc().isLocal():
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and read it from there; cuts the lineage.
+
+    Files are removed when the table is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

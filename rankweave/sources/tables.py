@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import urllib.request
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +24,17 @@ METRIC_COLUMNS = ["ndcg", "recall", "jaccard", "kendallTau", "rbo"]
 QUERY_SCHEMA = "id string, text string, shape string, span string, intent string"
 
 
+def fetch(url: str, path: str) -> bool:
+    """Download a raw file to the driver, unless it is there already; true if it was fetched. It is put in place when whole."""
+    if os.path.exists(path):
+        return False
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with urllib.request.urlopen(url) as source, open(f"{path}.part", "wb") as out:
+        shutil.copyfileobj(source, out)
+    os.replace(f"{path}.part", path)
+    return True
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -28,10 +45,10 @@ def read_books_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("book_id", F.col("book_id").try_cast("bigint")).filter("book_id is not null")
 
 
-def read_counts_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_counts_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(goodreads_book_id, tag_id, count): plain numbers; lines that are malformed are skipped."""
     schema = "goodreads_book_id bigint, tag_id bigint, count bigint"
-    return spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED").dropna()
+    return spark.read.csv(path, schema=schema, header=header, mode="DROPMALFORMED").dropna()
 
 
 def read_tags_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +65,23 @@ def read_corpus_json(spark: SparkSession, path: str, schema: T.StructType | str
     return reader.json(path, multiLine=True)
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of a task as the lines of one JSON array."""
+    before = "["
+    for batch in batches:
+        lines = []
+        for x in batch.column(0).to_pylist():
+            lines.append(before + x)
+            before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+
+def write_corpus_json(df: DataFrame, path: str) -> None:
+    """JSON arrays of documents, one a file; null fields are left out."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def write_corpus(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Parquet, divided by ``partition`` (the stripe) where given: one sub-folder an index; Spark retries failed tasks."""
     w = df.write.mode("overwrite")

@@ -29,7 +29,7 @@ def test_query(spark, duck, small, name):
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in SQL:
-        assert name in {"result_rows"}
+        assert name in {"file_jsonl"}  # which lines are broken is a hash of the engine; see test_sources
         return
     result = duck.execute(SQL[name])
     names = [x[0] for x in result.description]

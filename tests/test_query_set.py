@@ -41,6 +41,30 @@ def test_postings_hold_every_document_once_without_a_term(spark, small):
     assert sums.filter("`sum(tf)` <> doc_len").isEmpty()
 
 
+def test_the_index_is_kept_until_a_table_or_the_folder_changes(spark, small, tmp_path):
+    import shutil
+
+    from rankweave.session import shared_folder
+
+    for t in ("documents", "books"):
+        shutil.copy(f"{small}/{t}.parquet", tmp_path)
+    d = str(tmp_path)
+    first = index_of(spark, d)
+    assert index_of(spark, d) is first and index_of(spark, d, stop=False) is not first
+    later = spark.read.parquet(f"{d}/documents.parquet").limit(7)
+    later.coalesce(1).write.parquet(f"{d}/new")
+    shutil.rmtree(f"{d}/documents.parquet", ignore_errors=True)
+    (tmp_path / "documents.parquet").unlink(missing_ok=True)
+    shutil.move(f"{d}/new", f"{d}/documents.parquet")
+    second = index_of(spark, d)
+    assert second is not first and second.lengths.count() == 7
+    folder = shared_folder(spark).removeprefix("file:")
+    for name in __import__("os").listdir(folder):
+        if name.startswith("kept-"):
+            __import__("os").remove(f"{folder}/{name}")
+    assert index_of(spark, d) is not second
+
+
 def test_stand_in_planner(spark):
     q = spark.createDataFrame([("a", "red fox over hills"), ("b", "wizard"), ("c", None), ("d", "one two three")], "query_id string, text string")
     assert rows(halves(q)) == sorted([("a", "a.1", "red fox"), ("a", "a.2", "over hills"), ("b", "b.1", "wizard"), ("c", "c.1", None), ("d", "d.1", "one two"), ("d", "d.2", "three")], key=repr)

@@ -31,6 +31,40 @@ def test_json_files(spark, tmp_path):
     assert [r["failed"] for r in got] == [True, False, False] and got[2]["v"] is None
 
 
+def test_broken_lines_are_counted(spark, small):
+    from rankweave.plans import files
+
+    got = files.jsonl(spark, small).collect()
+    n = spark.read.parquet(f"{small}/eval_queries.parquet").count()
+    broken = spark.read.parquet(f"{small}/eval_queries.parquet").filter("coalesce(crc32(query_id) % 7, 0) = 0").count()
+    assert sum(r["n"] for r in got) == n and sum(r["n"] for r in got if r["failed"]) == broken > 0
+    assert all(r["query_id"] is None for r in got if r["failed"])
+
+
+def test_fetch(tmp_path):
+    (tmp_path / "source").write_bytes(b"abc")
+    path = str(tmp_path / "raw" / "file")
+    assert tables.fetch((tmp_path / "source").as_uri(), path) and not tables.fetch("file:///nowhere", path)
+    assert open(path, "rb").read() == b"abc"
+
+
+def test_embedding_in_batches_with_retries(spark):
+    from rankweave.operators import prep
+
+    def flaky(texts):
+        import random
+
+        if len(texts) > 4 or random.random() < 0.3:
+            raise OSError("busy")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(30)], "id int, text string")
+    got = {r["id"]: list(r["embedding"]) for r in prep.embedded(df, "id", "text", flaky, batch=4, attempts=20, pause=0.0).collect()}
+    assert got == {i: [float(i)] for i in range(30)}
+    with pytest.raises(Exception, match="busy"):
+        prep.embedded(df, "id", "text", flaky, batch=5, attempts=2, pause=0.0).collect()
+
+
 def test_results_round_trip(spark, tmp_path):
     r = spark.createDataFrame([("q1", 'say "a", b', "K", "naive", 0.1, 0.2, 0.3, 0.4, 0.5, None, {"b": 9, "a": 1})], "query_id string, query_text string, mode string, strategy string, ndcg double, recall double, jaccard double, kendall_tau double, rbo double, judged_ndcg double, stripe_mix map<string,int>")
     tables.write_results(r, str(tmp_path / "r"))
