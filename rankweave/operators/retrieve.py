@@ -17,7 +17,7 @@ from ..session import durable
 QUERY_BLOCK, CORPUS_BLOCK = 4096, 32_768
 #: Similarities that a task holds at once.
 CELLS = 4_000_000
-#: Query terms up to this number are broadcast to the postings; more are joined by shuffle.
+#: Rows about query terms up to this number are broadcast to the postings; more are joined by shuffle.
 FEW_TERMS = 500_000
 #: Results that the second-stage scorer looks at per index.
 SEMANTIC_DEPTH = 50
@@ -40,9 +40,12 @@ def postings(tokens: DataFrame, partitions: int) -> DataFrame:
 
 def matching(index: DataFrame, qterms: DataFrame) -> DataFrame:
     """The postings of the queries' terms."""
-    words = qterms.select("term").distinct()
-    few = words.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    return index.join(F.broadcast(words) if few else words, "term", "left_semi")
+    return index.join(_few(qterms.select("term").distinct()), "term", "left_semi")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.limit(FEW_TERMS + 1).count() <= FEW_TERMS else rows
 
 
 def probe(near: DataFrame) -> DataFrame:
@@ -67,11 +70,12 @@ def keyword(near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame,
 
     ``near`` holds the postings of the queries' terms. A posting is weighted once, whichever and however many queries
     ask for it; a document's weights are added up where its postings are, and only the best ``top`` of each
-    partition are sent on.
+    partition are sent on. ``held`` is how many of the query's terms a hit holds.
     """
     part = bm25(idf(F.col("df"), F.col("n_docs")), F.col("tf").cast("double"), F.col("doc_len"), F.col("avgdl"), k1, b)
-    weighted = near.join(df, ["stripe", "term"]).join(F.broadcast(size), "stripe").select("doc_id", "stripe", "doc_len", "term", part.alias("_w"))
-    scored = weighted.join(qterms, "term").groupBy("query_id", "stripe", "doc_id", "doc_len").agg(F.round(F.sum("_w"), 9).alias("score"))
+    here = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    weighted = here.join(_few(df), ["stripe", "term"]).join(F.broadcast(size), "stripe").select("doc_id", "stripe", "doc_len", "term", part.alias("_w"))
+    scored = weighted.join(_few(qterms), "term").groupBy("query_id", "stripe", "doc_id", "doc_len").agg(F.round(F.sum("_w"), 9).alias("score"), F.count(F.lit(1)).alias("held"))
     return ranked(scored, top, "Keyword", order).withColumn("text_score", F.col("score"))
 
 
@@ -161,12 +165,17 @@ def semantic(candidates: DataFrame, near: DataFrame, qterms: DataFrame, depth: i
     """Add ``reranker_score`` (0 to 4) for the first ``depth`` candidates of an index, null beyond.
 
     The scorer is a stand-in for a cross-encoder: four times the share of the query's terms that the document
-    holds. Like the real one it does not depend on the corpus.
+    holds, which a keyword search has counted (``held``) and which is looked up in the postings for other hits. Like
+    the real one it does not depend on the corpus.
     """
     need = qterms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    seen = candidates.filter(F.col("hit_rank") <= depth).select("query_id", "doc_id").distinct()
-    held = seen.join(qterms, "query_id").join(near.select("doc_id", "term"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_h"))
-    joined = candidates.join(held, ["query_id", "doc_id"], "left").join(need, "query_id", "left")
+    if "held" in candidates.columns:
+        known = candidates.withColumnRenamed("held", "_h")
+    else:
+        seen = candidates.filter(F.col("hit_rank") <= depth).select("query_id", "doc_id").distinct()
+        held = seen.join(qterms, "query_id").join(near.select("doc_id", "term"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_h"))
+        known = candidates.join(held, ["query_id", "doc_id"], "left")
+    joined = known.join(need, "query_id", "left")
     score = F.when((F.col("hit_rank") <= depth) & (F.col("_n") > 0), F.round(F.lit(4.0) * F.coalesce("_h", F.lit(0)) / F.col("_n"), 9))
     return joined.withColumn("reranker_score", score).drop("_h", "_n")
 
