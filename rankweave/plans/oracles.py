@@ -8,6 +8,7 @@ from ..functions.text import STOP_WORDS
 from ..operators.corpus_stats import BANDS
 from ..operators.significance import ITERATIONS, MIX, SEED
 from . import files
+from .catalog import STRATEGIES
 from .inputs import GENRE_TAGS, LANGUAGE_STRIPES
 
 HALF, ONE = "0.5::DOUBLE", "1::DOUBLE"
@@ -483,13 +484,16 @@ def oracle_sql() -> dict[str, str]:
     arms = differences("ndcg", "naive-score", "strategy IN ('naive-score', 'global-rrf')")
     out["compare"] = f"WITH {arms}, {T_TEST}, pd AS ({PAIRED}) SELECT pd.*, round(t, 6) AS t, round(t_p, 6) AS t_p FROM pd JOIN tp USING (mode, strategy)"
     out["compute_model"] = f"WITH {HITS} SELECT query_id, mode, round(0.00017::DOUBLE * count(DISTINCT stripe) + 0.0000054::DOUBLE * count(*), 9) AS compute_units FROM hits GROUP BY ALL"
+    semantic = ", ".join(f"'{x.name}'" for x in STRATEGIES if x.needs_semantic)
     out["cost_tradeoff"] = f"""WITH {SUMMARY}, b AS (SELECT mode, coalesce(judged_ndcg, 0) AS q, compute_units AS c FROM su WHERE strategy = 'single-index'),
-        j AS (SELECT su.*, b.q, b.c, CASE WHEN strategy = 'agentic-rerank' THEN 2 ELSE 0 END + round_even(coalesce(agentic_tokens, 0), 0) * 0.000022::DOUBLE AS m FROM su JOIN b USING (mode))
+        k AS (SELECT strategy, avg(len(string_split(stripe_mix, ' | '))) AS calls FROM rec WHERE strategy IN ({semantic}) AND stripe_mix IS NOT NULL GROUP BY ALL),
+        j AS (SELECT su.*, b.q, b.c, round_even(coalesce(calls, 0), 0) + round_even(coalesce(agentic_tokens, 0), 0) * 0.000022::DOUBLE AS m FROM su JOIN b USING (mode) LEFT JOIN k USING (strategy))
         SELECT mode, strategy, round(coalesce(judged_ndcg, 0), 8) AS quality, round(CASE WHEN q > 0 THEN coalesce(judged_ndcg, 0) / q END, 8) AS vs_single, round(m, 8) AS metered_per_1k, round(m + coalesce(compute_units, 0) * 270::DOUBLE, 8) AS serverless_per_1k,
         round(CASE WHEN compute_units > 0 AND c > 0 THEN compute_units / c END, 8) AS capacity, round(CASE WHEN compute_units > 0 AND c > 0 THEN c / compute_units END, 8) AS peak_qps, round(latency_p50_ms, 8) AS latency_p50_ms FROM j"""
-    out["query_accounting"] = """WITH f AS (SELECT query_id, stripe, count(DISTINCT mode) AS r, count(*) AS n FROM candidates GROUP BY ALL), s AS (SELECT query_id, sum(r)::BIGINT AS r, sum(n * 0.0000054::DOUBLE) AS c, max(n)::DOUBLE AS l FROM f GROUP BY ALL)
-        SELECT query_id, 'naive-score' AS strategy, r AS queries, round(c, 6) AS compute_units, round(l, 6) AS latency_ms FROM s
-        UNION ALL SELECT s.query_id, 'agentic-rerank', CASE WHEN f.n IS NULL THEN 0 ELSE 2 END, CASE WHEN f.n IS NULL THEN 0 ELSE 0.001::DOUBLE END, CASE WHEN f.n IS NULL THEN 0 ELSE 50::DOUBLE END FROM s LEFT JOIN f ON f.query_id = s.query_id AND f.stripe = 'a'"""
+    named = ", ".join(f"('{x.name}', {str(x.own_retrieval).upper()})" for x in STRATEGIES)
+    out["query_accounting"] = f"""WITH f AS (SELECT query_id, stripe, count(DISTINCT mode) AS r, count(*) AS n, 0.00017::DOUBLE + 0.0000054::DOUBLE * count(*) AS u FROM candidates GROUP BY ALL),
+        a AS (SELECT query_id, sum(r)::BIGINT AS r, sum(u) AS c, max(n)::DOUBLE AS l, count(*) AS r1, sum(u / r) AS c1, max(n / r) AS l1 FROM f GROUP BY ALL), nm(strategy, own) AS (VALUES {named})
+        SELECT query_id, strategy, CASE WHEN own THEN r1 ELSE r END AS queries, round(CASE WHEN own THEN c1 ELSE c END, 6) AS compute_units, round(CASE WHEN own THEN l1 ELSE l END, 6) AS latency_ms FROM a, nm"""
     out["probe_cache"] = f"WITH {r} SELECT n AS query_no, 2 * count(*) AS probes FROM (SELECT term, min(regexp_extract(query_id, '\\d+')::BIGINT) AS n FROM qt GROUP BY ALL) GROUP BY ALL"
     out["explain_query"] = f"""WITH {r}, li AS (SELECT * FROM ({'WITH ' + tail('SELECT *, 1 / (60::DOUBLE + hit_rank) AS fused FROM cand')})), mx AS (SELECT query_id, string_agg(stripe || '=' || n, ' | ' ORDER BY stripe) AS m FROM (SELECT query_id, stripe, count(*) AS n FROM li GROUP BY ALL) GROUP BY ALL)
         SELECT query_id, 'stripe' AS part, stripe, hit_rank AS place, doc_id, round(score, 9) AS score, round(text_score, 9) AS text_score, round(reranker_score, 9) AS reranker_score, NULL AS explanation FROM cand WHERE hit_rank <= 10

@@ -550,9 +550,15 @@ def compare(spark, d):
     return _six(significance.summary(x).join(significance.paired_t(x), significance.GROUP))
 
 
+def _semantic_names() -> list[str]:
+    return [s.name for s in STRATEGIES if s.needs_semantic]
+
+
 @query
 def cost_tradeoff(spark, d):
-    calls = spark.createDataFrame([("agentic-rerank", 2.0)], "strategy string, ranker_calls double")
+    """The ranker of a strategy with a second stage runs once for each stripe that its records name, on average."""
+    stripes = F.size(F.split("stripe_mix", r" \| ")).cast("double")
+    calls = _records(spark, d).filter(F.col("strategy").isin(_semantic_names()) & F.col("stripe_mix").isNotNull()).groupBy("strategy").agg(F.avg(stripes).alias("ranker_calls"))
     return _six(evaluate.cost_tradeoff(_summary(spark, d), BASELINE, calls), 8)
 
 
@@ -564,11 +570,14 @@ def compute_model(spark, d):
 
 @query
 def query_accounting(spark, d):
+    """Every strategy of the catalog charged with the requests that the delivered hits stand for: the shared fan-out, or a retrieval of its own from each stripe."""
     c = read_table(spark, d, "candidates")
     fan = c.groupBy("query_id", "stripe").agg(F.countDistinct("mode").alias("requests"), F.count(F.lit(1)).alias("n"))
-    shared = fan.select("query_id", F.lit(None).cast("string").alias("strategy"), "requests", (F.col("n") * F.lit(evaluate.CU_PER_RESULT)).alias("compute_units"), F.col("n").cast("double").alias("elapsed_ms"))
-    own = fan.filter("stripe = 'a'").select("query_id", F.lit("agentic-rerank").alias("strategy"), F.lit(2).cast("long").alias("requests"), F.lit(0.001).alias("compute_units"), F.lit(50.0).alias("elapsed_ms"))
-    names = spark.createDataFrame([("naive-score", False), ("agentic-rerank", True)], "strategy string, own_retrieval boolean")
+    units = evaluate.compute_model(F.lit(1), F.col("n"))
+    shared = fan.select("query_id", F.lit(None).cast("string").alias("strategy"), "requests", units.alias("compute_units"), F.col("n").cast("double").alias("elapsed_ms"))
+    alone = F.explode(F.array(*[F.lit(s.name) for s in STRATEGIES if s.own_retrieval])).alias("strategy")
+    own = fan.select("query_id", alone, F.lit(1).cast("long").alias("requests"), (units / F.col("requests")).alias("compute_units"), (F.col("n") / F.col("requests")).alias("elapsed_ms"))
+    names = spark.createDataFrame([(s.name, s.own_retrieval) for s in STRATEGIES], "strategy string, own_retrieval boolean")
     return _six(evaluate.accounting(shared.unionByName(own), names))
 
 
