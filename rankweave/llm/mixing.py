@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -124,51 +125,98 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, exponent: Exponent = exponent
     return joined.groupBy("mix_id").applyInPandas(lambda mix: planned(mix, exponent), _PLAN.replace("double", f"mix_id {kind}", 1))
 
 
-def _copies(budget: str) -> Column:
-    """How often a document is used for a budget: whole passes, and once more where the permutation reaches it; it crosses the end if at least half of it fits."""
-    full = F.floor(F.round(F.col(budget) / F.col("source_tokens"), 9))
-    rest = F.greatest(F.col(budget) - full * F.col("source_tokens"), F.lit(0.0))
-    return full + (F.col("_at") + F.col("tokens") / 2 <= rest).cast("long")
+@dataclass
+class Laid:
+    """The documents of every source laid out in their permutation, the blocks of it, and the plan of the mixes."""
+
+    plan: DataFrame
+    #: (source, _block, doc_id, tokens, _at): ``_at`` tokens of the source come before the document.
+    placed: DataFrame
+    #: (source, _block, _start, _t): the tokens before each block and in it.
+    blocks: DataFrame
 
 
-def draw(docs: DataFrame, targets: DataFrame, seed: int = 42, source: str = "source", text: str = "text", ranks: bytes | None = None, block_docs: int = BLOCK_DOCS, small_plan: int = SMALL_PLAN, exponent: Exponent = exponent_of) -> tuple[DataFrame, DataFrame]:
-    """(plan, drawn): ``drawn`` has a row (mix, source, doc, tokens, tempered_copies, copies) per document used.
+def lay_out(docs: DataFrame, targets: DataFrame, seed: int = 42, source: str = "source", text: str = "text", ranks: bytes | None = None, block_docs: int = BLOCK_DOCS, exponent: Exponent = exponent_of) -> Laid:
+    """Budgeted block permutations, made ready: the documents of a source are permuted by a hash and cut into blocks.
 
-    Budgeted block permutations: the documents of a source are permuted by a hash, cut into blocks, and used in
-    this order until the budget is filled; a budget over the source's size takes whole passes first. Token sums
-    per block give each block's place, so a source with a third of all documents is ordered block by block.
-    ``tempered_copies`` realise the tempered weights, ``copies`` the final budget; both follow the same permutation,
-    so the smaller draw is a part of the larger. Shares reached are within one document of the plan. Documents
-    without tokens are never used; null and blank sources belong to no mix.
+    Token sums per block give each block's place, so a source with a third of all documents is ordered block by block.
+    Documents without tokens are never used; null and blank sources belong to no mix.
     """
     counted = tokens.encode(docs.select("doc_id", source_name(source).alias("source"), F.col(text).alias("text")), ["doc_id", "source"], "text", ranks, counts_only=True)
     sized = common.durable(counted)
     sizes = common.durable(sized.rollup("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("docs"), F.grouping("source").alias("whole")))
-    plan = common.durable(mix_plan(sizes, targets, exponent))
     n = sizes.filter("whole = 1").agg(F.max("docs").alias("n")).first()["n"] or 0
-    blocks = max(16, n // block_docs)
-    keyed = sized.filter("tokens > 0 and source is not null").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(blocks)))
+    count = max(16, n // block_docs)
+    keyed = sized.filter("tokens > 0 and source is not null").withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(count)))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("source", "_block").agg(F.sum("tokens").alias("_t")).select("source", "_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    blocks = keyed.groupBy("source", "_block").agg(F.sum("tokens").alias("_t")).withColumn("_start", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    blocks = common.durable(blocks)
     inside = Window.partitionBy("source", "_block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.join(starts, ["source", "_block"]).select("source", "doc_id", "tokens", (F.col("_start") + F.sum("tokens").over(inside) - F.col("tokens")).alias("_at"))
-    wanted = plan.filter("source_tokens > 0").select("mix_id", "source", "source_tokens", "tempered_budget", "budget")
-    parts = max(1, math.ceil(plan.count() / small_plan))
-    used = None
+    placed = keyed.join(blocks, ["source", "_block"]).select("source", "_block", "doc_id", "tokens", (F.col("_start") + F.sum("tokens").over(inside) - F.col("tokens")).alias("_at"))
+    return Laid(common.durable(mix_plan(sizes, targets, exponent)), placed, blocks)
+
+
+BUDGETS = {"tempered_copies": "tempered_budget", "copies": "budget"}
+
+
+def _passes(budget: str) -> tuple[Column, Column]:
+    """Whole passes of a source that a budget holds, and the tokens left for another."""
+    full = F.floor(F.round(F.col(budget) / F.col("source_tokens"), 9))
+    return full, F.greatest(F.col(budget) - full * F.col("source_tokens"), F.lit(0.0))
+
+
+def _used(rest: Column) -> Column:
+    """Whether a document is used once more: the one that crosses the end is if at least half of it fits."""
+    return F.col("_at") + F.col("tokens") / 2 <= rest
+
+
+def draw(laid: Laid, small_plan: int = SMALL_PLAN) -> DataFrame:
+    """A row (mix, source, doc, tokens, tempered_copies, copies) per document used.
+
+    Documents are used in the order of their permutation until the budget is filled; a budget over the source's size
+    takes whole passes first. ``tempered_copies`` realise the tempered weights, ``copies`` the final budget; both
+    follow the same permutation, so the smaller draw is a part of the larger. Shares reached are within one document
+    of the plan.
+    """
+    wanted = laid.plan.filter("source_tokens > 0").select("mix_id", "source", "source_tokens", *BUDGETS.values())
+    copies = []
+    for name, budget in BUDGETS.items():
+        full, rest = _passes(budget)
+        copies.append((full + _used(rest).cast("long")).alias(name))
+    parts = max(1, math.ceil(laid.plan.count() / small_plan))
+    drawn = None
     for i in range(parts):
         some = wanted.filter(F.pmod(F.xxhash64("mix_id", "source"), F.lit(parts)) == i) if parts > 1 else wanted
-        one = placed.join(F.broadcast(some), "source").select("mix_id", "source", "doc_id", "tokens", _copies("tempered_budget").alias("tempered_copies"), _copies("budget").alias("copies"))
-        used = one if used is None else used.unionByName(one)
-    return plan, used.filter("copies > 0 or tempered_copies > 0")
+        one = laid.placed.join(F.broadcast(some), "source").select("mix_id", "source", "doc_id", "tokens", *copies)
+        drawn = one if drawn is None else drawn.unionByName(one)
+    return drawn.filter(" or ".join(f"{c} > 0" for c in BUDGETS))
+
 
+def drawn_tokens(laid: Laid) -> DataFrame:
+    """(mix, source, tempered_tokens, drawn_tokens): the tokens that ``draw`` uses, without a row for each of its documents.
 
-def shares_reached(plan: DataFrame, drawn: DataFrame) -> DataFrame:
+    Of the last pass the blocks before the end of the budget are used whole; only in the one block that the end falls
+    into are documents looked at.
+    """
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), *[c.alias(a) for c, a in zip(_passes(b), ("full", "rest"))]) for n, b in BUDGETS.items()])).alias("k")
+    wanted = laid.plan.filter("source_tokens > 0").select("mix_id", "source", "source_tokens", *BUDGETS.values()).select("mix_id", "source", "source_tokens", kinds).select("mix_id", "source", "source_tokens", "k.*")
+    ends = F.col("_start") + F.col("_t")
+    near = common.durable(wanted.join(laid.blocks, "source").filter(F.col("_start") <= F.col("rest")))
+    whole = near.filter(ends <= F.col("rest")).select("mix_id", "source", "kind", F.col("_t").alias("t"))
+    crossed = near.filter(ends > F.col("rest")).select("mix_id", "source", "_block", "kind", "rest")
+    part = laid.placed.join(crossed, ["source", "_block"]).filter(_used(F.col("rest"))).select("mix_id", "source", "kind", F.col("tokens").alias("t"))
+    passes = wanted.select("mix_id", "source", "kind", (F.col("full") * F.col("source_tokens")).alias("t"))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("t"))), F.lit(0))
+    sums = passes.unionByName(whole).unionByName(part).groupBy("mix_id", "source")
+    return sums.agg(total("tempered_copies").alias("tempered_tokens"), total("copies").alias("drawn_tokens"))
+
+
+def shares_reached(laid: Laid) -> DataFrame:
     """The plan with the tokens drawn for the tempered weights and in the end, the shares of the mix they make, and whether the target was reached.
 
     A target is not reached where every document was used as often as the limit allows and the tokens still are less.
     """
-    got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("tempered_copies")).alias("tempered_tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"))
-    both = plan.alias("p").join(got.alias("g"), (F.col("p.mix_id") == F.col("g.mix_id")) & (F.col("p.source") == F.col("g.source")), "left")
+    both = laid.plan.alias("p").join(drawn_tokens(laid).alias("g"), (F.col("p.mix_id") == F.col("g.mix_id")) & (F.col("p.source") == F.col("g.source")), "left")
     both = both.select("p.*", *[F.coalesce(f"g.{c}", F.lit(0)).alias(c) for c in ("tempered_tokens", "drawn_tokens")])
     share = lambda c: F.when(F.col("mix_tokens") > 0, F.round(F.col(c) / F.col("mix_tokens"), 6))
     used_up = F.col("drawn_tokens") == F.col("source_tokens") * F.col("max_repeats")

@@ -126,12 +126,16 @@ def p8_plan(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(mixing.source_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
+def _laid(spark: SparkSession, d: str) -> mixing.Laid:
+    return mixing.lay_out(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.draw(_laid(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares_reached(*mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+    return mixing.shares_reached(_laid(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -39,7 +39,7 @@ def tables(spark, small):
 def test_the_draw_follows_the_exponent(spark, tables):
     """Drawn with another exponent the tempered part changes; a plan that ignored the exponent would not show it."""
     mixes = tables[1].filter("mix_id <= 3")
-    drawn = lambda **how: {(r["mix_id"], r["source"]): (r["tempered_tokens"], r["drawn_tokens"]) for r in mixing.shares_reached(*mixing.draw(tables[0], mixes, **how)).collect()}
+    drawn = lambda **how: {(r["mix_id"], r["source"]): (r["tempered_tokens"], r["drawn_tokens"]) for r in mixing.shares_reached(mixing.lay_out(tables[0], mixes, **how)).collect()}
     before, after = drawn(), drawn(exponent=lambda own, target, cap: 0.0)
     assert any(before[k][0] != after[k][0] for k in before) and all(before[k][1] == after[k][1] for k in before)
 
@@ -60,14 +60,18 @@ def test_unreached_targets_are_those_that_arithmetic_says(spark, tables, small_p
     docs, targets = tables
     named = [(r[0], r[1]) for r in docs.select("text", mixing.source_name("source")).collect()]
     asked = [tuple(r) for r in targets.select("mix_id", mixing.source_name("source"), "target_share", "max_repeats", "size_factor").collect()]
-    plan, drawn = mixing.draw(docs, targets, small_plan=small_plan)
-    reached = mixing.shares_reached(plan, drawn)
+    laid = mixing.lay_out(docs, targets, block_docs=10)
+    plan, drawn = laid.plan, mixing.draw(laid, small_plan)
+    reached = mixing.shares_reached(laid)
+    rows_ = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("tempered_copies")).alias("a"), F.sum(F.col("tokens") * F.col("copies")).alias("b"))
+    sums = {(r["mix_id"], r["source"]): (r["a"], r["b"]) for r in rows_.collect()}
     want, own, total = brute(named, asked)
     got = {(r["mix_id"], r["source"]) for r in reached.filter("not reached").collect()}
     assert got == want != set()
     longest = max(1, drawn.agg(F.max("tokens")).first()[0])
     for r in reached.collect():
         assert r["source_tokens"] == own.get(r["source"], 0) and r["mix_tokens"] == pytest.approx(total * next(x[4] for x in asked if x[0] == r["mix_id"]))
+        assert (r["tempered_tokens"], r["drawn_tokens"]) == sums.get((r["mix_id"], r["source"]), (0, 0))
         assert abs(r["drawn_tokens"] - r["budget"]) <= longest and abs(r["tempered_tokens"] - r["tempered_budget"]) <= longest
         assert r["reached"] is False or r["drawn_tokens"] >= r["target_budget"] - longest
     over = drawn.join(plan, ["mix_id", "source"]).filter("copies > max_repeats or tempered_copies > max_repeats")

@@ -90,8 +90,9 @@ DOCS = [(i, "word " * (5 + i % 7), " Big " if i % 2 else "BIG") for i in range(6
 def test_mix(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string").withColumn("tokens", F.lit(1))
     t = spark.createDataFrame([(1, "big", 0.9, 1, 0.5), (1, "small_source", 0.1, 2, 0.5), (2, "big", 0.5, 4, 2.0), (2, "nowhere", 0.5, 9, 2.0), (3, None, 1.0, 1, 1.0), (4, "big", None, None, None)], "mix_id long, source string, target_share double, max_repeats int, size_factor double")
-    plan, drawn = mixing.draw(docs, t, block_docs=4)
-    p = {(r["mix_id"], r["source"]): r for r in mixing.shares_reached(plan, drawn).collect()}
+    laid = mixing.lay_out(docs, t, block_docs=4)
+    plan, drawn = laid.plan, mixing.draw(laid)
+    p = {(r["mix_id"], r["source"]): r for r in mixing.shares_reached(laid).collect()}
     assert not p[1, "small_source"]["reached"] and p[1, "big"]["reached"] and p[2, "big"]["reached"] and not p[2, "nowhere"]["reached"] and p[4, "big"]["reached"]
     assert set(p) == {(1, "big"), (1, "small_source"), (2, "big"), (2, "nowhere"), (4, "big")}
     assert p[1, "small_source"]["drawn_tokens"] == 2 * p[1, "small_source"]["source_tokens"]
@@ -99,13 +100,13 @@ def test_mix(spark):
     for r in p.values():
         assert abs(r["drawn_tokens"] - r["budget"]) <= max(longest, 1)
     assert drawn.join(plan, ["mix_id", "source"]).filter("copies > max_repeats").count() == 0
-    assert rows(mixing.draw(docs.repartition(6), t, block_docs=4)[1]) == rows(drawn)
+    assert rows(mixing.draw(mixing.lay_out(docs.repartition(6), t, block_docs=4))) == rows(drawn)
     assert plan.first()["mix_tokens"] > 0
 
 
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     t = spark.createDataFrame([(1, "big", 1.0, 1, 0.5)], "mix_id long, source string, target_share double, max_repeats int, size_factor double")
-    plan, drawn = mixing.draw(docs, t)
-    assert mixing.shares_reached(plan, drawn).first()["reached"] and drawn.count() == 0
+    laid = mixing.lay_out(docs, t)
+    assert mixing.shares_reached(laid).first()["reached"] and mixing.draw(laid).count() == 0
     assert mixing.mix_plan(mixing.source_sizes(docs), t.limit(0)).count() == 0
