@@ -16,6 +16,8 @@ from .common import durable, settled
 from .topn import top_n
 
 CELL = list(CATEGORIES)
+#: Places of an enumeration that fit into the number that orders deliveries.
+PLACES = 8
 
 
 def _spelled(rows: DataFrame) -> DataFrame:
@@ -26,20 +28,23 @@ def _spelled(rows: DataFrame) -> DataFrame:
     return settled(settled(rows, **made), **{f"_{c}_edits": labels.edits(F.col(f"_{c}_word"), v) for c, v in CATEGORIES.items()})
 
 
-def _named(c: str, names: list[str]) -> Column:
-    return labels.named(F.col(f"_{c}_word"), F.col(f"_{c}_number"), F.col(f"_{c}_edits"), names)
+def _place(c: str, names: list[str]) -> Column:
+    return labels.place(F.col(f"_{c}_word"), F.col(f"_{c}_number"), F.col(f"_{c}_edits"), names)
 
 
 def labelled(queries: DataFrame, set_col: str = "set_id", id_col: str = "query_id", arrived: str = "received_at") -> DataFrame:
     """One row per query whose labels can all be recognised: (set, id, labels).
 
-    Of several deliveries each label is taken from the last that has a recognisable one. Rows without set or id
-    are left out.
+    Of several deliveries each label is taken from the last that has a recognisable one; of equally late ones the
+    category further on in its enumeration counts. Rows without set or id are left out. Time and category are one
+    number, so that the deliveries are merged by hash and not sorted.
     """
     raw = queries.filter(F.col(set_col).isNotNull() & F.col(id_col).isNotNull()).select(set_col, id_col, arrived, *[F.col(c).alias(f"_{c}") for c in CELL])
-    known = settled(_spelled(raw), **{c: _named(c, v) for c, v in CATEGORIES.items()})
-    last = known.groupBy(set_col, id_col).agg(*[F.max_by(c, F.struct(F.col(c).isNotNull(), F.col(arrived), F.col(c))).alias(c) for c in CELL])
-    return last.dropna(subset=CELL)
+    time = F.unix_micros(arrived) if raw.schema[arrived].dataType.typeName() == "timestamp" else F.col(arrived).cast("long")
+    since = F.coalesce(time, F.lit(-(1 << 55))) * F.lit(PLACES)
+    known = _spelled(raw).select(set_col, id_col, *[(since + _place(c, v)).alias(c) for c, v in CATEGORIES.items()])
+    last = known.groupBy(set_col, id_col).agg(*[F.max(c).alias(c) for c in CELL]).dropna(subset=CELL)
+    return last.select(set_col, id_col, *[labels.name_at(F.pmod(c, F.lit(PLACES)).cast("int"), v).alias(c) for c, v in CATEGORIES.items()])
 
 
 def max_flow(n: int, edges: list[tuple[int, int, int]], source: int, sink: int) -> list[int]:
@@ -126,7 +131,7 @@ def quota_plan(queries: DataFrame, targets: DataFrame, set_col: str = "set_id")
     share = F.coalesce(F.when(~F.isnan("target_share"), F.col("target_share")), F.lit(0.0)) * F.coalesce(F.col("sample_size"), F.lit(0))
     need = F.greatest(F.round(share, 6), F.coalesce(F.col("min_rows"), F.lit(0)).cast("double"), F.lit(0.0))
     stated = _spelled(targets.select(set_col, need.alias("need"), *[F.col(c).alias(f"_{c}") for c in CELL]))
-    wanted = stated.select(set_col, *[_named(c, v).alias(c) for c, v in CATEGORIES.items()], "need").dropna(subset=[set_col, *CELL]).groupBy(set_col, *CELL).agg(F.max("need").alias("need"))
+    wanted = stated.select(set_col, *[labels.name_at(_place(c, v), v).alias(c) for c, v in CATEGORIES.items()], "need").dropna(subset=[set_col, *CELL]).groupBy(set_col, *CELL).agg(F.max("need").alias("need"))
     plan = wanted.join(have, [set_col, *CELL], "left").select(set_col, *CELL, "need", F.coalesce("available", F.lit(0)).alias("available"))
     cell = F.struct(*CELL, "need", "available", F.col("shape").alias("row"), F.concat_ws("|", "span", "intent").alias("col"))
     sets = plan.groupBy(set_col).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
