@@ -39,6 +39,18 @@ def measured(value: Column | str) -> Column:
     return F.when(~F.isnan(c), c + F.lit(0.0))
 
 
+def sampled(rows: DataFrame, id_col: str, at_most: int) -> DataFrame:
+    """The ``at_most`` rows whose ids have the smallest hashes, or all where there are no more; the same rows in any partitioning.
+
+    Of many rows only those below a hash that about twice as many keep are ordered, so that no task gets the first
+    rows of every partition.
+    """
+    key = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    n = rows.count()
+    near = rows if n <= 4 * at_most else rows.filter(key < int((1 << 40) * 2 * at_most / n))
+    return near.orderBy(key, id_col).limit(at_most)
+
+
 def scratch_parent(local: bool) -> str:
     """Where a task may spill: the worker's own Spark scratch disk. Only the task that writes there reads it.
 

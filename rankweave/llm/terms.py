@@ -98,7 +98,7 @@ def language_profile(docs: DataFrame, id_col: str, text: str, lang: str, sample:
     be wrong in part, as a word counts by its share. Without labels there is no profile.
     """
     label = _code(F.col(lang)).alias("_label")
-    some = common.durable(docs.select(id_col, label).filter("_label is not null").orderBy(F.xxhash64(id_col), id_col).limit(sample))
+    some = common.durable(common.sampled(docs.select(id_col, label).filter("_label is not null"), id_col, sample))
     sizes = {r["_label"]: r["n"] for r in some.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_label").limit(LANGUAGES).collect()}
     names = sorted(k for k, n in sizes.items() if n * 1000 >= sum(sizes.values()))
     held = term_counts(docs.select(id_col, text).join(F.broadcast(some), id_col), ["_label"], text).groupBy("_label", "term").agg(F.count(F.lit(1)).alias("n"))

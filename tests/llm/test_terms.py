@@ -106,6 +106,15 @@ def test_languages_come_from_words_before_labels(spark):
     assert terms.language_profile(d.limit(0), "doc_id", "text", "lang").words == []
 
 
+def test_samples_are_the_same_however_they_are_taken(spark):
+    from rankweave.llm import common
+
+    df = spark.range(3000).withColumn("x", F.col("id") % 7)
+    want = rows(df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id").limit(100))
+    assert rows(common.sampled(df, "id", 100)) == rows(common.sampled(df.repartition(5), "id", 100)) == want
+    assert common.sampled(df, "id", 5000).count() == 3000 and common.sampled(df.limit(0), "id", 5).count() == 0
+
+
 def test_long_text(spark):
     d = spark.createDataFrame([(1, "word " * 200_000 + "x" * 300_000, "a")], "doc_id long, text string, stripe string")
     got = {r["term"][:5]: r["occurrences"] for r in terms.term_statistics(d).collect()}
