@@ -347,6 +347,9 @@ def oracle_sql() -> dict[str, str]:
     out["route_temporal"] = f"WITH {_CATALOG} SELECT book_id, CASE WHEN publication_year IS NULL THEN {hashed('book_id')} WHEN publication_year <= 1980 THEN 'a' ELSE 'b' END AS stripe FROM cat"
     out["route_hash"] = f"SELECT doc_id, {hashed('doc_id')} AS stripe FROM documents"
     out["oracle_fanout"] = f"WITH {CORPUS} SELECT 'stripes' AS arm, stripe AS index_name, stripe, count(*) AS n FROM corpus GROUP BY ALL UNION ALL SELECT 'oracle', 'all', stripe, count(*) FROM corpus GROUP BY ALL"
+    seven = hashed("doc_id").replace(":42", ":7")
+    out["split_catalog"] = f"""WITH {CORPUS}, s AS (SELECT 'category' AS split, stripe AS part FROM corpus UNION ALL SELECT 'random-42', {hashed('doc_id')} FROM corpus UNION ALL SELECT 'random-7', {seven} FROM corpus
+        UNION ALL SELECT 'temporal-500', CASE WHEN doc_id <= 500 THEN 'a' ELSE 'b' END FROM corpus) SELECT split, part, count(*) AS n_docs FROM s GROUP BY ALL"""
     out["tokenize"] = f"SELECT doc_id, len({toks('text')}) AS n_tokens, array_to_string({toks('text')}, ' ') AS tokens FROM documents"
     first = "list_filter(x, lambda v, i: list_position(x, v) = i)"
     out["query_terms"] = f"SELECT DISTINCT query_id, array_to_string({first}, ' ') AS terms FROM (SELECT query_id, {toks('text')} AS x FROM eval_queries WHERE query_id IS NOT NULL)"
@@ -481,6 +484,10 @@ def oracle_sql() -> dict[str, str]:
     out["holm"] = f"WITH {differences()}, {T_TEST}, {HOLM} SELECT mode, strategy, round(p_holm, 6) AS p_holm FROM ho"
     out["significance_table"] = f"""WITH {differences()}, {T_TEST}, {HOLM}, {BOOTSTRAP}, pd AS ({PAIRED}), ef AS ({EFFECT}), wi AS (SELECT * FROM (WITH dummy AS (SELECT 1) {WILCOXON}))
         SELECT mode, strategy, n, mean, ci_low, ci_high, wins, losses, ties, round(t, 6) AS t, round(t_p, 6) AS t_p, w_p, cohens_d, round(p_holm, 6) AS p_holm FROM pd JOIN bc USING (mode, strategy) JOIN ef USING (mode, strategy) JOIN wi USING (mode, strategy) JOIN ho USING (mode, strategy)"""
+    dec = lambda x, n: f"round(round({x}, 6)::DECIMAL(30, 12), {n})::DECIMAL(30, {n})::VARCHAR"
+    out["formatted_significance"] = f"""WITH {differences()}, {T_TEST}, pd AS ({PAIRED}), tk AS (SELECT mode, strategy, avg(agentic_tokens) AS tokens FROM rec GROUP BY ALL)
+        SELECT mode, strategy, CASE WHEN {dec('mean', 3)}::DOUBLE < 0 OR (mean < 0) THEN '' ELSE '+' END || {dec('mean', 3)} AS mean, CASE WHEN round(t_p, 6) < 0.0001 THEN '<0.0001' ELSE {dec('t_p', 4)} END AS p, coalesce({dec('tokens', 1)}, '—') AS tokens
+        FROM pd JOIN tp USING (mode, strategy) JOIN tk USING (mode, strategy)"""
     arms = differences("ndcg", "naive-score", "strategy IN ('naive-score', 'global-rrf')")
     out["compare"] = f"WITH {arms}, {T_TEST}, pd AS ({PAIRED}) SELECT pd.*, round(t, 6) AS t, round(t_p, 6) AS t_p FROM pd JOIN tp USING (mode, strategy)"
     out["compute_model"] = f"WITH {HITS} SELECT query_id, mode, round(0.00017::DOUBLE * count(DISTINCT stripe) + 0.0000054::DOUBLE * count(*), 9) AS compute_units FROM hits GROUP BY ALL"

@@ -13,6 +13,7 @@ from ..operators import corpus_stats, evaluate, fuse, metrics, prep, retrieve, s
 from ..session import durable
 from ..sources import tables
 from ..sources.tables import read_table
+from ..spec import Split
 from . import files, matrix
 from .catalog import STRATEGIES
 from .inputs import DEPTH, GENRE_TAGS, SPEC, STRIPES, TOP, Retrieved, corpus, halves, hits, index_of, number_of, retrieved, stored_sizes, vector_queries, vectors
@@ -65,6 +66,15 @@ def route_hash(spark, d):
     return read_table(spark, d, "documents").select("doc_id", routing.by_hash("doc_id").alias("stripe"))
 
 
+@query
+def split_catalog(spark, d):
+    """Every way to divide the corpus by its name, which goes into paths and statistics, with the sizes of its stripes."""
+    docs = corpus(spark, d)
+    kinds = {Split("category"): F.col("stripe"), Split("hash"): routing.by_hash("doc_id"), Split("hash", seed=7): routing.by_hash("doc_id", 7), Split("temporal", cut=500): routing.by_year(F.col("doc_id").cast("int"), 500, "doc_id")}
+    names = F.inline(F.array(*[F.struct(F.lit(k.name).alias("split"), c.alias("part")) for k, c in kinds.items()]))
+    return docs.select(names).groupBy("split", "part").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 @query
 def oracle_fanout(spark, d):
     return routing.with_oracle(corpus(spark, d).select("doc_id", "stripe")).groupBy("arm", "index_name", "stripe").agg(F.count(F.lit(1)).alias("n"))
@@ -542,6 +552,16 @@ _add("holm", lambda s, d: _six(significance.holm(significance.paired_t(_differen
 _add("significance_table", lambda s, d: _six(significance.table(_records(s, d), "judged_ndcg", "record_id", BASELINE).select("mode", "strategy", "n", "mean", "ci_low", "ci_high", "wins", "losses", "ties", "t", "t_p", "w_p", "cohens_d", "p_holm")))
 
 
+@query
+def formatted_significance(spark, d):
+    """Figures as reports print them: signed with three decimals, p values, a dash for none."""
+    x = _differences(spark, d)
+    t = significance.summary(x).join(significance.paired_t(x), significance.GROUP)
+    quality = _records(spark, d).groupBy("mode", "strategy").agg(F.round(F.avg("agentic_tokens"), 6).alias("tokens"))
+    both = t.join(quality, significance.GROUP)
+    return both.select("mode", "strategy", text.fixed(F.round("mean", 6), 3, signed=True).alias("mean"), text.p_value(F.round("t_p", 6)).alias("p"), text.fixed(F.col("tokens"), 1).alias("tokens"))
+
+
 @query
 def compare(spark, d):
     """Two arms by query id: fidelity of global-rrf less naive-score, uncorrected."""
