@@ -1,4 +1,4 @@
-"""Fusion strategies: pure functions from candidates to fused lists.
+"""Fusion strategies: pure functions from candidates to fused lists, with ``explain`` also how each score came about.
 
 Candidates have query_id, mode, stripe, stripe_pos, doc_id, hit_rank, score, text_score, vector_similarity and
 reranker_score. A fused list has query_id, mode, doc_id, stripe, fused_score and fused_rank.
@@ -30,21 +30,30 @@ def rank_and_truncate(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
 
     Scores are compared at ``digits`` decimals, so that sums in another order cannot change a list.
     The first window is spread over (query, document), and the second cuts each map output to ``k`` rows a list
-    before the shuffle, so a query with a large part of all hits is no bottleneck.
+    before the shuffle, so a query with a large part of all hits is no bottleneck. An ``explanation`` is kept.
     """
+    more = [x for x in ("explanation",) if x in scored.columns]
     fused = scored.filter("fused_score is not null").withColumn("fused_score", F.round("fused_score", digits))
     one = Window.partitionBy(*LIST, "doc_id").orderBy(F.col("fused_score").desc(), "stripe_pos", "hit_rank")
     order = Window.partitionBy(*LIST).orderBy(F.col("fused_score").desc(), "doc_id")
     best = fused.withColumn("_o", F.row_number().over(one)).filter("_o = 1")
-    return best.withColumn("fused_rank", F.row_number().over(order)).filter(F.col("fused_rank") <= k).select(*LIST, "doc_id", "stripe", "fused_score", "fused_rank")
+    return best.withColumn("fused_rank", F.row_number().over(order)).filter(F.col("fused_rank") <= k).select(*LIST, "doc_id", "stripe", "fused_score", "fused_rank", *more)
 
 
-def naive(c: DataFrame, k: int = 10) -> DataFrame:
+def told(scored: DataFrame, explain: bool, pattern: str, *columns: Column | str) -> DataFrame:
+    """With ``explain`` add how the hit came to its score; ``fused_score`` stands rounded as lists are."""
+    if not explain:
+        return scored
+    given = [F.round(c, 9) if isinstance(c, str) and c == "fused_score" else c for c in columns]
+    return scored.withColumn("explanation", F.format_string(pattern, *given))
+
+
+def naive(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Raw scores."""
-    return rank_and_truncate(c.withColumn("fused_score", F.col("score")), k, 12)
+    return rank_and_truncate(told(c.withColumn("fused_score", F.col("score")), explain, "@search.score=%.4f from %s", "score", "stripe"), k, 12)
 
 
-def interleave(c: DataFrame, k: int = 10) -> DataFrame:
+def interleave(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """By place in the list, then by stripe: -(place + stripe / stripes), places from 0.
 
     Stripes are numbered from 0 among those that answered the list, so the second term never reaches the next place.
@@ -52,12 +61,14 @@ def interleave(c: DataFrame, k: int = 10) -> DataFrame:
     answered = c.select(*LIST, "stripe_pos").distinct()
     order = F.row_number().over(Window.partitionBy(*LIST).orderBy("stripe_pos")) - 1
     numbered = answered.withColumn("_s", order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*LIST)))
-    return rank_and_truncate(_beside(c, numbered, [*LIST, "stripe_pos"]).withColumn("fused_score", -(F.col("hit_rank") - 1 + F.col("_s") / F.col("_n"))), k)
+    scored = _beside(c, numbered, [*LIST, "stripe_pos"]).withColumn("fused_score", -(F.col("hit_rank") - 1 + F.col("_s") / F.col("_n")))
+    return rank_and_truncate(told(scored, explain, "rank %d in %s", "hit_rank", "stripe"), k)
 
 
-def rrf(c: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
+def rrf(c: DataFrame, k: int = 10, constant: int = 60, explain: bool = False) -> DataFrame:
     """1 / (constant + rank); a document in several stripes keeps the larger."""
-    return rank_and_truncate(c.withColumn("fused_score", F.lit(1.0) / (F.lit(float(constant)) + F.col("hit_rank"))), k)
+    scored = c.withColumn("fused_score", F.lit(1.0) / (F.lit(float(constant)) + F.col("hit_rank")))
+    return rank_and_truncate(told(scored, explain, f"1/({constant}+%d) = %.6f from %s", "hit_rank", "fused_score", "stripe"), k)
 
 
 def rrf_sum(c: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
@@ -73,34 +84,39 @@ def _beside(c: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return c.alias("c").join(other.alias("o"), same("c", "o", keys)).select("c.*", *figures)
 
 
-def quota(c: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
+def quota(c: DataFrame, sizes: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Each answering stripe gives its share of ``k`` by size (half to even, one at least), ordered by rank; no sizes, no list."""
     returned = c.select(*LIST, "stripe").distinct().join(sizes.select("stripe", "n_docs"), "stripe", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     total = F.sum("n_docs").over(Window.partitionBy(*LIST))
-    shares = returned.withColumn("_all", total).filter("_all > 0").select(*LIST, "stripe", F.greatest(F.lit(1), F.bround(F.lit(float(k)) * F.col("n_docs") / F.col("_all"))).alias("_quota"))
-    return rank_and_truncate(_beside(c, shares, [*LIST, "stripe"]).filter("hit_rank <= _quota").withColumn("fused_score", -F.col("hit_rank").cast("double")), k)
+    part = F.col("n_docs") / F.col("_all")
+    shares = returned.withColumn("_all", total).filter("_all > 0").select(*LIST, "stripe", F.greatest(F.lit(1), F.bround(F.lit(float(k)) * part)).cast("int").alias("_quota"), F.round(part * 100).cast("int").alias("_percent"))
+    scored = _beside(c, shares, [*LIST, "stripe"]).filter("hit_rank <= _quota").withColumn("fused_score", -F.col("hit_rank").cast("double"))
+    return rank_and_truncate(told(scored, explain, "quota %d (%d%% of corpus), rank %d in %s", "_quota", "_percent", "hit_rank", "stripe"), k)
 
 
-def minmax(c: DataFrame, k: int = 10) -> DataFrame:
+def minmax(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Scores of a stripe stretched to 0..1; without a range all are 1."""
     s = c.groupBy(*LIST, "stripe").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
-    return rank_and_truncate(_beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score), k)
+    scored = _beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score)
+    return rank_and_truncate(told(scored, explain, "(%.4f-%.4f)/(%.4f-%.4f) = %.4f in %s", "score", "_lo", "_hi", "_lo", "fused_score", "stripe"), k)
 
 
-def zscore(c: DataFrame, k: int = 10) -> DataFrame:
+def zscore(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Scores of a stripe in population standard deviations from their mean; without a spread all are 0."""
     s = c.groupBy(*LIST, "stripe").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
-    return rank_and_truncate(_beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score), k)
+    scored = _beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score)
+    return rank_and_truncate(told(scored, explain, "z=(%.4f-%.4f)/%.4f = %.4f in %s", "score", "_m", "_s", "fused_score", "stripe"), k)
 
 
-def by_vector(c: DataFrame, k: int = 10) -> DataFrame:
+def by_vector(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Vector similarity, or the score itself in vector mode; others are dropped."""
-    return rank_and_truncate(c.withColumn("fused_score", F.coalesce("vector_similarity", F.when(F.col("mode") == "Vector", F.col("score")))), k)
+    scored = c.withColumn("fused_score", F.coalesce("vector_similarity", F.when(F.col("mode") == "Vector", F.col("score"))))
+    return rank_and_truncate(told(scored, explain, "cosine=%.4f from %s", "fused_score", "stripe"), k)
 
 
-def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS, delivered: DataFrame | None = None) -> DataFrame:
+def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS, delivered: DataFrame | None = None, explain: bool = False) -> DataFrame:
     """Both legs ranked anew over all stripes, reciprocal ranks summed; hits of no leg are dropped.
 
     Queries over ``hot_rows`` hits are ranked by ranges of (list, score) instead of in one task; the ranks are the
@@ -109,17 +125,18 @@ def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS
     """
     hot = hot_keys((c if delivered is None else delivered).select("query_id"), "query_id", hot_rows)
     usual, big = parted(c, hot, "query_id")
-    share = lambda rank: F.lit(1.0) / (F.lit(float(constant)) + rank)
+    share = lambda rank: F.lit(1.0) / (F.lit(float(constant)) + F.col(rank))
     ties = [F.col("doc_id"), F.col("stripe_pos"), F.col("stripe")]
-    placed = lambda name: F.when(F.col(name).isNotNull(), share(F.row_number().over(Window.partitionBy(*LIST).orderBy(F.col(name).desc_nulls_last(), *ties))))
+    placed = lambda name: F.when(F.col(name).isNotNull(), F.row_number().over(Window.partitionBy(*LIST).orderBy(F.col(name).desc_nulls_last(), *ties)).cast("long"))
     parts = usual.withColumn("_t", placed("text_score")).withColumn("_v", placed("vector_similarity"))
     if big is not None:
         for name, out in (("text_score", "_t"), ("vector_similarity", "_v")):
             ranked = ranked_by_range(big.filter(F.col(name).isNotNull()), LIST, name, "_r", ties)
-            big = ranked.withColumn(out, share(F.col("_r"))).drop("_r").unionByName(big.filter(F.col(name).isNull()).withColumn(out, F.lit(None).cast("double")))
+            big = ranked.withColumn(out, F.col("_r").cast("long")).drop("_r").unionByName(big.filter(F.col(name).isNull()).withColumn(out, F.lit(None).cast("long")))
         parts = parts.unionByName(big)
-    both = F.when(F.col("_t").isNotNull() | F.col("_v").isNotNull(), F.coalesce("_t", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0)))
-    return rank_and_truncate(parts.withColumn("fused_score", both), k)
+    both = F.when(F.col("_t").isNotNull() | F.col("_v").isNotNull(), F.coalesce(share("_t"), F.lit(0.0)) + F.coalesce(share("_v"), F.lit(0.0)))
+    found = F.concat_ws(" + ", F.concat(F.lit("text#"), F.col("_t").cast("string")), F.concat(F.lit("vector#"), F.col("_v").cast("string")))
+    return rank_and_truncate(told(parts.withColumn("fused_score", both), explain, "%s = %.6f from %s", found, "fused_score", "stripe"), k)
 
 
 def correction(qterms: DataFrame, df_global: DataFrame, n_global: DataFrame, df_local: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -134,15 +151,17 @@ def correction(qterms: DataFrame, df_global: DataFrame, n_global: DataFrame, df_
     return t.groupBy("query_id", "stripe").agg((F.sum(F.col("g") / F.col("l") * F.col("g")) / F.sum("g")).alias("factor"))
 
 
-def idf_corrected(c: DataFrame, factors: DataFrame, k: int = 10) -> DataFrame:
+def idf_corrected(c: DataFrame, factors: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Text score (else score) times the stripe's factor; without a factor, as for queries without terms, it stays."""
     base = F.coalesce("text_score", "score") * F.coalesce("factor", F.lit(1.0))
     has = factors.select("query_id").distinct().withColumn("_has", F.lit(True))
     joined = c.join(factors, ["query_id", "stripe"], "left").join(has, "query_id", "left")
-    return rank_and_truncate(joined.withColumn("fused_score", F.when(F.col("_has"), base).otherwise(F.col("score"))), k)
+    scored = joined.withColumn("fused_score", F.when(F.col("_has"), base).otherwise(F.col("score")))
+    given = F.when(F.col("_has"), F.coalesce("text_score", "score")).otherwise(F.col("score"))
+    return rank_and_truncate(told(scored, explain, "%.4f x %.3f = %.4f (%s IDF correction)", given, F.coalesce("factor", F.lit(1.0)), "fused_score", "stripe"), k)
 
 
-def rescored(c: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, local: bool = False) -> DataFrame:
+def rescored(c: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, local: bool = False, explain: bool = False) -> DataFrame:
     """BM25 recomputed from the postings with corpus-wide (or, as a control, the stripe's own) statistics.
 
     ``near`` (doc_id, stripe, doc_len, term, tf) is read for the candidates' own terms only. Candidates that hold no
@@ -155,10 +174,12 @@ def rescored(c: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, si
     else:
         own = own.withColumn("n_docs", size.select("n_docs").scalar()).withColumn("avgdl", size.select("avgdl").scalar())
     part = bm25(idf(F.col("df"), F.col("n_docs")), F.col("tf").cast("double"), F.col("doc_len"), F.col("avgdl"))
-    sums = own.groupBy("query_id", "doc_id").agg(F.sum(part).alias("_b"))
-    has = qterms.select("query_id").distinct().withColumn("_has", F.lit(True))
-    joined = c.join(sums, ["query_id", "doc_id"], "left").join(has, "query_id", "left")
-    return rank_and_truncate(joined.withColumn("fused_score", F.when(F.col("_has"), F.coalesce("_b", F.lit(0.0))).otherwise(F.col("score"))), k)
+    sums = own.groupBy("query_id", "doc_id").agg(F.sum(part).alias("_b"), F.count(F.lit(1)).alias("_h"))
+    asked = qterms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_q"))
+    joined = c.join(sums, ["query_id", "doc_id"], "left").join(asked, "query_id", "left")
+    scored = joined.withColumn("fused_score", F.when(F.col("_q") > 0, F.coalesce("_b", F.lit(0.0))).otherwise(F.col("score")))
+    figures = ["fused_score", F.coalesce("_h", F.lit(0)), F.coalesce("_q", F.lit(0)), F.coalesce("text_score", "score"), "stripe"]
+    return rank_and_truncate(told(scored, explain, f"{'local' if local else 'global'} BM25 %.4f over %d/%d query terms (was %.4f in %s)", *figures), k)
 
 
 def yields(qterms: DataFrame, df_global: DataFrame, n_global: DataFrame, df_local: DataFrame) -> DataFrame:
@@ -188,14 +209,15 @@ def selective(c: DataFrame, chosen: DataFrame, near: DataFrame, qterms: DataFram
     return one.unionByName(rescored(kept.filter("chosen > 1").drop("chosen"), near, qterms, df, size, k))
 
 
-def by_reranker(c: DataFrame, k: int = 10, strict: bool = False) -> DataFrame:
+def by_reranker(c: DataFrame, k: int = 10, strict: bool = False, explain: bool = False) -> DataFrame:
     """The second-stage score; hits without one are dropped.
 
     ``strict`` makes a run in which hits came but no hit of any list has such a score an error instead of an empty
     result; it is raised when the plan runs, not when it is made, and costs one count beside the plan.
     """
     scored = c.withColumn("fused_score", F.col("reranker_score"))
-    return rank_and_truncate(require_scores(scored) if strict else scored, k)
+    sure = require_scores(scored) if strict else scored
+    return rank_and_truncate(told(sure, explain, "reranker=%.3f (0-4), from %s", "fused_score", "stripe"), k)
 
 
 def require_scores(c: DataFrame) -> DataFrame:
@@ -218,11 +240,15 @@ def pool(c: DataFrame, size: int = 50) -> DataFrame:
     return c.withColumn("_o", F.row_number().over(one)).filter("_o = 1").drop("_o").withColumn("pool_rank", F.row_number().over(order)).filter(F.col("pool_rank") <= size)
 
 
-def external(c: DataFrame, grades: DataFrame, k: int = 10, size: int = 50) -> DataFrame:
+def external(c: DataFrame, grades: DataFrame, k: int = 10, size: int = 50, explain: bool = False) -> DataFrame:
     """A pool graded 0 to 3 from outside (query_id, doc_id, grade); ungraded is 0. The score, cut to 0..1000, over 100,000 breaks ties."""
     p = pool(c, size).join(grades, ["query_id", "doc_id"], "left")
     tie = F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.col("score"))) / F.lit(100000.0)
-    return rank_and_truncate(p.withColumn("fused_score", F.greatest(F.coalesce("grade", F.lit(0)), F.lit(0)) + tie), k)
+    scored = p.withColumn("fused_score", F.greatest(F.coalesce("grade", F.lit(0)), F.lit(0)) + tie)
+    if explain:
+        graded = F.format_string("external grade %d/3 (from %s)", "grade", "stripe")
+        scored = scored.withColumn("explanation", F.when(F.col("grade") >= 0, graded).otherwise(F.format_string("ungraded (from %s)", "stripe")))
+    return rank_and_truncate(scored, k)
 
 
 def planned(rewrites: DataFrame, retrieved: DataFrame, k: int = 10) -> DataFrame:
@@ -236,25 +262,3 @@ def single_index(c: DataFrame, k: int = 10) -> DataFrame:
     score = F.coalesce("reranker_score", "score")
     order = Window.partitionBy(*LIST).orderBy(score.desc(), "hit_rank")
     return c.withColumn("fused_rank", F.row_number().over(order)).filter(F.col("fused_rank") <= k).select(*LIST, "doc_id", "stripe", F.round(score, 9).alias("fused_score"), "fused_rank")
-
-
-# How the strategies explain a hit, in the order of the columns that each text takes.
-EXPLANATIONS = {
-    "naive-score": ("@search.score=%.4f from %s", ["score", "stripe"]),
-    "interleave": ("rank %d in %s", ["hit_rank", "stripe"]),
-    "global-rrf": ("1/(60+%d) = %.6f from %s", ["hit_rank", "fused_score", "stripe"]),
-    "minmax-norm": ("(%.4f-%.4f)/(%.4f-%.4f) = %.4f in %s", ["score", "_lo", "_hi", "_lo", "fused_score", "stripe"]),
-    "zscore-norm": ("z=(%.4f-%.4f)/%.4f = %.4f in %s", ["score", "_m", "_s", "fused_score", "stripe"]),
-    "vector-similarity": ("cosine=%.4f from %s", ["fused_score", "stripe"]),
-    "semantic-score": ("reranker=%.3f (0-4), from %s", ["fused_score", "stripe"]),
-}
-
-
-def explained(c: DataFrame, lists: DataFrame, strategy: str) -> DataFrame:
-    """The hits of a fused list with ``explanation``: how the strategy came to the score of the hit that was kept."""
-    pattern, columns = EXPLANATIONS[strategy]
-    keys = [*LIST, "stripe"]
-    hit = c.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"), F.min("hit_rank").alias("hit_rank"))
-    spread = c.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
-    both = _beside(_beside(lists, hit, [*keys, "doc_id"]), spread, keys)
-    return both.select(*lists.columns, F.format_string(pattern, *columns).alias("explanation"))

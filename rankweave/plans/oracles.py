@@ -90,6 +90,13 @@ def tail(source: str, k: int = 10, digits: int = 9) -> str:
     SELECT query_id, mode, doc_id, stripe, round(fused_score, {digits}) AS fused_score, fused_rank FROM fused WHERE fused_rank <= {k}"""
 
 
+def explained(plans: list[tuple[str, str, int, str]], k: int = 10) -> str:
+    """The lists of some plans (strategy, its scored hits, decimals, explanation), each hit with its explanation."""
+    one = lambda name, source, digits, x: f"""SELECT query_id, mode, '{name}' AS strategy, doc_id, stripe, fused_rank, explanation FROM (WITH t1 AS (SELECT *, round(fused, {digits}) AS fs, {x} AS explanation FROM ({source}) WHERE fused IS NOT NULL),
+        t2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode, doc_id ORDER BY fs DESC, stripe_pos, hit_rank) AS o FROM t1) SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY fs DESC, doc_id) AS fused_rank FROM t2 WHERE o = 1) WHERE fused_rank <= {k}"""
+    return " UNION ALL ".join(one(*p) for p in plans)
+
+
 def over_hits(fused: str, where: str = "TRUE", joins: str = "", more: str = "", k: int = 10) -> str:
     return f"WITH {HITS}{', ' + more if more else ''}, {tail(f'SELECT h.*, {fused} AS fused FROM hits h {joins} WHERE {where}', k)}"
 
@@ -411,19 +418,20 @@ def oracle_sql() -> dict[str, str]:
     out["select_pool"] = f"""WITH {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode, doc_id ORDER BY hit_rank, stripe_pos) AS o FROM hits),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id, mode ORDER BY hit_rank, stripe_pos, doc_id) AS pool_rank FROM o WHERE o = 1) SELECT query_id, mode, doc_id, stripe, pool_rank FROM p WHERE pool_rank <= 50"""
     shown = lambda x, n: f"round({x}::DECIMAL(30, 12), {n})::DECIMAL(30, {n})::VARCHAR"
-    hs, lo, hi, mean, sd, fs = (shown(x, 4) for x in ("hs", "lo", "hi", "m", "sd", "fused_score"))
+    sc, lo, hi, mean, sd = (shown(x, 4) for x in ("score", "lo", "hi", "m", "sd"))
+    fs = lambda n=4: shown("round(fused, 9)", n)
     told = [
-        ("naive-score", "score", "", "", 12, f"'@search.score=' || {hs} || ' from ' || stripe"),
-        ("interleave", INTERLEAVED, "JOIN st USING (query_id, mode, stripe_pos)", answering("hits", "query_id, mode"), 9, "'rank ' || hr || ' in ' || stripe"),
-        ("global-rrf", "1 / (60::DOUBLE + hit_rank)", "", "", 9, f"'1/(60+' || hr || ') = ' || {shown('fused_score', 6)} || ' from ' || stripe"),
-        ("minmax-norm", "CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END", "JOIN sp USING (query_id, mode, stripe)", spread, 9, f"'(' || {hs} || '-' || {lo} || ')/(' || {hi} || '-' || {lo} || ') = ' || {fs} || ' in ' || stripe"),
-        ("zscore-norm", "CASE WHEN hi > lo THEN (score - m) / sd ELSE 0 END", "JOIN sp USING (query_id, mode, stripe)", spread, 9, f"'z=(' || {hs} || '-' || {mean} || ')/' || {sd} || ' = ' || {fs} || ' in ' || stripe"),
-        ("vector-similarity", "coalesce(vector_similarity, CASE WHEN mode = 'Vector' THEN score END)", "", "", 9, f"'cosine=' || {fs} || ' from ' || stripe"),
-        ("semantic-score", "reranker_score", "", "", 9, f"'reranker=' || {shown('fused_score', 3)} || ' (0-4), from ' || stripe"),
+        ("naive-score", "SELECT *, score AS fused FROM hits", 12, f"'@search.score=' || {sc} || ' from ' || stripe"),
+        ("interleave", f"SELECT h.*, {INTERLEAVED} AS fused FROM hits h JOIN st USING (query_id, mode, stripe_pos)", 9, "'rank ' || hit_rank || ' in ' || stripe"),
+        ("global-rrf", "SELECT *, 1 / (60::DOUBLE + hit_rank) AS fused FROM hits", 9, f"'1/(60+' || hit_rank || ') = ' || {fs(6)} || ' from ' || stripe"),
+        ("minmax-norm", "SELECT h.*, lo, hi, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS fused FROM hits h JOIN sp USING (query_id, mode, stripe)", 9, f"'(' || {sc} || '-' || {lo} || ')/(' || {hi} || '-' || {lo} || ') = ' || {fs()} || ' in ' || stripe"),
+        ("zscore-norm", "SELECT h.*, m, sd, CASE WHEN hi > lo THEN (score - m) / sd ELSE 0 END AS fused FROM hits h JOIN sp USING (query_id, mode, stripe)", 9, f"'z=(' || {sc} || '-' || {mean} || ')/' || {sd} || ' = ' || {fs()} || ' in ' || stripe"),
+        ("vector-similarity", "SELECT *, coalesce(vector_similarity, CASE WHEN mode = 'Vector' THEN score END) AS fused FROM hits", 9, f"'cosine=' || {fs()} || ' from ' || stripe"),
+        ("semantic-score", "SELECT *, reranker_score AS fused FROM hits", 9, f"'reranker=' || {fs(3)} || ' (0-4), from ' || stripe"),
+        ("quota-merge", "SELECT h.*, quota, pc, -hit_rank::DOUBLE AS fused FROM hits h JOIN (SELECT *, round(100 * n / sum(n) OVER (PARTITION BY query_id, mode)::DOUBLE)::INT AS pc FROM qu) USING (query_id, mode, stripe) WHERE hit_rank <= quota", 9, "'quota ' || quota::INT || ' (' || pc || '% of corpus), rank ' || hit_rank || ' in ' || stripe"),
+        ("hybrid-legs", _LEGS, 9, f"concat_ws(' + ', 'text#' || round(1 / t - 60)::INT, 'vector#' || round(1 / v - 60)::INT) || ' = ' || {fs(6)} || ' from ' || stripe"),
     ]
-    one_list = lambda e, j, w, n: f"(WITH {w + ', ' if w else ''}{tail(f'SELECT h.*, {e} AS fused FROM hits h {j}', digits=n)})"
-    parts = " UNION ALL ".join(f"SELECT query_id, mode, '{name}' AS strategy, doc_id, stripe, fused_rank, {x} AS explanation FROM {one_list(e, j, w, n)} JOIN bh USING (query_id, mode, stripe, doc_id) JOIN sq USING (query_id, mode, stripe)" for name, e, j, w, n, x in told)
-    out["explain_fusion"] = f"WITH {HITS}, bh AS (SELECT query_id, mode, stripe, doc_id, max(score) AS hs, min(hit_rank) AS hr FROM hits GROUP BY ALL), {spread.replace('sp AS', 'sq AS')} {parts}"
+    out["explain_fusion"] = f"WITH {HITS}, {answering('hits', 'query_id, mode')}, {spread}, {shares} {explained(told)}"
     # fusion of retrieved candidates
     out["idf_factors"] = f"WITH {r}, {FACTORS} SELECT query_id, stripe, round(factor, 6) AS factor FROM fac"
     corrected = over("cand", CORRECTED, "LEFT JOIN fac USING (query_id, stripe)", FACTORS)
@@ -449,6 +457,18 @@ def oracle_sql() -> dict[str, str]:
     out["agentic_planned"] = over("sw", "reranker_score", more=whole, k=50, asked=planned(STATED))
     out["single_index"] = f"WITH {r} SELECT query_id, mode, doc_id, stripe, round(coalesce(reranker_score, score), 9) AS fused_score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(reranker_score, score) DESC, hit_rank) AS fused_rank FROM orc) WHERE fused_rank <= 10"
     out["single_index_rescored"] = over("orc", RESCORED, "LEFT JOIN gb USING (query_id, doc_id)", GLOBAL)
+    given = "CASE WHEN EXISTS (SELECT 1 FROM fac f2 WHERE f2.query_id = c.query_id) THEN coalesce(text_score, score) ELSE score END"
+    was = shown("coalesce(text_score, score)", 4)
+    counted = "ht AS (SELECT query_id, doc_id, count(*) AS h FROM tf GROUP BY ALL)"
+    bm = lambda b: f"SELECT c.*, ht.h AS hh, nt.n AS nn, {RESCORED} AS fused FROM cand c LEFT JOIN {b} USING (query_id, doc_id) LEFT JOIN ht USING (query_id, doc_id) LEFT JOIN nt USING (query_id)"
+    said = lambda kind: f"'{kind} BM25 ' || {fs()} || ' over ' || coalesce(hh, 0) || '/' || nn || ' query terms (was ' || {was} || ' in ' || stripe || ')'"
+    told = [
+        ("idf-correct-probe", f"SELECT c.*, factor, {given} AS gv, {CORRECTED} AS fused FROM cand c LEFT JOIN fac USING (query_id, stripe)", 9, f"{shown('gv', 4)} || ' x ' || {shown('coalesce(factor, 1)', 3)} || ' = ' || {fs()} || ' (' || stripe || ' IDF correction)'"),
+        ("global-bm25", bm("gb"), 9, said("global")),
+        ("local-bm25", bm("lb"), 9, said("local")),
+        ("external-rerank", "SELECT *, CASE WHEN doc_id % 3 > 0 THEN floor(reranker_score * 0.75::DOUBLE)::INT END AS gr, coalesce(CASE WHEN doc_id % 3 > 0 THEN greatest(0, floor(reranker_score * 0.75::DOUBLE)) END, 0) + greatest(0, least(1000, score)) / 100000::DOUBLE AS fused FROM pl", 9, "CASE WHEN gr >= 0 THEN 'external grade ' || gr || '/3 (from ' || stripe || ')' ELSE 'ungraded (from ' || stripe || ')' END"),
+    ]
+    out["explain_search"] = f"WITH {r}, {FACTORS}, {GLOBAL}, {LOCAL}, {counted}, {pool} {explained(told)}"
     plans = [
         ("naive-score", "score", ""),
         ("global-rrf", "1 / (60::DOUBLE + hit_rank)", ""),

@@ -311,16 +311,40 @@ def select_pool(spark, d):
     return fuse.pool(hits(spark, d), 50).select("query_id", "mode", "doc_id", "stripe", "pool_rank")
 
 
+def _explained(plans: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, p in plans.items():
+        one = p.select("query_id", "mode", F.lit(name).alias("strategy"), "doc_id", "stripe", "fused_rank", "explanation")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def explain_fusion(spark, d):
-    """The first ten of each list by seven strategies, with how each score came about."""
+    """The first ten of each delivered list by nine strategies, with how each score came about."""
     h = durable(hits(spark, d))
-    out = None
-    for s in STRATEGIES:
-        if s.name in fuse.EXPLANATIONS:
-            one = fuse.explained(h, s.plan(h, TOP), s.name).select("query_id", "mode", F.lit(s.name).alias("strategy"), "doc_id", "stripe", "fused_rank", "explanation")
-            out = one if out is None else out.unionByName(one)
-    return out
+    plans = {"naive-score": fuse.naive, "interleave": fuse.interleave, "global-rrf": fuse.rrf, "minmax-norm": fuse.minmax, "zscore-norm": fuse.zscore, "vector-similarity": fuse.by_vector, "semantic-score": fuse.by_reranker}
+    lists = {n: f(h, TOP, explain=True) for n, f in plans.items()}
+    lists["quota-merge"] = fuse.quota(h, stored_sizes(spark, d), TOP, explain=True)
+    lists["hybrid-legs"] = fuse.legs(h.filter(F.col("mode") == "Hybrid"), TOP, explain=True)
+    return _explained(lists)
+
+
+@searched
+def explain_search(r: Retrieved) -> DataFrame:
+    """The same for the strategies that know the query's terms or a grade."""
+    c = r.candidates
+    return _explained({
+        "idf-correct-probe": fuse.idf_corrected(c, _factors(r), TOP, explain=True),
+        "global-bm25": fuse.rescored(c, r.matched, r.qterms, r.df_global, r.size, TOP, explain=True),
+        "local-bm25": fuse.rescored(c, r.matched, r.qterms, r.df_local, r.sizes, TOP, local=True, explain=True),
+        "external-rerank": fuse.external(c, _grades(r).filter("doc_id % 3 > 0"), TOP, explain=True),
+    })
+
+
+def _grades(r: Retrieved) -> DataFrame:
+    """Grades of a stand-in for an external grader."""
+    return r.candidates.select("query_id", "doc_id", F.floor(F.col("reranker_score") * 0.75).cast("int").alias("grade"))
 
 
 def _factors(r: Retrieved) -> DataFrame:
@@ -410,8 +434,7 @@ def rerank_existing(r: Retrieved) -> DataFrame:
 
 @searched
 def external_rerank(r: Retrieved) -> DataFrame:
-    grades = r.candidates.select("query_id", "doc_id", F.floor(F.col("reranker_score") * 0.75).cast("int").alias("grade"))
-    return _fused(fuse.external(r.candidates, grades, TOP))
+    return _fused(fuse.external(r.candidates, _grades(r), TOP))
 
 
 @searched
@@ -621,7 +644,7 @@ def explain_query(r: Retrieved) -> DataFrame:
     c = r.candidates
     part = lambda df, name, **more: df.select("query_id", F.lit(name).alias("part"), *[more.get(x, F.lit(None)).cast(t).alias(x) for x, t in (("stripe", "string"), ("place", "int"), ("doc_id", "long"), ("score", "double"), ("text_score", "double"), ("reranker_score", "double"), ("explanation", "string"))])
     per = part(c.filter("hit_rank <= 10"), "stripe", place=F.col("hit_rank"), **{x: F.col(x) for x in ("stripe", "doc_id", "score", "text_score", "reranker_score")})
-    lists = fuse.explained(c, fuse.rrf(c, TOP), "global-rrf")
+    lists = fuse.rrf(c, TOP, explain=True)
     fused = part(lists, "fused", stripe=F.col("stripe"), place=F.col("fused_rank"), doc_id=F.col("doc_id"), score=F.col("fused_score"), explanation=F.col("explanation"))
     mix = part(metrics.stripe_mix(lists), "mix", explanation=F.col("stripe_mix"))
     return _six(per.unionByName(fused).unionByName(mix), 9)
