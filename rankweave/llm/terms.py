@@ -285,18 +285,20 @@ def term_weights(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text: s
     one would else be as concentrated as topic words. A record's language is told by a profile of common words,
     fitted to at most ``sample`` labelled records, else by its label in ``lang``; without that column there is one.
 
-    Texts are read once for the statistics and once for the postings of ``of``; both are written to the shared
-    folder. The statistics of the ``hot_terms`` most frequent terms are broadcast, the others, none of which has a hot
+    Texts are read once for the statistics and once for the postings of ``of``; what is read twice afterwards is
+    written to the shared folder. The statistics of the ``hot_terms`` most frequent terms are broadcast, the others, none of which has a hot
     key, are joined by shuffle. Records without terms give no rows; repeated ids in ``of`` are not merged here.
     """
     profile = language_profile(docs, id_col, text, lang, sample) if lang else None
     labelled = docs.select(text, (_code(F.col(lang)) if lang else F.lit(None).cast("string")).alias("stripe"))
     terms, records = split(term_statistics(labelled, text, profile=profile))
     stats = terms.select("term", "document_frequency", "occurrences", expected(F.col("stripes"), records).alias("_would"))
-    postings = common.durable(term_counts(of, [id_col], text))
+    postings = term_counts(of, [id_col], text)
     cut = _cut(terms, hot_terms)
     hot, cold = F.col("document_frequency") > cut, F.col("document_frequency") <= cut
     few = F.broadcast(stats.filter(hot))
+    if cut:
+        postings = common.durable(postings)  # both joins read it
     both = postings.join(few, "term")
     if cut:
         both = both.unionByName(postings.join(few.select("term"), "term", "left_anti").join(stats.filter(cold), "term"))
