@@ -120,3 +120,13 @@ def test_long_text(spark):
     got = {r["term"][:5]: r["occurrences"] for r in terms.term_statistics(d).collect()}
     assert got == {"word": 200_000, "xxxxx": 1, terms.EVERY: 1}
     assert terms.term_counts(d, ["doc_id"]).filter(F.col("tf") == 200_000).count() == 1
+
+
+def test_every_way_to_split_gives_the_same_statistics_of_the_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    key = lambda df: sorted(((r["term"], r["document_frequency"], r["occurrences"], tuple(map(tuple, r["stripes"]))) for r in df.collect()), key=repr)
+    want = key(terms.term_statistics(docs))
+    assert want == key(terms.term_statistics(docs.repartition(3), split_rows=40, bits=2, flush_rows=200, partitions=2))
+    d = docs.select("doc_id", "text", "lang")
+    best = rows(terms.most_characteristic(terms.term_weights(d, d)))
+    assert best == rows(terms.most_characteristic(terms.term_weights(d, d, hot_terms=100)))

@@ -145,3 +145,9 @@ def test_levels_of_empty_tables(spark):
     got = rows(readability.levels(some, labels).select("doc_id", "level"))
     assert got == rows(readability.levels(some, labels.limit(0)).select("doc_id", "level")) and len(got) == 3
     assert readability.fit(readability.graded(some, ["doc_id"]), readability.ratings(labels)) == readability.DEFAULT_LIMITS
+
+
+@pytest.mark.skipif(not HAVE, reason="no rank file")
+def test_pieces_change_no_id_of_the_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert rows(tokens.encode(docs, ["doc_id"], size=40)) == rows(tokens.encode(docs, ["doc_id"]))
