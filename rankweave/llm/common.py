@@ -54,15 +54,18 @@ def sampled(rows: DataFrame, id_col: str, at_most: int) -> DataFrame:
 def scratch_parent(local: bool) -> str:
     """Where a task may spill: the worker's own Spark scratch disk. Only the task that writes there reads it.
 
-    Spark names it to the workers of a cluster; in local mode, where it does not, it is the system's temporary folder.
+    Cluster managers name it to their executors. Where one does not, it is the executor's own working folder; in local
+    mode, which has neither, the system's temporary folder.
     """
     for name, between in (("SPARK_LOCAL_DIRS", ","), ("LOCAL_DIRS", ","), ("SPARK_EXECUTOR_DIRS", os.pathsep)):
         first = os.environ.get(name, "").split(between)[0]
         if first and os.path.isdir(first):
             return first
-    if not local:
-        raise RuntimeError("no scratch disk is named in SPARK_LOCAL_DIRS, LOCAL_DIRS or SPARK_EXECUTOR_DIRS")
-    return tempfile.gettempdir()
+    if local:
+        return tempfile.gettempdir()
+    if not os.access(os.getcwd(), os.W_OK):
+        raise RuntimeError("no scratch disk is named in SPARK_LOCAL_DIRS, LOCAL_DIRS or SPARK_EXECUTOR_DIRS, and the working folder cannot be written")
+    return os.getcwd()
 
 
 def is_local(df: DataFrame) -> bool:

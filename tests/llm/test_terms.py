@@ -130,3 +130,15 @@ def test_every_way_to_split_gives_the_same_statistics_of_the_tables(spark, small
     d = docs.select("doc_id", "text", "lang")
     best = rows(terms.most_characteristic(terms.term_weights(d, d)))
     assert best == rows(terms.most_characteristic(terms.term_weights(d, d, hot_terms=100)))
+
+
+def test_scratch_folders(tmp_path, monkeypatch):
+    from rankweave.llm import common
+
+    for name in ("SPARK_LOCAL_DIRS", "LOCAL_DIRS", "SPARK_EXECUTOR_DIRS"):
+        monkeypatch.delenv(name, raising=False)
+    monkeypatch.chdir(tmp_path)
+    assert common.scratch_parent(local=False) == str(tmp_path) != common.scratch_parent(local=True)
+    (tmp_path / "a").mkdir()
+    monkeypatch.setenv("LOCAL_DIRS", f"{tmp_path}/a,{tmp_path}/b")
+    assert common.scratch_parent(local=False) == common.scratch_parent(local=True) == f"{tmp_path}/a"
