@@ -58,15 +58,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return wrong.select("summary_id").distinct()
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, **how: int) -> DataFrame:
     hits = table(spark, d, "candidates").filter(F.col("mode") == "Hybrid")
-    return score_fusion.fuse_scores(hits, "query_id", "doc_id", SCORES)
+    return score_fusion.fuse_scores(hits, "query_id", "doc_id", SCORES, **how)
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d)
 
 
+def p3_by_range(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every query over 200 hits ranked by ranges, the way that hot queries go."""
+    return _hybrid(spark, d, hot_rows=200)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return score_fusion.first_items(_hybrid(spark, d), "query_id", "doc_id", 3).select("query_id", "doc_id")
 
@@ -152,7 +157,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found]
-    more = [p1_terms, p2_percentiles, p2_within, p3_ranking, p4_weights, p5_plan, p5_margins, p5_sample, p6_ranked, p8_plan, p8_mix, p8_shares, p9_levels]
+    more = [p1_terms, p2_percentiles, p2_within, p3_ranking, p3_by_range, p4_weights, p5_plan, p5_margins, p5_sample, p6_ranked, p8_plan, p8_mix, p8_shares, p9_levels]
     return {f.__name__: f for f in [*found, *more]}
 
 
@@ -215,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_within": latency + ", c AS (SELECT r.run_id AS run_id, r.mode AS mode, r.strategy AS strategy, count(*) AS n FROM r WHERE r.l > 0 AND NOT isnan(r.l) GROUP BY ALL) SELECT run_id, mode, strategy, n, TRUE AS p50_close, TRUE AS p95_close FROM c",
         "p3_found": fused + " SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS place FROM f) WHERE place <= 3",
         "p3_ranking": fused + " SELECT query_id, doc_id, total FROM f",
+        "p3_by_range": fused + " SELECT query_id, doc_id, total FROM f",
         "p4_found": _WEIGHTED + " SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS place FROM w WHERE doc_id IN (SELECT doc_id FROM doc_probes)) WHERE place = 1",
         "p4_weights": _WEIGHTED + " SELECT doc_id, term, tf, df AS document_frequency, cf AS occurrences, round(weight, 6) AS weight FROM w",
         "p5_margins": """WITH t AS (SELECT set_id, shape, span, intent, max(greatest(round(coalesce(target_share, 0) * coalesce(sample_size, 0), 6), coalesce(min_rows, 0))) AS need FROM sample_targets GROUP BY ALL),
