@@ -13,6 +13,22 @@ from ..functions.text import bm25, idf
 from .ranks import hot_keys, parted, ranked_by_range, same
 
 LIST = ["query_id", "mode"]
+# The texts in which strategies explain a hit.
+TEXTS = {
+    "naive-score": "@search.score=%.4f from %s",
+    "interleave": "rank %d in %s",
+    "global-rrf": "1/(%d+%d) = %.6f from %s",
+    "quota-merge": "quota %d (%d%% of corpus), rank %d in %s",
+    "minmax-norm": "(%.4f-%.4f)/(%.4f-%.4f) = %.4f in %s",
+    "zscore-norm": "z=(%.4f-%.4f)/%.4f = %.4f in %s",
+    "vector-similarity": "cosine=%.4f from %s",
+    "hybrid-legs": "%s = %.6f from %s",
+    "idf-correct": "%.4f x %.3f = %.4f (%s IDF correction)",
+    "bm25": "%s BM25 %.4f over %d/%d query terms (was %.4f in %s)",
+    "semantic-score": "reranker=%.3f (0-4), from %s",
+    "external-rerank": "external grade %d/3 (from %s)",
+    "ungraded": "ungraded (from %s)",
+}
 #: Hits of one query from which on its ranks are made by ranges of the score.
 HOT_ROWS = 200_000
 
@@ -50,7 +66,7 @@ def told(scored: DataFrame, explain: bool, pattern: str, *columns: Column | str)
 
 def naive(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Raw scores."""
-    return rank_and_truncate(told(c.withColumn("fused_score", F.col("score")), explain, "@search.score=%.4f from %s", "score", "stripe"), k, 12)
+    return rank_and_truncate(told(c.withColumn("fused_score", F.col("score")), explain, TEXTS["naive-score"], "score", "stripe"), k, 12)
 
 
 def interleave(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
@@ -62,13 +78,13 @@ def interleave(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     order = F.row_number().over(Window.partitionBy(*LIST).orderBy("stripe_pos")) - 1
     numbered = answered.withColumn("_s", order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*LIST)))
     scored = _beside(c, numbered, [*LIST, "stripe_pos"]).withColumn("fused_score", -(F.col("hit_rank") - 1 + F.col("_s") / F.col("_n")))
-    return rank_and_truncate(told(scored, explain, "rank %d in %s", "hit_rank", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["interleave"], "hit_rank", "stripe"), k)
 
 
 def rrf(c: DataFrame, k: int = 10, constant: int = 60, explain: bool = False) -> DataFrame:
     """1 / (constant + rank); a document in several stripes keeps the larger."""
     scored = c.withColumn("fused_score", F.lit(1.0) / (F.lit(float(constant)) + F.col("hit_rank")))
-    return rank_and_truncate(told(scored, explain, f"1/({constant}+%d) = %.6f from %s", "hit_rank", "fused_score", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["global-rrf"], F.lit(constant), "hit_rank", "fused_score", "stripe"), k)
 
 
 def rrf_sum(c: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
@@ -91,7 +107,7 @@ def quota(c: DataFrame, sizes: DataFrame, k: int = 10, explain: bool = False) ->
     part = F.col("n_docs") / F.col("_all")
     shares = returned.withColumn("_all", total).filter("_all > 0").select(*LIST, "stripe", F.greatest(F.lit(1), F.bround(F.lit(float(k)) * part)).cast("int").alias("_quota"), F.round(part * 100).cast("int").alias("_percent"))
     scored = _beside(c, shares, [*LIST, "stripe"]).filter("hit_rank <= _quota").withColumn("fused_score", -F.col("hit_rank").cast("double"))
-    return rank_and_truncate(told(scored, explain, "quota %d (%d%% of corpus), rank %d in %s", "_quota", "_percent", "hit_rank", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["quota-merge"], "_quota", "_percent", "hit_rank", "stripe"), k)
 
 
 def minmax(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
@@ -99,7 +115,7 @@ def minmax(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     s = c.groupBy(*LIST, "stripe").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
     scored = _beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score)
-    return rank_and_truncate(told(scored, explain, "(%.4f-%.4f)/(%.4f-%.4f) = %.4f in %s", "score", "_lo", "_hi", "_lo", "fused_score", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["minmax-norm"], "score", "_lo", "_hi", "_lo", "fused_score", "stripe"), k)
 
 
 def zscore(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
@@ -107,13 +123,13 @@ def zscore(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     s = c.groupBy(*LIST, "stripe").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     score = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
     scored = _beside(c, s, [*LIST, "stripe"]).withColumn("fused_score", score)
-    return rank_and_truncate(told(scored, explain, "z=(%.4f-%.4f)/%.4f = %.4f in %s", "score", "_m", "_s", "fused_score", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["zscore-norm"], "score", "_m", "_s", "fused_score", "stripe"), k)
 
 
 def by_vector(c: DataFrame, k: int = 10, explain: bool = False) -> DataFrame:
     """Vector similarity, or the score itself in vector mode; others are dropped."""
     scored = c.withColumn("fused_score", F.coalesce("vector_similarity", F.when(F.col("mode") == "Vector", F.col("score"))))
-    return rank_and_truncate(told(scored, explain, "cosine=%.4f from %s", "fused_score", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["vector-similarity"], "fused_score", "stripe"), k)
 
 
 def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS, delivered: DataFrame | None = None, explain: bool = False) -> DataFrame:
@@ -136,7 +152,7 @@ def legs(c: DataFrame, k: int = 10, constant: int = 60, hot_rows: int = HOT_ROWS
         parts = parts.unionByName(big)
     both = F.when(F.col("_t").isNotNull() | F.col("_v").isNotNull(), F.coalesce(share("_t"), F.lit(0.0)) + F.coalesce(share("_v"), F.lit(0.0)))
     found = F.concat_ws(" + ", F.concat(F.lit("text#"), F.col("_t").cast("string")), F.concat(F.lit("vector#"), F.col("_v").cast("string")))
-    return rank_and_truncate(told(parts.withColumn("fused_score", both), explain, "%s = %.6f from %s", found, "fused_score", "stripe"), k)
+    return rank_and_truncate(told(parts.withColumn("fused_score", both), explain, TEXTS["hybrid-legs"], found, "fused_score", "stripe"), k)
 
 
 def correction(qterms: DataFrame, df_global: DataFrame, n_global: DataFrame, df_local: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -158,7 +174,7 @@ def idf_corrected(c: DataFrame, factors: DataFrame, k: int = 10, explain: bool =
     joined = c.join(factors, ["query_id", "stripe"], "left").join(has, "query_id", "left")
     scored = joined.withColumn("fused_score", F.when(F.col("_has"), base).otherwise(F.col("score")))
     given = F.when(F.col("_has"), F.coalesce("text_score", "score")).otherwise(F.col("score"))
-    return rank_and_truncate(told(scored, explain, "%.4f x %.3f = %.4f (%s IDF correction)", given, F.coalesce("factor", F.lit(1.0)), "fused_score", "stripe"), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["idf-correct"], given, F.coalesce("factor", F.lit(1.0)), "fused_score", "stripe"), k)
 
 
 def rescored(c: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, size: DataFrame, k: int = 10, local: bool = False, explain: bool = False) -> DataFrame:
@@ -179,7 +195,7 @@ def rescored(c: DataFrame, near: DataFrame, qterms: DataFrame, df: DataFrame, si
     joined = c.join(sums, ["query_id", "doc_id"], "left").join(asked, "query_id", "left")
     scored = joined.withColumn("fused_score", F.when(F.col("_q") > 0, F.coalesce("_b", F.lit(0.0))).otherwise(F.col("score")))
     figures = ["fused_score", F.coalesce("_h", F.lit(0)), F.coalesce("_q", F.lit(0)), F.coalesce("text_score", "score"), "stripe"]
-    return rank_and_truncate(told(scored, explain, f"{'local' if local else 'global'} BM25 %.4f over %d/%d query terms (was %.4f in %s)", *figures), k)
+    return rank_and_truncate(told(scored, explain, TEXTS["bm25"], F.lit("local" if local else "global"), *figures), k)
 
 
 def yields(qterms: DataFrame, df_global: DataFrame, n_global: DataFrame, df_local: DataFrame) -> DataFrame:
@@ -217,7 +233,7 @@ def by_reranker(c: DataFrame, k: int = 10, strict: bool = False, explain: bool =
     """
     scored = c.withColumn("fused_score", F.col("reranker_score"))
     sure = require_scores(scored) if strict else scored
-    return rank_and_truncate(told(sure, explain, "reranker=%.3f (0-4), from %s", "fused_score", "stripe"), k)
+    return rank_and_truncate(told(sure, explain, TEXTS["semantic-score"], "fused_score", "stripe"), k)
 
 
 def require_scores(c: DataFrame) -> DataFrame:
@@ -246,8 +262,8 @@ def external(c: DataFrame, grades: DataFrame, k: int = 10, size: int = 50, expla
     tie = F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.col("score"))) / F.lit(100000.0)
     scored = p.withColumn("fused_score", F.greatest(F.coalesce("grade", F.lit(0)), F.lit(0)) + tie)
     if explain:
-        graded = F.format_string("external grade %d/3 (from %s)", "grade", "stripe")
-        scored = scored.withColumn("explanation", F.when(F.col("grade") >= 0, graded).otherwise(F.format_string("ungraded (from %s)", "stripe")))
+        graded = F.format_string(TEXTS["external-rerank"], "grade", "stripe")
+        scored = scored.withColumn("explanation", F.when(F.col("grade") >= 0, graded).otherwise(F.format_string(TEXTS["ungraded"], "stripe")))
     return rank_and_truncate(scored, k)
 
 
