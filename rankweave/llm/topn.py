@@ -33,23 +33,24 @@ def two_stages(rows: DataFrame, large: DataFrame | None, kept: Column) -> DataFr
     order = [F.col("_s").desc(), F.col("_i")]
     ranked = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= kept)
     best = lambda df, *by: df.groupBy(*by, "_i").agg(F.max("_s").alias("_s"))
+    small = lambda df: ranked(best(df.repartition("_g"), "_g"), "_g")  # noqa: E731  (such a group fits into a task: one shuffle for all)
     if large is None:
-        return ranked(best(rows, "_g"), "_g")
+        return small(rows)
     hashed = lambda ways: F.pmod(F.xxhash64("_i"), ways).cast("int").alias("_salt")
     if large.isEmpty():
         big, usual = rows.select("*", hashed(F.lit(SALTS))), None
     else:
         big, usual = rows.join(large, "_g").select("_g", "_i", "_s", hashed(F.col("_ways"))), rows.join(large, "_g", "left_anti")
     out = ranked(ranked(best(big, "_g", "_salt"), "_g", "_salt").drop("_r", "_salt"), "_g")
-    return out if usual is None else ranked(best(usual, "_g"), "_g").unionByName(out)
+    return out if usual is None else small(usual).unionByName(out)
 
 
 def top_n(hits: DataFrame, limits: DataFrame, group: str, item: str, score: str, n: str, salt_rows: int = SALT_ROWS, long_list: int = LONG_LIST) -> DataFrame:
     """The first ``n`` items of each group: (group, item, score, n, rank), highest score first, then the smaller item.
 
-    Two-stage salted ranking: repetitions are removed by (group, item) with map-side combining; a group over
-    ``salt_rows`` rows is hashed into subgroups by its size, the best are kept in each, and only the survivors are ranked
-    together. How many are kept is the largest ``n`` of any group, a constant, so that Spark cuts every map output to it before
+    Two-stage salted ranking: a group over ``salt_rows`` rows is hashed into subgroups by its size, its repetitions are
+    removed with map-side combining, the best are kept in each subgroup, and only the survivors are ranked together.
+    Smaller groups take one shuffle by group for both. How many are kept is the largest ``n`` of any group, a constant, so that Spark cuts every map output to it before
     a row is sent; a group's own ``n`` is attached to the survivors. Groups that ask for more than ``long_list`` are
     ranked by value ranges, so no task sees one whole.
 
