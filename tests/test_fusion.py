@@ -225,6 +225,12 @@ def test_second_query_of_existing_results(spark):
     assert ranked(fuse.reranked_again(c, scorer, 3, depth=50)) == [49, 42, 35]  # the document at place 57 is beyond the fifty keys
 
 
+def test_a_mean_halfway_between_two_printed_figures_is_rounded_up(spark):
+    """20.6671 and 16.7964 have the mean 18.73175, which comes out as 18.731749999999998 in binary."""
+    got = fuse.zscore(lists(spark, north=[(11, 20.6671), (12, 16.7964)]), explain=True).orderBy("fused_rank").collect()
+    assert [r["explanation"] for r in got] == ["z=(20.6671-18.7318)/1.9354 = 1.0000 in north", "z=(16.7964-18.7318)/1.9354 = -1.0000 in north"]
+
+
 def test_clean(spark):
     nan = float("nan")
     hit = lambda d, i, s, v=None: ("harbour", "Hybrid", "north", 0, d, i, s, None, v, None)
