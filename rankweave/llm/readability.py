@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sampled, settled
+from ..operators.ranks import percentiles, summed_by_range
+from .common import durable, settled
 
 # Vowels of the Latin alphabets read here.
 VOWELS = "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýÿ"
@@ -22,10 +23,8 @@ PATTERNS = "i1a i1o i1u e1o u1a u1o y1a y1o a1o o1a ti2a ti2o ti2u ci2a ci2o ci2
 CLAUSE = 12.0
 #: Level limits on the median grade where there are no labels to fit them to.
 DEFAULT_LIMITS = (1.9, 7.6, 12.5, 16.0)
-#: Documents with hand ratings that the model is fitted to, at most; they are taken in the order of a hash.
-SAMPLE = 20_000
-#: Words kept, at most, that running text writes in small letters; the share and number of occurrences that shows it.
-SMALL_WORDS, SMALL_SHARE, SEEN = 2_000, 0.9, 20
+#: The share and number of occurrences that show that running text writes a word in small letters.
+SMALL_SHARE, SEEN = 0.9, 20
 COUNTS = ["words", "letters", "sentences", "marks", "syllables", "long_syllables", "long_words"]
 #: Characters of text that are counted at once, and distinct words whose counts a worker keeps.
 SLICE, KEPT_WORDS = 4_000_000, 200_000
@@ -189,8 +188,8 @@ def _texts(column: pa.Array) -> pa.Array:
 def counts(docs: DataFrame, keys: list[str], text: str = "text", small: list[str] = [], size: int = SLICE) -> DataFrame:
     """Words, letters, sentences, marks within them, syllables, words of three syllables and of seven letters of each text.
 
-    Counted by Arrow kernels over many texts at once; only distinct words are looked at in Python. ``small``, at most
-    ``SMALL_WORDS`` words, travels with the task.
+    Counted by Arrow kernels over many texts at once; only distinct words are looked at in Python. ``small`` travels with
+    the task; Spark broadcasts it where it is long.
     """
     src = docs.select(*keys, F.col(text).cast("binary").alias("_text"))
     words = set(small)
@@ -211,10 +210,12 @@ def counts(docs: DataFrame, keys: list[str], text: str = "text", small: list[str
     return src.mapInArrow(run, head + "".join(f", {c} double" for c in COUNTS))
 
 
-def small_words(docs: DataFrame, text: str = "text", at_most: int = SMALL_WORDS, size: int = SLICE) -> list[str]:
-    """The commonest words that running text writes in small letters, at most ``at_most``.
+def small_words(docs: DataFrame, text: str = "text", at_most: int | None = None, size: int = SLICE, capitals: bool = False) -> list[str]:
+    """The words that running text writes in small letters, the commonest first; with ``at_most`` only so many.
 
-    Counted where a word follows another, so that the first word of a sentence says nothing.
+    Counted where a word follows another, so that the first word of a sentence says nothing. With ``capitals`` only
+    words that running text has with a capital too: the others begin no sentence in these documents, so no count
+    of theirs is another without them. The words are held in memory; they are a part of the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +229,9 @@ def small_words(docs: DataFrame, text: str = "text", at_most: int = SMALL_WORDS,
 
     found = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "word string, low long, all long")
     sums = found.groupBy("word").agg(F.sum("low").alias("low"), F.sum("all").alias("all"))
-    kept = sums.filter((F.col("low") >= SEEN) & (F.col("low") >= F.col("all") * SMALL_SHARE)).orderBy(F.col("low").desc(), "word").limit(at_most)
-    return [r["word"] for r in kept.collect()]
+    kept = sums.filter((F.col("low") >= SEEN) & (F.col("low") >= F.col("all") * SMALL_SHARE))
+    ordered = (kept.filter(F.col("all") > F.col("low")) if capitals else kept).orderBy(F.col("low").desc(), "word")
+    return (ordered if at_most is None else ordered.limit(at_most)).select("word").toArrow().column("word").to_pylist()
 
 
 def grade(counted: DataFrame) -> DataFrame:
@@ -260,7 +262,8 @@ def grade(counted: DataFrame) -> DataFrame:
 def limits(pairs: list[tuple[float, float]]) -> tuple[float, ...]:
     """The four limits between five levels that disagree with the fewest ratings; of equally good limits the middle one.
 
-    A limit without ratings on both sides keeps its default; limits never fall.
+    A limit without ratings on both sides keeps its default; limits never fall. Equal grades are never divided. This is
+    for pairs held in memory; ``fit`` gives the same for tables of any size.
     """
     out: list[float] = []
     g = np.array([x for x, _ in pairs], dtype=float)
@@ -273,22 +276,47 @@ def limits(pairs: list[tuple[float, float]]) -> tuple[float, ...]:
             a = above[order].astype(int)
             wrong = np.concatenate([[0], np.cumsum(a)]) + np.concatenate([[0], np.cumsum(1 - a)])[-1] - np.concatenate([[0], np.cumsum(1 - a)])
             edges = np.concatenate([[g[order][0] - 1], (g[order][1:] + g[order][:-1]) / 2, [g[order][-1] + 1]])
-            best = np.flatnonzero(wrong == wrong.min())
+            apart = np.concatenate([[True], g[order][1:] != g[order][:-1], [True]])
+            best = np.flatnonzero(apart & (wrong == wrong[apart].min()))
             at = float(edges[best[len(best) // 2]])
         out.append(max([at, *out[-1:]]))
     return tuple(out)
 
 
-def ratings(labels: DataFrame, id_col: str = "doc_id", level: str = "reading_level", sample: int = SAMPLE) -> DataFrame:
-    """(id, _level): of at most ``sample`` rated documents the median of the valid ratings (1 to 5)."""
-    rated = labels.filter(F.col(level).between(1, 5) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.median(level).alias("_level"))
-    return sampled(rated, id_col, sample)
+def ratings(labels: DataFrame, id_col: str = "doc_id", level: str = "reading_level") -> DataFrame:
+    """(id, _level): of every rated document the median of the valid ratings (1 to 5)."""
+    return labels.filter(F.col(level).between(1, 5) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.median(level).alias("_level"))
 
 
 def fit(graded: DataFrame, rated: DataFrame, id_col: str = "doc_id") -> tuple[float, ...]:
-    """Level limits from graded documents and their ``ratings``."""
-    known = graded.filter("grade is not null").join(F.broadcast(rated), id_col)
-    return limits([(r["grade"], r["_level"]) for r in known.select("grade", "_level").collect()])
+    """The ``limits`` of graded documents and their ``ratings``, all of them, without bringing the pairs into one place.
+
+    Ratings are counted by grade and limit. A limit below a grade has as many disagreements more than one below all
+    grades as lower grades have ratings above it less those below it: sums by range of the grade. Only a few figures
+    for each limit reach the driver.
+    """
+    known = graded.filter("grade is not null").join(rated, id_col)
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), (F.col("_level") > i + 1.5 - 1e-9).cast("long").alias("_above")) for i in range(len(DEFAULT_LIMITS))]))
+    counted = durable(known.select("grade", sides.alias("_s")).groupBy("_s._i", "grade").agg(F.sum("_s._above").alias("_above"), F.count(F.lit(1)).alias("_n")))
+    ends = counted.groupBy("_i").agg(F.sum("_above").alias("_above"), F.sum("_n").alias("_n"), F.max("grade").alias("_top"))
+    both = {r["_i"]: r["_top"] for r in ends.filter("_above > 0 and _above < _n").collect()}
+    middle: dict[int, float] = {}
+    if both:
+        # a place above all grades, whose limit is as far from them as that below all
+        top = graded.sparkSession.createDataFrame([(i, x + 2.0, 0, 0) for i, x in both.items()], counted.schema)
+        places = counted.filter(F.col("_i").isin(list(both))).unionByName(top)
+        summed = durable(summed_by_range(places, ["_i"], [F.col("grade")], 2 * F.col("_above") - F.col("_n"), "_more"))
+        least = {r["_i"]: r["_least"] for r in summed.groupBy("_i").agg(F.min("_more").alias("_least")).collect()}
+        is_best = F.col("_more") == F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("_i"))
+        # of an even number of best places the upper middle one, so the percentile is taken from above
+        best = percentiles(summed.filter(is_best).withColumn("_down", -F.col("grade")), ["_i"], "_down", {"_at": 0.5})
+        chosen = {r["_i"]: -r["_at"] for r in best.collect()}
+        lower = F.max(F.when(F.col("grade") < F.element_at(F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]), F.col("_i")), F.col("grade")))
+        middle = {r["_i"]: (chosen[r["_i"]] + (chosen[r["_i"]] - 2 if r["_lower"] is None else r["_lower"])) / 2 for r in summed.groupBy("_i").agg(lower.alias("_lower")).collect()}
+    out: list[float] = []
+    for i, default in enumerate(DEFAULT_LIMITS):
+        out.append(max([middle.get(i, default), *out[-1:]]))
+    return tuple(out)
 
 
 def graded(docs: DataFrame, keys: list[str], text: str = "text", small: list[str] = []) -> DataFrame:
@@ -304,16 +332,14 @@ def levelled(grades: DataFrame, at: tuple[float, ...]) -> DataFrame:
     return grades.withColumn("level", level.cast("int"))
 
 
-def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, grade, level): level 1 to 5; null, empty and unworded texts have neither.
 
     Whole texts are read, however long. Layout does not count: tags, list marks, line ends, capitals, missing stops and
-    run-on clauses are evened out. What the model learns comes from at most ``sample`` rated documents: the words that
-    running text writes small, and the limits. The grades of all documents, three numbers each, are written once to the
-    shared folder, from which the limits are fitted and the levels made. Equal texts get equal levels; other columns
-    are not read; empty tables give no rows, and without valid ratings the default limits hold.
+    run-on clauses are evened out. The words that running text writes small are learned from all documents, in a pass of
+    their own, and the limits from all valid ratings. The grades of all documents, three numbers each, are written once
+    to the shared folder, from which the limits are fitted and the levels made. Equal texts get equal levels; other
+    columns are not read; empty tables give no rows, and without valid ratings the default limits hold.
     """
-    rated = durable(ratings(labels, id_col, sample=sample))
-    small = small_words(docs.join(F.broadcast(rated.select(id_col)), id_col, "left_semi"), text)
-    grades = durable(graded(docs.select(id_col, text), [id_col], text, small))
-    return levelled(grades, fit(grades, rated, id_col))
+    grades = durable(graded(docs.select(id_col, text), [id_col], text, small_words(docs, text, capitals=True)))
+    return levelled(grades, fit(grades, ratings(labels, id_col), id_col))

@@ -126,6 +126,54 @@ def test_limits():
     assert readability.limits([]) == readability.DEFAULT_LIMITS and list(cut) == sorted(cut)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_limits_by_ranges_are_those_of_pairs_in_memory(spark, seed):
+    """Tied grades, even numbers of best places, limits outside all grades, limits with ratings on one side only."""
+    rng = np.random.default_rng(seed)
+    n = [40, 9, 300][seed]
+    grades = rng.integers(0, [12, 4, 90][seed], n) / 2
+    level = np.clip(np.round(grades / 3 + rng.normal(0, [1, 3, 1][seed], n)), 1, 4 if seed else 5)
+    pairs = [(float(g), float(x)) for g, x in zip(grades, level)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "doc_id int, grade double, _level double")
+    got = readability.fit(df.select("doc_id", "grade"), df.select("doc_id", "_level"))
+    assert got == pytest.approx(readability.limits(pairs))
+    assert readability.limits(pairs) == readability.limits(sorted(pairs, key=lambda p: (p[0], -p[1]))) == readability.limits(sorted(pairs))
+
+
+def test_equal_grades_are_not_divided():
+    """No limit can part the ratings at 2.0; parted in memory they would seem to agree with a limit of 2.0."""
+    assert readability.limits([(1.0, 1), (2.0, 1), (2.0, 1), (2.0, 5), (3.0, 5)]) == (2.5,) * 4
+
+
+def test_every_rating_counts(spark):
+    """60,000 rated documents; each limit lies between two neighbours, which no part of them need hold."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") / 1000).alias("grade"))
+    labels = docs.select("doc_id", (F.floor(F.col("doc_id") / 12_000) + 1).alias("reading_level"))
+    assert readability.fit(docs, readability.ratings(labels)) == pytest.approx((11.9995, 23.9995, 35.9995, 47.9995))
+
+
+def test_no_small_word_is_left_out(spark):
+    """2,500 words, more than were once kept; those never met with a capital change no count and may be left out."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    words = [word(i) for i in range(2_500)]
+    df = spark.createDataFrame([(i, "so " + " ".join(words)) for i in range(20)] + [(20, "so " + " ".join(w.capitalize() for w in words[:2_200]))], "doc_id int, text string")
+    got = readability.small_words(df)
+    assert set(got) == set(words) and set(readability.small_words(df, capitals=True)) == set(words[:2_200])
+    assert readability.levels(df, df.select("doc_id", F.lit(3).alias("reading_level"))).filter("doc_id = 20").first()["grade"] == readability.graded(df, ["doc_id"], small=got).filter("doc_id = 20").first()["grade"]
+
+
+def test_unrated_documents_teach_which_words_are_small(spark):
+    """The grade of a text without stops follows from what the other texts write small, whether or not they are rated."""
+    prose = [(i, "Rosa and the fox ran, but in the park the dog sat on the mat. ") for i in range(30)]
+    run_on = "Rosa walked home The dog sat on the mat The fox ran in the park"
+    docs = spark.createDataFrame([*prose, (99, run_on)], "doc_id int, text string")
+    labels = spark.createDataFrame([(99, 2)], "doc_id int, reading_level int")
+    want = readability.graded(docs.filter("doc_id = 99"), ["doc_id"], small=["the"]).first()["grade"]
+    assert want != readability.graded(docs.filter("doc_id = 99"), ["doc_id"]).first()["grade"]
+    for some in (labels, labels.limit(0)):
+        assert readability.levels(docs, some).filter("doc_id = 99").first()["grade"] == want
+
+
 def test_held_out_accuracy(spark, small):
     """A model fitted on one half of the hand ratings tells demanding texts apart in the other half."""
     d = small.replace("sf0.001", "sf0.01")
