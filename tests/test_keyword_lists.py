@@ -61,7 +61,7 @@ def _plan(spark, small, name):
 
 
 # Shuffles of the plan over the lists, which are cut by query; those that remain are of terms, of factors and of (query, document).
-MOST = {"eval_agentic_rerank": 0, "eval_evaluate_matrix": 40}
+MOST = {"eval_agentic_rerank": 0, "eval_evaluate_matrix": 40, "eval_external_rerank": 3}
 
 
 @pytest.mark.parametrize("name", MOST)
