@@ -61,7 +61,7 @@ def _plan(spark, small, name):
 
 
 # Shuffles of the plan over the lists, which are cut by query; those that remain are of terms, of factors and of (query, document).
-MOST = {"eval_agentic_rerank": 0, "eval_evaluate_matrix": 40, "eval_external_rerank": 3, "eval_global_bm25": 0, "eval_merge_bm25": 11, "eval_agentic_cheap": 4, "eval_candidate_budget": 0, "eval_explain_query": 0, "eval_fan_out": 0, "eval_idf_correct_probe": 8, "eval_keyword_topk": 0}
+MOST = {"eval_agentic_rerank": 0, "eval_evaluate_matrix": 40, "eval_external_rerank": 3, "eval_global_bm25": 0, "eval_merge_bm25": 11, "eval_agentic_cheap": 4, "eval_candidate_budget": 0, "eval_explain_query": 0, "eval_fan_out": 0, "eval_idf_correct_probe": 8, "eval_keyword_topk": 0, "eval_agentic_planned": 11}
 
 
 @pytest.mark.parametrize("name", MOST)
@@ -69,7 +69,7 @@ def test_what_is_ranked_per_query_is_not_shuffled_again(spark, small, name):
     assert len(re.findall(r"Exchange", _plan(spark, small, name))) <= MOST[name]
 
 
-@pytest.mark.parametrize("name", ["eval_filtered_retrieval", "eval_merge_bm25"])
+@pytest.mark.parametrize("name", ["eval_filtered_retrieval", "eval_merge_bm25", "eval_agentic_planned"])
 def test_pairs_are_added_up_in_blocks(spark, small, name):
     plan = _plan(spark, small, name)
     assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"Join \[query_id|HashAggregate\(keys=\[query_id#\d+, stripe#\d+, doc_id", plan)
