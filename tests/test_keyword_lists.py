@@ -61,7 +61,7 @@ def _plan(spark, small, name):
 
 
 # Shuffles of the plan over the lists, which are cut by query; those that remain are of terms, of factors and of (query, document).
-MOST = {"eval_agentic_rerank": 0, "eval_evaluate_matrix": 40, "eval_external_rerank": 3, "eval_global_bm25": 0, "eval_merge_bm25": 11, "eval_agentic_cheap": 4, "eval_candidate_budget": 0, "eval_explain_query": 0, "eval_fan_out": 0, "eval_idf_correct_probe": 8, "eval_keyword_topk": 0, "eval_agentic_planned": 11, "eval_explain_search": 11, "eval_idf_correct_sidecar": 7}
+MOST = {"eval_agentic_rerank": 0, "eval_evaluate_matrix": 40, "eval_external_rerank": 3, "eval_global_bm25": 0, "eval_merge_bm25": 11, "eval_agentic_cheap": 4, "eval_candidate_budget": 0, "eval_explain_query": 0, "eval_fan_out": 0, "eval_idf_correct_probe": 8, "eval_keyword_topk": 0, "eval_agentic_planned": 11, "eval_explain_search": 11, "eval_idf_correct_sidecar": 7, "eval_local_bm25": 0}
 
 
 @pytest.mark.parametrize("name", MOST)
